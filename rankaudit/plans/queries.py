@@ -159,3 +159,128 @@ def _top_k(k: int) -> Query:
 
 register("search_top_k")(_top_k(1))
 register("search_top_3")(_top_k(3))
+
+
+# ---------------------------------------------------------------- C: bibliometrics
+from ..operators import bibliometrics as BIB  # noqa: E402
+from ..operators import records as REC  # noqa: E402
+from ..sources import ingest as ING  # noqa: E402
+
+
+@register("papers")
+def q_papers(spark, sf):
+    return BIB.papers(A.bib_corpus(spark, sf))
+
+
+@register("paper_authors")
+def q_paper_authors(spark, sf):
+    return BIB.paper_authors(A.bib_corpus(spark, sf))
+
+
+@register("author_profile")
+def q_author_profile(spark, sf):
+    return BIB.author_profile(A.bib_corpus(spark, sf))
+
+
+@register("author_h_index")
+def q_author_h_index(spark, sf):
+    return BIB.author_h_index(A.bib_corpus(spark, sf))
+
+
+@register("author_h_class")
+def q_author_h_class(spark, sf):
+    return BIB.authors_table(A.bib_corpus(spark, sf))
+
+
+@register("derive_groups")
+def q_derive_groups(spark, sf):
+    return BIB.derive_groups(BIB.author_profile(A.bib_corpus(spark, sf)))
+
+
+# ---------------------------------------------------------------- D: records
+def _judged_titles(spark, sf):
+    corpus = A.corpus(spark, sf)
+    labels = A.table(spark, sf, "labels").select("doc_id")
+    return labels.join(corpus.select(F.col("id").alias("doc_id"), "title"), "doc_id")
+
+
+@register("paper_by_idx")
+def q_paper_by_idx(spark, sf):
+    corpus = A.corpus(spark, sf).withColumnRenamed("id", "doc_idx")
+    req = A.table(spark, sf, "labels").select(F.col("doc_id").alias("doc_idx"))
+    return REC.paper_by_idx(req, corpus).select("doc_idx", "title", "venue", "n_chars")
+
+
+@register("paper_by_sha")
+def q_paper_by_sha(spark, sf):
+    corpus = A.corpus(spark, sf)
+    req = _judged_titles(spark, sf).select("title")
+    return REC.paper_by_sha(req, corpus, key="title", req="title").select("title", "id")
+
+
+@register("paper_with_corpus")
+def q_paper_with_corpus(spark, sf):
+    bib = A.bib_corpus(spark, sf)
+    pm = REC.paper_with_corpus(BIB.papers(bib), bib.select("id", "authors"))
+    return pm.select("paper_sha", "paper_title", F.size("authors").cast("int").alias("n_authors"))
+
+
+@register("paper_author_set")
+def q_paper_author_set(spark, sf):
+    bib = A.bib_corpus(spark, sf)
+    return REC.paper_author_set(bib, BIB.authors_table(bib)).select("paper_sha", "corpus_author_id", "h_index")
+
+
+@register("article_record")
+def q_article_record(spark, sf):
+    bib = A.bib_corpus(spark, sf)
+    rec = REC.article_record(BIB.papers(bib), bib, BIB.authors_table(bib))
+    return rec.select("paper_sha", "paper_title", "paper_year", "n_key_citations", "corpus_author_id", "name", "h_index")
+
+
+@register("sha_to_idx")
+def q_sha_to_idx(spark, sf):
+    corpus = A.corpus(spark, sf).select("title", F.col("id").alias("doc_idx"))
+    return REC.sha_to_idx(_judged_titles(spark, sf), corpus, key="title", req="title").select("doc_id", "doc_idx")
+
+
+# ---------------------------------------------------------------- B: selection / ingest
+@register("judged_doc_ids")
+def q_judged_doc_ids(spark, sf):
+    return ING.judged_doc_ids(A.judgements(spark, sf))
+
+
+@register("corpus_ids")
+def q_corpus_ids(spark, sf):
+    return ING.corpus_ids(A.bib_corpus(spark, sf).select("id"))
+
+
+@register("missing_doc_ids")
+def q_missing_doc_ids(spark, sf):
+    return ING.missing_doc_ids(A.judgements(spark, sf), A.bib_corpus(spark, sf).select("id"))
+
+
+@register("selection_counts")
+def q_selection_counts(spark, sf):
+    return ING.selection_counts(A.judgements(spark, sf), A.bib_corpus(spark, sf).select("id"))
+
+
+@register("reshape_api_records")
+def q_reshape(spark, sf):
+    rec = ING.reshape_api_records(A.landed_responses(spark, sf))
+    return rec.select(
+        "id",
+        "title",
+        "year",
+        "venue",
+        "journalName",
+        "s2id",
+        F.size("inCitations").cast("int").alias("n_in"),
+        F.size("outCitations").cast("int").alias("n_out"),
+        F.col("authors")[0]["ids"][0].alias("first_author"),
+    )
+
+
+@register("route_responses")
+def q_route(spark, sf):
+    return ING.route_responses(A.landed_responses(spark, sf)).select("doc_id", "status_code", "route")

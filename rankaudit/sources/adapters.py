@@ -165,3 +165,33 @@ def feature_rows(spark: SparkSession, sf_dir: str, binary: bool = False) -> Data
 def fixed_weights(n: int) -> list[float]:
     """Constant model used by ranking/measure queries: w_i = 1/(i+1), b = 0."""
     return [1.0 / (i + 1) for i in range(n)]
+
+
+# Fixed mapping for landed API responses derived from orders: a finished
+# order was fetched (200), an open one was rate-limited (429), the rest failed.
+STATUS_BY_ORDER_STATUS = (("F", 200), ("O", 429))
+STATUS_OTHER = 404
+
+
+def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed API responses ``doc_id STRING, status_code INT, body STRING``
+    serialised from the bibliographic records (one per order)."""
+    bib = bib_corpus(spark, sf_dir)
+    status = F.lit(STATUS_OTHER)
+    for code, st in reversed(STATUS_BY_ORDER_STATUS):
+        status = F.when(F.col("venue") == code, F.lit(st)).otherwise(status)
+    body = F.to_json(
+        F.struct(
+            F.col("id").cast("string").alias("paperId"),
+            F.col("title").alias("title"),
+            F.lit("").alias("abstract"),
+            F.col("year").alias("year"),
+            F.col("venue").alias("venue"),
+            F.transform("outCitations", lambda x: F.struct(x.alias("paperId"))).alias("references"),
+            F.transform("inCitations", lambda x: F.struct(x.alias("paperId"))).alias("citations"),
+            F.transform("authors", lambda a: F.struct(a["name"].alias("name"), a["ids"][0].alias("authorId"))).alias(
+                "authors"
+            ),
+        )
+    )
+    return bib.select(F.col("id").cast("string").alias("doc_id"), status.cast("int").alias("status_code"), body.alias("body"))
