@@ -261,3 +261,65 @@ def all_sql() -> dict[str, str]:  # noqa: F811
     out = _all_sql_features()
     out.update(bib_sql())
     return out
+
+
+# ---------------------------------------------------------------- ranking world
+def rank_ctes(binary: bool) -> list[str]:
+    rel = "label % 2" if binary else "label"
+    return [
+        f"fr AS (SELECT vec_id AS ord, vec_id % 25 AS qid, vec_id AS doc_id, CAST({rel} AS DOUBLE) AS rel, "
+        "CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
+        "sc AS (SELECT *, list_sum(list_transform(x, lambda v, i: coalesce(v, 0.0) * (1.0::DOUBLE / i))) AS score FROM fr)",
+        "rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS INTEGER) AS rank FROM sc)",
+        "ex AS (SELECT *, coalesce(product(0.5::DOUBLE * (1.0::DOUBLE - 0.7::DOUBLE * rel)) OVER "
+        "(PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE) AS exposure FROM rk)",
+        "da AS (SELECT DISTINCT d.doc_id, (d.doc_id * 13 + k.k * 17) % (SELECT count(*) FROM customer) AS author_id "
+        "FROM documents d, LATERAL (SELECT unnest(generate_series(0, d.doc_id % 3)) AS k) k)",
+        "das AS (SELECT * FROM da WHERE author_id IN (SELECT c_custkey FROM customer))",
+        "grp AS (SELECT c.c_custkey AS author_id, r.r_name AS gid FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey "
+        "JOIN region r ON r.r_regionkey = n.n_regionkey)",
+        "ae AS (SELECT a.author_id, sum(e.exposure) AS exposure, sum(0.7::DOUBLE * e.rel) AS relevance FROM ex e JOIN das a ON a.doc_id = e.doc_id GROUP BY a.author_id)",
+        "ge AS (SELECT g.gid, sum(coalesce(a.exposure, 0.0)) AS exposure, sum(coalesce(a.relevance, 0.0)) AS relevance "
+        "FROM grp g LEFT JOIN ae a ON a.author_id = g.author_id GROUP BY g.gid)",
+        "gs AS (SELECT gid, coalesce(exposure / nullif((SELECT sum(exposure) FROM ge), 0), 0.0) AS exposure_share, "
+        "coalesce(relevance / nullif((SELECT sum(relevance) FROM ge), 0), 0.0) AS relevance_share FROM ge)",
+        "nd AS (SELECT qid, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(irank + 1)) AS idcg FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS irank FROM rk) GROUP BY qid)",
+        "apq AS (SELECT qid, avg(CASE WHEN rel > 0 THEN hits / rank END) AS ap FROM "
+        "(SELECT *, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM rk) GROUP BY qid)",
+    ]
+
+
+def rank_sql() -> dict[str, str]:
+    g, b = rank_ctes(False), rank_ctes(True)
+    return {
+        "rank_documents": with_(g, f"SELECT qid, rank, doc_id, rel, {rnd('score')} AS score FROM rk"),
+        "exposure": with_(b, f"SELECT qid, rank, doc_id, rel, {rnd('exposure')} AS exposure FROM ex"),
+        "ndcg": with_(g, f"SELECT qid, {rnd('dcg')} AS dcg, {rnd('idcg')} AS idcg, {rnd('CASE WHEN idcg <> 0 THEN dcg / idcg END')} AS ndcg FROM nd"),
+        "mean_ndcg": with_(b, f"SELECT {rnd('avg(CASE WHEN idcg <> 0 THEN dcg / idcg END)')} AS ndcg_skip, "
+                           f"{rnd('avg(CASE WHEN idcg <> 0 THEN dcg / idcg ELSE 0.0 END)')} AS ndcg_zero FROM nd"),
+        "average_precision": with_(g, f"SELECT qid, {rnd('ap')} AS ap FROM apq"),
+        "mean_average_precision": with_(g, f"SELECT {rnd('avg(ap)')} AS map FROM apq"),
+        "relevance_utility": with_(b, f"SELECT {rnd('sum(exposure * rel * 0.7::DOUBLE) / count(DISTINCT qid)')} AS utility FROM ex"),
+        "author_exposure": with_(b, f"SELECT author_id, {rnd('exposure')} AS exposure, {rnd('relevance')} AS relevance FROM ae"),
+        "group_exposure": with_(b, f"SELECT gid, {rnd('exposure')} AS exposure, {rnd('relevance')} AS relevance FROM ge"),
+        "group_shares": with_(b, f"SELECT gid, {rnd('exposure_share')} AS exposure_share, {rnd('relevance_share')} AS relevance_share FROM gs"),
+        "exposure_fairness": with_(b, f"SELECT {rnd('sqrt(sum(pow(exposure_share - relevance_share, 2)))')} AS fairness FROM gs"),
+        "exposure_curve": with_(b, f"SELECT DISTINCT rank, {rnd('pow(0.5, rank - 1) * pow(0.2, rank - 1)')} AS relevant, "
+                                f"{rnd('pow(0.5, rank - 1)')} AS irrelevant FROM rk"),
+        "group_share_stack": with_(b + [
+            "lg AS (SELECT gid, 'relevance' AS measure, relevance_share AS share FROM gs UNION ALL "
+            "SELECT gid, 'exposure', exposure_share FROM gs)",
+            "st AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY measure ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS bottom FROM lg)",
+        ], f"SELECT gid, measure, {rnd('share')} AS share, {rnd('bottom')} AS bottom, {rnd('bottom + share / 2')} AS label_y, "
+           "printf('%.1f%%', share * 100) AS label FROM st"),
+    }
+
+
+_all_sql_bib = all_sql
+
+
+def all_sql() -> dict[str, str]:  # noqa: F811
+    out = _all_sql_bib()
+    out.update(rank_sql())
+    return out

@@ -284,3 +284,108 @@ def q_reshape(spark, sf):
 @register("route_responses")
 def q_route(spark, sf):
     return ING.route_responses(A.landed_responses(spark, sf)).select("doc_id", "status_code", "route")
+
+
+# ---------------------------------------------------------------- H / J: ranking and measures
+from ..operators import measures as M  # noqa: E402
+from ..operators import ranking as RK  # noqa: E402
+from ..operators import reports as REP  # noqa: E402
+
+N_EMB = 64
+WEIGHTS = A.fixed_weights(N_EMB)
+
+
+def _ranked(spark, sf, binary=True):
+    return RK.rank_documents(A.feature_rows(spark, sf, binary=binary), WEIGHTS)
+
+
+def _doc_author_set(spark, sf):
+    """Document author sets restricted to ids present in the author table
+    (customers), de-duplicated per document (D4 semantics)."""
+    da = A.doc_authors(spark, sf)
+    known = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("author_id"))
+    return da.join(known, "author_id", "left_semi").select("doc_id", "author_id").distinct()
+
+
+def _exposed(spark, sf):
+    return M.exposure(_ranked(spark, sf))
+
+
+def _group_exp(spark, sf):
+    return M.group_exposure(M.author_exposure(_exposed(spark, sf), _doc_author_set(spark, sf)), A.groups(spark, sf))
+
+
+@register("rank_documents")
+def q_rank_documents(spark, sf):
+    r = _ranked(spark, sf, binary=False)
+    return r.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", "rel", rnd("score").alias("score"))
+
+
+@register("exposure")
+def q_exposure(spark, sf):
+    e = _exposed(spark, sf)
+    return e.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", "rel", rnd("exposure").alias("exposure"))
+
+
+@register("ndcg")
+def q_ndcg(spark, sf):
+    n = M.ndcg_per_query(_ranked(spark, sf, binary=False))
+    return n.select("qid", rnd("dcg").alias("dcg"), rnd("idcg").alias("idcg"), rnd("ndcg").alias("ndcg"))
+
+
+@register("mean_ndcg")
+def q_mean_ndcg(spark, sf):
+    r = _ranked(spark, sf, binary=True)
+    skip = M.mean_ndcg(r, empty="skip").select(rnd("ndcg").alias("ndcg_skip"))
+    zero = M.mean_ndcg(r, empty="zero").select(rnd("ndcg").alias("ndcg_zero")).scalar()
+    return skip.select("ndcg_skip", zero.alias("ndcg_zero"))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf):
+    return M.average_precision(_ranked(spark, sf, binary=False)).select("qid", rnd("ap").alias("ap"))
+
+
+@register("mean_average_precision")
+def q_map(spark, sf):
+    return M.mean_average_precision(_ranked(spark, sf, binary=False)).select(rnd("map").alias("map"))
+
+
+@register("relevance_utility")
+def q_relevance_utility(spark, sf):
+    return M.relevance_utility(_exposed(spark, sf)).select(rnd("utility").alias("utility"))
+
+
+@register("author_exposure")
+def q_author_exposure(spark, sf):
+    a = M.author_exposure(_exposed(spark, sf), _doc_author_set(spark, sf))
+    return a.select("author_id", rnd("exposure").alias("exposure"), rnd("relevance").alias("relevance"))
+
+
+@register("group_exposure")
+def q_group_exposure(spark, sf):
+    g = _group_exp(spark, sf)
+    return g.select("gid", rnd("exposure").alias("exposure"), rnd("relevance").alias("relevance"))
+
+
+@register("group_shares")
+def q_group_shares(spark, sf):
+    s = M.group_shares(_group_exp(spark, sf))
+    return s.select("gid", rnd("exposure_share").alias("exposure_share"), rnd("relevance_share").alias("relevance_share"))
+
+
+@register("exposure_fairness")
+def q_exposure_fairness(spark, sf):
+    return M.exposure_fairness(M.group_shares(_group_exp(spark, sf))).select(rnd("fairness").alias("fairness"))
+
+
+@register("exposure_curve")
+def q_exposure_curve(spark, sf):
+    c = REP.exposure_curve(_ranked(spark, sf))
+    return c.select(F.col("rank").cast("int").alias("rank"), rnd("relevant").alias("relevant"), rnd("irrelevant").alias("irrelevant"))
+
+
+@register("group_share_stack")
+def q_group_share_stack(spark, sf):
+    s = REP.group_share_stack(M.group_shares(_group_exp(spark, sf)))
+    return s.select("gid", "measure", rnd("share").alias("share"), rnd("bottom").alias("bottom"), rnd("label_y").alias("label_y"), "label")
