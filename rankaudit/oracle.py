@@ -323,3 +323,48 @@ def all_sql() -> dict[str, str]:  # noqa: F811
     out = _all_sql_bib()
     out.update(rank_sql())
     return out
+
+
+# ---------------------------------------------------------------- pairs world
+def pair_ctes() -> list[str]:
+    g = rank_ctes(False)[:2]
+    return g + [
+        "pr AS (SELECT a.qid, a.ord AS i, b.ord AS j, CAST(sign(a.rel - b.rel) AS INTEGER) AS sign, a.x AS xa, b.x AS xb "
+        "FROM fr a JOIN fr b ON a.qid = b.qid AND a.ord < b.ord AND a.rel <> b.rel)",
+        "bp AS (SELECT *, CAST(((i * (2 * n - i - 1)) // 2 + (j - i - 1)) % 2 AS INTEGER) AS k_parity FROM pr, (SELECT count(*) AS n FROM fr))",
+        "bl AS (SELECT *, CASE WHEN k_parity = 0 THEN 1 ELSE -1 END AS label FROM bp)",
+        "bd AS (SELECT *, list_transform(xa, lambda v, m: (coalesce(v, 0.0) - coalesce(xb[m], 0.0)) * CAST(label * sign AS DOUBLE)) AS diff FROM bl)",
+        "raw AS (SELECT a.qid, a.ord AS i, b.ord AS j, list_transform(a.x, lambda v, m: coalesce(v, 0.0) - coalesce(b.x[m], 0.0)) AS dx "
+        "FROM fr a JOIN fr b ON a.qid = b.qid AND a.ord < b.ord)",
+    ]
+
+
+def wsum(col: str, dim: int = 64) -> str:
+    return " + ".join(f"coalesce({col}[{m + 1}], 0.0) * (1.0::DOUBLE / {m + 1})" for m in range(dim))
+
+
+def pair_sql() -> dict[str, str]:
+    p = pair_ctes()
+    dcols = lambda f: ", ".join(f"{rnd(f(m))} AS d{m:02d}" for m in range(64))
+    return {
+        "pairwise_diffs": with_(p, "SELECT qid, i, j, sign, " + dcols(lambda m: f"coalesce(xa[{m + 1}], 0.0) - coalesce(xb[{m + 1}], 0.0)") + " FROM pr"),
+        "balance_pairs": with_(p, "SELECT qid, i, j, k_parity, label, " + dcols(lambda m: f"diff[{m + 1}]") + " FROM bd"),
+        "scale_features": with_(p, f"SELECT CAST(idx - 1 AS INTEGER) AS idx, {rnd('avg(v)')} AS mean, {rnd('stddev_pop(v)')} AS std FROM "
+                            "(SELECT unnest(diff) AS v, unnest(generate_series(1, len(diff))) AS idx FROM bd) GROUP BY idx"),
+        "split_pairs": with_(p, "SELECT 'train' AS split, CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM bd UNION ALL "
+                         "SELECT 'test', count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) FROM bd"),
+        "classify_pairs": with_(p, f"SELECT qid, i, j, CASE WHEN ({wsum('diff')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END AS pred FROM bd"),
+        "pair_accuracy": with_(p, f"SELECT {rnd(f'avg(CASE WHEN (CASE WHEN ({wsum(chr(100) + chr(105) + chr(102) + chr(102))}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM bd"),
+        "predict_order": with_(p, "SELECT qid, ord, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, ord) - 1 AS INTEGER) AS position FROM sc"),
+        "prefer": with_(p, f"SELECT qid, i, j, CASE WHEN ({wsum('dx')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END AS prefer FROM raw"),
+        "preference_margin": with_(p, f"SELECT qid, i, j, {rnd(wsum('dx'))} AS margin FROM raw"),
+    }
+
+
+_all_sql_rank = all_sql
+
+
+def all_sql() -> dict[str, str]:  # noqa: F811
+    out = _all_sql_rank()
+    out.update(pair_sql())
+    return out

@@ -389,3 +389,122 @@ def q_exposure_curve(spark, sf):
 def q_group_share_stack(spark, sf):
     s = REP.group_share_stack(M.group_shares(_group_exp(spark, sf)))
     return s.select("gid", "measure", rnd("share").alias("share"), rnd("bottom").alias("bottom"), rnd("label_y").alias("label_y"), "label")
+
+
+# ---------------------------------------------------------------- G: pairs and the ranking model
+from ..operators import pairs as PR  # noqa: E402
+from ..operators import ranksvm as SVM  # noqa: E402
+
+FIXED_INTERCEPT = 0.1
+
+
+def _wide(df, col: str, prefix: str, dim: int = N_EMB):
+    return [rnd(F.col(col)[m]).alias(f"{prefix}{m:02d}") for m in range(dim)]
+
+
+def _pairs(spark, sf):
+    return PR.training_pairs(A.feature_rows(spark, sf, binary=False))
+
+
+@register("pairwise_diffs")
+def q_pairwise_diffs(spark, sf):
+    p = PR.pairwise_diffs(A.feature_rows(spark, sf, binary=False))
+    return p.select("qid", "i", "j", "sign", *_wide(p, "diff", "d"))
+
+
+@register("balance_pairs")
+def q_balance_pairs(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("qid", "i", "j", "k_parity", "label", *_wide(p, "diff", "d"))
+
+
+@register("scale_features")
+def q_scale_features(spark, sf):
+    p = _pairs(spark, sf)
+    e = p.select(F.posexplode("diff").alias("idx", "v"))
+    return e.groupBy("idx").agg(rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("std"))
+
+
+@register("split_pairs")
+def q_split_pairs(spark, sf):
+    s = PR.split_pairs(_pairs(spark, sf))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fixed_model():
+    return SVM.RankModel(WEIGHTS, FIXED_INTERCEPT)
+
+
+@register("classify_pairs")
+def q_classify_pairs(spark, sf):
+    return SVM.classify(_pairs(spark, sf), _fixed_model()).select("qid", "i", "j", "pred")
+
+
+@register("pair_accuracy")
+def q_pair_accuracy(spark, sf):
+    return SVM.pair_accuracy(_pairs(spark, sf), _fixed_model()).select(rnd("accuracy").alias("accuracy"))
+
+
+@register("predict_order")
+def q_predict_order(spark, sf):
+    o = RK.predict_order(A.feature_rows(spark, sf, binary=False), WEIGHTS)
+    return o.select("qid", "ord", F.col("position").cast("int").alias("position"))
+
+
+def _raw_pairs(spark, sf):
+    rows = A.feature_rows(spark, sf, binary=False)
+    a = rows.select("qid", F.col("ord").alias("i"), F.col("features").alias("x_a"))
+    b = rows.select("qid", F.col("ord").alias("j"), F.col("features").alias("x_b"))
+    return a.join(b, "qid").where(F.col("i") < F.col("j"))
+
+
+@register("prefer")
+def q_prefer(spark, sf):
+    return RK.prefer(_raw_pairs(spark, sf), WEIGHTS, FIXED_INTERCEPT).select("qid", "i", "j", "prefer")
+
+
+@register("preference_margin")
+def q_preference_margin(spark, sf):
+    return RK.preference_margin(_raw_pairs(spark, sf), WEIGHTS).select("qid", "i", "j", rnd("margin").alias("margin"))
+
+
+def _trained(spark, sf, record=False, tol=1e-6, max_iter=1000):
+    p = _pairs(spark, sf)
+    scaled, means, stds = PR.scale_features(p, N_EMB)
+    split = PR.split_pairs(scaled)
+    model = SVM.fit_rank_svm(split.where(F.col("split") == "train"), N_EMB, tol=tol, max_iter=max_iter, record=record)
+    model.means, model.stds = means, stds
+    return split, model
+
+
+@register("fit_rank_svm")
+def q_fit_rank_svm(spark, sf):
+    _, m = _trained(spark, sf)
+    rows = [(i, float(w)) for i, w in enumerate(m.weights)] + [(len(m.weights), m.intercept)]
+    return spark.createDataFrame(rows, "idx int, weight double")
+
+
+@register("performance_report")
+def q_performance_report(spark, sf):
+    split, m = _trained(spark, sf)
+    return SVM.performance_report(split, m)
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf):
+    split, m = _trained(spark, sf, record=True, tol=0.0, max_iter=30)
+    return SVM.learning_curve(split, m)
+
+
+@register("tolerance_sweep")
+def q_tolerance_sweep(spark, sf):
+    split, m = _trained(spark, sf, record=True, tol=1e-8, max_iter=50)
+    rows = A.feature_rows(spark, sf, binary=True)
+    da, grp = _doc_author_set(spark, sf), A.groups(spark, sf)
+    out = None
+    for tol in (1e-2, 1e-4, 1e-6, 1e-8):
+        w = SVM.tolerance_iterate(m, tol)
+        ranked = RK.rank_documents(rows, list(w[:-1]))
+        r = M.fairness_and_utility(ranked, da, grp).select(F.lit(tol).alias("tol"), "fairness", "utility")
+        out = r if out is None else out.unionByName(r)
+    return out
