@@ -368,3 +368,33 @@ def all_sql() -> dict[str, str]:  # noqa: F811
     out = _all_sql_rank()
     out.update(pair_sql())
     return out
+
+
+# ---------------------------------------------------------------- re-ranking world
+def rerank_sql() -> dict[str, str]:
+    b = rank_ctes(True) + [
+        "ends AS (SELECT qid, arg_min(score, rank) AS s_top, arg_max(score, rank) AS s_last FROM rk GROUP BY qid)",
+        "rh AS (SELECT r.*, CASE WHEN e.s_top - e.s_last = 0 THEN 'NaN'::DOUBLE ELSE "
+        "((r.score - e.s_top) + (e.s_top - e.s_last)) / (2.0::DOUBLE * (e.s_top - e.s_last)) * 2.0::DOUBLE END AS rhat FROM rk r JOIN ends e USING (qid))",
+        "exh AS (SELECT *, coalesce(product(0.5::DOUBLE * (1.0::DOUBLE - 0.7::DOUBLE * rhat)) OVER "
+        "(PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE) AS eh FROM rh)",
+        "w AS (SELECT a.doc_id, g.gid, count(*) AS n FROM das a JOIN grp g ON g.author_id = a.author_id GROUP BY a.doc_id, g.gid)",
+        "qg AS (SELECT e.qid, w.gid, sum(e.exposure * w.n) AS E, sum(0.7::DOUBLE * e.rel * w.n) AS R FROM ex e JOIN w ON w.doc_id = e.doc_id GROUP BY e.qid, w.gid)",
+        "qt AS (SELECT qid, sum(E) AS te, sum(R) AS tr FROM qg GROUP BY qid)",
+        "qf AS (SELECT g.qid, sqrt(sum(pow(CASE WHEN t.te = 0 THEN 'NaN'::DOUBLE ELSE g.E / t.te END - "
+        "CASE WHEN t.tr = 0 THEN 'NaN'::DOUBLE ELSE g.R / t.tr END, 2))) AS fairness FROM qg g JOIN qt t USING (qid) GROUP BY g.qid)",
+    ]
+    return {
+        "model_relevance": with_(b, f"SELECT qid, rank, doc_id, {rnd('rhat')} AS rhat FROM rh"),
+        "query_model_utility": with_(b, f"SELECT qid, {rnd('sum(eh * rhat * 0.7::DOUBLE)')} AS utility FROM exh GROUP BY qid"),
+        "query_exposure_fairness": with_(b, f"SELECT q.qid, {rnd('coalesce(f.fairness, 0.0)')} AS fairness FROM (SELECT DISTINCT qid FROM rk) q LEFT JOIN qf f USING (qid)"),
+    }
+
+
+_all_sql_pairs = all_sql
+
+
+def all_sql() -> dict[str, str]:  # noqa: F811
+    out = _all_sql_pairs()
+    out.update(rerank_sql())
+    return out

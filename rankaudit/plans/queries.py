@@ -508,3 +508,43 @@ def q_tolerance_sweep(spark, sf):
         r = M.fairness_and_utility(ranked, da, grp).select(F.lit(tol).alias("tol"), "fairness", "utility")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# ---------------------------------------------------------------- I: re-ranking
+from ..operators import rerank as RR  # noqa: E402
+
+
+def _weights(spark, sf):
+    return RR.doc_group_weights(_doc_author_set(spark, sf), A.groups(spark, sf))
+
+
+@register("model_relevance")
+def q_model_relevance(spark, sf):
+    r = RR.model_relevance(_ranked(spark, sf))
+    return r.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", rnd("rhat").alias("rhat"))
+
+
+@register("query_model_utility")
+def q_query_model_utility(spark, sf):
+    u = RR.query_model_utility(RR.model_relevance(_ranked(spark, sf)))
+    return u.select("qid", rnd("utility").alias("utility"))
+
+
+@register("query_exposure_fairness")
+def q_query_exposure_fairness(spark, sf):
+    f = RR.query_exposure_fairness(_ranked(spark, sf), _weights(spark, sf))
+    return f.select("qid", rnd("fairness").alias("fairness"))
+
+
+@register("adjust_for_exposure")
+def q_adjust_for_exposure(spark, sf):
+    a = RR.adjust_for_exposure(RR.model_relevance(_ranked(spark, sf)), _weights(spark, sf))
+    return a.select("qid", "rank", "doc_id")
+
+
+@register("adjustment_report")
+def q_adjustment_report(spark, sf):
+    before = RR.model_relevance(_ranked(spark, sf))
+    after = RR.adjust_for_exposure(before, _weights(spark, sf))
+    rep = RR.adjustment_report(before, after, _doc_author_set(spark, sf), A.groups(spark, sf))
+    return rep.select("stage", rnd("fairness").alias("fairness"), rnd("utility").alias("utility"))
