@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_length, int_value
-from .termstats import FieldIndex, doc_norms, field_index, query_terms
+from .termstats import FieldIndex, corpus_scalars, doc_norms, field_index, query_terms
 
 # The reference's feature parameters.
 BM25_K1 = 1.2
@@ -161,6 +161,102 @@ def text_features(
     )
 
 
+def _multi_field_contributions(
+    pairs: DataFrame,
+    queries: DataFrame,
+    corpus: DataFrame,
+    fields: Sequence[str],
+    id_col: str,
+    *,
+    k1: float,
+    b: float,
+    lam: float,
+    mu: float,
+    delta: float,
+    unique: str,
+) -> DataFrame:
+    """Per-term summands for several fields at once, keyed by a field index
+    ``f``: one corpus scan, one postings aggregate, one vocabulary aggregate
+    and one candidate join for all fields."""
+    from ..functions.text import n_tokens, tokens
+
+    scal = corpus_scalars(corpus, list(fields))
+    n_docs = next(iter(scal.values()))[0] if scal else 0
+    def tag(i: int):
+        return lambda t: F.struct(F.lit(i).alias("f"), t.alias("term"))
+
+    tagged = F.concat(*[F.transform(tokens(c), tag(i)) for i, c in enumerate(fields)])
+    postings = (
+        corpus.select(F.col(id_col).alias("doc_id"), F.explode(tagged).alias("x"))
+        .select("doc_id", "x.f", "x.term")
+        .groupBy("f", "doc_id", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    total = F.lit(0)
+    for i, c in enumerate(fields):
+        total = F.when(F.col("f") == i, F.lit(scal[c][1])).otherwise(total)
+    terms = (
+        postings.groupBy("f", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        .select(
+            "f",
+            "term",
+            "df",
+            (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
+            (F.col("cf") / total).alias("p"),
+        )
+    )
+    docs = pairs.select("doc_id").distinct()
+    jpost = postings.join(docs, "doc_id", "left_semi")
+    norms = (
+        jpost.join(terms.select("f", "term", "idf"), ["f", "term"])
+        .groupBy("f", "doc_id")
+        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    )
+    lengths = corpus.select(
+        F.col(id_col).alias("doc_id"), F.array(*[n_tokens(c) for c in fields]).alias("lens")
+    ).join(docs, "doc_id", "left_semi")
+    qt = queries.select("qid", F.explode(F.array_distinct(tokens("query"))).alias("term")).join(
+        terms, "term"
+    )
+    cand = (
+        pairs.select("qid", "doc_id")
+        .join(qt, "qid")
+        .join(jpost, ["f", "doc_id", "term"], "left")
+        .join(lengths, "doc_id")
+        .join(norms, ["f", "doc_id"], "left")
+    )
+    if unique == "doc":
+        uniq = jpost.groupBy("f", "doc_id").agg(F.count(F.lit(1)).alias("u"))
+        cand = cand.join(uniq, ["f", "doc_id"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    elif unique == "df":
+        cand = cand.withColumn("u", F.col("df"))
+    else:
+        raise ValueError("unique must be 'df' or 'doc'")
+    avg = F.lit(0.0)
+    for i, c in enumerate(fields):
+        avg = F.when(F.col("f") == i, F.lit(scal[c][1] / n_docs if n_docs else 0.0)).otherwise(avg)
+    tf = F.coalesce(F.col("tf"), F.lit(0)).cast("double")
+    d = F.element_at("lens", F.col("f") + 1).cast("double")
+    idf_c, p = F.col("idf"), F.col("p")
+    nonempty = d > 0
+    return cand.select(
+        "qid",
+        "doc_id",
+        "f",
+        tf.alias("tf"),
+        idf_c.alias("idf"),
+        F.when(tf > 0, tf * idf_c / F.col("norm")).otherwise(F.lit(0.0)).alias("tfidf"),
+        (idf_c * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / avg))).alias("bm25"),
+        F.when(
+            nonempty,
+            -F.log(F.greatest(tf - delta, F.lit(0.0)) / d + F.lit(delta) * F.col("u") / d * p),
+        ).otherwise(F.lit(0.0)).alias("lmir_abs"),
+        F.when(nonempty, -F.log((tf + mu * p) / (d + mu))).otherwise(F.lit(0.0)).alias("lmir_dir"),
+        F.when(nonempty, -F.log((1.0 - lam) * tf / d + lam * p)).otherwise(F.lit(0.0)).alias("lmir_jm"),
+    )
+
+
 def judged_features(
     judged: DataFrame,
     corpus: DataFrame,
@@ -173,7 +269,8 @@ def judged_features(
     """``qid, doc_id, relevance, features ARRAY<DOUBLE>`` for every
     judged (qid, doc) whose document exists; unknown documents are skipped.
 
-    ``judged`` has ``qid, query, doc_id, relevance``.
+    ``judged`` has ``qid, query, doc_id, relevance``.  All text fields share
+    one tokenisation pass, one postings shuffle and one aggregate.
     """
     specs = list(specs or default_specs())
     known = judged.join(
@@ -183,30 +280,28 @@ def judged_features(
     queries = known.select("qid", "query").dropDuplicates(["qid"])
 
     text_specs = [s for s in specs if s.kind == "text"]
-    contribs = None
-    for i, s in enumerate(text_specs):
-        c = _term_contributions(
+    cols: dict[tuple[int, str], str] = {}
+    out = known
+    if text_specs:
+        contribs = _multi_field_contributions(
             pairs,
             queries,
-            field_index(corpus, s.field, id_col),
+            corpus,
+            [s.field for s in text_specs],
+            id_col,
             k1=params.get("k1", BM25_K1),
             b=params.get("b", BM25_B),
             lam=params.get("lam", JM_LAMBDA),
             mu=params.get("mu", DIR_MU),
             delta=params.get("delta", ABS_DELTA),
             unique=params.get("unique", "df"),
-        ).withColumn("fidx", F.lit(i))
-        contribs = c if contribs is None else contribs.unionByName(c)
-
-    cols: dict[tuple[int, str], str] = {}
-    aggs = []
-    for i in range(len(text_specs)):
-        for name in TEXT_FEATURES:
-            alias = f"t{i}_{name}"
-            cols[(i, name)] = alias
-            aggs.append(F.sum(F.when(F.col("fidx") == i, F.col(name))).alias(alias))
-    out = known
-    if contribs is not None:
+        )
+        aggs = []
+        for i in range(len(text_specs)):
+            for name in TEXT_FEATURES:
+                alias = f"t{i}_{name}"
+                cols[(i, name)] = alias
+                aggs.append(F.sum(F.when(F.col("f") == i, F.col(name))).alias(alias))
         out = out.join(contribs.groupBy("qid", "doc_id").agg(*aggs), ["qid", "doc_id"], "left")
 
     doc_cols = [F.col(id_col).alias("doc_id")]

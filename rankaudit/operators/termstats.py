@@ -2,7 +2,7 @@
 
 Everything is a long table keyed by ``(doc_id, term)`` or ``term``; no matrix
 or dense vocabulary is ever built.  Corpus-wide scalars (``N``, total tokens,
-mean length) are scalar subqueries, evaluated once per job.
+mean length) are computed once, in one aggregate, and enter the plans as literals.
 
 Shuffles: postings are a ``groupBy(doc_id, term)`` whose map-side partial
 aggregate already reduces each document's tokens (all tokens of a document
@@ -60,13 +60,25 @@ class FieldIndex:
         return doc_length(self.corpus, self.field, self.id_col)
 
 
-def field_index(corpus: DataFrame, field: str, id_col: str = "id") -> FieldIndex:
+def corpus_scalars(corpus: DataFrame, fields: list[str]) -> dict[str, tuple[int, int]]:
+    """``{field: (N, total tokens)}`` for several fields in one aggregate job
+    (two numbers per field reach the driver; they become plan literals)."""
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(n_tokens(f)).alias(f"t{i}") for i, f in enumerate(fields)]
+    r = corpus.agg(*aggs).first()
+    n = int(r["n"])
+    return {f: (n, int(r[f"t{i}"] or 0)) for i, f in enumerate(fields)}
+
+
+def field_index(corpus: DataFrame, field: str, id_col: str = "id", scalars: tuple[int, int] | None = None) -> FieldIndex:
+    if scalars is None:
+        scalars = corpus_scalars(corpus, [field])[field]
+    n, tot = scalars
     postings = term_counts(corpus, field, id_col)
-    n_docs = corpus.agg(F.count(F.lit(1))).scalar()
+    n_docs = F.lit(n).cast("bigint")
+    total = F.lit(tot).cast("bigint")
     stats = postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
     )
-    total = stats.agg(F.sum("cf")).scalar()
     terms = stats.select(
         "term",
         "df",
@@ -76,7 +88,7 @@ def field_index(corpus: DataFrame, field: str, id_col: str = "id") -> FieldIndex
         # Collection probability cf / total tokens
         (F.col("cf") / total).alias("p"),
     )
-    avg_len = F.coalesce(total / n_docs, F.lit(0.0))
+    avg_len = F.lit(tot / n if n else 0.0)
     return FieldIndex(field, corpus, id_col, postings, terms, n_docs, total, avg_len)
 
 

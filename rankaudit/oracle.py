@@ -398,3 +398,23 @@ def all_sql() -> dict[str, str]:  # noqa: F811
     out = _all_sql_pairs()
     out.update(rerank_sql())
     return out
+
+
+def io_sql() -> dict[str, str]:
+    jf = q_judged_features()
+    body = jf.split("\nSELECT ", 1)
+    ctes = body[0]
+    sel = "SELECT " + body[1]
+    return {
+        "ranking_text_roundtrip": ctes + ", jf AS (" + sel + ")\n"
+        "SELECT CAST(row_number() OVER (ORDER BY qid, doc_id) - 1 AS BIGINT) AS ord, * FROM jf",
+    }
+
+
+_all_sql_rerank = all_sql
+
+
+def all_sql() -> dict[str, str]:  # noqa: F811
+    out = _all_sql_rerank()
+    out.update(io_sql())
+    return out

@@ -548,3 +548,29 @@ def q_adjustment_report(spark, sf):
     after = RR.adjust_for_exposure(before, _weights(spark, sf))
     rep = RR.adjustment_report(before, after, _doc_author_set(spark, sf), A.groups(spark, sf))
     return rep.select("stage", rnd("fairness").alias("fairness"), rnd("utility").alias("utility"))
+
+
+# ---------------------------------------------------------------- A: text boundary round trip
+import uuid  # noqa: E402
+
+from ..session import shared_dir  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+@register("ranking_text_roundtrip")
+def q_ranking_text_roundtrip(spark, sf):
+    """A6 + A7 + A8: judged features -> ordinals -> ranking text + linker ->
+    read back -> joined to the linker by ordinal."""
+    corpus, known = _known(spark, sf)
+    jf = IO.assign_ordinals(FT.judged_features(known, corpus)).persist()
+    base = shared_dir(spark, f"rankaudit-text-{uuid.uuid4().hex}")
+    IO.write_ranking_text(jf, base + "/ranking")
+    IO.write_linker(jf, base + "/linker")
+    jf.unpersist()
+    back = IO.read_ranking_text(spark, base + "/ranking", n_features=25)
+    link = IO.read_linker(spark, base + "/linker")
+    j = back.join(link, back.ord == link.libsvm_id)
+    return j.select(
+        "ord", "qid", F.col("document_id").alias("doc_id"), F.col("rel").alias("relevance"),
+        *[rnd(F.col("features")[i]).alias(f"f{i:02d}") for i in range(25)],
+    )
