@@ -353,12 +353,12 @@ def score_corpus(queries: DataFrame, index: FieldIndex) -> DataFrame:
     )
 
 
-def search_top_k(queries: DataFrame, index: FieldIndex, k: int = 1) -> DataFrame:
+def search_top_k(queries: DataFrame, index: FieldIndex, k: int = 1, tie_decimals: int = 9) -> DataFrame:
     """best ``k`` documents per query by F12 score, ties to the lowest id.
 
     When fewer than ``k`` documents match, the lowest-id documents fill up
     with score 0 (the reference's argmax over a zero vector returns the first
-    document).  Those ``k`` fallback ids are the only thing brought to the
+    document).  Scores equal to ``tie_decimals`` decimals tie.  Those ``k`` fallback ids are the only thing brought to the
     driver.  ``row_number() <= k`` is planned as a per-partition group limit
     before the shuffle, so a query with many matches never ships them all.
     """
@@ -375,6 +375,8 @@ def search_top_k(queries: DataFrame, index: FieldIndex, k: int = 1) -> DataFrame
     matched_fallback = scores.filter(F.col("doc_id").isin(fallback_ids)).select("qid", "doc_id")
     fallback = fallback.join(matched_fallback, ["qid", "doc_id"], "left_anti")
     cand = scores.unionByName(fallback)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    # exact copies of a document must tie whatever order their terms were
+    # summed in: rank on the score rounded to `tie_decimals`
+    w = Window.partitionBy("qid").orderBy(F.round("score", tie_decimals).desc(), F.col("doc_id").asc())
     ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("qid", "rank", "doc_id", "score")

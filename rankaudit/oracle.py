@@ -147,7 +147,7 @@ def q_search_top_k(k: int = 1) -> str:
     )
     body = (
         "SELECT qid, rk AS rank, doc_id, " + rnd("score") + " AS score FROM ("
-        "SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rk FROM cand) "
+        "SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rk FROM cand) "
         f"WHERE rk <= {k}"
     )
     return with_(ctes, body)
