@@ -180,8 +180,7 @@ def _multi_field_contributions(
     and one candidate join for all fields."""
     from ..functions.text import n_tokens, tokens
 
-    scal = corpus_scalars(corpus, list(fields))
-    n_docs = next(iter(scal.values()))[0] if scal else 0
+    n_docs = corpus.count()  # one number (parquet footers)
     def tag(i: int):
         return lambda t: F.struct(F.lit(i).alias("f"), t.alias("term"))
 
@@ -192,19 +191,17 @@ def _multi_field_contributions(
         .groupBy("f", "doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    total = F.lit(0)
-    for i, c in enumerate(fields):
-        total = F.when(F.col("f") == i, F.lit(scal[c][1])).otherwise(total)
-    terms = (
-        postings.groupBy("f", "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        .select(
-            "f",
-            "term",
-            "df",
-            (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
-            (F.col("cf") / total).alias("p"),
-        )
+    stats = postings.groupBy("f", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    # per-field token totals: one row per field (bounded by the number of
+    # fields), so broadcasting it is size-safe; no extra pass over the corpus
+    totals = F.broadcast(stats.groupBy("f").agg(F.sum("cf").alias("total")))
+    terms = stats.join(totals, "f").select(
+        "f",
+        "term",
+        "df",
+        (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
+        (F.col("cf") / F.col("total")).alias("p"),
+        (F.col("total") / F.lit(float(max(n_docs, 1)))).alias("avgd"),
     )
     docs = pairs.select("doc_id").distinct()
     jpost = postings.join(docs, "doc_id", "left_semi")
@@ -213,9 +210,10 @@ def _multi_field_contributions(
         .groupBy("f", "doc_id")
         .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
     )
-    lengths = corpus.select(
-        F.col(id_col).alias("doc_id"), F.array(*[n_tokens(c) for c in fields]).alias("lens")
-    ).join(docs, "doc_id", "left_semi")
+    lengths = (
+        corpus.join(docs.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
+        .select(F.col(id_col).alias("doc_id"), F.array(*[n_tokens(c) for c in fields]).alias("lens"))
+    )
     qt = queries.select("qid", F.explode(F.array_distinct(tokens("query"))).alias("term")).join(
         terms, "term"
     )
@@ -233,9 +231,7 @@ def _multi_field_contributions(
         cand = cand.withColumn("u", F.col("df"))
     else:
         raise ValueError("unique must be 'df' or 'doc'")
-    avg = F.lit(0.0)
-    for i, c in enumerate(fields):
-        avg = F.when(F.col("f") == i, F.lit(scal[c][1] / n_docs if n_docs else 0.0)).otherwise(avg)
+    avg = F.col("avgd")
     tf = F.coalesce(F.col("tf"), F.lit(0)).cast("double")
     d = F.element_at("lens", F.col("f") + 1).cast("double")
     idf_c, p = F.col("idf"), F.col("p")

@@ -469,7 +469,9 @@ def q_preference_margin(spark, sf):
 
 
 def _trained(spark, sf, record=False, tol=1e-6, max_iter=1000):
-    p = _pairs(spark, sf)
+    # the pair table feeds the scaling stats, the split selection and the
+    # solver: materialise it once instead of re-running the self-join per job
+    p = _pairs(spark, sf).persist()
     scaled, means, stds = PR.scale_features(p, N_EMB)
     split = PR.split_pairs(scaled)
     model = SVM.fit_rank_svm(split.where(F.col("split") == "train"), N_EMB, tol=tol, max_iter=max_iter, record=record)
