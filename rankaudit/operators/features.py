@@ -128,7 +128,7 @@ def _term_contributions(
         tf.alias("tf"),
         idf_c.alias("idf"),
         F.when(tf > 0, tf * idf_c / F.col("norm")).otherwise(F.lit(0.0)).alias("tfidf"),
-        (idf_c * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / index.avg_len))).alias("bm25"),
+        (idf_c * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / F.col("avgd")))).alias("bm25"),
         F.when(
             nonempty,
             -F.log(F.greatest(tf - delta, F.lit(0.0)) / d + F.lit(delta) * F.col("u") / d * p),

@@ -13,8 +13,6 @@ very frequent terms.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +34,52 @@ def doc_length(corpus: DataFrame, field: str, id_col: str = "id") -> DataFrame:
     return corpus.select(F.col(id_col).alias("doc_id"), n_tokens(field).alias("d"))
 
 
-@dataclass
 class FieldIndex:
     """Statistics of one field over the whole corpus.
 
     ``postings``  doc_id, term, tf
-    ``terms``     term, df, cf, idf, p    (the vocabulary, E3/E4/E7)
-    ``n_docs``    N (empty documents included)
-    ``total``     Σ tf over the corpus
-    ``avg_len``   mean token count over all documents
+    ``terms``     term, df, cf, idf, p, avgd   (the vocabulary, E3/E4/E7)
+    ``n_docs``    N (empty documents included; parquet footers, no scan)
+
+    The corpus token total enters ``terms`` through a one-row aggregate of
+    the vocabulary (broadcast: exactly one row), so building an index costs
+    no extra pass over the corpus.  ``total`` / ``avg_len`` as plan literals
+    are computed on first use only.
     """
 
-    field: str
-    corpus: DataFrame
-    id_col: str
-    postings: DataFrame
-    terms: DataFrame
-    n_docs: Column
-    total: Column
-    avg_len: Column
+    def __init__(self, field: str, corpus: DataFrame, id_col: str, scalars: tuple[int, int] | None = None):
+        self.field, self.corpus, self.id_col = field, corpus, id_col
+        self._scalars = scalars
+        n = scalars[0] if scalars else corpus.count()
+        self._n = n
+        self.n_docs = F.lit(n).cast("bigint")
+        self.postings = term_counts(corpus, field, id_col)
+        stats = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        # one-row aggregate, joined on a constant key as a broadcast hash join
+        tot = F.broadcast(stats.agg(F.sum("cf").alias("_total")).withColumn("_k", F.lit(0)))
+        self.terms = stats.withColumn("_k", F.lit(0)).join(tot, "_k").select(
+            "term",
+            "df",
+            "cf",
+            # Smooth idf ln((1+N)/(1+df)) + 1
+            (F.log((F.lit(1.0) + self.n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
+            # Collection probability cf / total tokens
+            (F.col("cf") / F.col("_total")).alias("p"),
+            (F.col("_total") / F.lit(float(max(n, 1)))).alias("avgd"),
+        )
+
+    def _tot(self) -> int:
+        if self._scalars is None:
+            self._scalars = corpus_scalars(self.corpus, [self.field])[self.field]
+        return self._scalars[1]
+
+    @property
+    def total(self) -> Column:
+        return F.lit(self._tot()).cast("bigint")
+
+    @property
+    def avg_len(self) -> Column:
+        return F.lit(self._tot() / self._n if self._n else 0.0)
 
     def doc_length(self) -> DataFrame:
         return doc_length(self.corpus, self.field, self.id_col)
@@ -70,26 +95,7 @@ def corpus_scalars(corpus: DataFrame, fields: list[str]) -> dict[str, tuple[int,
 
 
 def field_index(corpus: DataFrame, field: str, id_col: str = "id", scalars: tuple[int, int] | None = None) -> FieldIndex:
-    if scalars is None:
-        scalars = corpus_scalars(corpus, [field])[field]
-    n, tot = scalars
-    postings = term_counts(corpus, field, id_col)
-    n_docs = F.lit(n).cast("bigint")
-    total = F.lit(tot).cast("bigint")
-    stats = postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
-    )
-    terms = stats.select(
-        "term",
-        "df",
-        "cf",
-        # Smooth idf ln((1+N)/(1+df)) + 1
-        (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
-        # Collection probability cf / total tokens
-        (F.col("cf") / total).alias("p"),
-    )
-    avg_len = F.lit(tot / n if n else 0.0)
-    return FieldIndex(field, corpus, id_col, postings, terms, n_docs, total, avg_len)
+    return FieldIndex(field, corpus, id_col, scalars)
 
 
 def vocabulary(index: FieldIndex) -> DataFrame:
@@ -134,4 +140,4 @@ def query_terms(queries: DataFrame, index: FieldIndex, qid: str = "qid", text: s
     Query term frequency is ignored (a repeated term counts once).
     """
     qt = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokens(text))).alias("term"))
-    return qt.join(index.terms.select("term", "df", "idf", "p"), "term").select("qid", "term", "df", "idf", "p")
+    return qt.join(index.terms.select("term", "df", "idf", "p", "avgd"), "term").select("qid", "term", "df", "idf", "p", "avgd")
