@@ -36,13 +36,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests,
-    laptops) fall back to a fresh local folder."""
+    """Use the cluster's ``spark.checkpoint.dir``.  When it is unset, a session
+    whose tasks run in this process (tests, laptops) gets a fresh local folder;
+    on a cluster, where executors could not see that folder, it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="rankaudit-ckpt-")
     sc.setCheckpointDir(configured)
