@@ -170,7 +170,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> FactorisationMachine |
 
 def score_quality(docs: DataFrame, model: FactorisationMachine | float, text_col: str = "text", meta_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` but the text, and ``score``."""
-    return scored(docs, text_col, partial(scorer, model, text_col, meta_col), [StructField("score", DoubleType())])
+    return scored(docs, text_col, partial(scorer, model, text_col, meta_col), [StructField("score", DoubleType())], uses=(meta_col,) if meta_col else ())
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

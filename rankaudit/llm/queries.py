@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankaudit.llm import exact_dedup, language, mixing, quality, toxicity
+from rankaudit.llm import bpe, exact_dedup, language, mixing, quality, topk, toxicity
 from rankaudit.llm.store import table
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -22,6 +26,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str = RANKS) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), rank_path, public_tokenizers.PATTERN)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -34,11 +46,14 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
     "op5_language_id": op5_language_id,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op8_exact_top_k": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 #: Characters and rows handed to a scorer at once (a longer text comes alone, whole).
@@ -28,20 +29,24 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo)
 
 
-def scored(rows: DataFrame, text_col: str, make_scorer: Callable[[], Scorer], fields: list[StructField]) -> DataFrame:
-    """``rows`` without ``text_col`` plus ``fields``.  ``make_scorer`` runs once per
-    task; its scorer maps the columns of a slice to lists, one per field."""
-    kept = [f for f in rows.schema.fields if f.name != text_col]
-    names, added = [f.name for f in kept], [f.name for f in fields]
+def scored(rows: DataFrame, text_col: str, make_scorer: Callable[[], Scorer], fields: list[StructField], keep: bool = False, uses: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` without ``text_col`` (unless ``keep``) plus ``fields``.  ``make_scorer`` runs once per
+    task; its scorer maps ``text_col`` and the columns in ``uses`` of a slice to lists, one per field.  Any of the
+    table's own columns with a field's name gives way to it."""
+    added = [f.name for f in fields]
+    kept = [f for f in rows.schema.fields if f.name not in added and (keep or f.name != text_col)]
+    rows = rows.select(*{**dict.fromkeys(f.name for f in kept), text_col: None})
+    names = [f.name for f in kept]
     schema = StructType(kept + fields)
+    types = {f.name: to_arrow_type(f.dataType) for f in fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
         for batch in batches:
             for part in slices(batch, text_col):
-                got = scorer({n: part.column(n).to_pylist() for n in part.schema.names})
+                got = scorer({n: part.column(n).to_pylist() for n in {text_col, *uses}})
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in names] + [pa.array(got[n]) for n in added], names=names + added
+                    [part.column(n) for n in names] + [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], types[n]) for n in added], names=names + added
                 )
 
     return rows.mapInArrow(run, schema)
