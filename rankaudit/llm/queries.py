@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankaudit.llm import bpe, exact_dedup, language, mixing, quality, topk, toxicity
+from rankaudit.llm import bpe, exact_dedup, language, mixing, quality, secrets, topk, toxicity
 from rankaudit.llm.store import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
@@ -54,6 +59,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_secret_scan": secrets.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
