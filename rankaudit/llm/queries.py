@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankaudit.llm import bpe, exact_dedup, language, mixing, quality, secrets, topk, toxicity
+from rankaudit.llm import bpe, exact_dedup, language, line_dedup, mixing, quality, secrets, topk, toxicity
 from rankaudit.llm.store import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str = RANKS) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), rank_path, public_tokenizers.PATTERN)
 
@@ -51,6 +55,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mixing": op9_mixing,
@@ -60,6 +65,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
