@@ -27,9 +27,11 @@ from __future__ import annotations
 import base64
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from rankaudit.llm.scoring import scored
 
-REMEMBER = 500_000
+REMEMBER = 250_000
 SHORT = 48
 #: Below it, letters and numbers have long been settled.
 LOWEST_EXCEPTION = "\u0500"
@@ -220,9 +222,7 @@ class PieceTable:
         self.ids = np.concatenate([self.ids, ids])
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
-        sizes = self.size[numbers]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return end_to_end(self.ids, self.start[numbers], self.size[numbers])
 
 
 def class_exceptions(name: str) -> str:
@@ -266,25 +266,45 @@ def encoder(rank_data: bytes, pattern: str, exceptions: tuple[str, str], text_co
         plain = text.isascii() or max(text) < LOWEST_EXCEPTION or not odd.search(text)
         return (usual if plain else exact).findall(text)
 
-    def encode(columns: dict[str, list]) -> dict[str, pa.Array]:
+    def encode(rows: pa.RecordBatch) -> dict[str, pa.Array]:
         nonlocal table
         if len(table.number) > REMEMBER:
             table = PieceTable()
         number, known = table.number, len(table.number)
-        docs = [np.fromiter(map(number.__getitem__, split(text or "")), np.int64) for text in columns[text_col]]
+        docs = [list(map(number.__getitem__, split(text or ""))) for text in rows.column(text_col).to_pylist()]
         table.add(*replay.encode([p.encode("utf-8") for p in list(number)[known:]]))
-        lists = [table.ids_of(d) for d in docs]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))}
+        numbers = np.fromiter(chain.from_iterable(docs), np.int64, sum(map(len, docs)))
+        upto = np.concatenate([[0], np.cumsum(table.size[numbers])])
+        offsets = upto[np.cumsum([0, *map(len, docs)])].astype(np.int32)
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ids_of(numbers)))}
 
     return encode
 
 
-def decoder(rank_data: bytes, ids_col: str):
-    tokens = {r: t for t, r in parse_ranks(rank_data).items()}
+def end_to_end(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``start``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(start - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def decode(columns: dict[str, list]) -> dict[str, list]:
-        return {"decoded": [b"".join(map(tokens.__getitem__, ids or ())) for ids in columns[ids_col]]}
+
+def decoder(rank_data: bytes, ids_col: str):
+    tokens = parse_ranks(rank_data)
+    sizes = np.zeros(max(tokens.values()) + 1, np.int64)
+    for token, rank in tokens.items():
+        sizes[rank] = len(token)
+    start = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(sorted(tokens, key=tokens.__getitem__)), np.uint8)
+
+    def decode(rows: pa.RecordBatch) -> dict[str, pa.Array]:
+        lists = rows.column(ids_col)
+        ids = lists.flatten().to_numpy()
+        if not (sizes[ids] > 0).all():
+            raise ValueError("an id beyond the vocabulary")
+        out = end_to_end(flat, start[ids], sizes[ids])
+        upto = np.concatenate([[0], np.cumsum(sizes[ids])])
+        rows_end = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        offsets = pa.array(upto[rows_end].astype(np.int32))
+        return {"decoded": pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(out)])}
 
     return decode
 

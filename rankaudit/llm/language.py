@@ -17,6 +17,7 @@ import re
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
@@ -61,11 +62,11 @@ def scorer(trained, text_col: str):
     model, langs, temperature, floor = trained
     index, memory = WordIndex(), []
 
-    def predict(columns: dict[str, list]) -> dict[str, list]:
+    def predict(rows: pa.RecordBatch) -> dict[str, list]:
         nonlocal index, memory
         if len(index.ids) > REMEMBER:
             index, memory = WordIndex(), []
-        texts = columns[text_col]
+        texts = rows.column(text_col).to_pylist()
         letters = np.array([model is not None and bool(LETTER.search(t or "")) for t in texts])
         if model is None:
             return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "rejected": [True] * len(texts)}

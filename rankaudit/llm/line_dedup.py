@@ -198,13 +198,15 @@ def _same_place() -> Column:
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; a column n_chars, if
     there is one, is the length of the new text."""
-    fate = line_decisions(docs, threshold).where(F.size("removed") > 0).select(F.col("doc_id").alias("f_id"), F.col("doc").alias("f_doc"), "removed")
-    out = docs.withColumn("_doc", _doc_hash())
-    out = out.join(fate, F.col("doc_id").eqNullSafe(F.col("f_id")) & F.col("_doc").eqNullSafe(F.col("f_doc")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda t, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else F.when(F.col("removed").isNull(), F.col(c)).otherwise(F.length(kept)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    fate = line_decisions(docs, threshold).where(F.size("removed") > 0)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), _doc_hash().alias("hash"))
+    out = rows.join(_small(fate), F.col("id").eqNullSafe(F.col("doc_id")) & F.col("hash").eqNullSafe(F.col("doc")), "left")
+    changed = F.col("removed").isNotNull()
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda t, i: ~F.array_contains("removed", i)), "\n")
+    new = {"text": kept}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(kept).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_digests(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -13,8 +13,8 @@ task, so a source holding most rows is summed by all tasks.
 Defined cases: a null text has size 0; null sources form one source, ordered
 last; a source of size 0 has target 0 and nothing taken; rows that repeat an id
 share its hash and are taken or left together; a null id hashes as the empty
-string; an empty table gives an empty result; extra columns are kept only if
-named in ``keep``.
+string; an empty table gives an empty result; extra columns are ignored
+by ``mix_sources`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -96,15 +96,16 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame, small: bool) -> DataFr
 
 def mix_sources(
     docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id",
-    text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
+    text_col: str = "text", source_col: str = "source", keep: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, copies, taken, and
-    the columns in ``keep``.  ``copies`` is how often the mix takes the document."""
+    with ``keep`` the whole row as struct ``row``.  ``copies`` is how often the mix
+    takes the document."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        hashed.alias("h"), *([F.struct(*keep).alias("kept_columns")] if keep else []),
+        hashed.alias("h"), *([F.struct(*docs.columns).alias("row")] if keep else []),
     )
     sized = written(base.select("doc_id", "source", "size", "h"), "mix-sizes")
     targets = written(source_targets(sized, weights, share, cap), "mix-targets")
@@ -116,10 +117,16 @@ def mix_sources(
     out = out.withColumn("n_copies", F.col("copies") + F.when(F.col("source_size") > 0, extra).otherwise(0))
     return out.select(
         "doc_id", "size", "source_size", "target", F.col("n_copies").alias("copies"),
-        (F.col("size") * F.col("n_copies")).alias("taken"), *(["kept_columns.*"] if keep else []),
+        (F.col("size") * F.col("n_copies")).alias("taken"), *(["row"] if keep else []),
     )
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    out = mix_sources(docs, keep=True, **how).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -22,6 +22,7 @@ import zlib
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
@@ -148,14 +149,14 @@ def train(texts: list[str], labels: list[int]) -> FactorisationMachine | float:
 def scorer(model: FactorisationMachine | float, text_col: str, meta_col: str | None):
     memo = TokenBuckets()
 
-    def score(columns: dict[str, list]) -> dict[str, list]:
-        texts = [t or "" for t in columns[text_col]]
+    def score(rows: pa.RecordBatch) -> dict[str, list]:
+        texts = [t or "" for t in rows.column(text_col).to_pylist()]
         if len(memo) > REMEMBER:
             memo.clear()
         if isinstance(model, float):
             p = np.full(len(texts), model)
         else:
-            meta = columns[meta_col] if meta_col else [None] * len(texts)
+            meta = rows.column(meta_col).to_pylist() if meta_col else [None] * len(texts)
             margin = model.slope * model.margin(*features(texts, meta, memo), len(texts)) + model.offset
             p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
         return {"score": [float(v) if t.strip() else 0.0 for v, t in zip(p, texts, strict=True)]}
@@ -170,7 +171,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> FactorisationMachine |
 
 def score_quality(docs: DataFrame, model: FactorisationMachine | float, text_col: str = "text", meta_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` but the text, and ``score``."""
-    return scored(docs, text_col, partial(scorer, model, text_col, meta_col), [StructField("score", DoubleType())], uses=(meta_col,) if meta_col else ())
+    return scored(docs, text_col, partial(scorer, model, text_col, meta_col), [StructField("score", DoubleType())])
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

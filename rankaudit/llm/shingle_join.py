@@ -132,8 +132,8 @@ def _per_set(text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cid, sketch, spare_own, spare_next, short) per row of ``docs`` (doc_id, text).
-    cid names the set; spare_*: units that may be left out; short: whether they are too few."""
+    """(doc_id, text_hash, n, cid, sketch, spare_own, spare_next, short) per row of ``docs``
+    (doc_id, text).  cid names the set; spare_*: units that may be left out; short: whether they are too few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _per_set("text", batches):
@@ -151,12 +151,13 @@ def document_sets(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                names=["doc_id", "n", "cid", "sketch", "spare_own", "spare_next", "short"],
+                [part.column("doc_id"), part.column("text_hash"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+                names=["doc_id", "text_hash", "n", "cid", "sketch", "spare_own", "spare_next", "short"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, cid long, sketch array<long>, spare_own int, spare_next int, short boolean")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, n long, cid long, sketch array<long>, spare_own int, spare_next int, short boolean")
 
 
 ENTRY = np.dtype([("key", np.uint32), ("cid", np.int64), ("n", np.uint32), ("unit", np.uint32)])
@@ -398,7 +399,7 @@ def set_links(docs: DataFrame, classes: DataFrame, total: int, singles: bool, sh
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
+    """One row per input row: doc_id, text_hash, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(document_sets(docs), "document-sets")
     some = sets.where("n > 0")
@@ -416,5 +417,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     home = classes.select("cid", "rep").join(of_set, F.col("cid") == F.col("id"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = home.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = home.join(least, "c").select("cid", "component_id")
-    out = sets.select("doc_id", "n", "cid").join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.select("doc_id", "text_hash", "n", "cid").join(named, "cid", "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, one row of each, and all
+    rows whose set is empty."""
+    found = written(jaccard_components(docs), "document-components")
+    kept = found.where((F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.col("doc_id")))
+    kept = kept.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    out = rows.join(_small(kept), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    repeated = (F.col("n") > 0) & (F.col("rows") > 1)
+    if not kept.where(repeated).isEmpty():
+        out = out.where(~repeated).select("row", "id").union(out.where(repeated).dropDuplicates(["id"]).select("row", "id"))
+    return out.select("row.*")

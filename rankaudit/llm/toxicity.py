@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
@@ -49,11 +50,11 @@ def train(texts: list[str], labels: list[int], window: int = 8) -> SubwordSoftma
 def scorer(model: SubwordSoftmax | float, text_col: str):
     index, memory = WordIndex(), []
 
-    def score(columns: dict[str, list]) -> dict[str, list]:
+    def score(rows: pa.RecordBatch) -> dict[str, list]:
         nonlocal index, memory
         if len(index.ids) > REMEMBER:
             index, memory = WordIndex(), []
-        texts = columns[text_col]
+        texts = rows.column(text_col).to_pylist()
         if isinstance(model, float):
             counts = np.array([len(index.number(t)) for t in texts])
             p = np.full(len(texts), model)
@@ -71,9 +72,17 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> SubwordSoftmax | float
     return train(*labelled_sample(docs, labels, "toxic", in_fold("doc_id", 3, 1), MAX_ROWS, MAX_CHARS))
 
 
-def score_toxicity(docs: DataFrame, model: SubwordSoftmax | float, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, and ``score``."""
-    return scored(docs, text_col, partial(scorer, model, text_col), [StructField("score", DoubleType())])
+def score_toxicity(docs: DataFrame, model: SubwordSoftmax | float, text_col: str = "text", keep: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text (unless ``keep``), and ``score``."""
+    return scored(docs, text_col, partial(scorer, model, text_col), [StructField("score", DoubleType())], keep)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("others"), "text")
+    out = score_toxicity(rows, toxicity_model(docs, labels), keep=True).where(F.col("score") < threshold)
+    return out.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
