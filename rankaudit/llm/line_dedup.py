@@ -5,7 +5,7 @@ earlier line, by document id and place, has a word set of Jaccard similarity
 ``threshold`` or more; the earlier line need not itself stay, so the result does
 not depend on any order of evaluation.
 
-Words are 63-bit hashes ordered by rarity.  Rarity is the number of words in one
+Words are 63-bit codes ordered by rarity.  Rarity is the number of words in one
 of 2**BUCKET_BITS hash buckets, counted over the whole table, in quarters of a
 power of two; that table of one level per bucket is the only thing the driver
 gathers, and its size is fixed.  Equal sets are collapsed to their first line.
@@ -37,14 +37,15 @@ from rankaudit.llm.store import written
 BUCKET_BITS = 18
 HOT = 4_096
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
-SMALL = 200_000
-LOW = 47  # hash bits under the rarity level
+SMALL = 500_000
+HASH_BITS = 56  # under the 7 bits of the rarity level
 BLANKS = r"[\x09\x0B-\x0D]"
 
 
 def _words(line: Column) -> Column:
+    """Hashes of the distinct words of ``line``."""
     plain = F.when(line.rlike(BLANKS), F.regexp_replace(line, BLANKS, " ")).otherwise(line)
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_distinct(F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def _bucket(h: Column) -> Column:
@@ -52,24 +53,22 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity_levels(docs: DataFrame) -> Column:
-    """Literal array: the level of every word bucket, 0 (rarest) to 127."""
-    words = docs.select(F.explode(F.split("text", r"[ \n]")).alias("w"))
+    """Literal array: the level of every word bucket, 0 (rarest) to 127, above ``HASH_BITS``."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("t"))
+    words = lines.select(F.explode(F.split("t", " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()
     levels = ["0"] * (1 << BUCKET_BITS)
     for b, n in counts:
-        levels[b] = str(min(127, int(4 * math.log2(n))))
-    return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>")
-
-
-def _code(h: Column, levels: Column) -> Column:
-    """Hash as a number that sorts by rarity: level above, the low hash bits below."""
-    level = F.element_at(levels, _bucket(h) + 1).cast("long")
-    return F.shiftleft(level, LOW + 9).bitwiseOR(h.bitwiseAND((1 << (LOW + 9)) - 1))
+        levels[b] = str(min(127, int(4 * math.log2(n))) << HASH_BITS)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
 def word_set(line: Column, levels: Column) -> Column:
-    """Sorted codes of the distinct words of ``line``."""
-    return F.sort_array(F.transform(F.array_distinct(_words(line)), lambda w: _code(F.xxhash64(w), levels)))
+    """Sorted codes of the distinct words of ``line``: rarity level above, hash bits below."""
+    def code(h: Column) -> Column:
+        return F.get(levels, _bucket(h)).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+
+    return F.sort_array(F.transform(_words(line), code))
 
 
 def _doc_hash() -> Column:
@@ -77,13 +76,20 @@ def _doc_hash() -> Column:
 
 
 def line_table(docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """(doc_id, doc, line, n, sid, parity, prefix), one row per line."""
+    """(doc_id, doc, line, n, sid, parity, prefix), one row per line.  A prefix word is
+    31 bits of its hash, made negative if its bucket is hot."""
+    hot_code = int(4 * math.log2(HOT)) << HASH_BITS
+
+    def prefix_word(code: Column) -> Column:
+        bits = code.bitwiseAND(0x7FFFFFFF).cast("int")
+        return F.when(code >= hot_code, -1 - bits).otherwise(bits)
+
     lines = docs.select("doc_id", _doc_hash().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
     sets = lines.select("doc_id", "doc", "line", F.transform(F.array(word_set(F.col("t"), levels)), lambda s: F.struct(
         F.size(s).alias("n"),
         F.xxhash64(s).alias("sid"),
         F.aggregate(s, F.lit(0).cast("long"), lambda p, c: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int")))).alias("parity"),
-        F.slice(s, 1, F.size(s) - F.ceil(F.size(s) * threshold - 1e-9).cast("int") + 1).alias("prefix"),
+        F.transform(F.slice(s, 1, F.size(s) - F.ceil(F.size(s) * threshold - 1e-9).cast("int") + 1), prefix_word).alias("prefix"),
     ))[0].alias("s"))
     return sets.select("doc_id", "doc", "line", "s.*")
 
@@ -99,7 +105,7 @@ def _may_match(threshold: float) -> Column:
     left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
     apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
     return (
-        (F.col("a_n") >= F.col("b_n") * threshold - 1e-9) & (F.col("a_i") < index_prefix)
+        (F.col("a_n") >= F.col("b_n") * threshold - 1e-9) & (F.col("a_i") + F.least("b_i", F.lit(0)) < index_prefix)
         & (left >= _need(threshold)) & (apart <= F.col("a_n") + F.col("b_n") - 2 * _need(threshold))
     )
 
@@ -119,19 +125,28 @@ def _small(rows: DataFrame, bound: int = SMALL) -> DataFrame:
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """The pairs (x, y) of set ids whose full sets are similar."""
+    """Of the pairs (x, y) of set ids whose full sets are similar, the id of the set that came first later."""
     pairs = written(pairs.distinct(), "line-pairs")
-    wanted = firsts.join(_small(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()), "sid")
-    places = written(wanted.select("sid", "first.doc_id", "first.doc", "first.line"), "line-places")
+    sids = _small(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct())
+    places = firsts.select("sid", "doc_id", "doc", "line").join(sids, "sid")
+    held = written(places.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line", "sid")).alias("asked")), "line-places")
     d = docs.select(F.col("doc_id").alias("d_id"), F.col("text"), _doc_hash().alias("d"))
-    held = places.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line", "sid")).alias("asked"))
     texts = d.join(_small(held), F.col("d_id").eqNullSafe(F.col("doc_id")) & F.col("d").eqNullSafe(F.col("doc")))
-    line = F.element_at(F.split("text", "\n"), F.col("a.line") + 1)
-    sets = texts.dropDuplicates(["d_id", "d"]).select("text", F.explode("asked").alias("a")).select(F.col("a.sid").alias("sid"), word_set(line, levels).alias("s"))
-    sets = written(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    return written(both.where(shared >= threshold * (F.size("sx") + F.size("sy") - shared) - 1e-9).select("x", "y"), "line-links")
+    asked = texts.select("doc_id", "doc", F.split("text", "\n").alias("t"), F.explode("asked").alias("a"))
+    sets = asked.select(F.col("a.sid").alias("sid"), F.struct("doc_id", "doc", F.col("a.line")).alias("at"), word_set(F.get("t", F.col("a.line")), levels).alias("s"))
+    sets = written(sets.dropDuplicates(["sid"]), "line-sets")  # rows may repeat a document
+    x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns]) for side in "xy")
+    both = pairs.join(x, F.col("x") == F.col("x_sid")).join(y, F.col("y") == F.col("y_sid"))
+    shared = F.size(F.array_intersect("x_s", "y_s"))
+    similar = both.where(shared >= threshold * (F.size("x_s") + F.size("y_s") - shared) - 1e-9)
+    return written(similar.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct(), "line-later")
+
+
+def _pairs(one: DataFrame, two: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of sets that meet under a word and pass the filters; x from ``one`` is the smaller."""
+    # part of the join, not of one side: both sides then read the same shuffled rows
+    met = _as("a", one).join(_as("b", two), "word").where(_ordered() & _may_match(threshold))
+    return met.select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y"))
 
 
 def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -141,49 +156,29 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels = rarity_levels(docs)
     lines = written(line_table(docs, levels, threshold), "lines")
-    firsts = written(
-        lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "prefix")).alias("first")), "line-firsts"
-    )
-    hot_level = int(4 * math.log2(HOT))
-    rows = firsts.select("sid", F.col("first.n").alias("n"), F.col("first.parity").alias("parity"), F.posexplode("first.prefix").alias("i", "code"))
-    is_hot = F.shiftright("code", LOW + 9) >= hot_level
-    cold = rows.where(~is_hot).select(F.col("code").bitwiseAND(0x7FFFFFFF).cast("int").alias("word"), "sid", "n", "i", "parity")
-    pairs = _as("a", cold).join(_as("b", cold), "word").where(_ordered() & _may_match(threshold))
-    links = verified(pairs.select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")), firsts, docs, levels, threshold)
-    place = firsts.select("sid", F.struct("first.doc_id", "first.doc", "first.line").alias("at"))
-
-    def later(found: DataFrame) -> DataFrame:
-        """Set ids with a link to a set that came first earlier."""
-        ends = _small(found.select(F.explode(F.array("x", "y")).alias("sid")).distinct())
-        at = written(place.join(ends, "sid"), "line-order")
-        x, y = (at.select(F.col("sid").alias(c), F.col("at").alias(f"{c}_at")) for c in "xy")
-        ordered = found.join(x, "x").join(y, "y")
-        return ordered.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
-
-    gone = written(later(links), "line-gone")
-    hot = written(
-        rows.where(is_hot).select(F.col("code").alias("word"), "sid", "n", "i", "parity").join(_small(gone), "sid", "left_anti").join(place, "sid"), "line-hot"
-    )
-    # the earliest line under a frequent word, against each other line under it
+    first = lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "prefix")).alias("f"))
+    firsts = written(first.select("sid", "f.*"), "line-firsts")
+    rows = firsts.select("sid", "n", "parity", "doc_id", "doc", "line", F.posexplode("prefix").alias("i", "word"))
+    cold, hot = rows.where("word >= 0"), rows.where("word < 0")
+    pairs = _pairs(cold, cold, threshold)
+    # under a frequent word at first only the earliest line against each other line
+    hot = written(hot.select("word", "sid", "n", "i", "parity", F.struct("doc_id", "doc", "line").alias("at")), "line-hot")
     earliest = hot.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "i", "parity")).alias("e"))
-    met = hot.where("n > 0").join(earliest, "word").where("sid <> e.sid")
+    met = hot.join(earliest, "word").where("sid <> e.sid")
     swap = (F.col("e.n") < F.col("n")) | ((F.col("e.n") == F.col("n")) & (F.col("e.sid") < F.col("sid")))
-    sides = [F.when(swap, F.col(f"e.{c}")).otherwise(F.col(c)).alias(f"a_{c}") for c in ("sid", "n", "i", "parity")]
-    sides += [F.when(swap, F.col(c)).otherwise(F.col(f"e.{c}")).alias(f"b_{c}") for c in ("sid", "n", "i", "parity")]
-    pivots = met.select(*sides).where(_may_match(threshold)).select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y"))
-    gone = written(gone.union(later(verified(pivots, firsts, docs, levels, threshold))).distinct(), "line-gone")
-    # what is left, against every line under the word
-    open_rows = written(hot.join(_small(gone), "sid", "left_anti"), "line-open")
-    all_hot = rows.where(is_hot).select(F.col("code").alias("word"), "sid", "n", "i", "parity")
-    one = _as("a", all_hot).join(_as("b", open_rows), "word").where(_ordered() & _may_match(threshold))
-    two = _as("a", open_rows).join(_as("b", all_hot), "word").where(_ordered() & _may_match(threshold))
-    rest = one.unionByName(two).select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y"))
-    gone = written(gone.union(later(verified(rest, firsts, docs, levels, threshold))).distinct(), "line-gone")
-
-    fate = place.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
+    fields = ("sid", "n", "i", "parity")
+    sides = [F.when(swap, F.col(f"e.{c}")).otherwise(F.col(c)).alias(f"a_{c}") for c in fields]
+    sides += [F.when(swap, F.col(c)).otherwise(F.col(f"e.{c}")).alias(f"b_{c}") for c in fields]
+    pairs = pairs.union(met.select(*sides).where(_may_match(threshold)).select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")))
+    gone = verified(pairs, firsts, docs, levels, threshold)
+    # lines that are still there against every line under the word
+    left = written(hot.join(_small(gone), "sid", "left_anti"), "line-left")
+    rest = _pairs(hot, left, threshold).union(_pairs(left, hot, threshold))
+    gone = gone.union(verified(rest, firsts, docs, levels, threshold)).distinct()
+
+    fate = firsts.select("sid", F.struct("doc_id", "doc", "line").alias("at")).join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     told = lines.select("doc_id", "doc", "line", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(fate, "sid", "left")
-    first = F.col("at") == F.struct("doc_id", "doc", "line")
-    dropped = F.col("at").isNotNull() & (F.coalesce("gone", F.lit(False)) | ~F.coalesce(first, _same_place()))
+    dropped = F.col("at").isNotNull() & (F.coalesce("gone", F.lit(False)) | ~_same_place())
     return told.groupBy("doc_id", "doc").agg(
         F.countDistinct("line").alias("n_lines"),
         F.sort_array(F.collect_set(F.when(dropped, F.col("line")))).alias("removed"),
