@@ -48,8 +48,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from rankaudit.llm.components import components
 from rankaudit.llm.scoring import slices
@@ -59,12 +62,12 @@ from rankaudit.llm.store import written
 SMALLEST = 64
 WIDE = 16
 SKETCH = 1024
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Entries a task gathers before it packs them, and that a bucket should hold on average.
 GATHER = 1_000_000
 BUCKET = 1_500_000
 #: Narrow tables up to so many rows are broadcast; above it the join is shuffled.
-SMALL = 1_000_000
+SMALL = 500_000
 SINGLE = 0  # the scheme of single shingles
 
 
@@ -131,141 +134,186 @@ def _per_set(text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
             yield part, shingle_sets(part.column(text_col).to_pylist())
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, cid, sketch, spare_own, spare_next, short) per row of ``docs``
-    (doc_id, text).  cid names the set; spare_*: units that may be left out; short: whether they are too few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _per_set("text", batches):
-            rows = []
-            for h in sets:
-                n, own, nxt = len(h), 0, 0
-                if n > 2:
-                    _, segment, deletion = unit_keys(h, band(n))
-                    own = units(segment, deletion) - needed(n, band(n))
-                    scheme = probe_next(n)
-                    if scheme is not None:
-                        _, segment, deletion = unit_keys(h, scheme)
-                        nxt = units(segment, deletion) - needed(n, scheme)
-                rows.append((n, set_key(h), sketch(h), max(own, 0), max(nxt, 0), own < 0 or nxt < 0))
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                names=["doc_id", "text_hash", "n", "cid", "sketch", "spare_own", "spare_next", "short"],
-            )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, n long, cid long, sketch array<long>, spare_own int, spare_next int, short boolean")
-
-
-ENTRY = np.dtype([("key", np.uint32), ("cid", np.int64), ("n", np.uint32), ("unit", np.uint32)])
-# unit: scheme (5 bits), next band (1), deletion (1), segment (25)
+#: What a set's document row carries: see ``indexed``.
+ABOUT = "text_hash long, n long, cid long, sketch array<long>, spare_own int, spare_next int, short boolean"
+ABOUT_NAMES = [c.split()[0] for c in ABOUT.split(", ")]
+#: Documents a task packs at once (numbered by 16 bits).
+PACK_DOCS = 60_000
 
 
-def _entries(h: np.ndarray, cid: int, singles: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit keys, entries) of a set."""
+def _units_of(h: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(keys, units, spare_own, spare_next) of a set.  A unit is scheme (5 bits), next
+    band (1), deletion (1) and segment (25); a spare count below 0 means too few."""
     n = len(h)
-    schemes = [SINGLE] if singles else [band(n)] + ([probe_next(n)] if probe_next(n) is not None else [])
-    keys, parts = [], []
-    for k, scheme in enumerate(schemes):
+    if n <= 2:  # such a set is only linked with its equals
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), 0, 0
+    nxt = None if singles else probe_next(n)
+    keys, tags, spare = [], [], [0, 0]
+    for k, scheme in enumerate([SINGLE if singles else band(n)] + ([] if nxt is None else [nxt])):
         key, segment, deletion = unit_keys(h, scheme)
-        e = np.zeros(len(key), ENTRY)
-        e["key"], e["cid"], e["n"] = key >> np.uint64(32), cid, n
-        e["unit"] = (scheme << 27) | (k << 26) | (deletion.astype(np.int64) << 25) | segment
         keys.append(key)
-        parts.append(e)
-    return np.concatenate(keys), np.concatenate(parts)
+        tags.append(((scheme << 27) | (k << 26) | (deletion.astype(np.int64) << 25) | segment).astype(np.uint32))
+        spare[k] = units(segment, deletion) - needed(n, scheme)
+    return np.concatenate(keys), np.concatenate(tags), *spare
+
+
+class Packer:
+    """Index entries of many sets, packed by hash bucket: sorted 32-bit keys, the
+    number of each entry's set in the pack, its unit; and the names of the sets."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.start()
+
+    def start(self) -> None:
+        self.number: dict[int, int] = {}
+        self.keys, self.units, self.sizes, self.held = [], [], [], 0
+
+    def add(self, cid: int, keys: np.ndarray, tags: np.ndarray) -> None:
+        if cid not in self.number and len(keys):
+            self.number[cid] = len(self.number)
+            self.keys.append(keys)
+            self.units.append(tags)
+            self.sizes.append(len(keys))
+            self.held += len(keys)
+
+    def full(self) -> bool:
+        return self.held >= GATHER or len(self.number) >= PACK_DOCS
+
+    def packs(self) -> tuple[list[int], list[bytes]]:
+        if not self.held:
+            return [], []
+        key, unit = np.concatenate(self.keys), np.concatenate(self.units)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes).astype(np.uint16)
+        names = np.fromiter(self.number, np.int64, len(self.number))
+        bucket = key % np.uint64(self.buckets)
+        key = (key >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((key, bucket)) if self.buckets > 1 else np.argsort(key)
+        bucket, key, unit, owner = bucket[order], key[order], unit[order], owner[order]
+        lo = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+        out = []
+        for a, b in zip(lo, np.append(lo[1:], len(key)), strict=True):
+            used, at = np.unique(owner[a:b], return_inverse=True)
+            out.append(np.int64(b - a).tobytes() + key[a:b].tobytes() + unit[a:b].tobytes() + at.astype(np.uint16).tobytes() + names[used].tobytes())
+        found = bucket[lo].astype(np.int64).tolist()
+        self.start()
+        return found, out
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, units, cids) of a pack."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    key = np.frombuffer(data, np.uint32, n, 8)
+    unit = np.frombuffer(data, np.uint32, n, 8 + 4 * n)
+    at = np.frombuffer(data, np.uint16, n, 8 + 8 * n)
+    return key, unit, np.frombuffer(data[8 + 10 * n :], np.int64)[at]
+
+
+def indexed(docs: DataFrame, buckets: int, singles: bool = False) -> DataFrame:
+    """Two kinds of rows: (bucket, entries) packs, and with a negative bucket one row
+    per document: doc_id, text_hash, n, cid (the set's name), sketch, spare_* (units
+    that may be left out) and short (whether they are too few)."""
+    kind = docs.schema["doc_id"].dataType
+    names = ["bucket", "entries", "doc_id", *ABOUT_NAMES]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    types = [to_arrow_type(t.dataType) for t in StructType.fromDDL(ABOUT).fields]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
 
-def packed_index(docs: DataFrame, buckets: int, singles: bool) -> DataFrame:
-    """(bucket, entries): index entries of all sets, packed by hash bucket; a set
-    that a task meets again is packed once."""
+        def packs(id_type: pa.DataType) -> pa.RecordBatch:
+            found, data = packer.packs()
+            empty = [pa.nulls(len(found), t) for t in (id_type, *types)]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary()), *empty], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, parts, seen, held = [], [], set(), 0
-
-        def flush() -> pa.RecordBatch:
-            key, entry = np.concatenate(keys), np.concatenate(parts)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, entry = bucket[order], entry[order]
-            start = np.flatnonzero(np.diff(bucket, prepend=-1))
-            packed = [entry[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(entry)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(packed, pa.binary())], names=["bucket", "entries"])
-
-        for _, sets in _per_set("text", batches):
+        id_type = to_arrow_type(kind)
+        for part, sets in _per_set("text", batches):
+            about = []
             for h in sets:
-                if len(h) <= 2:
-                    continue
+                keys, tags, own, nxt = _units_of(h, singles)
                 cid = set_key(h)
-                if cid in seen:
-                    continue
-                seen.add(cid)
-                k, e = _entries(h, cid, singles)
-                keys.append(k)
-                parts.append(e)
-                held += len(k)
-                if held >= GATHER:
-                    yield flush()
-                    keys, parts, seen, held = [], [], set(), 0
-        if keys:
-            yield flush()
-
-    return docs.select("text").mapInArrow(run, "bucket long, entries binary")
-
-
-def _met(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``entry`` by key and cid without repeats; first row of every row's key; whether its key met several sets."""
-    entry = entry[np.lexsort((entry["unit"], entry["cid"], entry["key"]))]
-    if len(entry) > 1:
-        entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])]
-    new = np.concatenate([[True], entry["key"][1:] != entry["key"][:-1]]) if len(entry) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)[group] if len(entry) else group
-    other = entry["cid"] != entry["cid"][first]
-    exact = (entry["unit"] >> 25) & 1 == 0
-    met = (np.bincount(group, other) > 0) & (np.bincount(group, exact) > 0)
-    return entry, first, met[group]
-
-
-def met_units(packed: DataFrame, buckets: int, limit: int) -> DataFrame:
-    """(key, cid, n, scheme, next, deletion, segment, pivot): the entries whose key
-    several sets share; pivot: the smallest cid under the key.  A bucket beyond
-    ``limit`` entries writes out the shared keys met so far and keeps one set of each."""
-    names = ["key", "cid", "n", "scheme", "next", "deletion", "segment", "pivot"]
-
-    def rows(bucket: int, entry: np.ndarray, first: np.ndarray, take: np.ndarray) -> pa.RecordBatch:
-        e, unit = entry[take], entry["unit"][take].astype(np.int64)
-        columns = [
-            (np.int64(bucket) << 32) | e["key"].astype(np.int64), e["cid"], e["n"].astype(np.int64), unit >> 27, (unit >> 26) & 1 == 1,
-            (unit >> 25) & 1 == 1, unit & 0x1FFFFFF, entry["cid"][first][take],
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+                packer.add(cid, keys, tags)
+                about.append((len(h), cid, sketch(h), max(own, 0), max(nxt, 0), own < 0 or nxt < 0))
+            columns = [part.column("text_hash"), *[pa.array(c, t) for c, t in zip(zip(*about, strict=True), types[1:], strict=True)]]
+            where = pa.array(-1 - np.arange(len(sets)) % 64)
+            yield pa.RecordBatch.from_arrays([where, pa.nulls(len(sets), pa.binary()), part.column("doc_id").cast(id_type), *columns], names=names)
+            if packer.full():
+                yield packs(id_type)
+        yield packs(id_type)
+
+    return rows.mapInArrow(run, f"bucket long, entries binary, doc_id {kind.simpleString()}, {ABOUT}")
+
+
+def _met(key: np.ndarray, unit: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(met, (key, unit, cid, pivot) of the entries under keys that several sets share,
+    pivot the smallest cid there); met marks those entries."""
+    order = np.argsort(key)
+    same = np.diff(key[order]) == 0
+    double = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    met = np.zeros(len(key), bool)
+    at = order[double]
+    at = at[np.lexsort((unit[at], cid[at], key[at]))]
+    k, u, c = key[at], unit[at], cid[at]
+    if not len(at):
+        return met, (k, u, c, c)
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    pivot = c[first][group]
+    several = (np.bincount(group, c != pivot) > 0) & (np.bincount(group, (u >> 25) & 1 == 0) > 0)
+    keep = several[group]
+    met[at[keep]] = True
+    keep &= np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (u[1:] != u[:-1])])  # a set met again
+    return met, (k[keep], u[keep], c[keep], pivot[keep])
+
+
+def met_units(packed: DataFrame, limit: int) -> DataFrame:
+    """The document rows of ``packed`` as they are (key null), and (key, cid, unit, pivot)
+    of the entries whose key several sets share; pivot: the smallest cid under the
+    key.  A bucket beyond ``limit`` entries writes out the shared keys met so far and
+    keeps only one set of each, so that a key common to very many sets takes no memory."""
+    id_type = packed.schema["doc_id"].dataType
+    names = ["key", "unit", "pivot", "doc_id", *ABOUT_NAMES]
+    types = [to_arrow_type(id_type), *[to_arrow_type(t.dataType) for t in StructType.fromDDL(ABOUT).fields]]
+
+    def rows(bucket: int, key: np.ndarray, unit: np.ndarray, cid: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
+        columns = {"key": (np.int64(bucket) << 32) | key.astype(np.int64), "unit": unit.astype(np.int64), "pivot": pivot, "cid": cid}
+        rest = dict(zip(names[3:], types, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(len(key), rest[c]) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
+
+        def closed() -> tuple[np.ndarray, pa.RecordBatch, list[np.ndarray]]:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            met, found = _met(*whole)
+            return met, rows(now, *found), whole
+
         for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            about = batch.filter(pc.less(batch.column("bucket"), 0))
+            blank = [pa.nulls(about.num_rows, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*blank, *[about.column(c) for c in names[3:]]], names=names)
+            packs = batch.filter(pc.greater_equal(batch.column("bucket"), 0))
+            for bucket, data in zip(packs.column("bucket").to_pylist(), packs.column("entries").to_pylist(), strict=True):
                 if bucket != now and held:
-                    entry, first, met = _met(np.concatenate(held))
-                    yield rows(now, entry, first, met)
+                    yield closed()[1]
                     held, size = [], 0
                 now = bucket
-                held.append(np.frombuffer(data, ENTRY))
-                size += len(held[-1])
+                held.append(unpacked(data))
+                size += len(held[-1][0])
                 if size > limit:
-                    entry, first, met = _met(np.concatenate(held))
-                    yield rows(now, entry, first, met)
-                    held = [entry[~met | (first == np.arange(len(entry)))]]
-                    size = len(held[0])
+                    met, found, (key, unit, cid) = closed()
+                    yield found
+                    first = np.zeros(len(key), bool)
+                    at = np.flatnonzero(met)
+                    at = at[np.lexsort(((unit[at] >> 25) & 1, cid[at], key[at]))]
+                    first[at[np.concatenate([[True], key[at][1:] != key[at][:-1]])] if len(at) else at] = True
+                    stay = ~met | first
+                    held, size = [(key[stay], unit[stay], cid[stay])], int(stay.sum())
         if held:
-            entry, first, met = _met(np.concatenate(held))
-            yield rows(now, entry, first, met)
+            yield closed()[1]
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "key long, cid long, n long, scheme long, next boolean, deletion boolean, segment long, pivot long")
+    return dealt.mapInArrow(run, f"key long, unit long, pivot long, doc_id {id_type.simpleString()}, {ABOUT}")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -275,16 +323,18 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of cids whose sets are linked."""
-    side = classes.select("cid", "n", "sketch", "rep")
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    side = written(classes.select("cid", "n", "sketch", "rep").join(_small(ends), "cid"), "pair-classes")
     sides = {s: side.select(*[F.col(c).alias(f"{s}_{c}") for c in side.columns]) for s in "ab"}
     two = pairs.join(sides["a"], F.col("a") == F.col("a_cid")).join(sides["b"], F.col("b") == F.col("b_cid"))
     bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda t, x: t + x)
     both = F.col("a_n") + F.col("b_n")
     near = two.where((F.least("a_n", "b_n") * 4 >= F.greatest("a_n", "b_n") * 3)).where(apart * 7 <= both)
-    near = written(near.select("a", "b", "a_n", "b_n", "a_rep", "b_rep"), "near-pairs")
-    reps = near.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("a_rep").alias("rep")), F.struct(F.col("b").alias("cid"), F.col("b_rep").alias("rep")))).alias("r"))
-    reps = _small(reps.select("r.cid", "r.rep").distinct())
+    near = written(near.select("a", "b", "a_n", "b_n"), "near-pairs")
+    reps = side.select("cid", "rep").join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
+    reps = _small(written(reps, "pair-texts"))
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +345,9 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 [pa.array([cid[i] for i in keep], pa.int64()), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["cid", "s"]
             )
 
-    full = written(texts.mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "full-sets")
+    full = written(texts.mapInArrow(sets, "cid long, s array<long>"), "full-sets")
+    if full.count() > reps.count():
+        full = full.dropDuplicates(["cid"])
     checked = near.join(full.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b").join(full.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return written(checked.where(100 * shared >= 75 * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b"), "set-links")
@@ -323,22 +375,32 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """``met`` with comp, without the keys all of whose sets are in one component."""
-    rows = met.drop("comp").join(_small(labels), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    rows = written(rows, "met-units")
-    open_keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return written(rows.join(open_keys.select("key"), "key", "left_semi"), "met-units")
+    labels = _small(labels)
+    rows = met.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    lead = labels.select(F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    loose = rows.join(lead, "pivot", "left").where(F.col("comp") != F.coalesce("pivot_comp", "pivot"))
+    open_keys = written(loose.select("key").distinct(), "open-keys")
+    return written(rows.join(_small(open_keys), "key"), "met-units")
 
 
-def _stars(met: DataFrame, candidates: DataFrame) -> DataFrame:
+def _stars(candidates: DataFrame) -> DataFrame:
     """One pair (a, b) per set: the pivot it met under most keys."""
     tally = candidates.groupBy("cid", "pivot").count()
     best = tally.groupBy("cid").agg(F.max(F.struct("count", (-F.col("pivot")).alias("lowest"), "pivot")).alias("p"))
     return best.select(F.col("cid").alias("a"), F.col("p.pivot").alias("b"))
 
 
-def allocated(met: DataFrame, spare: DataFrame) -> DataFrame:
+def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
     """Candidate pairs (a, b): a set and those of larger size and other components
     that it meets under the units it does not leave out."""
+    spare = written(classes.join(_small(met.select("cid").distinct()), "cid").select("cid", "n", "spare_own", "spare_next"), "spare")
+    if singles:
+        spare = spare.withColumn("spare_own", (F.col("n") - F.floor(F.col("n") / 7) - 1).cast("int"))
+    unit = F.col("unit")
+    met = written(met.join(spare.select("cid", "n"), "cid").select(
+        "key", "cid", "comp", "n", F.shiftright(unit, 27).alias("scheme"), (unit.bitwiseAND(1 << 26) != 0).alias("next"),
+        (unit.bitwiseAND(1 << 25) != 0).alias("deletion"), unit.bitwiseAND((1 << 25) - 1).alias("segment"),
+    ), "open-units")
     # what stands under a key, split by whether it is indexed there and by kind
     count = met.where(~F.col("next")).groupBy("key", "deletion", "comp").count()
     total = count.groupBy("key", "deletion").agg(F.sum("count").alias("all"))
@@ -358,11 +420,11 @@ def allocated(met: DataFrame, spare: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("deletion"), F.col("exact")).otherwise(F.col("near"))).alias("two"),
     )
     wide = (F.col("scheme") != SINGLE) & (F.col("segment") % WIDE == 0)
-    unit = F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.when(wide, F.least("one", "two")).otherwise(F.col("one")).alias("cost")),
+    either = F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.when(wide, F.least("one", "two")).otherwise(F.col("one")).alias("cost")),
                              F.struct(F.lit(2).alias("unit"), F.when(wide, F.col("two")).otherwise(0).alias("cost"))))
-    choices = per_segment.select("cid", "scheme", "next", "segment", unit.alias("u")).select("cid", "scheme", "next", "segment", "u.*").where("cost > 0 OR unit = 1")
+    choices = per_segment.select("cid", "scheme", "next", "segment", either.alias("u")).select("cid", "scheme", "next", "segment", "u.*").where("cost > 0 OR unit = 1")
     ranked = choices.groupBy("cid", "scheme", "next").agg(F.sort_array(F.collect_list(F.struct("cost", "unit", "segment")), False).alias("l"))
-    ranked = ranked.join(spare, "cid")
+    ranked = ranked.join(spare.drop("n"), "cid")
     kept = F.slice("l", F.when(F.col("next"), F.col("spare_next")).otherwise(F.col("spare_own")) + 1, F.size("l"))
     used = ranked.select("cid", "scheme", "next", F.explode(F.filter(kept, lambda u: u["cost"] > 0)).alias("u"))
     used = used.select("cid", "scheme", "next", "u.segment", "u.unit").groupBy("cid", "scheme", "next", "segment").agg(F.max("unit").alias("most"))
@@ -374,45 +436,39 @@ def allocated(met: DataFrame, spare: DataFrame) -> DataFrame:
     return a.join(b, "key").where(fits & kinds).select("a", "b").distinct()
 
 
-def set_links(docs: DataFrame, classes: DataFrame, total: int, singles: bool, short: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between classes, enough of them to connect every two linked sets;
-    with ``singles``, links of the ``short`` sets, each by its single shingles."""
-    buckets = max(1, -(-total // BUCKET))
-    packed = packed_index(docs, buckets, singles)
-    met = written(met_units(packed, buckets, 4 * BUCKET), "met-units")
-    links = linked(_stars(met, met.where("cid <> pivot")), classes, docs)
+def set_links(met: DataFrame, classes: DataFrame, docs: DataFrame, singles: bool = False) -> DataFrame:
+    """Links (a, b) between classes, enough of them to connect every two linked sets."""
+    links = linked(_stars(met.where("cid <> pivot")), classes, docs)
     labels = _merged(None, links)
     for _ in range(STAR_ROUNDS - 1):
         met = _labelled(met, labels)
         ends = met.groupBy("key").agg(F.min(F.struct("comp", "cid")).alias("low"), F.max(F.struct("comp", "cid")).alias("high"))
-        pivot = F.when(F.col("comp") != F.col("low.comp"), F.col("low.cid")).otherwise(F.col("high.cid"))
-        found = linked(_stars(met, met.join(ends, "key").withColumn("pivot", pivot)), classes, docs)
+        other = F.when(F.col("comp") != F.col("low.comp"), F.col("low.cid")).otherwise(F.col("high.cid"))
+        found = linked(_stars(met.drop("pivot").join(ends, "key").withColumn("pivot", other)), classes, docs)
         links = links.union(found)
         labels = _merged(labels, found)
     met = _labelled(met, labels)
-    spare = classes.select("cid", *[(F.col("n") - F.floor(F.col("n") / 7) - 1).cast("int").alias(c) for c in ("spare_own", "spare_next")]) if singles else classes.select("cid", "spare_own", "spare_next")
-    pairs = allocated(met, spare)
-    if short is not None:
-        s = short.select("cid")
-        pairs = pairs.join(s, F.col("a") == F.col("cid"), "left_semi").union(pairs.join(s, F.col("b") == F.col("cid"), "left_semi")).distinct()
-    return written(links.union(linked(pairs, classes, docs)), "links")
+    return written(links.union(linked(allocated(met, classes, singles), classes, docs)), "links")
+
+
+def _indexed(docs: DataFrame, singles: bool) -> DataFrame:
+    """``met_units`` of ``docs``, written; the number of buckets follows the texts' size."""
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-(size // 6 if singles else size // 12) // BUCKET))  # a word has some six characters
+    return written(met_units(indexed(docs, buckets, singles), 4 * BUCKET), "met-units")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_hash, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(document_sets(docs), "document-sets")
-    some = sets.where("n > 0")
-    classes = written(
-        some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-                                F.first("spare_own").alias("spare_own"), F.first("spare_next").alias("spare_next"), F.first("short").alias("short")),
-        "set-classes",
-    )
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    links = set_links(docs, classes, int(0.75 * total), singles=False)
-    short = classes.where("short")
-    if not short.isEmpty():
-        links = links.union(set_links(docs, classes, total, singles=True, short=short))
+    both = _indexed(docs, singles=False)
+    sets = both.where("key IS NULL").drop("key", "unit", "pivot")
+    first = ("n", "sketch", "spare_own", "spare_next", "short")
+    classes = written(sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in first]), "set-classes")
+    links = set_links(both.where("key IS NOT NULL").select("key", "unit", "pivot", "cid"), classes, docs)
+    if not classes.where("short").isEmpty():
+        alone = _indexed(docs, singles=True).where("key IS NOT NULL").select("key", "unit", "pivot", "cid")
+        links = links.union(set_links(alone, classes, docs, singles=True))
     of_set = written(components(links), "set-components")
     home = classes.select("cid", "rep").join(of_set, F.col("cid") == F.col("id"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("c"))
     least = home.groupBy("c").agg(F.min("rep").alias("component_id"))

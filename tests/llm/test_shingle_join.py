@@ -68,9 +68,11 @@ def test_edited_copies_equal_brute_force(spark):
 def test_single_shingle_pass_links_short_sets(spark):
     rows = edited_rows(seed=5, groups=12)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = J.document_sets(df)
-    classes = sets.where("n > 0").groupBy("cid").agg(*[F.min("doc_id").alias("rep")], *[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next")])
-    of = {r.id: r.component for r in components(J.set_links(df, classes, 10_000, True, classes.select("cid"))).collect()}
+    both = J._indexed(df, singles=True)
+    sets = both.where("key IS NULL")
+    classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next")])
+    met = both.where("key IS NOT NULL").select("key", "unit", "pivot", "cid")
+    of = {r.id: r.component for r in components(J.set_links(met, classes, df, singles=True)).collect()}
     name = {r.doc_id: of.get(r.cid, r.cid) for r in sets.collect()}
     want = {k[1]: c for k, _, c in brute(rows)}
     assert len(set(name.values())) == len(set(want.values())) == len({(name[i], want[i]) for i in want})
@@ -124,9 +126,23 @@ def test_shingle_hashes_follow_the_words(monkeypatch):
 
 def test_met_units_spill_keeps_all_members(spark):
     docs = spark.createDataFrame([(i, f"a b c d e f g h tail{i}") for i in range(50)], "doc_id long, text string").repartition(5)
-    packed = J.packed_index(docs, 3, False)
-    keys = lambda limit: sorted((r.key, r.cid) for r in J.met_units(packed, 3, limit).select("key", "cid").distinct().collect())
-    assert keys(10**6) == keys(20) != []
+
+    def met(limit):
+        rows = J.met_units(J.indexed(docs, 3), limit).where("key IS NOT NULL").collect()
+        return sorted({(r.key, r.cid) for r in rows}), all(r.pivot <= r.cid for r in rows)
+
+    assert met(10**6) == met(20) and met(20)[1] and len(met(20)[0]) == 50 * 4
+
+
+def test_pack_round_trip():
+    rng = np.random.default_rng(2)
+    packer, want = J.Packer(5), set()
+    for cid in range(-20, 20):
+        keys, units = rng.integers(0, 2**63, 30).astype(np.uint64), rng.integers(0, 2**31, 30).astype(np.uint32)
+        packer.add(cid, keys, units)
+        want |= {(int(k % 5), int(k >> 32), int(u), cid) for k, u in zip(keys.tolist(), units.tolist(), strict=True)}
+    got = {(b, *map(int, e)) for b, data in zip(*packer.packs(), strict=True) for e in zip(*J.unpacked(data), strict=True)}
+    assert got == want and packer.packs() == ([], [])
 
 
 def test_stage_keeps_one_of_each_group(docs):
