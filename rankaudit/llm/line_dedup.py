@@ -15,9 +15,11 @@ length filter, the positional filter and a 64-bit parity filter (each word in
 which two sets differ flips one bit, so the parities cannot differ in more bits
 than the sets do in words).  What is left is verified on the full sets.
 
-Words of a frequent bucket (``HOT`` words or more) could gather very many similar
-lines.  There every line is first compared with the earliest line under the word
-only; a line which that removes is not compared again.
+Prefix words under which only one set stands are dropped by their exact counts.  Under
+words with fewer than ``BUSY`` sets all pairs are compared, at most BUSY^2 / 2 a word.
+Under busier words, as groups of thousands of similar lines make them, every set is
+first compared with the earliest one only; what that removes is not compared
+again, and what is left is compared with every set under the word.
 
 Defined cases: a null text counts as empty and stays null; a line without words
 is never removed; rows that agree in id and text are one document and get the
@@ -35,17 +37,24 @@ from pyspark.sql import functions as F
 from rankaudit.llm.store import written
 
 BUCKET_BITS = 18
-HOT = 4_096
+BUSY = 16
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
 SMALL = 500_000
+#: The same for the table of word counts (12 bytes a row).
+SMALL_WORDS = 2_000_000
 HASH_BITS = 56  # under the 7 bits of the rarity level
 BLANKS = r"[\x09\x0B-\x0D]"
 
 
 def _words(line: Column) -> Column:
     """Hashes of the distinct words of ``line``."""
-    plain = F.when(line.rlike(BLANKS), F.regexp_replace(line, BLANKS, " ")).otherwise(line)
-    return F.array_distinct(F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+
+
+def _lines() -> Column:
+    """The lines of the text, with other white space made blanks."""
+    text = F.coalesce("text", F.lit(""))
+    return F.split(F.when(text.rlike(BLANKS), F.regexp_replace(text, BLANKS, " ")).otherwise(text), "\n")
 
 
 def _bucket(h: Column) -> Column:
@@ -54,7 +63,7 @@ def _bucket(h: Column) -> Column:
 
 def rarity_levels(docs: DataFrame) -> Column:
     """Literal array: the level of every word bucket, 0 (rarest) to 127, above ``HASH_BITS``."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("t"))
+    lines = docs.select(F.explode(_lines()).alias("t"))
     words = lines.select(F.explode(F.split("t", " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()
     levels = ["0"] * (1 << BUCKET_BITS)
@@ -76,20 +85,13 @@ def _doc_hash() -> Column:
 
 
 def line_table(docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """(doc_id, doc, line, n, sid, parity, prefix), one row per line.  A prefix word is
-    31 bits of its hash, made negative if its bucket is hot."""
-    hot_code = int(4 * math.log2(HOT)) << HASH_BITS
-
-    def prefix_word(code: Column) -> Column:
-        bits = code.bitwiseAND(0x7FFFFFFF).cast("int")
-        return F.when(code >= hot_code, -1 - bits).otherwise(bits)
-
-    lines = docs.select("doc_id", _doc_hash().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
+    """(doc_id, doc, line, n, sid, parity, prefix), one row per line; a prefix word is 31 bits of its code."""
+    lines = docs.select("doc_id", _doc_hash().alias("doc"), F.posexplode(_lines()).alias("line", "t"))
     sets = lines.select("doc_id", "doc", "line", F.transform(F.array(word_set(F.col("t"), levels)), lambda s: F.struct(
         F.size(s).alias("n"),
         F.xxhash64(s).alias("sid"),
         F.aggregate(s, F.lit(0).cast("long"), lambda p, c: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int")))).alias("parity"),
-        F.transform(F.slice(s, 1, F.size(s) - F.ceil(F.size(s) * threshold - 1e-9).cast("int") + 1), prefix_word).alias("prefix"),
+        F.transform(F.slice(s, 1, F.size(s) - F.ceil(F.size(s) * threshold - 1e-9).cast("int") + 1), lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     ))[0].alias("s"))
     return sets.select("doc_id", "doc", "line", "s.*")
 
@@ -132,7 +134,7 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Colum
     held = written(places.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line", "sid")).alias("asked")), "line-places")
     d = docs.select(F.col("doc_id").alias("d_id"), F.col("text"), _doc_hash().alias("d"))
     texts = d.join(_small(held), F.col("d_id").eqNullSafe(F.col("doc_id")) & F.col("d").eqNullSafe(F.col("doc")))
-    asked = texts.select("doc_id", "doc", F.split("text", "\n").alias("t"), F.explode("asked").alias("a"))
+    asked = texts.select("doc_id", "doc", _lines().alias("t"), F.explode("asked").alias("a"))
     sets = asked.select(F.col("a.sid").alias("sid"), F.struct("doc_id", "doc", F.col("a.line")).alias("at"), word_set(F.get("t", F.col("a.line")), levels).alias("s"))
     sets = written(sets.dropDuplicates(["sid"]), "line-sets")  # rows may repeat a document
     x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns]) for side in "xy")
@@ -159,21 +161,21 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "prefix")).alias("f"))
     firsts = written(first.select("sid", "f.*"), "line-firsts")
     rows = firsts.select("sid", "n", "parity", "doc_id", "doc", "line", F.posexplode("prefix").alias("i", "word"))
-    cold, hot = rows.where("word >= 0"), rows.where("word < 0")
-    pairs = _pairs(cold, cold, threshold)
-    # under a frequent word at first only the earliest line against each other line
-    hot = written(hot.select("word", "sid", "n", "i", "parity", F.struct("doc_id", "doc", "line").alias("at")), "line-hot")
-    earliest = hot.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "i", "parity")).alias("e"))
-    met = hot.join(earliest, "word").where("sid <> e.sid")
+    counts = written(rows.groupBy("word").agg(F.count("*").alias("sets")).where("sets > 1"), "line-words")
+    met = written(rows.join(_small(counts, SMALL_WORDS), "word"), "line-met")
+    quiet = met.where(F.col("sets") < BUSY)
+    busy = met.where(F.col("sets") >= BUSY).select("word", "sid", "n", "i", "parity", F.struct("doc_id", "doc", "line").alias("at"))
+    pairs = _pairs(quiet, quiet, threshold)
+    earliest = busy.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "i", "parity")).alias("e"))
+    starred = busy.join(_small(written(earliest, "line-pivots")), "word").where("sid <> e.sid")
     swap = (F.col("e.n") < F.col("n")) | ((F.col("e.n") == F.col("n")) & (F.col("e.sid") < F.col("sid")))
     fields = ("sid", "n", "i", "parity")
     sides = [F.when(swap, F.col(f"e.{c}")).otherwise(F.col(c)).alias(f"a_{c}") for c in fields]
     sides += [F.when(swap, F.col(c)).otherwise(F.col(f"e.{c}")).alias(f"b_{c}") for c in fields]
-    pairs = pairs.union(met.select(*sides).where(_may_match(threshold)).select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")))
+    pairs = pairs.union(starred.select(*sides).where(_may_match(threshold)).select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")))
     gone = verified(pairs, firsts, docs, levels, threshold)
-    # lines that are still there against every line under the word
-    left = written(hot.join(_small(gone), "sid", "left_anti"), "line-left")
-    rest = _pairs(hot, left, threshold).union(_pairs(left, hot, threshold))
+    left = written(busy.join(_small(gone), "sid", "left_anti"), "line-left")
+    rest = _pairs(busy, left, threshold).union(_pairs(left, busy, threshold))
     gone = gone.union(verified(rest, firsts, docs, levels, threshold)).distinct()
 
     fate = firsts.select("sid", F.struct("doc_id", "doc", "line").alias("at")).join(gone.withColumn("gone", F.lit(True)), "sid", "left")

@@ -30,10 +30,10 @@ def template_rows():
     return rows
 
 
-@pytest.mark.parametrize("hot", [L.HOT, 2])
-def test_decisions_equal_brute_force(spark, docs, monkeypatch, hot):
-    monkeypatch.setattr(L, "HOT", hot)
-    monkeypatch.setattr(L, "SMALL", L.SMALL if hot == 2 else 0)  # the shuffled joins too
+@pytest.mark.parametrize("busy", [L.BUSY, 2, 10**6])
+def test_decisions_equal_brute_force(spark, docs, monkeypatch, busy):
+    monkeypatch.setattr(L, "BUSY", busy)
+    monkeypatch.setattr(L, "SMALL", L.SMALL if busy == 2 else 0)  # the shuffled joins too
     rows = fixtures.rows()
     want = brute(rows)
     got = L.line_decisions(docs).collect()
@@ -45,9 +45,9 @@ def test_decisions_equal_brute_force(spark, docs, monkeypatch, hot):
         assert row.removed == gone and row.n_lines == (key[1] or "").count("\n") + 1
 
 
-@pytest.mark.parametrize("hot", [L.HOT, 2])
-def test_templates_and_common_words(spark, monkeypatch, hot):
-    monkeypatch.setattr(L, "HOT", hot)
+@pytest.mark.parametrize("busy", [L.BUSY, 2, 10**6])
+def test_templates_and_common_words(spark, monkeypatch, busy):
+    monkeypatch.setattr(L, "BUSY", busy)
     rows = template_rows()
     want = brute(rows)
     got = L.line_decisions(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
