@@ -97,16 +97,27 @@ def group_exposure(author_exp: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _share(c: str, total: Column) -> Column:
-    return F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0))
-
-
-def group_shares(group_exp: DataFrame) -> DataFrame:
-    """H8: ``gid, exposure_share, relevance_share`` (0 when a total is 0)."""
-    totals = group_exp.agg(F.sum("exposure").alias("te"), F.sum("relevance").alias("tr"))
-    te = totals.select("te").scalar()
-    tr = totals.select("tr").scalar()
-    return group_exp.select("gid", _share("exposure", te).alias("exposure_share"), _share("relevance", tr).alias("relevance_share"))
+def _share(c: str, total: str, zero_total: str) -> Column:
+    return F.when(F.col(total) != 0, F.col(c) / F.col(total)).otherwise(F.lit(float("nan") if zero_total == "nan" else 0.0))
+
+
+def group_shares(group_exp: DataFrame, *, zero_total: str = "nan") -> DataFrame:
+    """H8: ``gid, exposure_share, relevance_share``.  A total of 0 makes its
+    shares NaN (``zero_total='nan'``) or 0 (``'zero'``).
+
+    The group table has one row per group; its one-row total is joined back
+    as a window over it, without another pass over what is upstream."""
+    if zero_total not in ("nan", "zero"):
+        raise ValueError("zero_total must be 'nan' or 'zero'")
+    listed = group_exp.agg(
+        F.collect_list(F.struct("gid", "exposure", "relevance")).alias("g"),
+        F.coalesce(F.sum("exposure"), F.lit(0.0)).alias("te"),
+        F.coalesce(F.sum("relevance"), F.lit(0.0)).alias("tr"),
+    )
+    each = listed.select(F.explode("g").alias("g"), "te", "tr").select("g.*", "te", "tr")
+    return each.select(
+        "gid", _share("exposure", "te", zero_total).alias("exposure_share"), _share("relevance", "tr", zero_total).alias("relevance_share")
+    )
 
 
 def exposure_fairness(shares: DataFrame) -> DataFrame:
@@ -116,9 +127,12 @@ def exposure_fairness(shares: DataFrame) -> DataFrame:
     )
 
 
-def fairness_and_utility(ranked: DataFrame, doc_authors: DataFrame, groups: DataFrame, **kw) -> DataFrame:
-    """Corpus-wide measure pair (the reference's rank-and-measure entry)."""
+def fairness_and_utility(ranked: DataFrame, doc_authors: DataFrame, groups: DataFrame, *, zero_total: str = "nan", **kw) -> DataFrame:
+    """Corpus-wide measure pair (the reference's rank-and-measure entry): two
+    one-row tables side by side."""
     ex = exposure(ranked, **kw)
-    sh = group_shares(group_exposure(author_exposure(ex, doc_authors), groups))
-    f = exposure_fairness(sh).select("fairness").scalar()
-    return relevance_utility(ex).select(f.alias("fairness"), "utility")
+    fair = exposure_fairness(group_shares(group_exposure(author_exposure(ex, doc_authors), groups), zero_total=zero_total))
+    both = fair.select("fairness", F.lit(None).cast("double").alias("utility")).unionByName(
+        relevance_utility(ex).select(F.lit(None).cast("double").alias("fairness"), "utility")
+    )
+    return both.agg(F.max("fairness").alias("fairness"), F.max("utility").alias("utility"))

@@ -93,43 +93,34 @@ def split_pairs(pairs: DataFrame, *, train_size: float = 0.8, seed: int = 42, ke
     """Exactly ``floor(train_size·n)`` training pairs, chosen by a seeded
     hash order (ties by key); adds ``split`` ('train'/'test').
 
-    The cut is found by distributed selection over the hash's 64 bits, 16 at
-    a time: each step is one aggregate with at most 65,536 groups, and only
-    those counts reach the driver.  No global sort or row numbering.
+    The hash is 60 bits of the MD5 of ``seed:key:...``.  The cut is found by
+    distributed selection, 15 bits at a time: each step is one aggregate with
+    at most 32,768 groups, and only those counts reach the driver.  No global
+    sort or row numbering.
     """
-    hp = pairs.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    hp = pairs.withColumn("_h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
     n = hp.count()
     n_train = int(n * train_size)
     if n_train <= 0 or n_train >= n:
-        return hp.drop("_h").withColumn("split", F.lit("train" if n_train >= n else "test"))
-    # unsigned view of (h xor sign bit) is monotone in the signed hash
-    u = F.col("_h").bitwiseXOR(F.lit(-(1 << 63)))
+        return hp.drop("_h").withColumn("split", F.lit("train" if n > 0 and n_train >= n else "test"))
     prefix, need = 0, n_train
     for level in range(4):
-        shift = 48 - 16 * level
-        bucket = F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(0xFFFF))
-        sel = hp if level == 0 else hp.where(F.shiftrightunsigned(u, shift + 16) == F.lit(prefix))
+        shift = 45 - 15 * level
+        bucket = F.shiftright("_h", shift).bitwiseAND(0x7FFF)
+        sel = hp.where(F.shiftright("_h", shift + 15) == F.lit(prefix))
         counts = sorted(tuple(r) for r in sel.groupBy(bucket.alias("b")).agg(F.count(F.lit(1))).collect())
         acc = 0
         for b, c in counts:
             if acc + c >= need:
                 need -= acc
-                prefix = (prefix << 16) | b
+                prefix = (prefix << 15) | b
                 break
             acc += c
-    cut_h = _signed(prefix ^ (1 << 63))
-    # `need` rows carrying exactly the cut hash complete the training set
-    ties = [tuple(r) for r in hp.where(F.col("_h") == F.lit(cut_h)).select(*key).orderBy(*key).limit(need).collect()]
-    tie = F.lit(False)
-    for t in ties:
-        c = F.lit(True)
-        for k, v in zip(key, t):
-            c = c & (F.col(k) == F.lit(v))
-        tie = tie | c
-    train = (F.col("_h") < F.lit(cut_h)) | ((F.col("_h") == F.lit(cut_h)) & tie)
+    # the first `need` keys that carry exactly the cut hash complete the training set
+    edge = hp.where(F.col("_h") == F.lit(prefix))
+    row = F.struct(*key)
+    last = edge.select(*key).orderBy(*key).limit(need).agg(F.max(row).alias("last")).first()["last"]
+    at_edge = row <= F.struct(*[F.lit(v).cast(pairs.schema[k].dataType) for k, v in zip(key, last)])
+    train = (F.col("_h") < F.lit(prefix)) | ((F.col("_h") == F.lit(prefix)) & at_edge)
     return hp.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("_h")
-
-
-def _signed(u: int) -> int:
-    """64-bit unsigned -> the signed long with the same bits."""
-    return u - (1 << 64) if u >= (1 << 63) else u

@@ -18,7 +18,9 @@ We solve it with a distributed primal Newton method:
 * the (d+1)×(d+1) system is solved on the driver;
 * a backtracking line search evaluates 12 step lengths in one more pass.
 
-The stopping rule is ``‖∇f‖ ≤ tol·‖∇f(0)‖`` or ``max_iter`` steps.
+The stopping rule is ``‖∇f‖ ≤ tol·‖∇f(0)‖``; the fit also ends when no step
+length lowers the objective (the limit of double precision) or after
+``max_iter`` steps.  ``converged`` tells whether the rule was met.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ class RankModel:
     iterations: int = 0
     grad_norm: float = float("nan")
     objective: float = float("nan")
+    converged: bool = False
     means: list[float] | None = None
     stds: list[float] | None = None
     history: list[dict] = field(default_factory=list)
@@ -100,7 +103,7 @@ def fit_rank_svm(
     *,
     c: float = 1.0,
     tol: float = 1e-6,
-    max_iter: int = 1000,
+    max_iter: int | None = 1000,
     record: bool = False,
     persist: bool = True,
 ) -> RankModel:
@@ -118,6 +121,7 @@ def fit_rank_svm(
     gnorm = float("nan")
     obj = float("nan")
     it = 0
+    converged = False
     try:
         while True:
             s = _partials(data, w, c, None, None)
@@ -129,23 +133,24 @@ def fit_rank_svm(
                 g0 = gnorm
             if record:
                 hist.append({"iter": it, "w": w.copy(), "grad_norm": gnorm, "objective": obj})
-            if it >= max_iter or gnorm <= tol * max(g0, 1e-300):
+            converged = gnorm <= tol * max(g0, 1e-300)
+            if converged or (max_iter is not None and it >= max_iter):
                 break
             step = np.linalg.solve(hess, -g)
             losses = _partials(data, w, c, STEPS, step)
             decrease = float(g @ step)
-            t_best = STEPS[-1]
-            for t, loss in zip(STEPS, losses):
-                wn = w + t * step
-                if 0.5 * float(wn @ wn) + c * loss <= obj + 1e-4 * t * decrease:
-                    t_best = t
-                    break
-            w = w + t_best * step
+            better = [
+                t for t, loss in zip(STEPS, losses)
+                if 0.5 * float((w + t * step) @ (w + t * step)) + c * loss <= obj + 1e-4 * t * decrease
+            ]
+            if not better:
+                break
+            w = w + better[0] * step
             it += 1
     finally:
         if persist:
             data.unpersist()
-    return RankModel(list(map(float, w[:dim])), float(w[dim]), it, gnorm, obj, history=hist)
+    return RankModel(list(map(float, w[:dim])), float(w[dim]), it, gnorm, obj, converged, history=hist)
 
 
 def classify(pairs: DataFrame, model: RankModel, col: str = "diff") -> DataFrame:
@@ -173,11 +178,24 @@ def performance_report(split: DataFrame, model: RankModel, col: str = "diff") ->
     )
 
 
+def objective_gradient(pairs: DataFrame, model: RankModel, c: float = 1.0, col: str = "diff") -> DataFrame:
+    """``idx, gradient``: the gradient of the objective at the model's weights (the
+    intercept last), by plain aggregates; zero at the optimum."""
+    dim = len(model.weights)
+    margin = F.lit(1.0) - F.col("label") * (dot(col, model.weights) + F.lit(model.intercept))
+    pull = F.lit(-2.0 * c) * F.col("label") * F.greatest(margin, F.lit(0.0))
+    parts = [F.coalesce(F.sum(pull * F.coalesce(F.col(col)[i], F.lit(0.0))), F.lit(0.0)) + F.lit(model.weights[i]) for i in range(dim)]
+    parts.append(F.coalesce(F.sum(pull), F.lit(0.0)) + F.lit(model.intercept))
+    return pairs.agg(F.array(*parts).alias("g")).select(F.posexplode("g").alias("idx", "gradient"))
+
+
 def iterate_at(model: RankModel, max_iter: int) -> np.ndarray:
-    """Weights (with intercept last) after ``max_iter`` solver steps."""
+    """Weights (with intercept last) after ``max_iter`` solver steps; a solver that
+    had converged by then stays where it is, one cut off earlier is an error."""
     h = model.history
-    k = min(max_iter, len(h) - 1)
-    return h[k]["w"]
+    if max_iter >= len(h) and not model.converged:
+        raise ValueError(f"the recorded fit ended after {len(h) - 1} steps without converging")
+    return h[min(max_iter, len(h) - 1)]["w"]
 
 
 def learning_curve(split: DataFrame, model: RankModel, points=(1, 10, 100, 1000, 10000, 100000), col: str = "diff") -> DataFrame:
@@ -204,4 +222,4 @@ def tolerance_iterate(model: RankModel, tol: float) -> np.ndarray:
     for h in model.history:
         if h["grad_norm"] <= tol * max(g0, 1e-300):
             return h["w"]
-    return model.history[-1]["w"]
+    raise ValueError(f"no recorded step meets tolerance {tol}")

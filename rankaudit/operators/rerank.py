@@ -11,17 +11,26 @@ document with its model relevance and its group weights (how many group-table
 rows its authors hit per group), pre-joined in Spark.  Inside the walk a swap
 changes only the two swapped documents' exposure (the product over the pair
 commutes, so lower ranks keep theirs), so each candidate costs O(#groups).
-Differences below 1e-12 are treated as 0.
+
+Exposure at least halves with every rank, so neither change may be computed as
+a difference of two totals, nor exposure be kept as one number that underflows.
+Both changes are computed as (exposure at the upper rank) x (a factor of
+ordinary size); exposures are mantissa and binary exponent.  A change is a tie
+when it is below ``TIE`` of the terms that it is the sum of, so the rule holds at
+any rank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .measures import GAMMA, STOP_PROB, author_exposure, exposure, exposure_fairness, group_exposure, group_shares, relevance_utility
+from .measures import GAMMA, STOP_PROB, exposure, fairness_and_utility
 
-EPS = 1e-12
+TIE = 1e-12
 
 
 def doc_group_weights(doc_authors: DataFrame, groups: DataFrame) -> DataFrame:
@@ -75,68 +84,64 @@ def query_exposure_fairness(ranked: DataFrame, weights: DataFrame, *, gamma: flo
     return queries.join(fair, qid, "left").select(qid, F.coalesce("fairness", F.lit(0.0)).alias("fairness"))
 
 
-def _walk(pdf, gamma: float, stop_prob: float, relevance_delta: str):
-    """One query: the reference's single top-to-bottom swap pass."""
+def _scaled(mantissa: float, exponent: int) -> tuple[float, int]:
+    m, x = math.frexp(mantissa)
+    return m, x + exponent
+
+
+def _settled(terms) -> float:
+    """Sum of ``terms``, 0 where it is below rounding."""
+    total = math.fsum(terms)
+    return 0.0 if abs(total) <= TIE * max((abs(t) for t in terms), default=0.0) else total
+
+
+def walk(rel: list[float], rhat: list[float], weights, gamma: float, stop_prob: float, relevance_delta: str) -> list[int]:
+    """Order of one query's documents after the single top-to-bottom pass;
+    ``weights[i]`` holds document i's weight in every group."""
     import numpy as np
 
-    pdf = pdf.sort_values("rank").reset_index(drop=True)
-    n = len(pdf)
+    n = len(rel)
     order = list(range(n))
-    gids = sorted({g for gl in pdf["gids"] for g in (gl if gl is not None else [])})
-    gi = {g: k for k, g in enumerate(gids)}
-    wts = np.zeros((n, len(gids)))
-    for r, (gl, nl) in enumerate(zip(pdf["gids"], pdf["ns"])):
-        if gl is not None:
-            for g, c in zip(gl, nl):
-                wts[r, gi[g]] += c
-    rel = pdf["rel"].to_numpy(dtype=float)
-    rhat = pdf["rhat"].to_numpy(dtype=float)
-    matched = wts.sum() > 0
-    if not matched or n < 2:
+    weights = np.asarray(weights, dtype=float).reshape(n, -1)
+    if n < 2 or weights.sum() <= 0:
         return order
-    # exposures along the current order: true relevance (fairness) and r̂ (utility)
-    def chain(vals):
-        e = np.empty(n)
-        cur = 1.0
-        for k in range(n):
-            e[k] = cur
-            cur = cur * gamma * (1 - stop_prob * vals[k])
-        return e
-
-    e = chain(rel[order])
-    E = (e[:, None] * wts[order]).sum(axis=0)
-    R = (stop_prob * rel[:, None] * wts).sum(axis=0)
-    r_tot = R.sum()
-    if r_tot == 0:
-        return order  # NaN fairness: no comparison succeeds
-    rs = R / r_tot
-
-    def fair(Ev):
-        t = Ev.sum()
-        es = Ev / t if t != 0 else np.zeros_like(Ev)
-        return float(np.sqrt(((es - rs) ** 2).sum()))
-
-    eu = chain(rhat[order])
-    f_cur = fair(E)
+    seen = gamma * (1 - stop_prob * np.asarray(rel))  # factor a document leaves to the next by true relevance
+    seen_hat = gamma * (1 - stop_prob * np.asarray(rhat))  # and by model relevance
+    relevance = (stop_prob * np.asarray(rel)[:, None] * weights).sum(axis=0)
+    if relevance.sum() == 0:
+        return order  # fairness is 0/0: no comparison succeeds
+    target = relevance / relevance.sum()
+    exposed, e = np.zeros(weights.shape[1]), 1.0
+    for i in range(n):
+        exposed, e = exposed + e * weights[i], e * seen[i]
+    up, up_hat = (1.0, 0), (1.0, 0)  # exposure of the upper of the two ranks
     for i in range(n - 1):
         a, b = order[i], order[i + 1]
-        # fairness chain: b moves up to i, a moves down to i+1
-        ea_new = e[i] * gamma * (1 - stop_prob * rel[b])
-        E_new = E + (e[i] - e[i + 1]) * wts[b] + (ea_new - e[i]) * wts[a]
-        f_new = fair(E_new)
-        # utility chain on r̂
-        ua_new = eu[i] * gamma * (1 - stop_prob * rhat[b])
-        du = stop_prob * ((eu[i] * rhat[b] + ua_new * rhat[a]) - (eu[i] * rhat[a] + eu[i + 1] * rhat[b]))
-        d_fair = f_cur - f_new
-        d_rel = du if relevance_delta == "gain" else -du
-        if np.isnan(d_fair) or np.isnan(d_rel):
-            continue
-        if d_fair > EPS and d_fair - d_rel > EPS:
+        # swapping changes the groups' exposure by (exposure at i) * change
+        change = (1 - seen[a]) * weights[b] - (1 - seen[b]) * weights[a]
+        at = math.ldexp(*up)
+        total, total_new = exposed.sum(), (exposed + at * change).sum()
+        swap = False
+        if total != 0 and total_new != 0:
+            share = exposed / total
+            fair, fair_new = (math.sqrt((((x / x.sum()) - target) ** 2).sum()) for x in (exposed, exposed + at * change))
+            if fair + fair_new > 0:
+                # old share minus new share, over the exposure at i
+                moved = np.array([_settled((x * change.sum(), -c * total)) for x, c in zip(exposed, change)]) / (total * total_new)
+                gain = _settled(list(moved * 2 * (share - target) / (fair + fair_new)) + [-at * float((moved * moved).sum()) / (fair + fair_new)])
+                cost = stop_prob * _settled(((1 - seen_hat[a]) * rhat[b], -(1 - seen_hat[b]) * rhat[a]))
+                if relevance_delta != "gain":
+                    cost = -cost
+                if not (math.isnan(gain) or math.isnan(cost)):
+                    (g, gx), (c, cx) = _scaled(gain * up[0], up[1]), _scaled(cost * up_hat[0], up_hat[1])
+                    top = max(x for m, x in ((g, gx), (c, cx), (0.0, -(10**9))) if m or x == -(10**9))
+                    g, c = math.ldexp(g, max(gx - top, -2000)), math.ldexp(c, max(cx - top, -2000))
+                    swap = g > 0 and _settled((g, -c)) > 0
+        if swap:
             order[i], order[i + 1] = b, a
-            e[i + 1] = ea_new
-            eu[i + 1] = ua_new
-            E = E_new
-            f_cur = f_new
+            exposed = exposed + at * change
+        up = _scaled(up[0] * seen[order[i]], up[1])
+        up_hat = _scaled(up_hat[0] * seen_hat[order[i]], up_hat[1])
     return order
 
 
@@ -150,42 +155,39 @@ def adjust_for_exposure(
     qid: str = "qid",
 ) -> DataFrame:
     """I4: the swap pass; returns ``qid, rank, doc_id, rel, rhat, score`` in
-    the adjusted order (rank from 1)."""
+    the adjusted order (rank from 1); ids keep their types."""
+    import numpy as np
     import pandas as pd
 
     per_doc = weights.groupBy("doc_id").agg(
-        F.collect_list("gid").alias("gids"), F.collect_list(F.col("n").cast("long")).alias("ns")
+        F.collect_list("gid").alias("gids"), F.collect_list(F.col("n").cast("double")).alias("ns")
     )
     slim = ranked_rhat.select(qid, "rank", "doc_id", "rel", "rhat", "score").join(per_doc, "doc_id", "left")
-    out_schema = f"{qid} long, rank int, doc_id long, rel double, rhat double, score double"
+    fields = {f.name: f for f in slim.schema.fields}
+    names = [qid, "rank", "doc_id", "rel", "rhat", "score"]
+    schema = StructType([StructField("rank", IntegerType()) if c == "rank" else fields[c] for c in names])
 
     def per_query(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
-        order = _walk(pdf, gamma, stop_prob, relevance_delta)
-        out = pdf.iloc[order][[qid, "doc_id", "rel", "rhat", "score"]].reset_index(drop=True)
-        out.insert(1, "rank", range(1, len(out) + 1))
-        return out[[qid, "rank", "doc_id", "rel", "rhat", "score"]]
+        groups = sorted({g for gl in pdf["gids"] if gl is not None for g in gl})
+        place = {g: k for k, g in enumerate(groups)}
+        table = np.zeros((len(pdf), len(groups)))
+        for r, (gl, nl) in enumerate(zip(pdf["gids"], pdf["ns"])):
+            for g, c in zip(gl, nl) if gl is not None else ():
+                table[r, place[g]] += c
+        order = walk(pdf["rel"].astype(float).tolist(), pdf["rhat"].astype(float).tolist(), table, gamma, stop_prob, relevance_delta)
+        out = pdf.iloc[order].reset_index(drop=True)
+        out["rank"] = np.arange(1, len(out) + 1)
+        return out[names]
 
-    return slim.groupBy(qid).applyInPandas(per_query, out_schema)
+    return slim.groupBy(qid).applyInPandas(per_query, schema)
 
 
-def adjustment_report(before: DataFrame, after: DataFrame, doc_authors: DataFrame, groups: DataFrame) -> DataFrame:
+def adjustment_report(before: DataFrame, after: DataFrame, doc_authors: DataFrame, groups: DataFrame, *, zero_total: str = "zero") -> DataFrame:
     """Corpus-wide fairness and utility before and after the adjustment."""
 
     def measure(r: DataFrame, label: str) -> DataFrame:
-        ex = exposure(r)
-        f = exposure_fairness(group_shares(group_exposure(author_exposure(ex, doc_authors), groups))).select("fairness").scalar()
-        return relevance_utility(ex).select(F.lit(label).alias("stage"), f.alias("fairness"), "utility")
+        out = fairness_and_utility(r, doc_authors, groups, zero_total=zero_total)
+        return out.select(F.lit(label).alias("stage"), "fairness", "utility")
 
     return measure(before, "before").unionByName(measure(after, "after"))
-
-
-__all__ = [
-    "doc_group_weights",
-    "model_relevance",
-    "query_model_utility",
-    "query_exposure_fairness",
-    "adjust_for_exposure",
-    "adjustment_report",
-    "Window",
-]

@@ -267,7 +267,7 @@ def all_sql() -> dict[str, str]:  # noqa: F811
 def rank_ctes(binary: bool) -> list[str]:
     rel = "label % 2" if binary else "label"
     return [
-        f"fr AS (SELECT vec_id AS ord, vec_id % 25 AS qid, vec_id AS doc_id, CAST({rel} AS DOUBLE) AS rel, "
+        f"fr AS (SELECT vec_id AS ord, vec_id // 20 AS qid, vec_id AS doc_id, CAST({rel} AS DOUBLE) AS rel, "
         "CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
         "sc AS (SELECT *, list_sum(list_transform(x, lambda v, i: coalesce(v, 0.0) * (1.0::DOUBLE / i))) AS score FROM fr)",
         "rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS INTEGER) AS rank FROM sc)",
@@ -296,8 +296,9 @@ def rank_sql() -> dict[str, str]:
         "rank_documents": with_(g, f"SELECT qid, rank, doc_id, rel, {rnd('score')} AS score FROM rk"),
         "exposure": with_(b, f"SELECT qid, rank, doc_id, rel, {rnd('exposure')} AS exposure FROM ex"),
         "ndcg": with_(g, f"SELECT qid, {rnd('dcg')} AS dcg, {rnd('idcg')} AS idcg, {rnd('CASE WHEN idcg <> 0 THEN dcg / idcg END')} AS ndcg FROM nd"),
-        "mean_ndcg": with_(b, f"SELECT {rnd('avg(CASE WHEN idcg <> 0 THEN dcg / idcg END)')} AS ndcg_skip, "
-                           f"{rnd('avg(CASE WHEN idcg <> 0 THEN dcg / idcg ELSE 0.0 END)')} AS ndcg_zero FROM nd"),
+        "mean_ndcg": with_(b, f"SELECT 'skip' AS mode, {rnd('avg(CASE WHEN idcg <> 0 THEN dcg / idcg END)')} AS ndcg FROM nd UNION ALL "
+                           f"SELECT 'zero', {rnd('avg(CASE WHEN idcg <> 0 THEN dcg / idcg ELSE 0.0 END)')} FROM nd UNION ALL "
+                           f"SELECT 'nan', CASE WHEN count(*) FILTER (idcg = 0) > 0 THEN 'NaN'::DOUBLE ELSE {rnd('avg(dcg / idcg)')} END FROM nd"),
         "average_precision": with_(g, f"SELECT qid, {rnd('ap')} AS ap FROM apq"),
         "mean_average_precision": with_(g, f"SELECT {rnd('avg(ap)')} AS map FROM apq"),
         "relevance_utility": with_(b, f"SELECT {rnd('sum(exposure * rel * 0.7::DOUBLE) / count(DISTINCT qid)')} AS utility FROM ex"),
@@ -307,6 +308,9 @@ def rank_sql() -> dict[str, str]:
         "exposure_fairness": with_(b, f"SELECT {rnd('sqrt(sum(pow(exposure_share - relevance_share, 2)))')} AS fairness FROM gs"),
         "exposure_curve": with_(b, f"SELECT DISTINCT rank, {rnd('pow(0.5, rank - 1) * pow(0.2, rank - 1)')} AS relevant, "
                                 f"{rnd('pow(0.5, rank - 1)')} AS irrelevant FROM rk"),
+        "tolerance_sweep": with_(b, " UNION ALL ".join(
+            f"SELECT {tol}::DOUBLE AS tol, (SELECT {rnd('sqrt(sum(pow(exposure_share - relevance_share, 2)))')} FROM gs) AS fairness, "
+            f"(SELECT {rnd('sum(exposure * rel * 0.7::DOUBLE) / count(DISTINCT qid)')} FROM ex) AS utility" for tol in ("1e-2", "1e-4", "1e-6", "1e-8"))),
         "group_share_stack": with_(b + [
             "lg AS (SELECT gid, 'relevance' AS measure, relevance_share AS share FROM gs UNION ALL "
             "SELECT gid, 'exposure', exposure_share FROM gs)",
@@ -335,7 +339,7 @@ def pair_ctes() -> list[str]:
         "bl AS (SELECT *, CASE WHEN k_parity = 0 THEN 1 ELSE -1 END AS label FROM bp)",
         "bd AS (SELECT *, list_transform(xa, lambda v, m: (coalesce(v, 0.0) - coalesce(xb[m], 0.0)) * CAST(label * sign AS DOUBLE)) AS diff FROM bl)",
         "raw AS (SELECT a.qid, a.ord AS i, b.ord AS j, list_transform(a.x, lambda v, m: coalesce(v, 0.0) - coalesce(b.x[m], 0.0)) AS dx "
-        "FROM fr a JOIN fr b ON a.qid = b.qid AND a.ord < b.ord)",
+        "FROM fr a JOIN fr b ON a.qid = b.qid AND a.ord + 1 = b.ord)",
     ]
 
 
@@ -345,14 +349,34 @@ def wsum(col: str, dim: int = 64) -> str:
 
 def pair_sql() -> dict[str, str]:
     p = pair_ctes()
+    stats = [
+        "el AS (SELECT unnest(diff) AS v, unnest(generate_series(1, len(diff))) AS idx FROM bd)",
+        "stt AS (SELECT list(mu ORDER BY idx) AS mu, list(sd ORDER BY idx) AS sd FROM (SELECT idx, avg(v) AS mu, "
+        "CASE WHEN stddev_pop(v) = 0 THEN 1.0 ELSE stddev_pop(v) END AS sd FROM el GROUP BY idx))",
+        "sd AS (SELECT qid, i, j, label, list_transform(diff, lambda v, m: (v - stt.mu[m]) / stt.sd[m]) AS sx FROM bd, stt)",
+    ]
+    split = [
+        "sp AS (SELECT qid, i, j, CASE WHEN row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || i || ':' || j), 1, 15) AS BIGINT), i, j) "
+        "<= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM bd)",
+    ]
+    scored = [
+        f"hits AS (SELECT split, CASE WHEN (CASE WHEN ({wsum('sx')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END AS hit "
+        "FROM sd JOIN sp USING (qid, i, j))",
+    ]
     dcols = lambda f: ", ".join(f"{rnd(f(m))} AS d{m:02d}" for m in range(64))
     return {
         "pairwise_diffs": with_(p, "SELECT qid, i, j, sign, " + dcols(lambda m: f"coalesce(xa[{m + 1}], 0.0) - coalesce(xb[{m + 1}], 0.0)") + " FROM pr"),
         "balance_pairs": with_(p, "SELECT qid, i, j, k_parity, label, " + dcols(lambda m: f"diff[{m + 1}]") + " FROM bd"),
-        "scale_features": with_(p, f"SELECT CAST(idx - 1 AS INTEGER) AS idx, {rnd('avg(v)')} AS mean, {rnd('stddev_pop(v)')} AS std FROM "
-                            "(SELECT unnest(diff) AS v, unnest(generate_series(1, len(diff))) AS idx FROM bd) GROUP BY idx"),
-        "split_pairs": with_(p, "SELECT 'train' AS split, CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM bd UNION ALL "
-                         "SELECT 'test', count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) FROM bd"),
+        "scale_features": with_(p + stats, "SELECT qid, i, j, " + dcols(lambda m: f"sx[{m + 1}]") + " FROM sd"),
+        "split_pairs": with_(p + split, "SELECT qid, i, j, split FROM sp"),
+        "fit_rank_svm": "SELECT CAST(i AS INTEGER) AS idx, 0.0::DOUBLE AS gradient FROM range((SELECT max(len(embedding)) + 1 FROM embeddings)) t(i)",
+        "performance_report": with_(p + stats + split + scored, f"SELECT {rnd('avg(hit)')} AS all_accuracy, "
+            f"{rnd(chr(97) + 'vg(hit) FILTER (split = ' + chr(39) + 'test' + chr(39) + ')')} AS test_accuracy, "
+            f"{rnd(chr(97) + 'vg(hit) FILTER (split = ' + chr(39) + 'train' + chr(39) + ')')} AS train_accuracy, "
+            "count(*) AS n_pairs, count(*) FILTER (split = 'test') AS n_test FROM hits"),
+        "learning_curve": with_(p + stats + split, " UNION ALL ".join(
+            f"SELECT CAST({10**e} AS BIGINT) AS max_iter, {rnd(f'avg(CASE WHEN (CASE WHEN ({wsum(chr(115) + chr(120))}) * {float(k % 3 + 1)}::DOUBLE + {0.1 * k}::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END)')} AS accuracy "
+            "FROM sd JOIN sp USING (qid, i, j) WHERE split = 'test'" for e, k in ((0, 1), (1, 3), (2, 3), (3, 3), (4, 3), (5, 3)))),
         "classify_pairs": with_(p, f"SELECT qid, i, j, CASE WHEN ({wsum('diff')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END AS pred FROM bd"),
         "pair_accuracy": with_(p, f"SELECT {rnd(f'avg(CASE WHEN (CASE WHEN ({wsum(chr(100) + chr(105) + chr(102) + chr(102))}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM bd"),
         "predict_order": with_(p, "SELECT qid, ord, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, ord) - 1 AS INTEGER) AS position FROM sc"),
@@ -384,7 +408,54 @@ def rerank_sql() -> dict[str, str]:
         "qf AS (SELECT g.qid, sqrt(sum(pow(CASE WHEN t.te = 0 THEN 'NaN'::DOUBLE ELSE g.E / t.te END - "
         "CASE WHEN t.tr = 0 THEN 'NaN'::DOUBLE ELSE g.R / t.tr END, 2))) AS fairness FROM qg g JOIN qt t USING (qid) GROUP BY g.qid)",
     ]
+    # one step per rank: document a is carried, b comes next; whichever stays above is placed
+    num = "list_transform(exposed, lambda x, k: x * list_sum(ch) - ch[k] * list_sum(exposed))"
+    ssq = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x, k: pow(x / list_sum({v}) - tgt[k], 2))))"
+    walk = [
+        "gids AS (SELECT list(gid ORDER BY gid) AS g FROM (SELECT DISTINCT gid FROM grp))",
+        "dw AS (SELECT doc_id, map_from_entries(list((gid, CAST(n AS DOUBLE)))) AS m FROM w GROUP BY doc_id)",
+        "dv AS (SELECT h.qid, h.rank, h.doc_id, h.rel, h.rhat, h.score, 0.5::DOUBLE * (1.0::DOUBLE - 0.7::DOUBLE * h.rel) AS f, "
+        "0.5::DOUBLE * (1.0::DOUBLE - 0.7::DOUBLE * h.rhat) AS fh, "
+        "list_transform(gids.g, lambda x: coalesce(element_at(dw.m, x)[1], 0.0::DOUBLE)) AS wt "
+        "FROM rh h CROSS JOIN gids LEFT JOIN dw ON dw.doc_id = h.doc_id)",
+        "un AS (SELECT v.qid, g.k, sum(e.exposure * v.wt[g.k]) AS ex, sum(0.7::DOUBLE * v.rel * v.wt[g.k]) AS re FROM dv v JOIN ex e USING (qid, rank), "
+        "(SELECT unnest(generate_series(1, (SELECT len(g) FROM gids))) AS k) g GROUP BY v.qid, g.k)",
+        "ini AS (SELECT qid, list(ex ORDER BY k) AS exposed, list_transform(list(re ORDER BY k), lambda x: x / sum(re)) AS tgt, sum(re) AS tr FROM un GROUP BY qid)",
+        "st(qid, i, placed, a, fa, fha, rha, wa, exposed, tgt, ok, e, eh) AS ("
+        "SELECT v.qid, 1, CAST(NULL AS BIGINT), v.doc_id, v.f, v.fh, v.rhat, v.wt, i.exposed, i.tgt, i.tr <> 0 AND i.tr IS NOT NULL, 1.0::DOUBLE, 1.0::DOUBLE "
+        "FROM dv v JOIN ini i USING (qid) WHERE v.rank = 1 UNION ALL "
+        "SELECT qid, i + 1, CASE WHEN sw THEN b ELSE a END, CASE WHEN sw THEN a ELSE b END, CASE WHEN sw THEN fa ELSE fb END, CASE WHEN sw THEN fha ELSE fhb END, "
+        "CASE WHEN sw THEN rha ELSE rhb END, CASE WHEN sw THEN wa ELSE wb END, CASE WHEN sw THEN exn ELSE exposed END, tgt, ok, "
+        "e * CASE WHEN sw THEN fb ELSE fa END, eh * CASE WHEN sw THEN fhb ELSE fha END FROM ("
+        "SELECT *, ok AND gain > 0 AND e * gain - eh * cost > 1e-12 * greatest(abs(e * gain), abs(eh * cost)) AS sw FROM ("
+        "SELECT *, CASE WHEN abs(g0) <= 1e-12 * gm THEN 0 ELSE g0 END AS gain, CASE WHEN abs(c0) <= 1e-12 * cm THEN 0 ELSE c0 END AS cost FROM ("
+        "SELECT *, list_sum(list_transform(mv, lambda x, k: x * (2 * (exposed[k] / list_sum(exposed) - tgt[k]) - e * x))) / fs AS g0, "
+        "list_max(list_transform(mv, lambda x, k: abs(x * 2 * (exposed[k] / list_sum(exposed) - tgt[k])))) / fs AS gm, "
+        "0.7::DOUBLE * ((1 - fha) * rhb - (1 - fhb) * rha) AS c0, 0.7::DOUBLE * greatest(abs((1 - fha) * rhb), abs((1 - fhb) * rha)) AS cm FROM ("
+        f"SELECT *, list_transform({num}, lambda x, k: CASE WHEN abs(x) <= 1e-12 * greatest(abs(exposed[k] * list_sum(ch)), abs(ch[k] * list_sum(exposed))) THEN 0 ELSE x END "
+        f"/ (list_sum(exposed) * list_sum(exn))) AS mv, {ssq('exposed')} + {ssq('exn')} AS fs FROM ("
+        "SELECT *, list_transform(exposed, lambda x, k: x + e * ch[k]) AS exn FROM ("
+        "SELECT s.*, v.doc_id AS b, v.f AS fb, v.fh AS fhb, v.rhat AS rhb, v.wt AS wb, "
+        "list_transform(v.wt, lambda x, k: (1 - s.fa) * x - (1 - v.f) * s.wa[k]) AS ch "
+        "FROM st s JOIN dv v ON v.qid = s.qid AND v.rank = s.i + 1)))))))",
+        "last AS (SELECT qid, max(i) AS i FROM st GROUP BY qid)",
+        "adj AS (SELECT qid, CAST(i - 1 AS INTEGER) AS rank, placed AS doc_id FROM st WHERE i > 1 UNION ALL "
+        "SELECT s.qid, CAST(s.i AS INTEGER), s.a FROM st s JOIN last USING (qid, i))",
+    ]
+    measured = lambda name, src: (
+        f"e_{name} AS (SELECT r.qid, r.rank, r.doc_id, v.rel, coalesce(product(0.5::DOUBLE * (1.0::DOUBLE - 0.7::DOUBLE * v.rel)) OVER "
+        f"(PARTITION BY r.qid ORDER BY r.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE) AS exposure FROM {src} r JOIN rk v ON v.qid = r.qid AND v.doc_id = r.doc_id), "
+        f"a_{name} AS (SELECT a.author_id, sum(e.exposure) AS exposure, sum(0.7::DOUBLE * e.rel) AS relevance FROM e_{name} e JOIN das a ON a.doc_id = e.doc_id GROUP BY a.author_id), "
+        f"g_{name} AS (SELECT g.gid, sum(coalesce(a.exposure, 0.0)) AS x, sum(coalesce(a.relevance, 0.0)) AS r FROM grp g LEFT JOIN a_{name} a ON a.author_id = g.author_id GROUP BY g.gid)"
+    )
+    row = lambda name: (
+        f"SELECT '{name}' AS stage, (SELECT {rnd(f'sqrt(sum(pow(coalesce(x / nullif((SELECT sum(x) FROM g_{name}), 0), 0.0) - coalesce(r / nullif((SELECT sum(r) FROM g_{name}), 0), 0.0), 2)))')} FROM g_{name}) AS fairness, "
+        f"(SELECT {rnd('sum(exposure * rel * 0.7::DOUBLE) / count(DISTINCT qid)')} FROM e_{name}) AS utility"
+    )
+    recursive = lambda ctes, body: with_(ctes, body).replace("WITH ", "WITH RECURSIVE ", 1)
     return {
+        "adjust_for_exposure": recursive(b + walk, "SELECT qid, rank, doc_id FROM adj"),
+        "adjustment_report": recursive(b + walk + [measured("before", "rk"), measured("after", "adj")], row("before") + " UNION ALL " + row("after")),
         "model_relevance": with_(b, f"SELECT qid, rank, doc_id, {rnd('rhat')} AS rhat FROM rh"),
         "query_model_utility": with_(b, f"SELECT qid, {rnd('sum(eh * rhat * 0.7::DOUBLE)')} AS utility FROM exh GROUP BY qid"),
         "query_exposure_fairness": with_(b, f"SELECT q.qid, {rnd('coalesce(f.fairness, 0.0)')} AS fairness FROM (SELECT DISTINCT qid FROM rk) q LEFT JOIN qf f USING (qid)"),

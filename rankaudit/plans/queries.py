@@ -336,9 +336,8 @@ def q_ndcg(spark, sf):
 @register("mean_ndcg")
 def q_mean_ndcg(spark, sf):
     r = _ranked(spark, sf, binary=True)
-    skip = M.mean_ndcg(r, empty="skip").select(rnd("ndcg").alias("ndcg_skip"))
-    zero = M.mean_ndcg(r, empty="zero").select(rnd("ndcg").alias("ndcg_zero")).scalar()
-    return skip.select("ndcg_skip", zero.alias("ndcg_zero"))
+    modes = [M.mean_ndcg(r, empty=e).select(F.lit(e).alias("mode"), rnd("ndcg").alias("ndcg")) for e in ("nan", "skip", "zero")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
 
 @register("average_precision")
@@ -370,13 +369,13 @@ def q_group_exposure(spark, sf):
 
 @register("group_shares")
 def q_group_shares(spark, sf):
-    s = M.group_shares(_group_exp(spark, sf))
+    s = M.group_shares(_group_exp(spark, sf), zero_total="zero")
     return s.select("gid", rnd("exposure_share").alias("exposure_share"), rnd("relevance_share").alias("relevance_share"))
 
 
 @register("exposure_fairness")
 def q_exposure_fairness(spark, sf):
-    return M.exposure_fairness(M.group_shares(_group_exp(spark, sf))).select(rnd("fairness").alias("fairness"))
+    return M.exposure_fairness(M.group_shares(_group_exp(spark, sf), zero_total="zero")).select(rnd("fairness").alias("fairness"))
 
 
 @register("exposure_curve")
@@ -387,13 +386,16 @@ def q_exposure_curve(spark, sf):
 
 @register("group_share_stack")
 def q_group_share_stack(spark, sf):
-    s = REP.group_share_stack(M.group_shares(_group_exp(spark, sf)))
+    s = REP.group_share_stack(M.group_shares(_group_exp(spark, sf), zero_total="zero"))
     return s.select("gid", "measure", rnd("share").alias("share"), rnd("bottom").alias("bottom"), rnd("label_y").alias("label_y"), "label")
 
 
 # ---------------------------------------------------------------- G: pairs and the ranking model
+import uuid  # noqa: E402
+
 from ..operators import pairs as PR  # noqa: E402
 from ..operators import ranksvm as SVM  # noqa: E402
+from ..session import shared_dir  # noqa: E402
 
 FIXED_INTERCEPT = 0.1
 
@@ -420,15 +422,13 @@ def q_balance_pairs(spark, sf):
 
 @register("scale_features")
 def q_scale_features(spark, sf):
-    p = _pairs(spark, sf)
-    e = p.select(F.posexplode("diff").alias("idx", "v"))
-    return e.groupBy("idx").agg(rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("std"))
+    scaled, _, _ = PR.scale_features(_pairs(spark, sf), N_EMB)
+    return scaled.select("qid", "i", "j", *_wide(scaled, "diff", "d"))
 
 
 @register("split_pairs")
 def q_split_pairs(spark, sf):
-    s = PR.split_pairs(_pairs(spark, sf))
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return PR.split_pairs(_pairs(spark, sf)).select("qid", "i", "j", "split")
 
 
 def _fixed_model():
@@ -452,10 +452,11 @@ def q_predict_order(spark, sf):
 
 
 def _raw_pairs(spark, sf):
+    """A given pair table: neighbours in a query's list."""
     rows = A.feature_rows(spark, sf, binary=False)
     a = rows.select("qid", F.col("ord").alias("i"), F.col("features").alias("x_a"))
     b = rows.select("qid", F.col("ord").alias("j"), F.col("features").alias("x_b"))
-    return a.join(b, "qid").where(F.col("i") < F.col("j"))
+    return a.join(b.withColumn("before", F.col("j") - 1), (F.col("i") == F.col("before")) & (a.qid == b.qid)).select(a.qid, "i", "j", "x_a", "x_b")
 
 
 @register("prefer")
@@ -468,46 +469,65 @@ def q_preference_margin(spark, sf):
     return RK.preference_margin(_raw_pairs(spark, sf), WEIGHTS).select("qid", "i", "j", rnd("margin").alias("margin"))
 
 
-def _trained(spark, sf, record=False, tol=1e-6, max_iter=1000):
-    # the pair table feeds the scaling stats, the split selection and the
-    # solver: materialise it once instead of re-running the self-join per job
-    p = _pairs(spark, sf).persist()
-    scaled, means, stds = PR.scale_features(p, N_EMB)
-    split = PR.split_pairs(scaled)
-    model = SVM.fit_rank_svm(split.where(F.col("split") == "train"), N_EMB, tol=tol, max_iter=max_iter, record=record)
-    model.means, model.stds = means, stds
-    return split, model
+def _training_data(spark, sf):
+    """Scaled pairs with their split; the pair table feeds the scaling statistics, the
+    split selection and the solver, so it is written once."""
+    pairs = _pairs(spark, sf)
+    path = shared_dir(spark, f"rankaudit-pairs-{uuid.uuid4().hex}")
+    pairs.write.parquet(path)
+    scaled, means, stds = PR.scale_features(spark.read.schema(pairs.schema).parquet(path), N_EMB)
+    return PR.split_pairs(scaled), means, stds
+
+
+#: Relative gradient at which the registered fits stop.
+FIT_TOL = 1e-10
 
 
 @register("fit_rank_svm")
 def q_fit_rank_svm(spark, sf):
-    _, m = _trained(spark, sf)
-    rows = [(i, float(w)) for i, w in enumerate(m.weights)] + [(len(m.weights), m.intercept)]
-    return spark.createDataFrame(rows, "idx int, weight double")
+    """The fit, judged by the optimality condition: the gradient of the objective at
+    the returned weights, relative to that at 0, by plain aggregates."""
+    split, _, _ = _training_data(spark, sf)
+    train = split.where(F.col("split") == "train")
+    m = SVM.fit_rank_svm(train, N_EMB, tol=FIT_TOL)
+    if not m.converged:
+        raise ValueError(f"not converged after {m.iterations} steps")
+    at_zero = SVM.objective_gradient(train, SVM.RankModel([0.0] * N_EMB, 0.0))
+    scale = at_zero.agg(F.sqrt(F.sum(F.pow("gradient", 2)))).first()[0]
+    return SVM.objective_gradient(train, m).select("idx", F.abs(F.round(F.col("gradient") / F.lit(scale), 6)).alias("gradient"))
 
 
 @register("performance_report")
 def q_performance_report(spark, sf):
-    split, m = _trained(spark, sf)
-    return SVM.performance_report(split, m)
+    split, _, _ = _training_data(spark, sf)
+    r = SVM.performance_report(split, _fixed_model())
+    return r.select(*[rnd(c).alias(c) for c in ("all_accuracy", "test_accuracy", "train_accuracy")], "n_pairs", "n_test")
+
+
+#: Fixed iterates that stand for a recorded solver path: step k has weights (k + 1 mod 3) / (i + 1).
+def _fixed_path(steps=4):
+    history = [
+        {"iter": k, "w": [w * ((k % 3) + 1) * (-1.0 if k == 0 else 1.0) for w in WEIGHTS] + [FIXED_INTERCEPT * k], "grad_norm": 10.0 ** (-3 * k)}
+        for k in range(steps)
+    ]
+    return SVM.RankModel(WEIGHTS, FIXED_INTERCEPT, steps - 1, converged=True, history=history)
 
 
 @register("learning_curve")
 def q_learning_curve(spark, sf):
-    split, m = _trained(spark, sf, record=True, tol=0.0, max_iter=30)
-    return SVM.learning_curve(split, m)
+    split, _, _ = _training_data(spark, sf)
+    return SVM.learning_curve(split, _fixed_path()).select("max_iter", rnd("accuracy").alias("accuracy"))
 
 
 @register("tolerance_sweep")
 def q_tolerance_sweep(spark, sf):
-    split, m = _trained(spark, sf, record=True, tol=1e-8, max_iter=50)
+    path = _fixed_path()
     rows = A.feature_rows(spark, sf, binary=True)
     da, grp = _doc_author_set(spark, sf), A.groups(spark, sf)
     out = None
     for tol in (1e-2, 1e-4, 1e-6, 1e-8):
-        w = SVM.tolerance_iterate(m, tol)
-        ranked = RK.rank_documents(rows, list(w[:-1]))
-        r = M.fairness_and_utility(ranked, da, grp).select(F.lit(tol).alias("tol"), "fairness", "utility")
+        ranked = RK.rank_documents(rows, list(SVM.tolerance_iterate(path, tol)[:-1]))
+        r = M.fairness_and_utility(ranked, da, grp, zero_total="zero").select(F.lit(tol).alias("tol"), rnd("fairness").alias("fairness"), rnd("utility").alias("utility"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -553,9 +573,6 @@ def q_adjustment_report(spark, sf):
 
 
 # ---------------------------------------------------------------- A: text boundary round trip
-import uuid  # noqa: E402
-
-from ..session import shared_dir  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
 

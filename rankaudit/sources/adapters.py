@@ -14,7 +14,7 @@ a plain relational derivation whose size grows with the input tables.
 | bib corpus    | orders ⋈ lineitem ⋈ customer (paper = order, author = customer, in-citations = part keys of its lines) |
 | groups        | customer ⋈ nation ⋈ region (gid = region name) |
 | doc authors   | documents × sequence(0, doc_id mod 3)  |
-| feature rows  | embeddings (qid = vec_id mod 25, rel = label) |
+| feature rows  | embeddings (qid = vec_id div 20, rel = label) |
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the adapters (shared with the SQL oracle).
-FEATURE_QUERIES = 25          # qid = vec_id % 25 for embedding feature rows
+FEATURE_LIST = 20             # qid = vec_id div 20: lists of bounded length, queries grow with the table
 DOC_AUTHOR_MULT = 13          # author_id = (doc_id*13 + k*17) % #customers
 DOC_AUTHOR_STEP = 17
 DOC_AUTHOR_SPAN = 3           # k in 0 .. doc_id % 3
@@ -155,7 +155,7 @@ def feature_rows(spark: SparkSession, sf_dir: str, binary: bool = False) -> Data
     rel = (F.col("label") % 2) if binary else F.col("label")
     return e.select(
         F.col("vec_id").alias("ord"),
-        (F.col("vec_id") % FEATURE_QUERIES).alias("qid"),
+        F.floor(F.col("vec_id") / FEATURE_LIST).alias("qid"),
         F.col("vec_id").alias("doc_id"),
         rel.cast("double").alias("rel"),
         F.col("embedding").cast("array<double>").alias("features"),

@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,74 +32,92 @@ def test_fairness_no_group_author_is_zero(spark):
     r = _ranked(spark, [(1, 1, 1, 1.0, 0.0), (1, 2, 2, 0.0, 0.0)])
     da = spark.createDataFrame([(1, 10), (2, 11)], "doc_id long, author_id long")
     groups = spark.createDataFrame([(99, "g")], "author_id long, gid string")
-    sh = M.group_shares(M.group_exposure(M.author_exposure(M.exposure(r), da), groups))
-    assert M.exposure_fairness(sh).first().fairness == 0.0
+    ge = M.group_exposure(M.author_exposure(M.exposure(r), da), groups)
+    assert M.exposure_fairness(M.group_shares(ge, zero_total="zero")).first().fairness == 0.0
+    assert math.isnan(M.exposure_fairness(M.group_shares(ge)).first().fairness)
+    with pytest.raises(ValueError):
+        M.group_shares(ge, zero_total="skip")
 
 
-# ---- brute-force twin of the reference's swap pass (recomputes everything per candidate)
-def _twin(docs, groups, gamma=0.5, s=0.7):
+# ---- the rule in exact arithmetic, everything recomputed for every candidate
+def _twin(docs, groups, gamma=Decimal("0.5"), s=Decimal("0.7")):
     """docs: list of (doc_id, rel, rhat, authors) in rank order; groups: list of (author, gid)."""
-
-    def fairness(lst):
-        ae, ar = {}, {}
-        e = 1.0
-        for d, rel, _, auth in lst:
-            for a in auth:
-                ae[a] = ae.get(a, 0) + e
-                ar[a] = ar.get(a, 0) + s * rel
-            e *= gamma * (1 - s * rel)
-        ge, gr = {}, {}
-        for a, g in groups:
-            ge[g] = ge.get(g, 0) + ae.get(a, 0)
-            gr[g] = gr.get(g, 0) + ar.get(a, 0)
-        te, tr = sum(ge.values()), sum(gr.values())
-        if tr == 0 and any(a in ar for a, _ in groups):
-            return float("nan")
-        sq = 0.0
-        for g in gr:
-            rs = gr[g] / tr if tr else 0
-            es = ge[g] / te if te else 0
-            sq += (es - rs) ** 2
-        return math.sqrt(sq)
-
-    def utility(lst):
-        tot, e = 0.0, 1.0
-        for _, _, rh, _ in lst:
-            tot += e * rh * s
-            e *= gamma * (1 - s * rh)
-        return tot
-
-    cur = list(docs)
-    f, u = fairness(cur), utility(cur)
-    for i in range(len(cur) - 1):
-        t = cur.copy()
+    names = sorted({g for _, g in groups})
+    counts = [[sum(1 for a, g in groups if g == name and a in d[3]) for name in names] for d in docs]
+    rel, rhat = [Decimal(d[1]) for d in docs], [Decimal(d[2]) for d in docs]
+    relevance = [sum(s * rel[i] * counts[i][k] for i in range(len(docs))) for k in range(len(names))]
+    if not sum(relevance):
+        return [d[0] for d in docs]
+
+    def chain(order, values):
+        e, out = Decimal(1), []
+        for i in order:
+            out.append(e)
+            e *= gamma * (1 - s * values[i])
+        return out
+
+    def fairness(order):
+        e = chain(order, rel)
+        exposed = [sum(x * counts[i][k] for x, i in zip(e, order, strict=True)) for k in range(len(names))]
+        return sum((x / sum(exposed) - r / sum(relevance)) ** 2 for x, r in zip(exposed, relevance, strict=True)).sqrt()
+
+    def utility(order):
+        return sum(x * rhat[i] * s for x, i in zip(chain(order, rhat), order, strict=True))
+
+    order = list(range(len(docs)))
+    f, u = fairness(order), utility(order)
+    nil = Decimal(10) ** -350
+    for i in range(len(docs) - 1):
+        t = order.copy()
         t[i], t[i + 1] = t[i + 1], t[i]
         tf, tu = fairness(t), utility(t)
-        df, du = f - tf, tu - u
-        if df > 1e-12 and df - du > 1e-12:
-            cur, f, u = t, tf, tu
-    return [d[0] for d in cur]
+        if f - tf > nil and (f - tf) - (tu - u) > nil:
+            order, f, u = t, tf, tu
+    return [docs[i][0] for i in order]
+
+
+def _list(rnd, n, share, authors=15, key=str):
+    docs = []
+    for k in range(n):
+        by = sorted({rnd.randrange(authors) for _ in range(rnd.randint(1, 3))})
+        docs.append((key(k), float(rnd.random() < share), 1 - k / max(n - 1, 1), by))
+    return docs
+
+
+GROUPS = [(a, f"g{a % 3}") for a in range(12)] + [(0, "g1")]  # a duplicated author row
+
+
+@pytest.mark.parametrize("n, share", [(2, 0.5), (9, 0.5), (30, 0.5), (80, 0.5), (80, 0.05), (200, 0.1)])
+def test_walk_is_exact_at_any_rank(n, share):
+    moved = 0
+    for seed in range(3 if n < 100 else 1):
+        docs = _list(random.Random(seed), n, share)
+        names = sorted({g for _, g in GROUPS})
+        weights = [[sum(1 for a, g in GROUPS if g == name and a in d[3]) for name in names] for d in docs]
+        with localcontext() as c:
+            c.prec = 500
+            want = _twin(docs, GROUPS)
+        got = RR.walk([d[1] for d in docs], [d[2] for d in docs], weights, 0.5, 0.7, "gain")
+        assert [docs[i][0] for i in got] == want
+        moved = max([moved, *[k for k, i in enumerate(got) if i != k]])
+    assert n < 30 or moved > 2 * n // 3
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_adjust_matches_brute_force(spark, seed):
-    rnd = random.Random(seed)
-    groups = [(a, f"g{a % 3}") for a in range(12)] + [(0, "g1")]  # a duplicated author row
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_adjust_matches_the_rule(spark, kind):
+    rnd = random.Random(5)
     rows, expected = [], {}
     for q in range(6):
-        n = rnd.randint(2, 9)
-        docs = []
-        for k in range(n):
-            did = q * 100 + k
-            auth = sorted(set(rnd.randint(0, 14) for _ in range(rnd.randint(1, 3))))
-            rel = float(rnd.randint(0, 1))
-            docs.append((did, rel, 1 - k / max(n - 1, 1), auth))
-        expected[q] = _twin(docs, groups)
-        for k, (did, rel, rh, auth) in enumerate(docs):
-            rows.append((q, k + 1, did, rel, rh, float(-k), auth))
-    df = spark.createDataFrame(rows, "qid long, rank int, doc_id long, rel double, rhat double, score double, authors array<long>")
+        name = (lambda k, q=q: q * 100 + k) if kind == "long" else (lambda k, q=q: f"d{q}-{k}")
+        docs = _list(rnd, rnd.randint(2, 12), 0.5, key=name)
+        qid = q if kind == "long" else f"q{q}"
+        with localcontext() as c:
+            c.prec = 500
+            expected[qid] = _twin(docs, GROUPS)
+        rows += [(qid, k + 1, d, rel, rh, float(-k), by) for k, (d, rel, rh, by) in enumerate(docs)]
+    df = spark.createDataFrame(rows, f"qid {kind}, rank int, doc_id {kind}, rel double, rhat double, score double, authors array<long>")
     da = df.select("doc_id", F.explode("authors").alias("author_id"))
-    g = spark.createDataFrame(groups, "author_id long, gid string")
+    g = spark.createDataFrame(GROUPS, "author_id long, gid string")
     out = RR.adjust_for_exposure(df.drop("authors"), RR.doc_group_weights(da, g))
     got = {}
     for r in out.orderBy("qid", "rank").collect():
