@@ -49,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -328,10 +328,8 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     side = written(classes.select("cid", "n", "sketch", "rep").join(_small(ends), "cid"), "pair-classes")
     sides = {s: side.select(*[F.col(c).alias(f"{s}_{c}") for c in side.columns]) for s in "ab"}
     two = pairs.join(sides["a"], F.col("a") == F.col("a_cid")).join(sides["b"], F.col("b") == F.col("b_cid"))
-    bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(bits, F.lit(0), lambda t, x: t + x)
     both = F.col("a_n") + F.col("b_n")
-    near = two.where((F.least("a_n", "b_n") * 4 >= F.greatest("a_n", "b_n") * 3)).where(apart * 7 <= both)
+    near = two.where((F.least("a_n", "b_n") * 4 >= F.greatest("a_n", "b_n") * 3)).where(_apart() * 7 <= both)
     near = written(near.select("a", "b", "a_n", "b_n"), "near-pairs")
     reps = side.select("cid", "rep").join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
     reps = _small(written(reps, "pair-texts"))
@@ -390,30 +388,47 @@ def _stars(candidates: DataFrame) -> DataFrame:
     return best.select(F.col("cid").alias("a"), F.col("p.pivot").alias("b"))
 
 
+def _apart() -> Column:
+    """Bits in which the sketches of a and b differ: never more than the sets differ in shingles."""
+    words = [F.bit_count(F.get("a_sketch", F.lit(i)).bitwiseXOR(F.get("b_sketch", F.lit(i)))) for i in range(SKETCH // 64)]
+    return sum(words[1:], words[0])
+
+
 def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
     """Candidate pairs (a, b): a set and those of larger size and other components
-    that it meets under the units it does not leave out."""
-    spare = written(classes.join(_small(met.select("cid").distinct()), "cid").select("cid", "n", "spare_own", "spare_next"), "spare")
+    that it meets under the units it does not leave out.
+
+    Keys under which the very same sets stand (as the many keys of a passage that
+    many texts share) are looked up once, under the smallest of them."""
+    info = classes.join(_small(met.select("cid", "comp").distinct()), "cid")
+    info = written(info.select("cid", "comp", "n", "sketch", "spare_own", "spare_next"), "open-sets")
     if singles:
-        spare = spare.withColumn("spare_own", (F.col("n") - F.floor(F.col("n") / 7) - 1).cast("int"))
+        info = info.withColumn("spare_own", (F.col("n") - F.floor(F.col("n") / 7) - 1).cast("int"))
     unit = F.col("unit")
-    met = written(met.join(spare.select("cid", "n"), "cid").select(
-        "key", "cid", "comp", "n", F.shiftright(unit, 27).alias("scheme"), (unit.bitwiseAND(1 << 26) != 0).alias("next"),
+    met = written(met.select(
+        "key", "cid", "comp", F.shiftright(unit, 27).alias("scheme"), (unit.bitwiseAND(1 << 26) != 0).alias("next"),
         (unit.bitwiseAND(1 << 25) != 0).alias("deletion"), unit.bitwiseAND((1 << 25) - 1).alias("segment"),
     ), "open-units")
-    # what stands under a key, split by whether it is indexed there and by kind
-    count = met.where(~F.col("next")).groupBy("key", "deletion", "comp").count()
-    total = count.groupBy("key", "deletion").agg(F.sum("count").alias("all"))
-    sums = total.groupBy("key").agg(
-        F.sum(F.when(~F.col("deletion"), F.col("all"))).alias("exact"), F.sum(F.when(F.col("deletion"), F.col("all"))).alias("near")
-    )
-    own = count.groupBy("key", "comp").agg(
-        F.sum(F.when(~F.col("deletion"), F.col("count"))).alias("own_exact"), F.sum(F.when(F.col("deletion"), F.col("count"))).alias("own_near")
-    )
-    cost = met.join(sums, "key", "left").join(own, ["key", "comp"], "left")
-    exact = F.coalesce("exact", F.lit(0)) - F.coalesce("own_exact", F.lit(0))
-    near = F.coalesce("near", F.lit(0)) - F.coalesce("own_near", F.lit(0))
-    cost = cost.select("cid", "scheme", "next", "segment", "deletion", "key", "n", "comp", exact.alias("exact"), near.alias("near"))
+    # what is indexed under a key: sets by their whole subset (exact) and by a neighbourhood (near)
+    indexed_rows = met.where(~F.col("next"))
+    exact, near = ~F.col("deletion"), F.col("deletion")
+
+    def members(kind: Column, name: str) -> list[Column]:
+        hashes = [F.bit_xor(F.when(kind, F.xxhash64(F.lit(salt), "cid"))).alias(f"{name}_{salt}") for salt in (1, 2)]
+        return [F.count_if(kind).alias(name), *hashes]
+
+    keys = written(indexed_rows.groupBy("key").agg(*members(exact, "exact"), *members(near, "near")), "open-key-sets")
+    for name in ("exact", "near"):
+        same = [name, f"{name}_1", f"{name}_2"]
+        lead = keys.where(F.col(name) > 0).groupBy(*same).agg(F.min("key").alias(f"{name}_key"))
+        keys = keys.join(lead, same, "left")
+    keys = written(keys.select("key", "exact", "near", "exact_key", "near_key"), "open-key-sets")
+    own = indexed_rows.groupBy("key", "comp").agg(F.count_if(exact).alias("own_exact"), F.count_if(near).alias("own_near"))
+    cost = met.join(keys, "key").join(own, ["key", "comp"], "left")
+    cost = written(cost.select(
+        "cid", "scheme", "next", "segment", "deletion", "exact_key", "near_key",
+        (F.col("exact") - F.coalesce("own_exact", F.lit(0))).alias("exact"), (F.col("near") - F.coalesce("own_near", F.lit(0))).alias("near"),
+    ), "open-costs")
     # unit 1: the segment's subset against subsets; unit 2: against neighbourhoods, either way
     per_segment = cost.groupBy("cid", "scheme", "next", "segment").agg(
         F.sum(F.when(~F.col("deletion"), F.col("exact")).otherwise(0)).alias("one"),
@@ -421,19 +436,27 @@ def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
     )
     wide = (F.col("scheme") != SINGLE) & (F.col("segment") % WIDE == 0)
     either = F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.when(wide, F.least("one", "two")).otherwise(F.col("one")).alias("cost")),
-                             F.struct(F.lit(2).alias("unit"), F.when(wide, F.col("two")).otherwise(0).alias("cost"))))
+                               F.struct(F.lit(2).alias("unit"), F.when(wide, F.col("two")).otherwise(0).alias("cost"))))
     choices = per_segment.select("cid", "scheme", "next", "segment", either.alias("u")).select("cid", "scheme", "next", "segment", "u.*").where("cost > 0 OR unit = 1")
     ranked = choices.groupBy("cid", "scheme", "next").agg(F.sort_array(F.collect_list(F.struct("cost", "unit", "segment")), False).alias("l"))
-    ranked = ranked.join(spare.drop("n"), "cid")
+    ranked = ranked.join(info.select("cid", "spare_own", "spare_next"), "cid")
     kept = F.slice("l", F.when(F.col("next"), F.col("spare_next")).otherwise(F.col("spare_own")) + 1, F.size("l"))
     used = ranked.select("cid", "scheme", "next", F.explode(F.filter(kept, lambda u: u["cost"] > 0)).alias("u"))
     used = used.select("cid", "scheme", "next", "u.segment", "u.unit").groupBy("cid", "scheme", "next", "segment").agg(F.max("unit").alias("most"))
     probes = cost.join(used, ["cid", "scheme", "next", "segment"])
-    a = probes.select("key", F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), F.col("deletion").alias("a_deletion"), "most")
-    b = met.where(~F.col("next")).select("key", F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("deletion").alias("b_deletion"))
+    meets = F.array(
+        F.when(~F.col("deletion") | (F.col("most") == 2), F.struct(F.col("exact_key").alias("key"), F.lit(False).alias("deletion"))),
+        F.when(~F.col("deletion") & (F.col("most") == 2), F.struct(F.col("near_key").alias("key"), F.lit(True).alias("deletion"))),
+    )
+    a = probes.select("cid", F.explode(meets).alias("m")).where("m.key IS NOT NULL").select("m.*", "cid").distinct()
+    b = indexed_rows.join(_small(written(a.select("key", "deletion").distinct(), "open-lookups")), ["key", "deletion"]).select("key", "deletion", "cid")
+    a, b = (
+        side.join(info.select("cid", "n", "comp", "sketch"), "cid").select("key", "deletion", *[F.col(c).alias(f"{name}_{c}") for c in ("cid", "n", "comp", "sketch")])
+        for side, name in ((a, "a"), (b, "b"))
+    )
     fits = (F.col("b_n") >= F.col("a_n")) & (F.col("b_n") * 3 <= F.col("a_n") * 4) & (F.col("a_comp") != F.col("b_comp"))
-    kinds = (~F.col("a_deletion") & ~F.col("b_deletion")) | ((F.col("most") == 2) & (F.col("a_deletion") != F.col("b_deletion")))
-    return a.join(b, "key").where(fits & kinds).select("a", "b").distinct()
+    near_enough = _apart() * 7 <= F.col("a_n") + F.col("b_n")
+    return a.join(b, ["key", "deletion"]).where(fits & near_enough).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
 def set_links(met: DataFrame, classes: DataFrame, docs: DataFrame, singles: bool = False) -> DataFrame:
