@@ -12,10 +12,12 @@ in-vocabulary terms ``t`` (terms a document lacks have ``tf = 0``):
     JM     −Σ ln((1 − λ)·tf/d + λ·p(t))
 with the three LM scores 0 when the document is empty.
 
-The plan for judged pairs is "query terms × judged docs LEFT JOIN postings":
-postings are first reduced to the judged documents (semi-join), the three
-fields' per-term contributions are unioned and aggregated in a single
-``groupBy(qid, doc_id)``.
+The plan for judged pairs is "query terms × judged docs LEFT JOIN postings".
+All fields share one postings table ``f, doc_id, term, tf``, tokenised once and
+written to the shared folder; it is reduced to the judged documents for norms
+and lengths, and further to the queries' words for the join.  A pair is
+(qid, query text, doc): repeated judgements of a pair share one computation, and
+two texts under one qid are two queries.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_length, int_value
-from .termstats import FieldIndex, corpus_scalars, doc_norms, field_index, query_terms
+from ..functions.text import char_length, int_value, tokens
+from ..session import written_table
+from .termstats import FieldIndex, doc_norms, query_terms, term_weights
 
 # The reference's feature parameters.
 BM25_K1 = 1.2
@@ -51,6 +54,7 @@ class FeatureSpec:
     field: str
 
     def names(self) -> list[str]:
+        # The reference's feature names.
         if self.kind == "text":
             return [
                 f"TF(q, d) in {self.field}",
@@ -85,63 +89,31 @@ def feature_names(spark, specs: Sequence[FeatureSpec]) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "index int, name string")
 
 
-def _term_contributions(
-    pairs: DataFrame,
-    queries: DataFrame,
-    index: FieldIndex,
-    *,
-    k1: float,
-    b: float,
-    lam: float,
-    mu: float,
-    delta: float,
-    unique: str,
-) -> DataFrame:
-    """One row per (qid, doc_id, query term) with each feature's summand."""
-    docs = pairs.select("doc_id").distinct()
-    post = index.postings.join(docs, "doc_id", "left_semi")
-    qt = query_terms(queries, index)
-    lengths = index.doc_length().join(docs, "doc_id", "left_semi")
-    norms = doc_norms(index, post)
-    cand = (
-        pairs.select("qid", "doc_id")
-        .join(qt, "qid")
-        .join(post, ["doc_id", "term"], "left")
-        .join(lengths, "doc_id")
-        .join(norms, "doc_id", "left")
-    )
-    if unique == "doc":
-        uniq = post.groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
-        cand = cand.join(uniq, "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    elif unique == "df":
-        cand = cand.withColumn("u", F.col("df"))
-    else:
-        raise ValueError("unique must be 'df' or 'doc'")
+PAIR = ["qid", "query", "doc_id"]
 
+
+def _summands(k1: float, b: float, lam: float, mu: float, delta: float) -> list:
+    """Each text feature's summand for one query term, from the columns tf, d, idf,
+    p, avgd, norm and u."""
     tf = F.coalesce(F.col("tf"), F.lit(0)).cast("double")
     d = F.col("d").cast("double")
-    idf_c, p = F.col("idf"), F.col("p")
-    nonempty = d > 0
-    return cand.select(
-        "qid",
-        "doc_id",
+    idf, p = F.col("idf"), F.col("p")
+    some = d > 0
+    return [
         tf.alias("tf"),
-        idf_c.alias("idf"),
-        F.when(tf > 0, tf * idf_c / F.col("norm")).otherwise(F.lit(0.0)).alias("tfidf"),
-        (idf_c * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / F.col("avgd")))).alias("bm25"),
-        F.when(
-            nonempty,
-            -F.log(F.greatest(tf - delta, F.lit(0.0)) / d + F.lit(delta) * F.col("u") / d * p),
-        ).otherwise(F.lit(0.0)).alias("lmir_abs"),
-        F.when(nonempty, -F.log((tf + mu * p) / (d + mu))).otherwise(F.lit(0.0)).alias("lmir_dir"),
-        F.when(nonempty, -F.log((1.0 - lam) * tf / d + lam * p)).otherwise(F.lit(0.0)).alias("lmir_jm"),
-    )
+        idf.alias("idf"),
+        F.when(tf > 0, tf * idf / F.col("norm")).otherwise(F.lit(0.0)).alias("tfidf"),
+        (idf * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / F.col("avgd")))).alias("bm25"),
+        F.when(some, -F.log(F.greatest(tf - delta, F.lit(0.0)) / d + F.lit(delta) * F.col("u") / d * p)).otherwise(F.lit(0.0)).alias("lmir_abs"),
+        F.when(some, -F.log((tf + mu * p) / (d + mu))).otherwise(F.lit(0.0)).alias("lmir_dir"),
+        F.when(some, -F.log((1.0 - lam) * tf / d + lam * p)).otherwise(F.lit(0.0)).alias("lmir_jm"),
+    ]
 
 
-def text_features(
+def _contributions(
     pairs: DataFrame,
-    queries: DataFrame,
-    index: FieldIndex,
+    postings: DataFrame,
+    terms: DataFrame,
     *,
     k1: float = BM25_K1,
     b: float = BM25_B,
@@ -150,107 +122,62 @@ def text_features(
     delta: float = ABS_DELTA,
     unique: str = "df",
 ) -> DataFrame:
+    """One row per pair, field ``f`` and query term with each feature's summand."""
+    if unique not in ("df", "doc"):
+        raise ValueError("unique must be 'df' or 'doc'")
+    asked = pairs.select("qid", "query").distinct()
+    words = asked.select("qid", "query", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    wanted = words.join(terms, "term").select("qid", "query", "f", "term", "df", "idf", "p", "avgd")
+    judged = postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    per_doc = (
+        judged.join(terms.select("f", "term", "idf"), ["f", "term"])
+        .groupBy("f", "doc_id")
+        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"), F.sum("tf").alias("d"), F.count(F.lit(1)).alias("terms_in_doc"))
+    )
+    matched = judged.join(wanted.select("f", "term").distinct(), ["f", "term"], "left_semi")
+    cand = (
+        pairs.join(wanted, ["qid", "query"])
+        .join(matched, ["f", "doc_id", "term"], "left")
+        .join(per_doc, ["f", "doc_id"], "left")
+        .withColumn("d", F.coalesce("d", F.lit(0)))
+        .withColumn("u", F.col("df") if unique == "df" else F.coalesce("terms_in_doc", F.lit(0)))
+    )
+    return cand.select(*PAIR, "f", *_summands(k1, b, lam, mu, delta))
+
+
+def text_features(pairs: DataFrame, queries: DataFrame, index: FieldIndex, **params) -> DataFrame:
     """F1–F7 for one field: ``qid, doc_id, tf, idf, tfidf, bm25, lmir_abs,
-    lmir_dir, lmir_jm`` for every (qid, doc_id) of ``pairs``; 0 when the query
-    has no in-vocabulary term."""
-    contrib = _term_contributions(pairs, queries, index, k1=k1, b=b, lam=lam, mu=mu, delta=delta, unique=unique)
-    agg = contrib.groupBy("qid", "doc_id").agg(*[F.sum(c).alias(c) for c in TEXT_FEATURES])
-    keys = pairs.select("qid", "doc_id").distinct()
-    return keys.join(agg, ["qid", "doc_id"], "left").select(
+    lmir_dir, lmir_jm`` for every distinct (qid, doc_id) of ``pairs`` and text of
+    the query; 0 when the query has no in-vocabulary term."""
+    keys = pairs.select("qid", "doc_id").distinct().join(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")).distinct(), "qid")
+    keys = keys.select(*PAIR)
+    contrib = _contributions(keys, index.postings.withColumn("f", F.lit(0)), index.terms.withColumn("f", F.lit(0)), **params)
+    agg = contrib.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in TEXT_FEATURES])
+    return keys.join(agg, PAIR, "left").select(
         "qid", "doc_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in TEXT_FEATURES]
     )
 
 
-def _multi_field_contributions(
-    pairs: DataFrame,
-    queries: DataFrame,
-    corpus: DataFrame,
-    fields: Sequence[str],
-    id_col: str,
-    *,
-    k1: float,
-    b: float,
-    lam: float,
-    mu: float,
-    delta: float,
-    unique: str,
-) -> DataFrame:
-    """Per-term summands for several fields at once, keyed by a field index
-    ``f``: one corpus scan, one postings aggregate, one vocabulary aggregate
-    and one candidate join for all fields."""
-    from ..functions.text import n_tokens, tokens
-
-    n_docs = corpus.count()  # one number (parquet footers)
+def field_postings(corpus: DataFrame, fields: Sequence[str], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(postings ``f, doc_id, term, tf``, vocabulary ``f, term, df, cf, idf, p, avgd``) of
+    several fields: the corpus is tokenised once and the postings are written."""
     def tag(i: int):
         return lambda t: F.struct(F.lit(i).alias("f"), t.alias("term"))
 
     tagged = F.concat(*[F.transform(tokens(c), tag(i)) for i, c in enumerate(fields)])
-    postings = (
+    counted = (
         corpus.select(F.col(id_col).alias("doc_id"), F.explode(tagged).alias("x"))
         .select("doc_id", "x.f", "x.term")
         .groupBy("f", "doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    stats = postings.groupBy("f", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    # per-field token totals: one row per field (bounded by the number of
-    # fields), so broadcasting it is size-safe; no extra pass over the corpus
-    totals = F.broadcast(stats.groupBy("f").agg(F.sum("cf").alias("total")))
-    terms = stats.join(totals, "f").select(
-        "f",
-        "term",
-        "df",
-        (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
-        (F.col("cf") / F.col("total")).alias("p"),
-        (F.col("total") / F.lit(float(max(n_docs, 1)))).alias("avgd"),
-    )
-    docs = pairs.select("doc_id").distinct()
-    jpost = postings.join(docs, "doc_id", "left_semi")
-    norms = (
-        jpost.join(terms.select("f", "term", "idf"), ["f", "term"])
-        .groupBy("f", "doc_id")
-        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    )
-    lengths = (
-        corpus.join(docs.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
-        .select(F.col(id_col).alias("doc_id"), F.array(*[n_tokens(c) for c in fields]).alias("lens"))
-    )
-    qt = queries.select("qid", F.explode(F.array_distinct(tokens("query"))).alias("term")).join(
-        terms, "term"
-    )
-    cand = (
-        pairs.select("qid", "doc_id")
-        .join(qt, "qid")
-        .join(jpost, ["f", "doc_id", "term"], "left")
-        .join(lengths, "doc_id")
-        .join(norms, ["f", "doc_id"], "left")
-    )
-    if unique == "doc":
-        uniq = jpost.groupBy("f", "doc_id").agg(F.count(F.lit(1)).alias("u"))
-        cand = cand.join(uniq, ["f", "doc_id"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    elif unique == "df":
-        cand = cand.withColumn("u", F.col("df"))
-    else:
-        raise ValueError("unique must be 'df' or 'doc'")
-    avg = F.col("avgd")
-    tf = F.coalesce(F.col("tf"), F.lit(0)).cast("double")
-    d = F.element_at("lens", F.col("f") + 1).cast("double")
-    idf_c, p = F.col("idf"), F.col("p")
-    nonempty = d > 0
-    return cand.select(
-        "qid",
-        "doc_id",
-        "f",
-        tf.alias("tf"),
-        idf_c.alias("idf"),
-        F.when(tf > 0, tf * idf_c / F.col("norm")).otherwise(F.lit(0.0)).alias("tfidf"),
-        (idf_c * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / avg))).alias("bm25"),
-        F.when(
-            nonempty,
-            -F.log(F.greatest(tf - delta, F.lit(0.0)) / d + F.lit(delta) * F.col("u") / d * p),
-        ).otherwise(F.lit(0.0)).alias("lmir_abs"),
-        F.when(nonempty, -F.log((tf + mu * p) / (d + mu))).otherwise(F.lit(0.0)).alias("lmir_dir"),
-        F.when(nonempty, -F.log((1.0 - lam) * tf / d + lam * p)).otherwise(F.lit(0.0)).alias("lmir_jm"),
-    )
+    postings = written_table(counted, "field-postings")
+    stats = written_table(postings.groupBy("f", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "field-vocabulary")
+    totals = {r["f"]: r["total"] for r in stats.groupBy("f").agg(F.sum("cf").alias("total")).collect()}  # one row per field
+    total = F.lit(0.0)
+    for f, n in totals.items():
+        total = F.when(F.col("f") == f, F.lit(float(n))).otherwise(total)
+    return postings, stats.select("f", "term", "df", "cf", *term_weights(corpus.count(), total))
 
 
 def judged_features(
@@ -260,62 +187,55 @@ def judged_features(
     *,
     papers: DataFrame | None = None,
     id_col: str = "id",
+    paper_key: str = "paper_sha",
+    paper_ord: str | None = None,
     **params,
 ) -> DataFrame:
     """``qid, doc_id, relevance, features ARRAY<DOUBLE>`` for every
     judged (qid, doc) whose document exists; unknown documents are skipped.
 
-    ``judged`` has ``qid, query, doc_id, relevance``.  All text fields share
-    one tokenisation pass, one postings shuffle and one aggregate.
+    ``judged`` has ``qid, query, doc_id, relevance``; a pair judged twice gives two
+    rows with the same features.  With ``papers`` (keyed by ``paper_key``) numbers
+    are read from it, documents without a paper are skipped as well, and of
+    papers that repeat a key the one with the least ``paper_ord`` (else the least
+    value) counts.
     """
     specs = list(specs or default_specs())
-    known = judged.join(
-        corpus.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi"
-    ).select("qid", "query", "doc_id", "relevance")
-    pairs = known.select("qid", "doc_id")
-    queries = known.select("qid", "query").dropDuplicates(["qid"])
+    known = judged.join(corpus.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    known = known.select("qid", F.coalesce("query", F.lit("")).alias("query"), "doc_id", "relevance")
+    num_specs = [s for s in specs if s.kind == "num"]
+    if papers is not None:
+        types = dict(papers.dtypes)
+        numbers = papers.select(
+            F.col(paper_key).alias("doc_id"),
+            F.struct(*([F.col(paper_ord).alias("_ord")] if paper_ord else []), *[int_value(s.field, types[s.field]).cast("double").alias(f"num_{s.field}") for s in num_specs]).alias("n"),
+        ).groupBy("doc_id").agg(F.min("n").alias("n"))
+        known = known.join(numbers.select("doc_id"), "doc_id", "left_semi")
+    pairs = known.select(*PAIR).distinct()
 
     text_specs = [s for s in specs if s.kind == "text"]
     cols: dict[tuple[int, str], str] = {}
     out = known
     if text_specs:
-        contribs = _multi_field_contributions(
-            pairs,
-            queries,
-            corpus,
-            [s.field for s in text_specs],
-            id_col,
-            k1=params.get("k1", BM25_K1),
-            b=params.get("b", BM25_B),
-            lam=params.get("lam", JM_LAMBDA),
-            mu=params.get("mu", DIR_MU),
-            delta=params.get("delta", ABS_DELTA),
-            unique=params.get("unique", "df"),
-        )
+        postings, terms = field_postings(corpus, [s.field for s in text_specs], id_col)
+        contribs = _contributions(pairs, postings, terms, **params)
         aggs = []
         for i in range(len(text_specs)):
             for name in TEXT_FEATURES:
                 alias = f"t{i}_{name}"
                 cols[(i, name)] = alias
                 aggs.append(F.sum(F.when(F.col("f") == i, F.col(name))).alias(alias))
-        out = out.join(contribs.groupBy("qid", "doc_id").agg(*aggs), ["qid", "doc_id"], "left")
-
-    doc_cols = [F.col(id_col).alias("doc_id")]
-    for s in specs:
-        if s.kind == "len":
-            doc_cols.append(char_length(s.field).alias(f"len_{s.field}"))
-        elif s.kind == "num" and papers is None:
-            dtype = dict(corpus.dtypes)[s.field]
-            doc_cols.append(int_value(s.field, dtype).cast("double").alias(f"num_{s.field}"))
-    doc_feats = corpus.select(*doc_cols).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    out = out.join(doc_feats, "doc_id", "left")
+        out = out.join(contribs.groupBy(*PAIR).agg(*aggs), PAIR, "left")
+
+    doc_cols = [char_length(s.field).alias(f"len_{s.field}") for s in specs if s.kind == "len"]
+    if papers is None:
+        types = dict(corpus.dtypes)
+        doc_cols += [int_value(s.field, types[s.field]).cast("double").alias(f"num_{s.field}") for s in num_specs]
+    if doc_cols:
+        doc_feats = corpus.select(F.col(id_col).alias("doc_id"), *doc_cols).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        out = out.join(doc_feats, "doc_id", "left")
     if papers is not None:
-        num_cols = [F.col(id_col).alias("doc_id")]
-        for s in specs:
-            if s.kind == "num":
-                dtype = dict(papers.dtypes)[s.field]
-                num_cols.append(int_value(s.field, dtype).cast("double").alias(f"num_{s.field}"))
-        out = out.join(papers.select(*num_cols), "doc_id", "left")
+        out = out.join(numbers, "doc_id", "left").select("*", *[F.col(f"n.num_{s.field}") for s in num_specs])
 
     vec = []
     ti = 0
@@ -358,19 +278,11 @@ def search_top_k(queries: DataFrame, index: FieldIndex, k: int = 1, tie_decimals
     driver.  ``row_number() <= k`` is planned as a per-partition group limit
     before the shuffle, so a query with many matches never ships them all.
     """
-    from pyspark.sql import Window
-
-    scores = score_corpus(queries, index)
-    fallback_ids = [
-        r[0] for r in index.corpus.select(F.col(index.id_col)).orderBy(index.id_col).limit(k).collect()
-    ]
-    fallback = queries.select(
-        F.col("qid"), F.explode(F.array(*[F.lit(v) for v in fallback_ids])).alias("doc_id")
-    ).withColumn("score", F.lit(0.0))
-    # a fallback id that also matched keeps only its matched row
-    matched_fallback = scores.filter(F.col("doc_id").isin(fallback_ids)).select("qid", "doc_id")
-    fallback = fallback.join(matched_fallback, ["qid", "doc_id"], "left_anti")
-    cand = scores.unionByName(fallback)
+    first = index.corpus.select(F.col(index.id_col).alias("doc_id")).orderBy("doc_id").limit(k)
+    ids = [r[0] for r in first.collect()]
+    fallback = queries.select("qid", F.explode(F.array(*[F.lit(v) for v in ids])).alias("doc_id")).withColumn("score", F.lit(0.0))
+    # a fallback id that also matched has its own, positive score
+    cand = score_corpus(queries, index).unionByName(fallback).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
     # exact copies of a document must tie whatever order their terms were
     # summed in: rank on the score rounded to `tie_decimals`
     w = Window.partitionBy("qid").orderBy(F.round("score", tie_decimals).desc(), F.col("doc_id").asc())

@@ -1,6 +1,7 @@
 """Term statistics of one text field.
 
-Everything is a long table keyed by ``(doc_id, term)`` or ``term``; no matrix
+The corpus is tokenised once per index: the postings are written to the shared
+folder and every statistic is read from them.  Everything is a long table keyed by ``(doc_id, term)`` or ``term``; no matrix
 or dense vocabulary is ever built.  Corpus-wide scalars (``N``, total tokens,
 mean length) are computed once, in one aggregate, and enter the plans as literals.
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens, tokens
+from ..session import written_table
 
 
 def tokenize(corpus: DataFrame, field: str, id_col: str = "id") -> DataFrame:
@@ -41,61 +43,38 @@ class FieldIndex:
     ``terms``     term, df, cf, idf, p, avgd   (the vocabulary, E3/E4/E7)
     ``n_docs``    N (empty documents included; parquet footers, no scan)
 
-    The corpus token total enters ``terms`` through a one-row aggregate of
-    the vocabulary (broadcast: exactly one row), so building an index costs
-    no extra pass over the corpus.  ``total`` / ``avg_len`` as plan literals
-    are computed on first use only.
+    ``total``     the field's number of tokens (one number, from the vocabulary)
     """
 
-    def __init__(self, field: str, corpus: DataFrame, id_col: str, scalars: tuple[int, int] | None = None):
+    def __init__(self, field: str, corpus: DataFrame, id_col: str):
         self.field, self.corpus, self.id_col = field, corpus, id_col
-        self._scalars = scalars
-        n = scalars[0] if scalars else corpus.count()
-        self._n = n
+        n = corpus.count()
         self.n_docs = F.lit(n).cast("bigint")
-        self.postings = term_counts(corpus, field, id_col)
-        stats = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        # one-row aggregate, joined on a constant key as a broadcast hash join
-        tot = F.broadcast(stats.agg(F.sum("cf").alias("_total")).withColumn("_k", F.lit(0)))
-        self.terms = stats.withColumn("_k", F.lit(0)).join(tot, "_k").select(
-            "term",
-            "df",
-            "cf",
-            # Smooth idf ln((1+N)/(1+df)) + 1
-            (F.log((F.lit(1.0) + self.n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
-            # Collection probability cf / total tokens
-            (F.col("cf") / F.col("_total")).alias("p"),
-            (F.col("_total") / F.lit(float(max(n, 1)))).alias("avgd"),
-        )
-
-    def _tot(self) -> int:
-        if self._scalars is None:
-            self._scalars = corpus_scalars(self.corpus, [self.field])[self.field]
-        return self._scalars[1]
-
-    @property
-    def total(self) -> Column:
-        return F.lit(self._tot()).cast("bigint")
-
-    @property
-    def avg_len(self) -> Column:
-        return F.lit(self._tot() / self._n if self._n else 0.0)
+        self.postings = written_table(term_counts(corpus, field, id_col), "postings")
+        stats = written_table(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "vocabulary")
+        tokens_in_field = stats.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+        self.total = F.lit(tokens_in_field).cast("bigint")
+        self.avg_len = F.lit(tokens_in_field / n if n else 0.0)
+        self.terms = stats.select("term", "df", "cf", *term_weights(n, tokens_in_field))
 
     def doc_length(self) -> DataFrame:
         return doc_length(self.corpus, self.field, self.id_col)
 
 
-def corpus_scalars(corpus: DataFrame, fields: list[str]) -> dict[str, tuple[int, int]]:
-    """``{field: (N, total tokens)}`` for several fields in one aggregate job
-    (two numbers per field reach the driver; they become plan literals)."""
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(n_tokens(f)).alias(f"t{i}") for i, f in enumerate(fields)]
-    r = corpus.agg(*aggs).first()
-    n = int(r["n"])
-    return {f: (n, int(r[f"t{i}"] or 0)) for i, f in enumerate(fields)}
+def term_weights(n_docs: int, total) -> list[Column]:
+    """``idf, p, avgd`` of a vocabulary row (df, cf); ``total``: tokens of the field (a number or a column)."""
+    total = total if isinstance(total, Column) else F.lit(float(total))
+    return [
+        # Smooth idf ln((1+N)/(1+df)) + 1
+        (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
+        # Collection probability cf / total tokens
+        (F.col("cf") / total).alias("p"),
+        (total / F.lit(float(max(n_docs, 1)))).alias("avgd"),
+    ]
 
 
-def field_index(corpus: DataFrame, field: str, id_col: str = "id", scalars: tuple[int, int] | None = None) -> FieldIndex:
-    return FieldIndex(field, corpus, id_col, scalars)
+def field_index(corpus: DataFrame, field: str, id_col: str = "id") -> FieldIndex:
+    return FieldIndex(field, corpus, id_col)
 
 
 def vocabulary(index: FieldIndex) -> DataFrame:

@@ -96,7 +96,7 @@ def _text_feature(name: str) -> Query:
     def q(spark, sf):
         corpus, known = _known(spark, sf)
         ix = TS.field_index(corpus, "paperAbstract")
-        queries = known.select("qid", "query").dropDuplicates(["qid"])
+        queries = known.select("qid", "query").distinct()
         tf = FT.text_features(known.select("qid", "doc_id"), queries, ix)
         return tf.select("qid", "doc_id", rnd(name).alias(name))
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -56,3 +57,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder under the shared directory and read back:
+    it is computed once, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -59,3 +59,30 @@ def test_text_features_edge_cases(spark):
             assert all(abs(g - e) < 1e-9 for g, e in zip(got[d], exp[d])), (query, d, got[d], exp[d])
     # repeated query term counts once
     assert brute(docs, "a1 a1")[1] == brute(docs, "a1")[1]
+
+
+def test_repeated_judgements_two_texts_and_papers(spark):
+    docs = {1: "a1 b2 b2 c3 café", 2: "", 3: "c3 c3 x_1 a1", 4: "zz yy"}
+    corpus = spark.createDataFrame([(k, v) for k, v in docs.items()], "id long, paperAbstract string")
+    specs = [FeatureSpec("text", "paperAbstract"), FeatureSpec("num", "n_citations")]
+    judged = spark.createDataFrame(
+        [(1, "a1 c3", 1, 1.0), (1, "a1 c3", 1, 0.0), (1, "zz", 1, 1.0), (1, "zz", 4, 1.0), (2, None, 3, 1.0), (2, "c3", 2, 1.0)],
+        "qid long, query string, doc_id long, relevance double",
+    )
+    papers = spark.createDataFrame([(1, 0, 5), (1, 1, 9), (3, 2, 7), (4, 3, None), (8, 4, 1)], "paper_sha long, doc_idx long, n_citations int")
+    got = judged_features(judged, corpus, specs, papers=papers, paper_ord="doc_idx").collect()
+    assert len(got) == 5  # document 2 is in no paper
+    texts = {"a1 c3": brute(docs, "a1 c3"), "zz": brute(docs, "zz")}
+    ones = sorted(tuple(round(x, 9) for x in r.features[:7]) for r in got if r.doc_id == 1)
+    want = sorted(tuple(round(x, 9) for x in texts[t][1]) for t in ("a1 c3", "a1 c3", "zz"))
+    assert ones == want
+    assert {r.doc_id: r.features[7] for r in got} == {1: 5.0, 3: 7.0, 4: None}
+    assert [r.features[:7] for r in got if r.doc_id == 3] == [[0.0] * 7]
+
+
+def test_documents_are_tokenised_once(spark):
+    corpus = spark.createDataFrame([(1, "a1 b2"), (2, "b2")], "id long, paperAbstract string")
+    judged = spark.createDataFrame([(1, "a1", 1, 1.0)], "qid long, query string, doc_id long, relevance double")
+    plan = judged_features(judged, corpus, [FeatureSpec("text", "paperAbstract")])._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Generate explode.*paperAbstract", plan)  # words of documents come from the written postings
+    assert "Cartesian" not in plan
