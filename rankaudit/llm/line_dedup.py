@@ -15,11 +15,12 @@ length filter, the positional filter and a 64-bit parity filter (each word in
 which two sets differ flips one bit, so the parities cannot differ in more bits
 than the sets do in words).  What is left is verified on the full sets.
 
-Prefix words under which only one set stands are dropped by their exact counts.  Under
-words with fewer than ``BUSY`` sets all pairs are compared, at most BUSY^2 / 2 a word.
-Under busier words, as groups of thousands of similar lines make them, every set is
-first compared with the earliest one only; what that removes is not compared
-again, and what is left is compared with every set under the word.
+Prefix words under which only one set stands are left out by a bitmap of the counted
+words (2**SLOT_BITS bits; a word that shares its bit with another stays, which does
+no harm).  Under busy words (``BUSY`` sets or more), as groups of thousands of similar
+lines make them, every set is first compared with the earliest one only.  What that
+removes is not compared again; what is left is compared with every earlier set it
+meets under any word.
 
 Defined cases: a null text counts as empty and stays null; a line without words
 is never removed; rows that agree in id and text are one document and get the
@@ -38,10 +39,9 @@ from rankaudit.llm.store import written
 
 BUCKET_BITS = 18
 BUSY = 16
+SLOT_BITS = 24
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
-SMALL = 500_000
-#: The same for the table of word counts (12 bytes a row).
-SMALL_WORDS = 2_000_000
+SMALL = 400_000
 HASH_BITS = 56  # under the 7 bits of the rarity level
 BLANKS = r"[\x09\x0B-\x0D]"
 
@@ -96,59 +96,48 @@ def line_table(docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
     return sets.select("doc_id", "doc", "line", "s.*")
 
 
-def _need(threshold: float) -> Column:
-    """Words that two sets of a_n and b_n words share at least if they are similar."""
-    return F.ceil((F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9)
-
-
 def _may_match(threshold: float) -> Column:
-    """Length, index-prefix, positional and parity filters of rows a (the smaller set) and b under one word."""
-    index_prefix = F.col("a_n") - F.ceil(F.col("a_n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
-    left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
-    return (
-        (F.col("a_n") >= F.col("b_n") * threshold - 1e-9) & (F.col("a_i") + F.least("b_i", F.lit(0)) < index_prefix)
-        & (left >= _need(threshold)) & (apart <= F.col("a_n") + F.col("b_n") - 2 * _need(threshold))
-    )
-
-
-def _ordered() -> Column:
-    """a is the smaller set, of equal sizes the one with the smaller sid."""
-    return (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_sid") < F.col("b_sid")))
+    """Length, index-prefix, positional and parity filters of rows x and y under one
+    word, each with n, i and parity."""
+    n, m = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    need = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+    index_prefix = n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    smaller_i = F.when(F.col("x_n") < F.col("y_n"), F.col("x_i")).when(F.col("x_n") > F.col("y_n"), F.col("y_i")).otherwise(F.least("x_i", "y_i"))
+    left = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
+    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
+    return (n >= m * threshold - 1e-9) & (smaller_i < index_prefix) & (left >= need) & (apart <= n + m - 2 * need)
 
 
 def _as(side: str, rows: DataFrame) -> DataFrame:
-    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in ("sid", "n", "i", "parity")])
+    return rows.select("word", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "word"])
 
 
-def _small(rows: DataFrame, bound: int = SMALL) -> DataFrame:
+def _small(rows: DataFrame) -> DataFrame:
     """``rows`` marked for broadcast if they are few."""
-    return F.broadcast(rows) if rows.count() <= bound else rows
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """Of the pairs (x, y) of set ids whose full sets are similar, the id of the set that came first later."""
-    pairs = written(pairs.distinct(), "line-pairs")
-    sids = _small(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct())
-    places = firsts.select("sid", "doc_id", "doc", "line").join(sids, "sid")
-    held = written(places.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line", "sid")).alias("asked")), "line-places")
+    """The sets x of ``pairs`` (x, y) whose words are similar to those of some y."""
+    pairs = written(pairs, "line-pairs")
+    ids = _small(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    places = firsts.select("id", "doc_id", "doc", "line").join(ids, "id")
+    held = written(places.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line", "id")).alias("asked")), "line-places")
     d = docs.select(F.col("doc_id").alias("d_id"), F.col("text"), _doc_hash().alias("d"))
     texts = d.join(_small(held), F.col("d_id").eqNullSafe(F.col("doc_id")) & F.col("d").eqNullSafe(F.col("doc")))
-    asked = texts.select("doc_id", "doc", _lines().alias("t"), F.explode("asked").alias("a"))
-    sets = asked.select(F.col("a.sid").alias("sid"), F.struct("doc_id", "doc", F.col("a.line")).alias("at"), word_set(F.get("t", F.col("a.line")), levels).alias("s"))
-    sets = written(sets.dropDuplicates(["sid"]), "line-sets")  # rows may repeat a document
-    x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns]) for side in "xy")
-    both = pairs.join(x, F.col("x") == F.col("x_sid")).join(y, F.col("y") == F.col("y_sid"))
+    asked = texts.select(_lines().alias("t"), F.explode("asked").alias("a"))
+    sets = written(asked.select(F.col("a.id").alias("id"), word_set(F.get("t", F.col("a.line")), levels).alias("s")), "line-sets")
+    if sets.count() > sets.select("id").distinct().count():  # rows repeat a document
+        sets = sets.dropDuplicates(["id"])
+    x, y = (sets.select(F.col("id").alias(c), F.col("s").alias(f"{c}_s")) for c in "xy")
+    both = x.join(_small(pairs), "x").join(y, "y")
     shared = F.size(F.array_intersect("x_s", "y_s"))
     similar = both.where(shared >= threshold * (F.size("x_s") + F.size("y_s") - shared) - 1e-9)
-    return written(similar.select(F.when(F.col("x_at") < F.col("y_at"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct(), "line-later")
+    return written(similar.select(F.col("x").alias("id")).distinct(), "line-gone")
 
 
-def _pairs(one: DataFrame, two: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of sets that meet under a word and pass the filters; x from ``one`` is the smaller."""
-    # part of the join, not of one side: both sides then read the same shuffled rows
-    met = _as("a", one).join(_as("b", two), "word").where(_ordered() & _may_match(threshold))
-    return met.select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y"))
+def _slot(word: Column) -> Column:
+    return F.shiftright(word, 31 - SLOT_BITS)
 
 
 def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -159,26 +148,32 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     levels = rarity_levels(docs)
     lines = written(line_table(docs, levels, threshold), "lines")
     first = lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "prefix")).alias("f"))
-    firsts = written(first.select("sid", "f.*"), "line-firsts")
-    rows = firsts.select("sid", "n", "parity", "doc_id", "doc", "line", F.posexplode("prefix").alias("i", "word"))
-    counts = written(rows.groupBy("word").agg(F.count("*").alias("sets")).where("sets > 1"), "line-words")
-    met = written(rows.join(_small(counts, SMALL_WORDS), "word"), "line-met")
-    quiet = met.where(F.col("sets") < BUSY)
-    busy = met.where(F.col("sets") >= BUSY).select("word", "sid", "n", "i", "parity", F.struct("doc_id", "doc", "line").alias("at"))
-    pairs = _pairs(quiet, quiet, threshold)
-    earliest = busy.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "i", "parity")).alias("e"))
-    starred = busy.join(_small(written(earliest, "line-pivots")), "word").where("sid <> e.sid")
-    swap = (F.col("e.n") < F.col("n")) | ((F.col("e.n") == F.col("n")) & (F.col("e.sid") < F.col("sid")))
-    fields = ("sid", "n", "i", "parity")
-    sides = [F.when(swap, F.col(f"e.{c}")).otherwise(F.col(c)).alias(f"a_{c}") for c in fields]
-    sides += [F.when(swap, F.col(c)).otherwise(F.col(f"e.{c}")).alias(f"b_{c}") for c in fields]
-    pairs = pairs.union(starred.select(*sides).where(_may_match(threshold)).select(F.col("a_sid").alias("x"), F.col("b_sid").alias("y")))
-    gone = verified(pairs, firsts, docs, levels, threshold)
-    left = written(busy.join(_small(gone), "sid", "left_anti"), "line-left")
-    rest = _pairs(busy, left, threshold).union(_pairs(left, busy, threshold))
-    gone = gone.union(verified(rest, firsts, docs, levels, threshold)).distinct()
-
-    fate = firsts.select("sid", F.struct("doc_id", "doc", "line").alias("at")).join(gone.withColumn("gone", F.lit(True)), "sid", "left")
+    # ids in the order of the first places: a smaller id is an earlier line
+    ordered = first.select("sid", "f.*").orderBy("doc_id", "doc", "line").withColumn("id", F.monotonically_increasing_id())
+    firsts = written(ordered, "line-firsts")
+    every = firsts.select("id", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+    counts = written(every.groupBy("word").agg(F.count("*").alias("sets")).where("sets > 1"), "line-words")
+    bits = counts.select(F.shiftright(_slot(F.col("word")), 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), _slot(F.col("word")).bitwiseAND(63)).alias("bit"))
+    bitmap = ["0"] * (1 << (SLOT_BITS - 6))
+    for at, bit in bits.groupBy("at").agg(F.bit_or("bit")).collect():
+        bitmap[at] = str(bit)
+    here = F.get(F.split(F.lit(",".join(bitmap)), ",").cast("array<bigint>"), F.shiftright(_slot(F.col("word")), 6))
+    rows = every.where(F.call_function("shiftright", here, _slot(F.col("word")).bitwiseAND(63)).bitwiseAND(1) == 1)
+
+    busy = rows.join(_small(counts.where(F.col("sets") >= BUSY).select("word")), "word")
+    earliest = busy.groupBy("word").agg(F.min(F.struct("id", "n", "i", "parity")).alias("e")).select("word", "e.*")
+    starred = _as("x", busy).join(_small(written(_as("y", earliest), "line-pivots")), "word").where("y_id < x_id").where(_may_match(threshold))
+    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
+    nearest = starred.groupBy("x_id").agg(F.min(F.struct(apart.alias("apart"), "y_id")).alias("p"))
+    gone = verified(nearest.select(F.col("x_id").alias("x"), F.col("p.y_id").alias("y")), firsts, docs, levels, threshold)
+
+    open_rows = rows.join(_small(gone.withColumn("gone", F.lit(1))), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    # x still there; stated over both sides so that they read the same shuffled rows
+    still = (F.col("x_gone") + F.least("y_n", F.lit(0))) == 0
+    met = _as("x", open_rows).join(_as("y", open_rows), "word").where((F.col("y_id") < F.col("x_id")) & still & _may_match(threshold))
+    gone = gone.union(verified(met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), firsts, docs, levels, threshold))
+
+    fate = firsts.select("sid", "id", F.struct("doc_id", "doc", "line").alias("at")).join(gone.withColumn("gone", F.lit(True)), "id", "left").drop("id")
     told = lines.select("doc_id", "doc", "line", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(fate, "sid", "left")
     dropped = F.col("at").isNotNull() & (F.coalesce("gone", F.lit(False)) | ~_same_place())
     return told.groupBy("doc_id", "doc").agg(
