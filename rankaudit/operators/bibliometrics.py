@@ -35,50 +35,72 @@ def papers(corpus: DataFrame) -> DataFrame:
     )
 
 
-def paper_authors(corpus: DataFrame, keep_raw: bool = False) -> DataFrame:
+def paper_authors(corpus: DataFrame, keep_raw: bool = False, ord_col: str | None = None) -> DataFrame:
     """One row per (paper, author position, id); position from 1.
 
-    Authors with an empty id list yield no row; duplicate ids are kept.
+    Authors with an empty or null id list yield no row; duplicate ids are kept.
     ``corpus_author_id`` is the id parsed as BIGINT (null when not numeric).
+    ``keep_raw`` adds what the author tables need: the name, the paper's incoming
+    citations, the place of first sight (``ord_col`` of the corpus, else its id) and
+    the raw id where it is not numeric.
     """
-    a = corpus.select(F.col("id").alias("paper_sha"), F.posexplode("authors").alias("apos", "author"))
+    seen = F.col(ord_col if ord_col else "doc_idx" if "doc_idx" in corpus.columns else "id")
+    a = corpus.select(
+        F.col("id").alias("paper_sha"),
+        seen.alias("seen"),
+        F.coalesce(F.size("inCitations"), F.lit(0)).cast("int").alias("n_key_citations") if "inCitations" in corpus.columns else F.lit(0).alias("n_key_citations"),
+        F.posexplode("authors").alias("apos", "author"),
+    )
     b = a.select(
         "paper_sha",
+        "seen",
+        "n_key_citations",
         (F.col("apos") + 1).cast("int").alias("position"),
         F.col("author.name").alias("name"),
-        F.posexplode("author.ids").alias("id_pos", "raw_id"),
+        F.posexplode("author.ids").alias("id_pos", "raw"),
     )
-    out = b.select(
-        "paper_sha",
-        F.col("raw_id").try_cast("bigint").alias("corpus_author_id"),
-        "position",
-        "name",
-        "id_pos",
+    out = b.withColumn("corpus_author_id", F.col("raw").try_cast("bigint"))
+    if not keep_raw:
+        return out.select("paper_sha", "corpus_author_id", "position")
+    return out.select(
+        "paper_sha", "corpus_author_id", "position", "name", "n_key_citations", F.struct("seen", "position", "id_pos").alias("at"),
+        F.when(F.col("corpus_author_id").isNull(), F.col("raw")).alias("raw_id"),
     )
-    if keep_raw:
-        return out
-    return out.select("paper_sha", "corpus_author_id", "position")
 
 
-def _links_with_citations(corpus: DataFrame) -> DataFrame:
-    links = paper_authors(corpus, keep_raw=True)
-    cites = papers(corpus).select("paper_sha", "n_key_citations")
-    return links.join(cites, "paper_sha")
+AUTHOR = ["corpus_author_id", "raw_id"]  # ids that are not numbers stay apart by their text
+
 
+def _author_histogram(links: DataFrame) -> DataFrame:
+    """Per author and citation count: ``n`` links, ``at_least`` links with as many
+    citations or more, the name of the first link and its place.  Its size is an
+    author's distinct citation counts, so the window spans no papers."""
+    hist = links.groupBy(*AUTHOR, "n_key_citations").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.min_by("name", "at").alias("name")
+    )
+    w = Window.partitionBy(*AUTHOR).orderBy(F.col("n_key_citations").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return hist.withColumn("at_least", F.sum("n").over(w))
+
+
+def _author_aggregate(corpus: DataFrame, ord_col: str | None = None) -> DataFrame:
+    cites = F.col("n_key_citations").cast("bigint")
+    return _author_histogram(paper_authors(corpus, keep_raw=True, ord_col=ord_col)).groupBy(*AUTHOR).agg(
+        F.min_by("name", "at").alias("name"),
+        F.sum(cites * F.col("n")).cast("bigint").alias("num_citations"),
+        F.sum("n").cast("bigint").alias("num_papers"),
+        F.coalesce(F.sum(F.when(cites >= I10_THRESHOLD, F.col("n"))), F.lit(0)).cast("bigint").alias("i10"),
+        F.max(F.least(cites, F.col("at_least"))).cast("int").alias("h_index"),
+    )
 
-def author_profile(corpus: DataFrame) -> DataFrame:
+
+def author_profile(corpus: DataFrame, ord_col: str | None = None) -> DataFrame:
     """``corpus_author_id, name, num_citations, num_papers, i10``.
 
-    name = first seen (lowest paper id, then position, then id position);
-    an id repeated within a paper counts twice.
+    name = first seen (lowest paper ordinal, then position, then id position);
+    an id repeated within a paper counts twice; a null id is one author, every id
+    that is no number one of its own (with a null ``corpus_author_id``).
     """
-    lc = _links_with_citations(corpus)
-    return lc.groupBy("corpus_author_id").agg(
-        F.min_by("name", F.struct("paper_sha", "position", "id_pos")).alias("name"),
-        F.sum("n_key_citations").cast("bigint").alias("num_citations"),
-        F.count(F.lit(1)).alias("num_papers"),
-        F.count_if(F.col("n_key_citations") >= I10_THRESHOLD).alias("i10"),
-    )
+    return _author_aggregate(corpus, ord_col).select("corpus_author_id", "name", "num_citations", "num_papers", "i10")
 
 
 def h_index_from(links: DataFrame, author: str = "corpus_author_id", cites: str = "n_key_citations") -> DataFrame:
@@ -93,7 +115,7 @@ def h_index_from(links: DataFrame, author: str = "corpus_author_id", cites: str
 
 def author_h_index(corpus: DataFrame) -> DataFrame:
     """C4: ``corpus_author_id, h_index``."""
-    return h_index_from(_links_with_citations(corpus))
+    return _author_aggregate(corpus).select("corpus_author_id", "h_index")
 
 
 def h_class(h: str = "h_index", threshold: int = H_CLASS_THRESHOLD):
@@ -101,13 +123,11 @@ def h_class(h: str = "h_index", threshold: int = H_CLASS_THRESHOLD):
     return F.when(F.col(h) >= threshold, F.lit("H")).otherwise(F.lit("L"))
 
 
-def authors_table(corpus: DataFrame, threshold: int = H_CLASS_THRESHOLD) -> DataFrame:
-    """The authors table: profile + h_index + h_class (one row per author id)."""
-    return (
-        author_profile(corpus)
-        .join(author_h_index(corpus), "corpus_author_id")
-        .withColumn("h_class", h_class(threshold=threshold))
-        .select("corpus_author_id", "name", "num_citations", "num_papers", "i10", "h_index", "h_class")
+def authors_table(corpus: DataFrame, threshold: int = H_CLASS_THRESHOLD, ord_col: str | None = None) -> DataFrame:
+    """The authors table: profile + h_index + h_class (one row per author id), from
+    one aggregate."""
+    return _author_aggregate(corpus, ord_col).withColumn("h_class", h_class(threshold=threshold)).select(
+        "corpus_author_id", "name", "num_citations", "num_papers", "i10", "h_index", "h_class"
     )
 
 

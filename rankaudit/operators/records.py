@@ -55,15 +55,16 @@ def paper_author_set(corpus: DataFrame, authors: DataFrame, ragged_ids: str = "k
     ``ragged_ids='drop'`` a paper whose authors have id lists of different
     lengths contributes no author (the reference's quirk).
     """
+    ids_of = lambda a: F.coalesce(a["ids"], F.array().cast("array<string>"))  # noqa: E731  a null list is an empty one
     c = corpus
     if ragged_ids == "drop":
-        sizes = F.transform("authors", lambda a: F.size(a["ids"]))
+        sizes = F.transform("authors", lambda a: F.size(ids_of(a)))
         c = c.filter((F.size("authors") == 0) | (F.array_min(sizes) == F.array_max(sizes)))
     elif ragged_ids != "keep":
         raise ValueError("ragged_ids must be 'keep' or 'drop'")
     ids = c.select(
         F.col("id").alias("paper_sha"),
-        F.explode(F.flatten(F.transform("authors", lambda a: a["ids"]))).alias("raw"),
+        F.explode(F.flatten(F.transform("authors", ids_of))).alias("raw"),
     )
     s = (
         ids.filter(F.col("raw").isNotNull())

@@ -242,9 +242,9 @@ def bib_sql() -> dict[str, str]:
         "judged_doc_ids": with_([QUERIES, JUDGED], "SELECT DISTINCT doc_id FROM judged"),
         "corpus_ids": "SELECT o_orderkey AS doc_id FROM orders",
         "missing_doc_ids": with_([QUERIES, JUDGED], "SELECT DISTINCT doc_id FROM judged j "
-                                 "WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = j.doc_id)"),
+                                 "WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = j.doc_id AND o.o_orderstatus = 'F')"),
         "selection_counts": with_([QUERIES, JUDGED], "SELECT count(DISTINCT doc_id) AS total, "
-                                  "count(DISTINCT doc_id) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = j.doc_id)) AS missing "
+                                  "count(DISTINCT doc_id) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = j.doc_id AND o.o_orderstatus = 'F')) AS missing "
                                   "FROM judged j"),
         "reshape_api_records": with_(b, "SELECT CAST(id AS VARCHAR) AS id, title, year, venue, venue AS journalName, "
                                      "CAST(id AS VARCHAR) AS s2id, n_in, n_out, CAST(author_id AS VARCHAR) AS first_author "

@@ -257,12 +257,12 @@ def q_corpus_ids(spark, sf):
 
 @register("missing_doc_ids")
 def q_missing_doc_ids(spark, sf):
-    return ING.missing_doc_ids(A.judgements(spark, sf), A.bib_corpus(spark, sf).select("id"))
+    return ING.missing_doc_ids(A.judgements(spark, sf), A.fetched_corpus(spark, sf))
 
 
 @register("selection_counts")
 def q_selection_counts(spark, sf):
-    return ING.selection_counts(A.judgements(spark, sf), A.bib_corpus(spark, sf).select("id"))
+    return ING.selection_counts(A.judgements(spark, sf), A.fetched_corpus(spark, sf))
 
 
 @register("reshape_api_records")
@@ -586,7 +586,7 @@ def q_ranking_text_roundtrip(spark, sf):
     IO.write_ranking_text(jf, base + "/ranking")
     IO.write_linker(jf, base + "/linker")
     jf.unpersist()
-    back = IO.read_ranking_text(spark, base + "/ranking", n_features=25)
+    back = IO.read_ranking_text(spark, base + "/ranking", n_features=25, zero_based=True)
     link = IO.read_linker(spark, base + "/linker")
     j = back.join(link, back.ord == link.libsvm_id)
     return j.select(

@@ -173,6 +173,11 @@ STATUS_BY_ORDER_STATUS = (("F", 200), ("O", 429))
 STATUS_OTHER = 404
 
 
+def fetched_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` of the records fetched so far: finished orders (about half of the judged ids are missing)."""
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+
+
 def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed API responses ``doc_id STRING, status_code INT, body STRING``
     serialised from the bibliographic records (one per order)."""

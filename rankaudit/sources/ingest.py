@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .schemas import API_PAPER, CORPUS
 
@@ -42,10 +41,12 @@ def selection_counts(judgements: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def route_responses(landed: DataFrame) -> DataFrame:
-    """Add ``route``: 'corpus' (200), 'retry' (403/429) or 'error'."""
+    """Add ``route``: 'corpus' (200 with a record in the body), 'retry' (403/429) or
+    'error' (also a 200 whose body is no record)."""
+    usable = F.from_json("body", API_PAPER)["paperId"].isNotNull()
     return landed.withColumn(
         "route",
-        F.when(F.col("status_code") == 200, F.lit("corpus"))
+        F.when((F.col("status_code") == 200) & usable, F.lit("corpus"))
         .when(F.col("status_code").isin(*RETRY_CODES), F.lit("retry"))
         .otherwise(F.lit("error")),
     )
@@ -61,7 +62,7 @@ def reshape_api_records(landed: DataFrame, citations_to: str = "in") -> DataFram
     """
     ok = landed.filter(F.col("status_code") == 200).select(
         F.col("doc_id").cast("string").alias("req_id"), F.from_json("body", API_PAPER).alias("r")
-    )
+    ).where(F.col("r.paperId").isNotNull())
     refs = F.transform(F.coalesce(F.col("r.references"), F.array()), lambda x: x["paperId"])
     cits = F.transform(F.coalesce(F.col("r.citations"), F.array()), lambda x: x["paperId"])
     empty = F.array().cast("array<string>")
@@ -101,19 +102,3 @@ def reshape_api_records(landed: DataFrame, citations_to: str = "in") -> DataFram
         "entities": empty,
     }
     return ok.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in CORPUS.fields])
-
-
-def api_body(df: DataFrame) -> F.Column:
-    """Helper for fixtures: serialise columns into an API-style JSON body."""
-    return F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-
-
-__all__ = [
-    "judged_doc_ids",
-    "corpus_ids",
-    "missing_doc_ids",
-    "selection_counts",
-    "route_responses",
-    "reshape_api_records",
-    "T",
-]

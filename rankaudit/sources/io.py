@@ -6,8 +6,8 @@ svmlight variant the reference writes: ``"{rel} qid:{qid} 0:v 1:v …"`` with
 Spark's ``libsvm`` source is 1-based and has no ``qid``, so the format is
 parsed with SQL string functions.  Row order matters for this format (the
 linker matches feature rows to documents by line number): writers sort by the
-ordinal, the reader numbers lines with ``zipWithIndex`` over the text splits,
-which follow file and offset order.
+ordinal, the reader numbers lines by file, block of the file and place in the
+block.
 """
 
 from __future__ import annotations
@@ -30,9 +30,13 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS) -
 
 
 # A2
-def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """csv with a header line (pandas-style quoting, multi-line titles)."""
-    r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False, strict: bool = False) -> DataFrame:
+    """csv with a header line (pandas-style quoting).  ``multi_line`` allows line ends
+    inside quotes, at the price of one task per file; ``strict`` makes a value that
+    does not parse an error instead of null."""
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    if strict:
+        r = r.option("mode", "FAILFAST")
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -120,17 +124,35 @@ def write_linker(rows: DataFrame, path: str, doc: str = "doc_id") -> None:
     ).option("header", True).csv(path)
 
 
-def read_linker(spark: SparkSession, path: str) -> DataFrame:
-    return read_table_csv(spark, path, LINKER)
+def read_linker(spark: SparkSession, path: str, doc_type: str = "bigint") -> DataFrame:
+    """``libsvm_id, document_id`` with document ids of ``doc_type``; an id of another type is an error."""
+    schema = T.StructType([LINKER["libsvm_id"], T.StructField("document_id", T.StructType.fromDDL(f"x {doc_type}")["x"].dataType)])
+    return read_table_csv(spark, path, schema, strict=True)
 
 
 # A7
-def read_ranking_text(spark: SparkSession, path: str, n_features: int | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, ord``: the lines of text files by file name, block and place.  Rows of a
+    block are read in order by one task, so a line's place is its distance from the
+    block's first; only one row per block is ordered."""
+    at = ["file", "block"]
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seen"),
+    )
+    blocks = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
+    before = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*at, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return lines.join(blocks, at).select("line", (F.col("offset") + F.col("seen") - F.col("first")).alias("ord"))
+
+
+def read_ranking_text(spark: SparkSession, path: str, n_features: int | None = None, zero_based: bool | None = None) -> DataFrame:
     """``ord, rel, qid, features ARRAY<DOUBLE>`` (absent index -> 0.0).
 
-    Indices are 0-based when any index 0 occurs, else 1-based (the svmlight
-    reader's "auto" rule); the width is max index + 1 unless given."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF(["line", "ord"])
+    ``zero_based=None``: indices are 0-based when any index 0 occurs, else 1-based
+    (the svmlight reader's "auto" rule); files of ``write_ranking_text`` are 0-based
+    even if feature 0 is null everywhere.  The width is max index + 1 unless given."""
+    lines = numbered_lines(spark, path)
     parts = lines.select("ord", F.split("line", " ").alias("t"))
     kv = F.filter(F.slice("t", 3, 1 << 30), lambda x: x != "")
     parsed = parts.select(
@@ -147,7 +169,7 @@ def read_ranking_text(spark: SparkSession, path: str, n_features: int | None = N
     idx = parsed.select(F.explode("kv.k").alias("k")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
     lo = 0 if idx["lo"] is None else int(idx["lo"])
     hi = -1 if idx["hi"] is None else int(idx["hi"])
-    base = 0 if lo == 0 else 1
+    base = (0 if lo == 0 else 1) if zero_based is None else 0 if zero_based else 1
     width = n_features if n_features is not None else hi - base + 1
     m = F.map_from_entries(F.transform("kv", lambda e: F.struct((e["k"] - base).alias("k"), e["v"].alias("v"))))
     return parsed.select(
@@ -182,12 +204,12 @@ def load_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_model(spark: SparkSession, model, path: str) -> None:
-    """One row ``weights, intercept, iterations, grad_norm, objective, means, stds``."""
+    """One row ``weights, intercept, iterations, grad_norm, objective, converged, means, stds``."""
     schema = (
-        "weights array<double>, intercept double, iterations int, grad_norm double, objective double, "
+        "weights array<double>, intercept double, iterations int, grad_norm double, objective double, converged boolean, "
         "means array<double>, stds array<double>"
     )
-    row = (model.weights, model.intercept, model.iterations, model.grad_norm, model.objective, model.means, model.stds)
+    row = (model.weights, model.intercept, model.iterations, model.grad_norm, model.objective, model.converged, model.means, model.stds)
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
@@ -195,7 +217,9 @@ def load_model(spark: SparkSession, path: str):
     from ..operators.ranksvm import RankModel
 
     r = spark.read.parquet(path).first()
-    return RankModel(list(r["weights"]), r["intercept"], r["iterations"], r["grad_norm"], r["objective"], r["means"], r["stds"])
+    return RankModel(
+        list(r["weights"]), r["intercept"], r["iterations"], r["grad_norm"], r["objective"], r["converged"], means=r["means"], stds=r["stds"]
+    )
 
 
 # A12

@@ -4,9 +4,10 @@ The reference appends newly fetched judged documents to its jsonl corpus and
 skips ids already present.  Here landed API responses arrive as files
 (``doc_id, status_code, body`` json lines, written by any fetcher); each
 micro-batch is routed (B6), reshaped (B5) and appended (A10) after an
-anti-join against the ids already in the corpus (B3), so a replayed batch
-after a failure never duplicates a record.  Retry/error responses go to their
-own sinks for the fetcher to pick up.  Progress is tracked in a checkpoint
+anti-join against the ids already in the corpus (B3); retry and error responses
+go to their own sinks for the fetcher to pick up, each batch to a folder of its
+own that a replay overwrites.  So a batch replayed after a failure adds nothing
+to any of the three.  Progress is tracked in a checkpoint
 under the cluster's shared checkpoint directory.
 """
 
@@ -39,9 +40,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, *, corpus_dir: str, retry_dir:
         new = reshape_api_records(routed.where(F.col("route") == "corpus"), citations_to=citations_to)
         new = new.dropDuplicates(["id"]).join(_existing_ids(spark, corpus_dir), "id", "left_anti")
         new.write.mode("append").parquet(corpus_dir)
-        rest = routed.where(F.col("route") != "corpus").withColumn("batch_id", F.lit(batch_id))
-        rest.where(F.col("route") == "retry").drop("route").write.mode("append").parquet(retry_dir)
-        rest.where(F.col("route") == "error").drop("route").write.mode("append").parquet(error_dir)
+        for route, folder in (("retry", retry_dir), ("error", error_dir)):
+            routed.where(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch_id={batch_id}")
     finally:
         routed.unpersist()
 
@@ -57,6 +57,7 @@ def start_corpus_ingest(
     available_now: bool = False,
     processing_time: str = "30 seconds",
     max_files_per_trigger: int = 1000,
+    citations_to: str = "in",
 ):
     """Start the stream; returns the ``StreamingQuery``."""
     retry_dir = retry_dir or corpus_dir.rstrip("/") + "_retry"
@@ -69,7 +70,7 @@ def start_corpus_ingest(
         .json(landed_dir)
     )
     w = stream.writeStream.foreachBatch(
-        lambda df, bid: ingest_batch(df, bid, corpus_dir=corpus_dir, retry_dir=retry_dir, error_dir=error_dir)
+        lambda df, bid: ingest_batch(df, bid, corpus_dir=corpus_dir, retry_dir=retry_dir, error_dir=error_dir, citations_to=citations_to)
     ).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
