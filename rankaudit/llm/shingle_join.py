@@ -23,8 +23,9 @@ other components.  So a passage that very many texts share costs nothing as long
 as the rest of the set has units enough.
 
 *Hot groups.*  Before allocation, ``STAR_ROUNDS`` rounds compare every set with one
-pivot, the set it met most often among the smallest under its keys, and merge
-what is linked.  A group of thousands of near copies so becomes one component
+pivot, the set it met most often among the leading ones under its keys (first
+the smallest name, then the set that meets most others), and merge what is
+linked.  A group of thousands of near copies so becomes one component
 without listing its pairs, and costs nothing afterwards.
 
 *Verification.*  Candidates pass a parity sketch (a shingle in which two sets
@@ -351,24 +352,9 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(checked.where(100 * shared >= 75 * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b"), "set-links")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(cid, comp): coarser labels after ``links``; a label may lag behind the true component."""
-    ends = links.select(F.col("a").alias("cid"), F.col("b").alias("to")).union(links.select(F.col("b").alias("cid"), F.col("a").alias("to")))
-    if labels is not None:
-        ends = (
-            ends.join(labels, "cid", "left").select(F.coalesce("comp", "cid").alias("cid"), "to")
-            .join(labels.withColumnRenamed("cid", "to").withColumnRenamed("comp", "to_comp"), "to", "left")
-            .select("cid", F.coalesce("to_comp", "to").alias("to"))
-        )
-    step = ends.groupBy("cid").agg(F.least("cid", F.min("to")).alias("comp"))
-    up = step.select(F.col("cid").alias("comp"), F.col("comp").alias("above"))
-    step = written(step.join(up, "comp", "left").select("cid", F.coalesce("above", "comp").alias("comp")), "labels")
-    if labels is None:
-        return step
-    moved = step.select(F.col("cid").alias("comp"), F.col("comp").alias("above"))
-    old = labels.join(moved, "comp", "left").select("cid", F.coalesce("above", "comp").alias("comp"))
-    fresh = step.join(labels.select("cid"), "cid", "left_anti")
-    return written(old.unionByName(fresh), "labels")
+def _labels(links: DataFrame) -> DataFrame:
+    """(cid, comp) of every set in ``links``."""
+    return written(components(links).select(F.col("id").alias("cid"), F.col("component").alias("comp")), "labels")
 
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -394,6 +380,16 @@ def _apart() -> Column:
     return sum(words[1:], words[0])
 
 
+def _central(met: DataFrame) -> DataFrame:
+    """(cid, pivot): under every key the set that meets most others over all its keys,
+    with the sets of other components.  In a group of edited copies that is the one
+    nearest to them all."""
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
+    degree = met.join(sizes, "key").groupBy("cid").agg(F.sum("size").alias("degree"))
+    top = met.join(_small(written(degree, "degrees")), "cid").groupBy("key").agg(F.max(F.struct("degree", "cid", "comp")).alias("top"))
+    return met.drop("pivot").join(top, "key").where(F.col("comp") != F.col("top.comp")).select("cid", F.col("top.cid").alias("pivot"))
+
+
 def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
     """Candidate pairs (a, b): a set and those of larger size and other components
     that it meets under the units it does not leave out.
@@ -462,15 +458,10 @@ def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
 def set_links(met: DataFrame, classes: DataFrame, docs: DataFrame, singles: bool = False) -> DataFrame:
     """Links (a, b) between classes, enough of them to connect every two linked sets."""
     links = linked(_stars(met.where("cid <> pivot")), classes, docs)
-    labels = _merged(None, links)
     for _ in range(STAR_ROUNDS - 1):
-        met = _labelled(met, labels)
-        ends = met.groupBy("key").agg(F.min(F.struct("comp", "cid")).alias("low"), F.max(F.struct("comp", "cid")).alias("high"))
-        other = F.when(F.col("comp") != F.col("low.comp"), F.col("low.cid")).otherwise(F.col("high.cid"))
-        found = linked(_stars(met.drop("pivot").join(ends, "key").withColumn("pivot", other)), classes, docs)
-        links = links.union(found)
-        labels = _merged(labels, found)
-    met = _labelled(met, labels)
+        met = _labelled(met, _labels(links))
+        links = links.union(linked(_stars(_central(met)), classes, docs))
+    met = _labelled(met, _labels(links))
     return written(links.union(linked(allocated(met, classes, singles), classes, docs)), "links")
 
 
