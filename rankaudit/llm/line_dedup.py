@@ -15,10 +15,8 @@ length filter, the positional filter and a 64-bit parity filter (each word in
 which two sets differ flips one bit, so the parities cannot differ in more bits
 than the sets do in words).  What is left is verified on the full sets.
 
-Prefix words under which only one set stands are left out by a bitmap of the counted
-words (2**SLOT_BITS bits; a word that shares its bit with another stays, which does
-no harm).  Under busy words (``BUSY`` sets or more), as groups of thousands of similar
-lines make them, every set is first compared with the earliest one only.  What that
+Under busy words (``BUSY`` sets or more, by exact counts), as groups of thousands of
+similar lines make them, every set is first compared with the earliest one only.  What that
 removes is not compared again; what is left is compared with every earlier set it
 meets under any word.
 
@@ -39,7 +37,6 @@ from rankaudit.llm.store import written
 
 BUCKET_BITS = 18
 BUSY = 16
-SLOT_BITS = 24
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
 SMALL = 400_000
 HASH_BITS = 56  # under the 7 bits of the rarity level
@@ -136,10 +133,6 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Colum
     return written(similar.select(F.col("x").alias("id")).distinct(), "line-gone")
 
 
-def _slot(word: Column) -> Column:
-    return F.shiftright(word, 31 - SLOT_BITS)
-
-
 def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, doc, n_lines, removed) per document: ``doc`` hashes the text,
     ``removed`` is the sorted array of the 0-based places of removed lines.
@@ -151,16 +144,9 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # ids in the order of the first places: a smaller id is an earlier line
     ordered = first.select("sid", "f.*").orderBy("doc_id", "doc", "line").withColumn("id", F.monotonically_increasing_id())
     firsts = written(ordered, "line-firsts")
-    every = firsts.select("id", "n", "parity", F.posexplode("prefix").alias("i", "word"))
-    counts = written(every.groupBy("word").agg(F.count("*").alias("sets")).where("sets > 1"), "line-words")
-    bits = counts.select(F.shiftright(_slot(F.col("word")), 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), _slot(F.col("word")).bitwiseAND(63)).alias("bit"))
-    bitmap = ["0"] * (1 << (SLOT_BITS - 6))
-    for at, bit in bits.groupBy("at").agg(F.bit_or("bit")).collect():
-        bitmap[at] = str(bit)
-    here = F.get(F.split(F.lit(",".join(bitmap)), ",").cast("array<bigint>"), F.shiftright(_slot(F.col("word")), 6))
-    rows = every.where(F.call_function("shiftright", here, _slot(F.col("word")).bitwiseAND(63)).bitwiseAND(1) == 1)
-
-    busy = rows.join(_small(counts.where(F.col("sets") >= BUSY).select("word")), "word")
+    rows = firsts.select("id", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+    words = rows.groupBy("word").agg(F.count("*").alias("sets")).where(F.col("sets") >= BUSY).select("word")
+    busy = rows.join(_small(written(words, "line-words")), "word")
     earliest = busy.groupBy("word").agg(F.min(F.struct("id", "n", "i", "parity")).alias("e")).select("word", "e.*")
     starred = _as("x", busy).join(_small(written(_as("y", earliest), "line-pivots")), "word").where("y_id < x_id").where(_may_match(threshold))
     apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
@@ -169,7 +155,7 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     open_rows = rows.join(_small(gone.withColumn("gone", F.lit(1))), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     # x still there; stated over both sides so that they read the same shuffled rows
-    still = (F.col("x_gone") + F.least("y_n", F.lit(0))) == 0
+    still = (F.col("x_gone") + F.least("y_gone", F.lit(0))) == 0
     met = _as("x", open_rows).join(_as("y", open_rows), "word").where((F.col("y_id") < F.col("x_id")) & still & _may_match(threshold))
     gone = gone.union(verified(met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), firsts, docs, levels, threshold))
 
