@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rankaudit.llm.store import written
 
-BUCKET_BITS = 18
+BUCKET_BITS = 17
 BUSY = 16
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
 SMALL = 400_000
@@ -59,20 +59,20 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity_levels(docs: DataFrame) -> Column:
-    """Literal array: the level of every word bucket, 0 (rarest) to 127, above ``HASH_BITS``."""
+    """Literal array: the level of every word bucket, 0 (rarest) to 127."""
     lines = docs.select(F.explode(_lines()).alias("t"))
     words = lines.select(F.explode(F.split("t", " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()
     levels = ["0"] * (1 << BUCKET_BITS)
     for b, n in counts:
-        levels[b] = str(min(127, int(4 * math.log2(n))) << HASH_BITS)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
+        levels[b] = str(min(127, int(4 * math.log2(n))))
+    return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>")
 
 
 def word_set(line: Column, levels: Column) -> Column:
     """Sorted codes of the distinct words of ``line``: rarity level above, hash bits below."""
     def code(h: Column) -> Column:
-        return F.get(levels, _bucket(h)).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+        return F.shiftleft(F.get(levels, _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
     return F.sort_array(F.transform(_words(line), code))
 

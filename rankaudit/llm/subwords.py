@@ -23,11 +23,18 @@ def ngram_buckets(words: list[str], buckets: int, sizes=(3, 4, 5)) -> tuple[np.n
     coded = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(coded)), lengths)
+    owner = np.repeat(np.arange(len(coded), dtype=np.int32), lengths)
     ends = np.cumsum(lengths)
     room = ends[owner] - np.arange(len(data))  # bytes left in the word, this one included
     found, owners = [], []
     prime = np.uint64(0x100000001B3)
+
+    def bucket(h: np.ndarray) -> np.ndarray:
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        return (h % np.uint64(buckets)).astype(np.int32)
+
     for n in sizes:
         if len(data) < n:
             continue
@@ -35,17 +42,13 @@ def ngram_buckets(words: list[str], buckets: int, sizes=(3, 4, 5)) -> tuple[np.n
         for k in range(n):
             h = h * prime + data[k : len(data) - n + 1 + k]
         fits = room[: len(h)] >= n
-        found.append(h[fits])
+        found.append(bucket(h[fits]))
         owners.append(owner[: len(h)][fits])
     place = (np.arange(len(data)) - (ends - lengths)[owner]).astype(np.uint64)
     whole = np.zeros(len(coded), np.uint64)
     if len(data):
         whole = np.add.reduceat((data + 1) * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)) ** np.uint64(3), ends - lengths)
-    h = np.concatenate([*found, whole])
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    return (h % np.uint64(buckets)).astype(np.int64), np.concatenate([*owners, np.arange(len(coded))])
+    return np.concatenate([*found, bucket(whole)]), np.concatenate([*owners, np.arange(len(coded), dtype=np.int32)])
 
 
 class WordIndex:
