@@ -60,7 +60,7 @@ class WordIndex:
 
     def number(self, text: str | None) -> np.ndarray:
         ids = self.ids
-        return np.fromiter((ids.setdefault(w, len(ids)) for w in WORD.findall((text or "").lower())), np.int64)
+        return np.fromiter((ids.setdefault(w, len(ids)) for w in WORD.findall((text or "").lower())), np.int32)
 
     def fresh(self) -> list[str]:
         new = list(self.ids)[self.seen :]
@@ -106,10 +106,7 @@ class SubwordSoftmax:
         epochs, refine = -(-steps // per_epoch), -(-refine // per_epoch)
         index = WordIndex()
         docs = [index.number(t) for t in texts]
-        bucket, owner = ngram_buckets(index.fresh(), self.buckets)
-        order = np.argsort(owner, kind="stable")
-        bucket = bucket[order]
-        per_word = np.bincount(owner, minlength=len(index.ids))
+        bucket, per_word = self._by_word(index)
         at = np.cumsum(per_word) - per_word
         sums = [np.full_like(p, 1e-8) for p in (self.embed, self.out, self.bias)]
         for epoch in range(epochs + refine):
@@ -151,6 +148,17 @@ class SubwordSoftmax:
         self.logits = self.embed @ self.out
         return self
 
+    def _by_word(self, index: WordIndex, part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of all words' n-grams, word after word; their number per word), some words at a time."""
+        words = index.fresh()
+        found, sizes = [], []
+        for lo in range(0, len(words), part):
+            bucket, owner = ngram_buckets(words[lo : lo + part], self.buckets)
+            found.append(bucket[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner))
+        none = np.zeros(0, np.int32)
+        return np.concatenate([none, *found]), np.concatenate([none, *sizes])
+
     def document_logits(self, texts: list[str | None], index: WordIndex, memory: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(logits of each document's deciding segment, its word count).  ``index``
         and ``memory`` carry word logits from call to call within a task."""
