@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written_table
 from .schemas import CORPUS, CORPUS_STRING_FIELDS, GROUPS, JUDGEMENTS, LINKER, SCHEMAS
 
 
@@ -85,11 +86,15 @@ def write_trec_tables(papers: DataFrame, authors: DataFrame, links: DataFrame, o
 # A8 (ordinals)
 def assign_ordinals(df: DataFrame, qid: str = "qid", within: str = "doc_id", col: str = "ord") -> DataFrame:
     """0-based file ordinal: queries in ``qid`` order, rows in ``within``
-    order.  Per-query offsets come from a cumulative sum over the per-query
-    count table (one row per query), never from a global row_number."""
-    counts = df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(qid).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(qid, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    order.  A query's offset is a running sum over the per-query count table inside
+    its range partition plus the partition's own offset, so no task sees more than
+    a range of queries and only one row per partition is ordered globally."""
+    counts = df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(qid)
+    counts = written_table(counts.withColumn("_p", F.spark_partition_id()), "query-counts")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("_p").agg(F.sum("_n").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_p").orderBy(qid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(ranges, "_p").select(qid, (F.col("_base") + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_off"))
     inner = Window.partitionBy(qid).orderBy(within)
     return (
         df.join(offsets, qid)

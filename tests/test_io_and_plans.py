@@ -28,6 +28,12 @@ def test_assign_ordinals(spark):
     assert got == [(1, 3, 0), (1, 9, 1), (2, 1, 2), (2, 5, 3)]
 
 
+def test_assign_ordinals_over_many_partitions(spark):
+    df = spark.range(3000).selectExpr("(id * 7919) % 613 as qid", "id as doc_id").repartition(7)
+    got = [(r.qid, r.doc_id) for r in IO.assign_ordinals(df).orderBy("ord").collect()]
+    assert got == sorted((r.qid, r.doc_id) for r in df.collect())
+
+
 def test_pair_join_is_equi_join(spark):
     from rankaudit.operators.pairs import training_pairs
 
