@@ -206,12 +206,21 @@ BIB = [
     "coalesce(c.c_name, '') AS name, o.o_custkey AS author_id, CAST(coalesce(li.n_in, 0) AS INTEGER) AS n_in, "
     "CAST(coalesce(li.n_out, 0) AS INTEGER) AS n_out FROM orders o "
     "LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN li ON li.l_orderkey = o.o_orderkey)",
-    "prof AS (SELECT author_id AS corpus_author_id, arg_min(name, id) AS name, CAST(sum(n_in) AS BIGINT) AS num_citations, "
-    "count(*) AS num_papers, CAST(count_if(n_in >= 10) AS BIGINT) AS i10 FROM bib GROUP BY author_id)",
-    "hx AS (SELECT author_id AS corpus_author_id, CAST(max(CASE WHEN n_in >= rn THEN rn ELSE 0 END) AS INTEGER) AS h_index "
-    "FROM (SELECT author_id, n_in, row_number() OVER (PARTITION BY author_id ORDER BY n_in DESC) AS rn FROM bib) GROUP BY author_id)",
+    "ba AS (SELECT id, n_in, 1 AS pos, 0 AS idpos, name, CAST(author_id AS VARCHAR) AS raw FROM bib WHERE id % 11 <> 0 AND id % 13 <> 0 "
+    "UNION ALL SELECT id, n_in, 1, 1, name, 'x' || author_id FROM bib WHERE id % 11 <> 0 AND id % 13 <> 0 AND id % 7 = 0 "
+    "UNION ALL SELECT b.id, b.n_in, 1 + row_number() OVER (PARTITION BY b.id ORDER BY s.k), 0, 'Supplier ' || s.k, CAST(s.k + 1000000 AS VARCHAR) "
+    "FROM bib b JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS k FROM lineitem) s ON s.l_orderkey = b.id)",
+    "au AS (SELECT *, TRY_CAST(raw AS BIGINT) AS aid, CASE WHEN TRY_CAST(raw AS BIGINT) IS NULL THEN raw END AS rk FROM ba)",
+    "prof AS (SELECT aid AS corpus_author_id, rk, arg_min(name, {'i': id, 'p': pos, 'q': idpos}) AS name, CAST(sum(n_in) AS BIGINT) AS num_citations, "
+    "count(*) AS num_papers, CAST(count_if(n_in >= 10) AS BIGINT) AS i10 FROM au GROUP BY aid, rk)",
+    "hx AS (SELECT aid AS corpus_author_id, rk, CAST(max(CASE WHEN n_in >= rn THEN rn ELSE 0 END) AS INTEGER) AS h_index "
+    "FROM (SELECT aid, rk, n_in, row_number() OVER (PARTITION BY aid, rk ORDER BY n_in DESC) AS rn FROM au) GROUP BY aid, rk)",
     "auth AS (SELECT p.*, h.h_index, CASE WHEN h.h_index >= 10 THEN 'H' ELSE 'L' END AS h_class "
-    "FROM prof p JOIN hx h ON h.corpus_author_id IS NOT DISTINCT FROM p.corpus_author_id)",
+    "FROM prof p JOIN hx h ON h.corpus_author_id IS NOT DISTINCT FROM p.corpus_author_id AND h.rk IS NOT DISTINCT FROM p.rk)",
+    # the corpus records of papers: unique ones only
+    "fd AS (SELECT * FROM bib WHERE id % 5 <> 0)",
+    "na AS (SELECT b.id, 1 + count(DISTINCT l.l_suppkey) AS n FROM bib b LEFT JOIN lineitem l ON l.l_orderkey = b.id GROUP BY b.id)",
+    "pas AS (SELECT DISTINCT u.id, a.corpus_author_id, a.name, a.h_index FROM au u JOIN fd ON fd.id = u.id JOIN auth a ON a.corpus_author_id = u.aid)",
 ]
 
 JUDGED_TITLES = "jt AS (SELECT l.doc_id, c.title FROM labels l JOIN corpus c ON c.id = l.doc_id)"
@@ -223,21 +232,20 @@ def bib_sql() -> dict[str, str]:
     return {
         "papers": with_(b, "SELECT id AS paper_sha, title AS paper_title, year AS paper_year, venue AS paper_venue, "
                         "n_in AS n_key_citations, n_out AS n_citations FROM bib"),
-        "paper_authors": with_(b, "SELECT id AS paper_sha, author_id AS corpus_author_id, CAST(1 AS INTEGER) AS position FROM bib"),
-        "author_profile": with_(b, "SELECT * FROM prof"),
-        "author_h_index": with_(b, "SELECT * FROM hx"),
+        "paper_authors": with_(b, "SELECT id AS paper_sha, aid AS corpus_author_id, CAST(pos AS INTEGER) AS position FROM au"),
+        "author_profile": with_(b, "SELECT corpus_author_id, name, num_citations, num_papers, i10 FROM prof"),
+        "author_h_index": with_(b, "SELECT corpus_author_id, h_index FROM hx"),
         "author_h_class": with_(b, "SELECT corpus_author_id, name, num_citations, num_papers, i10, h_index, h_class FROM auth"),
         "derive_groups": with_(b, "SELECT corpus_author_id AS author_id, CASE WHEN i10 >= 5 THEN 'i10_5' "
                                "WHEN i10 >= 1 THEN 'i10_1' ELSE 'i10_0' END AS gid FROM prof"),
         "paper_by_idx": with_(d, "SELECT l.doc_id AS doc_idx, c.title, c.venue, c.n_chars FROM labels l JOIN corpus c ON c.id = l.doc_id"),
         "paper_by_sha": with_(d, "SELECT j.title, c.id FROM jt j JOIN corpus c ON c.title = j.title "
                               "WHERE j.title IN (SELECT title FROM corpus GROUP BY title HAVING count(*) = 1)"),
-        "paper_with_corpus": with_(b, "SELECT id AS paper_sha, title AS paper_title, CAST(1 AS INTEGER) AS n_authors FROM bib"),
-        "paper_author_set": with_(b, "SELECT DISTINCT b.id AS paper_sha, b.author_id AS corpus_author_id, a.h_index "
-                                  "FROM bib b JOIN auth a ON a.corpus_author_id = b.author_id"),
+        "paper_with_corpus": with_(b, "SELECT b.id AS paper_sha, b.title AS paper_title, "
+                                   "CASE WHEN b.id % 5 <> 0 AND b.id % 9 <> 0 THEN CAST(na.n AS INTEGER) END AS n_authors FROM bib b JOIN na USING (id)"),
+        "paper_author_set": with_(b, "SELECT id AS paper_sha, corpus_author_id, h_index FROM pas"),
         "article_record": with_(b, "SELECT b.id AS paper_sha, b.title AS paper_title, b.year AS paper_year, "
-                                "b.n_in AS n_key_citations, a.corpus_author_id, a.name, a.h_index FROM bib b "
-                                "LEFT JOIN auth a ON a.corpus_author_id = b.author_id"),
+                                "b.n_in AS n_key_citations, p.corpus_author_id, p.name, p.h_index FROM bib b LEFT JOIN pas p USING (id)"),
         "sha_to_idx": with_(d, "SELECT j.doc_id, min(c.id) AS doc_idx FROM jt j JOIN corpus c ON c.title = j.title GROUP BY j.doc_id"),
         "judged_doc_ids": with_([QUERIES, JUDGED], "SELECT DISTINCT doc_id FROM judged"),
         "corpus_ids": "SELECT o_orderkey AS doc_id FROM orders",
@@ -247,8 +255,9 @@ def bib_sql() -> dict[str, str]:
                                   "count(DISTINCT doc_id) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = j.doc_id AND o.o_orderstatus = 'F')) AS missing "
                                   "FROM judged j"),
         "reshape_api_records": with_(b, "SELECT CAST(id AS VARCHAR) AS id, title, year, venue, venue AS journalName, "
-                                     "CAST(id AS VARCHAR) AS s2id, n_in, n_out, CAST(author_id AS VARCHAR) AS first_author "
-                                     "FROM bib WHERE venue = 'F'"),
+                                     "CAST(id AS VARCHAR) AS s2id, n_in, n_out, CAST(na.n AS INTEGER) AS n_authors, "
+                                     "CASE WHEN id % 11 <> 0 AND id % 13 <> 0 THEN CAST(author_id AS VARCHAR) END AS first_author "
+                                     "FROM bib JOIN na USING (id) WHERE venue = 'F'"),
         "route_responses": with_(b, "SELECT CAST(id AS VARCHAR) AS doc_id, CAST(CASE venue WHEN 'F' THEN 200 WHEN 'O' THEN 429 ELSE 404 END AS INTEGER) AS status_code, "
                                  "CASE venue WHEN 'F' THEN 'corpus' WHEN 'O' THEN 'retry' ELSE 'error' END AS route FROM bib"),
     }

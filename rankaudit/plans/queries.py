@@ -221,20 +221,20 @@ def q_paper_by_sha(spark, sf):
 @register("paper_with_corpus")
 def q_paper_with_corpus(spark, sf):
     bib = A.bib_corpus(spark, sf)
-    pm = REC.paper_with_corpus(BIB.papers(bib), bib.select("id", "authors"))
+    pm = REC.paper_with_corpus(BIB.papers(bib), A.found_records(spark, sf))
     return pm.select("paper_sha", "paper_title", F.size("authors").cast("int").alias("n_authors"))
 
 
 @register("paper_author_set")
 def q_paper_author_set(spark, sf):
     bib = A.bib_corpus(spark, sf)
-    return REC.paper_author_set(bib, BIB.authors_table(bib)).select("paper_sha", "corpus_author_id", "h_index")
+    return REC.paper_author_set(A.found_records(spark, sf), BIB.authors_table(bib)).select("paper_sha", "corpus_author_id", "h_index")
 
 
 @register("article_record")
 def q_article_record(spark, sf):
     bib = A.bib_corpus(spark, sf)
-    rec = REC.article_record(BIB.papers(bib), bib, BIB.authors_table(bib))
+    rec = REC.article_record(BIB.papers(bib), A.found_records(spark, sf), BIB.authors_table(bib))
     return rec.select("paper_sha", "paper_title", "paper_year", "n_key_citations", "corpus_author_id", "name", "h_index")
 
 
@@ -277,6 +277,7 @@ def q_reshape(spark, sf):
         "s2id",
         F.size("inCitations").cast("int").alias("n_in"),
         F.size("outCitations").cast("int").alias("n_out"),
+        F.size("authors").cast("int").alias("n_authors"),
         F.col("authors")[0]["ids"][0].alias("first_author"),
     )
 

@@ -11,7 +11,7 @@ a plain relational derivation whose size grows with the input tables.
 | corpus        | documents (abstract=text, title=first line, venue=source) |
 | queries       | benchmark (qid=item_id, query=text)    |
 | judged        | labels (qid = doc_id mod #queries, relevance = quality) |
-| bib corpus    | orders ⋈ lineitem ⋈ customer (paper = order, author = customer, in-citations = part keys of its lines) |
+| bib corpus    | orders ⋈ lineitem ⋈ customer (paper = order, authors = customer and suppliers, in-citations = part keys of its lines) |
 | groups        | customer ⋈ nation ⋈ region (gid = region name) |
 | doc authors   | documents × sequence(0, doc_id mod 3)  |
 | feature rows  | embeddings (qid = vec_id div 20, rel = label) |
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 FEATURE_LIST = 20             # qid = vec_id div 20: lists of bounded length, queries grow with the table
 DOC_AUTHOR_MULT = 13          # author_id = (doc_id*13 + k*17) % #customers
 DOC_AUTHOR_STEP = 17
+SUPPLIER_IDS = 1_000_000      # author id of a supplier: this and its key
 DOC_AUTHOR_SPAN = 3           # k in 0 .. doc_id % 3
 
 
@@ -84,9 +85,11 @@ def bib_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``id, title, year, venue, authors ARRAY<STRUCT<name, ids ARRAY<STRING>>>,
     inCitations ARRAY<STRING>, outCitations ARRAY<STRING>``.
 
-    The order's customer is its single author; its line items give the
-    citations (part keys in, supplier keys out), so orders without lines have
-    none.
+    The first author is the order's customer, the others are the distinct suppliers
+    of its lines (ids from ``SUPPLIER_IDS`` up).  Of the first authors some have a null
+    id list, some an empty one and some a second id that is no number.  The line
+    items give the citations (part keys in, supplier keys out), so orders without
+    lines have none.
     """
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -94,27 +97,42 @@ def bib_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     cites = li.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.col("l_partkey").cast("string"))).alias("inCitations"),
         F.array_sort(F.collect_list(F.col("l_suppkey").cast("string"))).alias("outCitations"),
+        F.array_sort(F.collect_set("l_suppkey")).alias("suppliers"),
     )
     base = o.join(c, o.o_custkey == c.c_custkey, "left").join(
         cites, o.o_orderkey == cites.l_orderkey, "left"
     )
     empty = F.array().cast("array<string>")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    first_ids = (
+        F.when(key % 11 == 0, F.lit(None).cast("array<string>")).when(key % 13 == 0, empty)
+        .when(key % 7 == 0, F.array(cust, F.concat(F.lit("x"), cust))).otherwise(F.array(cust))
+    )
     return base.select(
         F.col("o_orderkey").alias("id"),
         F.coalesce(F.col("o_orderpriority"), F.lit("")).alias("title"),
         F.year("o_orderdate").alias("year"),
         F.coalesce(F.col("o_orderstatus"), F.lit("")).alias("venue"),
-        F.array(
-            F.struct(
-                F.coalesce(F.col("c_name"), F.lit("")).alias("name"),
-                F.array(F.col("o_custkey").cast("string")).alias("ids"),
-            )
+        F.concat(
+            F.array(F.struct(F.coalesce(F.col("c_name"), F.lit("")).alias("name"), first_ids.alias("ids"))),
+            F.transform(
+                F.coalesce(F.col("suppliers"), F.array().cast("array<bigint>")),
+                lambda k: F.struct(
+                    F.concat(F.lit("Supplier "), k.cast("string")).alias("name"), F.array((k + SUPPLIER_IDS).cast("string")).alias("ids")
+                ),
+            ),
         ).alias("authors"),
         F.coalesce(F.col("inCitations"), empty).alias("inCitations"),
         F.coalesce(F.col("outCitations"), empty).alias("outCitations"),
     )
 
 
+def found_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, authors``: the corpus records of papers: every fifth is absent, every ninth is there twice."""
+    bib = bib_corpus(spark, sf_dir).where("id % 5 <> 0").select("id", "authors")
+    return bib.unionByName(bib.where("id % 9 = 0"))
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author groups ``author_id, gid`` (gid = region name of the customer).
 
@@ -194,7 +212,7 @@ def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("venue").alias("venue"),
             F.transform("outCitations", lambda x: F.struct(x.alias("paperId"))).alias("references"),
             F.transform("inCitations", lambda x: F.struct(x.alias("paperId"))).alias("citations"),
-            F.transform("authors", lambda a: F.struct(a["name"].alias("name"), a["ids"][0].alias("authorId"))).alias(
+            F.transform("authors", lambda a: F.struct(a["name"].alias("name"), F.get(a["ids"], F.lit(0)).alias("authorId"))).alias(
                 "authors"
             ),
         )
