@@ -47,8 +47,7 @@ def test_stages_take_effect_one_after_the_other(spark, sf_dir):
     assert sorted(r.decoded_sha256 for r in out) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in tables["mixing"])
 
 
-def test_run_and_empty_table(spark, sf_dir, tmp_path):
-    assert P.run(spark, sf_dir).count() > 0
+def test_run_on_an_empty_table(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], COLUMNS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
