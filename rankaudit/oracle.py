@@ -182,7 +182,7 @@ def q_feature_num() -> str:
     )
 
 
-def all_sql() -> dict[str, str]:
+def text_sql() -> dict[str, str]:
     out: dict[str, str] = {
         "judged_features": q_judged_features(),
         "search_top_k": q_search_top_k(1),
@@ -263,15 +263,6 @@ def bib_sql() -> dict[str, str]:
     }
 
 
-_all_sql_features = all_sql
-
-
-def all_sql() -> dict[str, str]:  # noqa: F811
-    out = _all_sql_features()
-    out.update(bib_sql())
-    return out
-
-
 # ---------------------------------------------------------------- ranking world
 def rank_ctes(binary: bool) -> list[str]:
     rel = "label % 2" if binary else "label"
@@ -329,15 +320,6 @@ def rank_sql() -> dict[str, str]:
     }
 
 
-_all_sql_bib = all_sql
-
-
-def all_sql() -> dict[str, str]:  # noqa: F811
-    out = _all_sql_bib()
-    out.update(rank_sql())
-    return out
-
-
 # ---------------------------------------------------------------- pairs world
 def pair_ctes() -> list[str]:
     g = rank_ctes(False)[:2]
@@ -394,15 +376,6 @@ def pair_sql() -> dict[str, str]:
     }
 
 
-_all_sql_rank = all_sql
-
-
-def all_sql() -> dict[str, str]:  # noqa: F811
-    out = _all_sql_rank()
-    out.update(pair_sql())
-    return out
-
-
 # ---------------------------------------------------------------- re-ranking world
 def rerank_sql() -> dict[str, str]:
     b = rank_ctes(True) + [
@@ -471,15 +444,6 @@ def rerank_sql() -> dict[str, str]:
     }
 
 
-_all_sql_pairs = all_sql
-
-
-def all_sql() -> dict[str, str]:  # noqa: F811
-    out = _all_sql_pairs()
-    out.update(rerank_sql())
-    return out
-
-
 def io_sql() -> dict[str, str]:
     jf = q_judged_features()
     body = jf.split("\nSELECT ", 1)
@@ -491,10 +455,7 @@ def io_sql() -> dict[str, str]:
     }
 
 
-_all_sql_rerank = all_sql
-
-
-def all_sql() -> dict[str, str]:  # noqa: F811
-    out = _all_sql_rerank()
-    out.update(io_sql())
-    return out
+def all_sql() -> dict[str, str]:
+    """DuckDB SQL of every registered query that has an oracle."""
+    parts = (text_sql, bib_sql, rank_sql, pair_sql, rerank_sql, io_sql)
+    return {name: sql for part in parts for name, sql in part().items()}
