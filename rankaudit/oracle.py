@@ -450,6 +450,8 @@ def io_sql() -> dict[str, str]:
     ctes = body[0]
     sel = "SELECT " + body[1]
     return {
+        "judged_features_papers": ctes + ", " + ",\n".join(BIB[:2]) + ", jf AS (" + sel + ")\n"
+        "SELECT jf.* REPLACE (CAST(b.n_out AS DOUBLE) AS f24) FROM jf JOIN bib b ON b.id = jf.doc_id",
         "ranking_text_roundtrip": ctes + ", jf AS (" + sel + ")\n"
         "SELECT CAST(row_number() OVER (ORDER BY qid, doc_id) - 1 AS BIGINT) AS ord, * FROM jf",
     }

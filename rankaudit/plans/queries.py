@@ -197,6 +197,14 @@ def q_derive_groups(spark, sf):
     return BIB.derive_groups(BIB.author_profile(A.bib_corpus(spark, sf)))
 
 
+@register("judged_features_papers")
+def q_judged_features_papers(spark, sf):
+    """F11 with numbers from the papers table: judged documents without a paper are skipped."""
+    corpus, known = _known(spark, sf)
+    jf = FT.judged_features(known, corpus, FT.default_specs("n_citations"), papers=BIB.papers(A.bib_corpus(spark, sf)))
+    return jf.select("qid", "doc_id", "relevance", *[rnd(F.col("features")[i]).alias(f"f{i:02d}") for i in range(25)])
+
+
 # ---------------------------------------------------------------- D: records
 def _judged_titles(spark, sf):
     corpus = A.corpus(spark, sf)
