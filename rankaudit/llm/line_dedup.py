@@ -11,9 +11,9 @@ power of two; that table of one level per bucket is the only thing the driver
 gathers, and its size is fixed.  Equal sets are collapsed to their first line.
 Two sets can only be similar if the index prefix of the smaller (by size) meets
 the probe prefix of the larger; prefix rows are joined on the word under the
-length filter, the positional filter and a 64-bit parity filter (each word in
-which two sets differ flips one bit, so the parities cannot differ in more bits
-than the sets do in words).  What is left is verified on the full sets.
+length filter, the positional filter and a parity filter (each word in which two
+sets differ flips one bit, so the parities cannot differ in more bits than the sets
+do in words): 64 bits, and 192 between sets of more than ``LONG`` words.  What is left is verified on the full sets.
 
 Under busy words (``BUSY`` sets or more, by exact counts), as groups of thousands of
 similar lines make them, every set is first compared with the earliest one only.  What that
@@ -37,6 +37,7 @@ from rankaudit.llm.store import written
 
 BUCKET_BITS = 17
 BUSY = 16
+LONG = 96
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
 SMALL = 400_000
 HASH_BITS = 56  # under the 7 bits of the rarity level
@@ -81,13 +82,32 @@ def _doc_hash() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+def _parity(codes: Column) -> Column:
+    """Which of 64 bits the codes name an odd number of times."""
+    zero = F.lit(0).cast("long")
+    return F.aggregate(codes, zero, lambda p, c: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))))
+
+
+def _third(code: Column) -> Column:
+    return F.shiftright(code, 6).bitwiseAND(0xFFFFFF) % 3
+
+
+def _apart() -> Column:
+    """Bits in which the parities of x and y differ."""
+    whole, second, third = (F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in ("parity", "second", "third"))
+    first = whole.bitwiseXOR(second).bitwiseXOR(third)
+    return F.coalesce(F.bit_count(first) + F.bit_count(second) + F.bit_count(third), F.bit_count(whole))
+
+
 def line_table(docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
-    """(doc_id, doc, line, n, sid, parity, prefix), one row per line; a prefix word is 31 bits of its code."""
+    """(doc_id, doc, line, n, sid, parity, second, third, prefix), one row per line; a prefix word is 31 bits of its code."""
     lines = docs.select("doc_id", _doc_hash().alias("doc"), F.posexplode(_lines()).alias("line", "t"))
     sets = lines.select("doc_id", "doc", "line", F.transform(F.array(word_set(F.col("t"), levels)), lambda s: F.struct(
         F.size(s).alias("n"),
         F.xxhash64(s).alias("sid"),
-        F.aggregate(s, F.lit(0).cast("long"), lambda p, c: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int")))).alias("parity"),
+        _parity(s).alias("parity"),
+        F.when(F.size(s) > LONG, _parity(F.filter(s, lambda c: _third(c) == 1))).alias("second"),
+        F.when(F.size(s) > LONG, _parity(F.filter(s, lambda c: _third(c) == 2))).alias("third"),
         F.transform(F.slice(s, 1, F.size(s) - F.ceil(F.size(s) * threshold - 1e-9).cast("int") + 1), lambda c: c.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     ))[0].alias("s"))
     return sets.select("doc_id", "doc", "line", "s.*")
@@ -101,8 +121,7 @@ def _may_match(threshold: float) -> Column:
     index_prefix = n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
     smaller_i = F.when(F.col("x_n") < F.col("y_n"), F.col("x_i")).when(F.col("x_n") > F.col("y_n"), F.col("y_i")).otherwise(F.least("x_i", "y_i"))
     left = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
-    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
-    return (n >= m * threshold - 1e-9) & (smaller_i < index_prefix) & (left >= need) & (apart <= n + m - 2 * need)
+    return (n >= m * threshold - 1e-9) & (smaller_i < index_prefix) & (left >= need) & (_apart() <= n + m - 2 * need)
 
 
 def _as(side: str, rows: DataFrame) -> DataFrame:
@@ -140,17 +159,16 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels = rarity_levels(docs)
     lines = written(line_table(docs, levels, threshold), "lines")
-    first = lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "prefix")).alias("f"))
+    first = lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "second", "third", "prefix")).alias("f"))
     # ids in the order of the first places: a smaller id is an earlier line
     ordered = first.select("sid", "f.*").orderBy("doc_id", "doc", "line").withColumn("id", F.monotonically_increasing_id())
     firsts = written(ordered, "line-firsts")
-    rows = firsts.select("id", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+    rows = firsts.select("id", "n", "parity", "second", "third", F.posexplode("prefix").alias("i", "word"))
     words = rows.groupBy("word").agg(F.count("*").alias("sets")).where(F.col("sets") >= BUSY).select("word")
     busy = rows.join(_small(written(words, "line-words")), "word")
-    earliest = busy.groupBy("word").agg(F.min(F.struct("id", "n", "i", "parity")).alias("e")).select("word", "e.*")
+    earliest = busy.groupBy("word").agg(F.min(F.struct("id", "n", "i", "parity", "second", "third")).alias("e")).select("word", "e.*")
     starred = _as("x", busy).join(_small(written(_as("y", earliest), "line-pivots")), "word").where("y_id < x_id").where(_may_match(threshold))
-    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
-    nearest = starred.groupBy("x_id").agg(F.min(F.struct(apart.alias("apart"), "y_id")).alias("p"))
+    nearest = starred.groupBy("x_id").agg(F.min(F.struct(_apart().alias("apart"), "y_id")).alias("p"))
     gone = verified(nearest.select(F.col("x_id").alias("x"), F.col("p.y_id").alias("y")), firsts, docs, levels, threshold)
 
     open_rows = rows.join(_small(gone.withColumn("gone", F.lit(1))), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
