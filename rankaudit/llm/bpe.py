@@ -40,7 +40,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from rankaudit.llm.scoring import scored
 
-REMEMBER = 250_000
+REMEMBER = 120_000
 SHORT = 48
 #: Below it, letters and numbers have long been settled.
 LOWEST_EXCEPTION = "\u0500"
