@@ -1,8 +1,8 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
 Components are quantised to floor(256 x).  A vector gets one more coordinate,
-sqrt(M^2 - |x|^2) with M at least the largest norm, so that the largest inner
-product is the smallest Euclidean distance.  Every vector is keyed by its nearest
+sqrt(M^2 - |x|^2) with M at least the largest norm, and a query one of 0, so that
+the largest inner product is the smallest Euclidean distance.  Every vector is keyed by its nearest
 pivot and its distance from it; a pivot's vectors are cut at distance quantiles
 into annuli.  A query visits annuli by the score they could hold at best, which
 the triangle inequality bounds by |d(q, p) - d(x, p)|: first its own annulus, then
@@ -88,8 +88,11 @@ class Annuli:
         self.slack = 1e-5 * np.sqrt(max(m2, 1.0))  # far above the rounding of a distance
 
     def best_scores(self, q: np.ndarray) -> np.ndarray:
-        """Upper bound of the score in every annulus, one row per query."""
-        d = distances(augmented(q, self.m2), self.pivots)[:, self.cell // RINGS]
+        """Upper bound of the score in every annulus, one row per query.
+
+        With extra coordinate 0 in the query, |q - x|^2 = |q|^2 + M^2 - 2 q.x for every
+        augmented x, which is what the bound turns around."""
+        d = distances(np.column_stack([q, np.zeros(len(q))]), self.pivots)[:, self.cell // RINGS]
         gap = np.maximum(0.0, np.maximum(self.low - d, d - self.high) - self.slack)
         return ((q * q).sum(1)[:, None] + self.m2 - gap * gap) / 2 + 1e-9 * self.m2 + 1e-3
 

@@ -37,6 +37,33 @@ def test_clusters_ties_nulls_and_repeats(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_best_scores_bound_every_score():
+    """The case of a short query along the pivot of the longest vector, and vectors of any length."""
+    x = np.array([[0.0, 1000.0]])
+    annuli = T.Annuli(T.augmented(x, 1e6), 1e6, [{"cell": 0, "low": 0.0, "high": 0.0}])
+    assert annuli.best_scores(0.1 * x)[0, 0] >= 1e5
+
+    rng = np.random.default_rng(7)
+    x = np.floor(256 * rng.normal(size=(3000, 6)) * rng.lognormal(0, 1, (3000, 1)))
+    m2 = float((x * x).sum(1).max())
+    pivots = T.fit_pivots(T.augmented(x, m2), 60)
+    d = T.distances(T.augmented(x, m2), pivots)
+    near, dist = d.argmin(1), d.min(1)
+    cell = near * T.RINGS + (np.arange(len(x)) % T.RINGS)
+    rows = [{"cell": c, "low": dist[cell == c].min(), "high": dist[cell == c].max()} for c in np.unique(cell)]
+    annuli = T.Annuli(pivots, m2, rows)
+    at = np.searchsorted(annuli.cell, cell)
+    assert (annuli.best_scores(x[::10])[:, at] >= x[::10] @ x.T).all()
+
+
+def test_vectors_of_varied_length(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 2))
+    x *= rng.lognormal(0, 1, (3000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], None) for i, v in enumerate(x)]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_few_rows(spark):
     assert got(spark, []) == []
     assert got(spark, [(50, [1.0], None)]) == []
