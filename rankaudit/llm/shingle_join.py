@@ -430,9 +430,12 @@ def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
         F.sum(F.when(~F.col("deletion"), F.col("exact")).otherwise(0)).alias("one"),
         F.sum(F.when(F.col("deletion"), F.col("exact")).otherwise(F.col("near"))).alias("two"),
     )
+    # Unit 2 is met by equal subsets too, so it is looked up under both and left out before
+    # unit 1: costs are those of leaving out one after the other, or both at once, twice over.
     wide = (F.col("scheme") != SINGLE) & (F.col("segment") % WIDE == 0)
-    either = F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.when(wide, F.least("one", "two")).otherwise(F.col("one")).alias("cost")),
-                               F.struct(F.lit(2).alias("unit"), F.when(wide, F.col("two")).otherwise(0).alias("cost"))))
+    all_met = F.col("one") + F.col("two")
+    first, second = F.when(wide, F.least(2 * F.col("one"), all_met)).otherwise(2 * F.col("one")), F.when(wide, F.greatest(2 * F.col("two"), all_met)).otherwise(0)
+    either = F.explode(F.array(F.struct(F.lit(1).alias("unit"), first.alias("cost")), F.struct(F.lit(2).alias("unit"), second.alias("cost"))))
     choices = per_segment.select("cid", "scheme", "next", "segment", either.alias("u")).select("cid", "scheme", "next", "segment", "u.*").where("cost > 0 OR unit = 1")
     ranked = choices.groupBy("cid", "scheme", "next").agg(F.sort_array(F.collect_list(F.struct("cost", "unit", "segment")), False).alias("l"))
     ranked = ranked.join(info.select("cid", "spare_own", "spare_next"), "cid")

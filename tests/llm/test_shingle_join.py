@@ -102,6 +102,45 @@ def test_units_suffice_for_every_linked_pair():
             assert len(met) > J.units(ss, ds) - J.needed(len(small), scheme)
 
 
+def candidates(spark, rows, spare):
+    """What ``allocated`` finds for rows (key, cid, segment, deletion) of sets of 100, a component each."""
+    rows = [(k, 7 << 27 | d << 25 | s, c, c, c) for k, c, s, d in rows]
+    met = spark.createDataFrame(rows, "key long, unit long, pivot long, cid long, comp long")
+    classes = met.select("cid").distinct().select("cid", F.lit(100).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), 16).alias("sketch"), F.lit(spare).alias("spare_own"), F.lit(0).alias("spare_next"))
+    return {tuple(sorted((r.a, r.b))) for r in J.allocated(met, classes, False).collect()}
+
+
+def test_equal_subsets_of_wide_segments_are_looked_up(spark):
+    rows = [(1, 10, 16, 0), (1, 20, 16, 0)]  # nobody has a neighbour there
+    assert candidates(spark, rows, 0) == {(10, 20)}
+    assert candidates(spark, rows, 1) == {(10, 20)}  # one unit left out: the segment counts for two
+    assert candidates(spark, rows, 2) == set()
+    crowd = [(2, c, 32, 0) for c in (10, 20, 30, 40)]
+    assert candidates(spark, rows + crowd, 2) == {(10, 20)}  # the dear segment is left out
+
+
+def test_allocation_loses_no_link_under_a_shared_passage(spark):
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        tail = [f"t{g}_{i}" for i in range(rnd.randint(20, 60))]
+        size = len(passage) + len(tail) - 4
+        cut = size - -(-3 * size // 4) - rnd.randint(0, 2)  # shingles that one of the two has alone
+        rows += [(2 * g, " ".join(passage + tail)), (2 * g + 1, " ".join(passage + tail[: len(tail) - cut]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    both = J._indexed(df, singles=False)
+    sets = both.where("key IS NULL")
+    classes = sets.groupBy("cid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "spare_own", "spare_next", "short")])
+    met = both.where("key IS NOT NULL").select("key", "unit", "pivot", "cid", F.col("cid").alias("comp"))
+    got = {frozenset((r.a, r.b)) for r in J.allocated(met, classes, False).collect()}
+    of = {r.doc_id: (r.cid, r.short) for r in sets.collect()}
+    shingles = {i: fixtures.shingles(t) for i, t in rows}
+    linked = [(i, j) for i in of for j in of if i < j and 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j])]
+    want = {frozenset((of[i][0], of[j][0])) for i, j in linked if not (of[i][1] or of[j][1])}
+    assert len(want) > 30 and want <= got
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7), (300, 301), (301, 302), (302, 300)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
