@@ -404,7 +404,7 @@ def allocated(met: DataFrame, classes: DataFrame, singles: bool) -> DataFrame:
     met = written(met.select(
         "key", "cid", "comp", F.shiftright(unit, 27).alias("scheme"), (unit.bitwiseAND(1 << 26) != 0).alias("next"),
         (unit.bitwiseAND(1 << 25) != 0).alias("deletion"), unit.bitwiseAND((1 << 25) - 1).alias("segment"),
-    ), "open-units")
+    ).distinct(), "open-units")  # ``met_units`` repeats rows of spilled buckets, and equal rows cancel out of ``members``
     # what is indexed under a key: sets by their whole subset (exact) and by a neighbourhood (near)
     indexed_rows = met.where(~F.col("next"))
     exact, near = ~F.col("deletion"), F.col("deletion")

@@ -119,6 +119,11 @@ def test_equal_subsets_of_wide_segments_are_looked_up(spark):
     assert candidates(spark, rows + crowd, 2) == {(10, 20)}  # the dear segment is left out
 
 
+def test_repeated_rows_do_not_make_keys_alike(spark):
+    rows = [(1, 10, 1, 0), (1, 20, 1, 0), (2, 30, 2, 0), (2, 40, 2, 0)]
+    assert candidates(spark, rows + rows, 0) == {(10, 20), (30, 40)}
+
+
 def test_allocation_loses_no_link_under_a_shared_passage(spark):
     rnd = random.Random(9)
     passage = [f"p{i}" for i in range(60)]
