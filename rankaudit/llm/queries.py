@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankaudit.llm import bpe, exact_dedup, language, line_dedup, mixing, quality, secrets, shingle_join, topk, toxicity
+from rankaudit.llm import (
+    bpe, conversations, exact_dedup, language, line_dedup, mixing, quality, secrets, shingle_join, topk, toxicity, whitening,
+)
 from rankaudit.llm.store import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -54,6 +56,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
@@ -65,6 +75,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -73,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
 }
