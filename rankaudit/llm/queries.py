@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankaudit.llm import (
-    bpe, conversations, exact_dedup, language, line_dedup, mixing, quality, secrets, shingle_join, topk, toxicity, whitening,
+    bpe, conversations, exact_dedup, language, line_dedup, mixing, pii, quality, secrets, shingle_join, topk, toxicity, whitening,
 )
 from rankaudit.llm.store import table
 
@@ -64,6 +64,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digests(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
@@ -77,6 +81,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_whitening": op12_whitening,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE: dict[str, str] = {
