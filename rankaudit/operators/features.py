@@ -12,24 +12,32 @@ in-vocabulary terms ``t`` (terms a document lacks have ``tf = 0``):
     JM     −Σ ln((1 − λ)·tf/d + λ·p(t))
 with the three LM scores 0 when the document is empty.
 
+A text feature is a :class:`TextFeature`: a name and a function from the columns of one
+query term (:class:`TermColumns`) to its summand; the built-in seven are written that way,
+and any other can be given in a :class:`FeatureSpec`.  All features of all fields are
+compiled into one aggregate.  A :class:`DocFeature` is a function of a document's column.
+
 The plan for judged pairs is "query terms × judged docs LEFT JOIN postings".
 All fields share one postings table ``f, doc_id, term, tf``, tokenised once and
 written to the shared folder; it is reduced to the judged documents for norms
 and lengths, and further to the queries' words for the join.  A pair is
 (qid, query text, doc): repeated judgements of a pair share one computation, and
-two texts under one qid are two queries.
+two texts under one qid are two queries.  Of corpus rows that repeat an id the first
+is the document; all of them count for the statistics.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_length, int_value, tokens
 from ..session import written_table
+from .index import TextIndex, counted, numbered_copies, top_ranks
 from .termstats import FieldIndex, doc_norms, query_terms, term_weights
 
 # The reference's feature parameters.
@@ -39,12 +47,71 @@ JM_LAMBDA = 0.1
 DIR_MU = 2000.0
 ABS_DELTA = 0.7
 
+
+class TermColumns(NamedTuple):
+    """What is known of one query term for one document and field.  ``unique`` is what ABS takes
+    as the number of unique terms (``df``, or the document's own with ``unique='doc'``)."""
+
+    tf: Column  # occurrences in the document (0 without)
+    d: Column  # the document's length in tokens
+    idf: Column
+    p: Column  # share of all tokens of the field
+    df: Column
+    cf: Column
+    norm: Column  # length of the document's tf·idf vector
+    avgd: Column  # mean length
+    unique: Column
+
+
+@dataclass(frozen=True)
+class TextFeature:
+    """A feature that is a sum over the query's terms; ``name`` may hold ``{field}``."""
+
+    key: str
+    name: str
+    summand: Callable[[TermColumns], Column]
+
+    def title(self, field: str) -> str:
+        return self.name.format(field=field)
+
+
+@dataclass(frozen=True)
+class DocFeature:
+    """A feature of the document alone: a function of its column, as a double."""
+
+    name: str
+    value: Callable[[Column], Column]
+
+    def title(self, field: str) -> str:
+        return self.name.format(field=field)
+
+
+def _nonempty(t: TermColumns, x: Column) -> Column:
+    return F.when(t.d > 0, x).otherwise(F.lit(0.0))
+
+
+def built_in(k1: float = BM25_K1, b: float = BM25_B, lam: float = JM_LAMBDA, mu: float = DIR_MU, delta: float = ABS_DELTA) -> tuple[TextFeature, ...]:
+    """F1–F7 in the layout's order.  The names are the reference's (fixed values)."""
+    zero = F.lit(0.0)
+    return (
+        TextFeature("tf", "TF(q, d) in {field}", lambda t: t.tf),
+        TextFeature("idf", "IDF(q) in {field}", lambda t: t.idf),
+        TextFeature("tfidf", "TF_IDF(q, d) in {field}", lambda t: F.when(t.tf > 0, t.tf * t.idf / t.norm).otherwise(zero)),
+        TextFeature("bm25", "BM25 of {field}", lambda t: t.idf * (t.tf * (k1 + 1.0)) / (t.tf + k1 * (1.0 - b + b * t.d / t.avgd))),
+        TextFeature("lmir_abs", "LMIR_ABS(q, d) in {field}", lambda t: _nonempty(t, -F.log(F.greatest(t.tf - delta, zero) / t.d + F.lit(delta) * t.unique / t.d * t.p))),
+        TextFeature("lmir_dir", "LMIR_DIR(q, d) in {field}", lambda t: _nonempty(t, -F.log((t.tf + mu * t.p) / (t.d + mu)))),
+        TextFeature("lmir_jm", "LMIR_JM(q, d) in {field}", lambda t: _nonempty(t, -F.log((1.0 - lam) * t.tf / t.d + lam * t.p))),
+    )
+
+
 TEXT_FEATURES = ("tf", "idf", "tfidf", "bm25", "lmir_abs", "lmir_dir", "lmir_jm")
+_LEN_NAME, _NUM_NAME = "LEN(d) of {field}", "num of {field}"  # fixed values: the reference's names
 
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """One feature family: ``kind`` is ``text`` (7 features), ``len`` or ``num``.
+    """One feature family over ``field``: ``kind`` is ``text`` (the built-in seven, or the
+    given :class:`TextFeature` s), ``len``, ``num``, or ``doc`` (the given :class:`DocFeature` s).
 
     ``num`` reads ``field`` from the corpus (or from a papers table passed to
     :func:`judged_features`) and parses it as an integer.
@@ -52,26 +119,25 @@ class FeatureSpec:
 
     kind: str
     field: str
+    features: tuple = ()
+
+    def text(self, **params) -> tuple[TextFeature, ...]:
+        return self.features or built_in(**params)
 
     def names(self) -> list[str]:
-        # The reference's feature names.
         if self.kind == "text":
-            return [
-                f"TF(q, d) in {self.field}",
-                f"IDF(q) in {self.field}",
-                f"TF_IDF(q, d) in {self.field}",
-                f"BM25 of {self.field}",
-                f"LMIR_ABS(q, d) in {self.field}",
-                f"LMIR_DIR(q, d) in {self.field}",
-                f"LMIR_JM(q, d) in {self.field}",
-            ]
-        if self.kind == "len":
-            return [f"LEN(d) of {self.field}"]
-        if self.kind == "num":
-            return [f"num of {self.field}"]
+            return [f.title(self.field) for f in self.features or _built_in_names()]
+        if self.kind == "doc":
+            return [f.title(self.field) for f in self.features]
+        if self.kind in ("len", "num"):
+            return [(_LEN_NAME if self.kind == "len" else _NUM_NAME).format(field=self.field)]
         raise ValueError(f"unknown feature kind {self.kind!r}")
 
 
+def _built_in_names() -> tuple[TextFeature, ...]:
+    return built_in()
+
+
 def default_specs(num_field: str = "n_chars") -> list[FeatureSpec]:
     """The reference's 25-feature layout: 7 text features × (abstract, title,
     venue), then LEN × 3, then one NUM."""
@@ -92,42 +158,19 @@ def feature_names(spark, specs: Sequence[FeatureSpec]) -> DataFrame:
 PAIR = ["qid", "query", "doc_id"]
 
 
-def _summands(k1: float, b: float, lam: float, mu: float, delta: float) -> list:
-    """Each text feature's summand for one query term, from the columns tf, d, idf,
-    p, avgd, norm and u."""
-    tf = F.coalesce(F.col("tf"), F.lit(0)).cast("double")
-    d = F.col("d").cast("double")
-    idf, p = F.col("idf"), F.col("p")
-    some = d > 0
-    return [
-        tf.alias("tf"),
-        idf.alias("idf"),
-        F.when(tf > 0, tf * idf / F.col("norm")).otherwise(F.lit(0.0)).alias("tfidf"),
-        (idf * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * d / F.col("avgd")))).alias("bm25"),
-        F.when(some, -F.log(F.greatest(tf - delta, F.lit(0.0)) / d + F.lit(delta) * F.col("u") / d * p)).otherwise(F.lit(0.0)).alias("lmir_abs"),
-        F.when(some, -F.log((tf + mu * p) / (d + mu))).otherwise(F.lit(0.0)).alias("lmir_dir"),
-        F.when(some, -F.log((1.0 - lam) * tf / d + lam * p)).otherwise(F.lit(0.0)).alias("lmir_jm"),
-    ]
-
-
 def _contributions(
     pairs: DataFrame,
     postings: DataFrame,
     terms: DataFrame,
-    *,
-    k1: float = BM25_K1,
-    b: float = BM25_B,
-    lam: float = JM_LAMBDA,
-    mu: float = DIR_MU,
-    delta: float = ABS_DELTA,
+    wanted_features: Sequence[tuple[str, int, TextFeature]],
     unique: str = "df",
 ) -> DataFrame:
-    """One row per pair, field ``f`` and query term with each feature's summand."""
+    """One row per pair with the sum of every (column, field number, feature)."""
     if unique not in ("df", "doc"):
         raise ValueError("unique must be 'df' or 'doc'")
     asked = pairs.select("qid", "query").distinct()
     words = asked.select("qid", "query", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    wanted = words.join(terms, "term").select("qid", "query", "f", "term", "df", "idf", "p", "avgd")
+    wanted = words.join(terms, "term").select("qid", "query", "f", "term", "df", "cf", "idf", "p", "avgd")
     judged = postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     per_doc = (
         judged.join(terms.select("f", "term", "idf"), ["f", "term"])
@@ -142,42 +185,39 @@ def _contributions(
         .withColumn("d", F.coalesce("d", F.lit(0)))
         .withColumn("u", F.col("df") if unique == "df" else F.coalesce("terms_in_doc", F.lit(0)))
     )
-    return cand.select(*PAIR, "f", *_summands(k1, b, lam, mu, delta))
+    double = lambda c: F.col(c).cast("double")
+    t = TermColumns(
+        F.coalesce(F.col("tf"), F.lit(0)).cast("double"), double("d"), F.col("idf"), F.col("p"), double("df"), double("cf"), F.col("norm"), F.col("avgd"), double("u")
+    )
+    return cand.groupBy(*PAIR).agg(*[F.sum(F.when(F.col("f") == f, feature.summand(t))).alias(c) for c, f, feature in wanted_features])
 
 
-def text_features(pairs: DataFrame, queries: DataFrame, index: FieldIndex, **params) -> DataFrame:
+def text_features(pairs: DataFrame, queries: DataFrame, index: FieldIndex, features: Sequence[TextFeature] | None = None, *, unique: str = "df", **params) -> DataFrame:
     """F1–F7 for one field: ``qid, doc_id, tf, idf, tfidf, bm25, lmir_abs,
-    lmir_dir, lmir_jm`` for every distinct (qid, doc_id) of ``pairs`` and text of
-    the query; 0 when the query has no in-vocabulary term."""
+    lmir_dir, lmir_jm`` (or the given ``features`` by key) for every distinct (qid, doc_id)
+    of ``pairs`` and text of the query; 0 when the query has no in-vocabulary term."""
+    features = list(features or built_in(**params))
     keys = pairs.select("qid", "doc_id").distinct().join(queries.select("qid", F.coalesce("query", F.lit("")).alias("query")).distinct(), "qid")
     keys = keys.select(*PAIR)
-    contrib = _contributions(keys, index.postings.withColumn("f", F.lit(0)), index.terms.withColumn("f", F.lit(0)), **params)
-    agg = contrib.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in TEXT_FEATURES])
+    wanted = [(f.key, 0, f) for f in features]
+    agg = _contributions(keys, index.postings.withColumn("f", F.lit(0)), index.terms.withColumn("f", F.lit(0)), wanted, unique)
     return keys.join(agg, PAIR, "left").select(
-        "qid", "doc_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in TEXT_FEATURES]
+        "qid", "doc_id", *[F.coalesce(F.col(f.key), F.lit(0.0)).alias(f.key) for f in features]
     )
 
 
-def field_postings(corpus: DataFrame, fields: Sequence[str], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(postings ``f, doc_id, term, tf``, vocabulary ``f, term, df, cf, idf, p, avgd``) of
-    several fields: the corpus is tokenised once and the postings are written."""
-    def tag(i: int):
-        return lambda t: F.struct(F.lit(i).alias("f"), t.alias("term"))
-
-    tagged = F.concat(*[F.transform(tokens(c), tag(i)) for i, c in enumerate(fields)])
-    counted = (
-        corpus.select(F.col(id_col).alias("doc_id"), F.explode(tagged).alias("x"))
-        .select("doc_id", "x.f", "x.term")
-        .groupBy("f", "doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    postings = written_table(counted, "field-postings")
+def field_postings(corpus: DataFrame, fields: Sequence[str], id_col: str = "id", ord_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings ``f, doc_id, term, tf`` of the first row of each id, vocabulary ``f, term, df, cf,
+    idf, p, avgd`` over all rows) of several fields: the corpus is tokenised once and the
+    postings are written."""
+    rows = numbered_copies(corpus, id_col, ord_col)
+    postings = written_table(counted(rows, fields, id_col), "field-postings")
     stats = written_table(postings.groupBy("f", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "field-vocabulary")
     totals = {r["f"]: r["total"] for r in stats.groupBy("f").agg(F.sum("cf").alias("total")).collect()}  # one row per field
     total = F.lit(0.0)
     for f, n in totals.items():
         total = F.when(F.col("f") == f, F.lit(float(n))).otherwise(total)
-    return postings, stats.select("f", "term", "df", "cf", *term_weights(corpus.count(), total))
+    return postings.where("copy = 0").drop("copy"), stats.select("f", "term", "df", "cf", *term_weights(rows.count(), total))
 
 
 def judged_features(
@@ -187,18 +227,23 @@ def judged_features(
     *,
     papers: DataFrame | None = None,
     id_col: str = "id",
+    ord_col: str | None = None,
     paper_key: str = "paper_sha",
     paper_ord: str | None = None,
+    index: TextIndex | None = None,
+    unique: str = "df",
     **params,
 ) -> DataFrame:
     """``qid, doc_id, relevance, features ARRAY<DOUBLE>`` for every
     judged (qid, doc) whose document exists; unknown documents are skipped.
 
     ``judged`` has ``qid, query, doc_id, relevance``; a pair judged twice gives two
-    rows with the same features.  With ``papers`` (keyed by ``paper_key``) numbers
+    rows with the same features.  Of corpus rows that repeat an id the first counts
+    (least ``ord_col``, else least row).  With ``papers`` (keyed by ``paper_key``) numbers
     are read from it, documents without a paper are skipped as well, and of
     papers that repeat a key the one with the least ``paper_ord`` (else the least
-    value) counts.
+    value) counts.  With an ``index`` of the specs' text fields nothing is tokenised
+    but the queries.
     """
     specs = list(specs or default_specs())
     known = judged.join(corpus.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -213,41 +258,40 @@ def judged_features(
         known = known.join(numbers.select("doc_id"), "doc_id", "left_semi")
     pairs = known.select(*PAIR).distinct()
 
-    text_specs = [s for s in specs if s.kind == "text"]
-    cols: dict[tuple[int, str], str] = {}
-    out = known
+    out, columns = known, {}
+    text_specs = [(i, s) for i, s in enumerate(specs) if s.kind == "text"]
     if text_specs:
-        postings, terms = field_postings(corpus, [s.field for s in text_specs], id_col)
-        contribs = _contributions(pairs, postings, terms, **params)
-        aggs = []
-        for i in range(len(text_specs)):
-            for name in TEXT_FEATURES:
-                alias = f"t{i}_{name}"
-                cols[(i, name)] = alias
-                aggs.append(F.sum(F.when(F.col("f") == i, F.col(name))).alias(alias))
-        out = out.join(contribs.groupBy(*PAIR).agg(*aggs), PAIR, "left")
-
-    doc_cols = [char_length(s.field).alias(f"len_{s.field}") for s in specs if s.kind == "len"]
-    if papers is None:
-        types = dict(corpus.dtypes)
-        doc_cols += [int_value(s.field, types[s.field]).cast("double").alias(f"num_{s.field}") for s in num_specs]
-    if doc_cols:
-        doc_feats = corpus.select(F.col(id_col).alias("doc_id"), *doc_cols).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-        out = out.join(doc_feats, "doc_id", "left")
-    if papers is not None:
-        out = out.join(numbers, "doc_id", "left").select("*", *[F.col(f"n.num_{s.field}") for s in num_specs])
-
-    vec = []
-    ti = 0
-    for s in specs:
-        if s.kind == "text":
-            vec.extend(F.coalesce(F.col(cols[(ti, n)]), F.lit(0.0)) for n in TEXT_FEATURES)
-            ti += 1
-        elif s.kind == "len":
-            vec.append(F.col(f"len_{s.field}").cast("double"))
+        if index is None:
+            fields = list(dict.fromkeys(s.field for _, s in text_specs))
+            postings, terms = field_postings(corpus, fields, id_col, ord_col)
         else:
-            vec.append(F.col(f"num_{s.field}"))
-    return out.select("qid", "doc_id", "relevance", F.array(*vec).alias("features"))
+            fields, postings, terms = index.fields, index.postings.where("copy = 0").drop("copy"), index.terms
+        wanted = [(f"t{i}_{j}", fields.index(s.field), f) for i, s in text_specs for j, f in enumerate(s.text(**params))]
+        used = sorted({f for _, f, _ in wanted})
+        if len(used) < len(fields):
+            postings, terms = postings.where(F.col("f").isin(used)), terms.where(F.col("f").isin(used))
+        out = out.join(_contributions(pairs, postings, terms, wanted, unique), PAIR, "left")
+        for i, _ in text_specs:
+            columns[i] = [F.coalesce(F.col(c), F.lit(0.0)) for c, _, _ in wanted if c.startswith(f"t{i}_")]
+
+    types, doc_cols = dict(corpus.dtypes), []
+    for i, s in enumerate(specs):
+        if s.kind == "text":
+            continue
+        if s.kind == "num" and papers is not None:
+            columns[i] = [F.col(f"n.num_{s.field}")]
+            continue
+        made = [char_length(s.field)] if s.kind == "len" else [int_value(s.field, types[s.field])] if s.kind == "num" else [f.value(F.col(s.field)) for f in s.features]
+        names = [f"d{i}_{j}" for j in range(len(made))]
+        doc_cols += [c.cast("double").alias(n) for c, n in zip(made, names)]
+        columns[i] = [F.col(f"doc.{n}") for n in names]
+    if doc_cols:  # of the judged documents only, and of those the first row
+        ids = corpus.join(pairs.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+        first = ids.select(F.col(id_col).alias("doc_id"), F.struct(*([F.col(ord_col).alias("_ord")] if ord_col else []), F.struct(*doc_cols).alias("v")).alias("o"))
+        out = out.join(first.groupBy("doc_id").agg(F.min("o").alias("o")).select("doc_id", F.col("o.v").alias("doc")), "doc_id", "left")
+    if papers is not None:
+        out = out.join(numbers, "doc_id", "left")
+    return out.select("qid", "doc_id", "relevance", F.array(*[c for i in range(len(specs)) for c in columns[i]]).alias("features"))
 
 
 def score_corpus(queries: DataFrame, index: FieldIndex) -> DataFrame:
@@ -274,17 +318,11 @@ def search_top_k(queries: DataFrame, index: FieldIndex, k: int = 1, tie_decimals
 
     When fewer than ``k`` documents match, the lowest-id documents fill up
     with score 0 (the reference's argmax over a zero vector returns the first
-    document).  Scores equal to ``tie_decimals`` decimals tie.  Those ``k`` fallback ids are the only thing brought to the
-    driver.  ``row_number() <= k`` is planned as a per-partition group limit
-    before the shuffle, so a query with many matches never ships them all.
+    document).  Scores equal to ``tie_decimals`` decimals tie (exact copies of a
+    document must tie whatever order their terms were summed in).  Those ``k`` fallback
+    ids are the only thing brought to the driver.  ``row_number() <= k`` is planned as a
+    per-partition group limit before the shuffle.  Every match is scored here;
+    ``index.Search`` skips what cannot win.
     """
-    first = index.corpus.select(F.col(index.id_col).alias("doc_id")).orderBy("doc_id").limit(k)
-    ids = [r[0] for r in first.collect()]
-    fallback = queries.select("qid", F.explode(F.array(*[F.lit(v) for v in ids])).alias("doc_id")).withColumn("score", F.lit(0.0))
-    # a fallback id that also matched has its own, positive score
-    cand = score_corpus(queries, index).unionByName(fallback).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
-    # exact copies of a document must tie whatever order their terms were
-    # summed in: rank on the score rounded to `tie_decimals`
-    w = Window.partitionBy("qid").orderBy(F.round("score", tie_decimals).desc(), F.col("doc_id").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("qid", "rank", "doc_id", "score")
+    docs = index.corpus.select(F.col(index.id_col).alias("doc_id"))
+    return top_ranks(score_corpus(queries, index), queries, docs, k, tie_decimals)
