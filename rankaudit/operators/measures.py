@@ -7,15 +7,18 @@ probability 1 and each next one with ``e_{i+1} = e_i · γ · (1 − s·rel_i)``
 Fairness compares, per author group, the share of total exposure with the
 share of total relevance: ``sqrt(Σ_g (exp_share_g − rel_share_g)²)``.
 
-Shapes: per-document tables are keyed by ``qid, rank``; the author and group
+Running values of a list are taken in blocks of ranks (``scan``), so no task needs a whole
+list.  Shapes: per-document tables are keyed by ``qid, rank``; the author and group
 tables are aggregates (group tables have one row per group id).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import number_rows, running
+
 # Fixed values of the reference.
 GAMMA = 0.5
 STOP_PROB = 0.7
@@ -23,15 +26,13 @@ STOP_PROB = 0.7
 
 def exposure(ranked: DataFrame, *, gamma: float = GAMMA, stop_prob: float = STOP_PROB, rel: str = "rel", qid: str = "qid", rank: str = "rank") -> DataFrame:
     """H2: add ``exposure`` = Π over higher-ranked docs of γ(1 − s·rel)."""
-    w = Window.partitionBy(qid).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     factor = F.lit(gamma) * (F.lit(1.0) - F.lit(stop_prob) * F.col(rel))
-    return ranked.withColumn("exposure", F.coalesce(F.product(factor).over(w), F.lit(1.0)))
+    return running(ranked, qid, rank, "exposure", factor, "product", with_own=False).withColumn("exposure", F.coalesce("exposure", F.lit(1.0)))
 
 
 def ndcg_per_query(ranked: DataFrame, *, rel: str = "rel", qid: str = "qid", rank: str = "rank") -> DataFrame:
     """H3 per query: ``qid, dcg, idcg, ndcg`` (ndcg null when idcg = 0)."""
-    ideal = Window.partitionBy(qid).orderBy(F.col(rel).desc(), F.col(rank).asc())
-    r = ranked.withColumn("_irank", F.row_number().over(ideal))
+    r = number_rows(ranked.select(qid, rel, rank), qid, rel, rank, "_irank")
     agg = r.groupBy(qid).agg(
         F.sum(F.col(rel) / F.log2(F.col(rank) + 1)).alias("dcg"),
         F.sum(F.col(rel) / F.log2(F.col("_irank") + 1)).alias("idcg"),
@@ -57,9 +58,7 @@ def mean_ndcg(ranked: DataFrame, *, empty: str = "nan", **kw) -> DataFrame:
 def average_precision(ranked: DataFrame, *, rel: str = "rel", qid: str = "qid", rank: str = "rank") -> DataFrame:
     """H4 per query: AP = mean over relevant docs (rel > 0) of precision at
     their rank; ``qid, ap`` (null when the query has no relevant doc)."""
-    w = Window.partitionBy(qid).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    hit = (F.col(rel) > 0).cast("int")
-    r = ranked.withColumn("_hits", F.sum(hit).over(w))
+    r = running(ranked.select(qid, rel, rank), qid, rank, "_hits", (F.col(rel) > 0).cast("int"), "sum", with_own=True)
     return r.groupBy(qid).agg(
         F.avg(F.when(F.col(rel) > 0, F.col("_hits") / F.col(rank))).alias("ap")
     )

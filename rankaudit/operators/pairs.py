@@ -57,15 +57,13 @@ def balance_pairs(pairs: DataFrame, n_rows: Column, balance: str = "pair_index")
     par = pair_index_parity(F.col("i"), F.col("j"), n_rows)
     label = F.when(par == 0, F.lit(1)).otherwise(F.lit(-1))
     flip = (label * F.col("sign")).cast("double")
-    # the flip is materialised as a column first: it depends on the scalar
-    # subquery n, which may not appear inside a higher-order function
     out = pairs.withColumn("k_parity", par).withColumn("label", label).withColumn("_flip", flip)
     return out.withColumn("diff", scale("diff", F.col("_flip"))).drop("_flip")
 
 
 def training_pairs(rows: DataFrame, features: str = "features", balance: str = "pair_index") -> DataFrame:
     """G1 + G2: ``qid, i, j, k_parity, label, diff``."""
-    n = rows.agg(F.count(F.lit(1))).scalar()
+    n = F.lit(rows.count()).cast("long")  # one number
     return balance_pairs(pairwise_diffs(rows, features), n, balance).select(
         "qid", "i", "j", "k_parity", "label", "diff"
     )

@@ -1,17 +1,19 @@
 """Ranking by a linear model.
 
 A ranked list is a flat table ``qid, rank, ord, doc_id, rel, score,
-features``; order is a column, ties are broken by the row ordinal.
+features``; order is a column, ties are broken by the row ordinal.  Lists too long for one
+task are numbered in blocks (``scan``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import diff, dot, standardize
+from .scan import number_rows
 
 
 def score(rows: DataFrame, weights: Sequence[float], features: str = "features", *, means=None, stds=None) -> DataFrame:
@@ -34,9 +36,7 @@ def rank_documents(
     stds=None,
 ) -> DataFrame:
     """H1: per query, descending model score; ties by ordinal ascending."""
-    s = score(rows, weights, features, means=means, stds=stds)
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(ord_col).asc())
-    return s.withColumn("rank", F.row_number().over(w))
+    return number_rows(score(rows, weights, features, means=means, stds=stds), qid, "score", ord_col, "rank")
 
 
 def predict_order(
@@ -44,9 +44,8 @@ def predict_order(
 ) -> DataFrame:
     """Per query, 0-based position of each row when sorted by ``w·x``
     ascending (argsort; ties by ordinal)."""
-    s = score(rows, weights, features)
-    w = Window.partitionBy(qid).orderBy(F.col("score").asc(), F.col(ord_col).asc())
-    return s.withColumn("position", F.row_number().over(w) - 1)
+    placed = number_rows(score(rows, weights, features), qid, "score", ord_col, "position", descending=False)
+    return placed.withColumn("position", F.col("position") - 1)
 
 
 def prefer(pairs: DataFrame, weights: Sequence[float], intercept: float, a: str = "x_a", b: str = "x_b") -> DataFrame:

@@ -223,3 +223,19 @@ def tolerance_iterate(model: RankModel, tol: float) -> np.ndarray:
         if h["grad_norm"] <= tol * max(g0, 1e-300):
             return h["w"]
     raise ValueError(f"no recorded step meets tolerance {tol}")
+
+
+def tolerance_sweep(
+    rows: DataFrame, model: RankModel, doc_authors: DataFrame, groups: DataFrame, tolerances=(1e-2, 1e-4, 1e-6, 1e-8), *, zero_total: str = "zero"
+) -> DataFrame:
+    """``tol, fairness, utility`` of the ranking by the weights with which a fit (one recorded
+    path) would have ended at each tolerance."""
+    from .measures import fairness_and_utility
+    from .ranking import rank_documents
+
+    out = None
+    for tol in tolerances:
+        ranked = rank_documents(rows, [float(v) for v in tolerance_iterate(model, tol)[:-1]])
+        r = fairness_and_utility(ranked, doc_authors, groups, zero_total=zero_total).select(F.lit(float(tol)).alias("tol"), "fairness", "utility")
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -7,6 +7,8 @@ computed column is aliased and rounded exactly as the Spark side rounds it.
 
 from __future__ import annotations
 
+import re
+
 # Fixed value: the token pattern (same as functions/text.py).
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 R = 6  # decimals kept on floating outputs (both sides)
@@ -75,7 +77,15 @@ FIELDS = (("paperAbstract", "ab"), ("title", "ti"), ("venue", "ve"))
 
 
 def with_(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    """``body`` with those of ``ctes`` that it needs, directly or through others."""
+    named = {re.match(r"\w+", c)[0]: c for c in ctes}
+    used, look = set(), [body]
+    while look:
+        new = set(re.findall(r"\w+", look.pop())) & named.keys() - used
+        used |= new
+        look += [named[n] for n in new]
+    kept = [c for n, c in named.items() if n in used]
+    return ("WITH " + ",\n".join(kept) + "\n" if kept else "") + body
 
 
 def rnd(expr: str) -> str:
@@ -125,6 +135,7 @@ def q_termstat(kind: str) -> str:
         "FROM post_ab p JOIN terms_ab t ON t.term = p.term JOIN norm_ab n ON n.id = p.id",
         "doc_length": f"SELECT id AS doc_id, d, {rnd('(SELECT CAST(total AS DOUBLE) / n FROM cs_ab)')} AS avg_d FROM len_ab",
         "collection_stats": f"SELECT term, cf, (SELECT total FROM cs_ab) AS total_tokens, {rnd('p')} AS p FROM terms_ab",
+        "index_segments": f"SELECT term, df, cf, {rnd('idf')} AS idf, {rnd('p')} AS p FROM terms_ab",
         "query_terms": "SELECT qid, term, df, " + rnd("idf") + " AS idf FROM qt_ab",
     }
     return with_(ctes, bodies[kind])
@@ -187,13 +198,14 @@ def text_sql() -> dict[str, str]:
         "judged_features": q_judged_features(),
         "search_top_k": q_search_top_k(1),
         "search_top_3": q_search_top_k(3),
+        "search_top_k_full": q_search_top_k(1),
         "score_corpus": q_score_corpus(),
         "feature_len": q_feature_len(),
         "feature_num": q_feature_num(),
     }
     for n in TEXT_FEATURES:
         out[f"feature_{n}"] = q_text_feature(n)
-    for k in ("tokenize", "term_counts", "vocabulary", "idf", "tfidf", "doc_length", "collection_stats", "query_terms"):
+    for k in ("tokenize", "term_counts", "vocabulary", "idf", "tfidf", "doc_length", "collection_stats", "query_terms", "index_segments"):
         out[k] = q_termstat(k)
     return out
 
@@ -264,12 +276,13 @@ def bib_sql() -> dict[str, str]:
 
 
 # ---------------------------------------------------------------- ranking world
-def rank_ctes(binary: bool) -> list[str]:
+def rank_ctes(binary: bool, turn: int = 0) -> list[str]:
+    """``turn``: feature i weighs 1 / (1 + (i + turn) mod 64)."""
     rel = "label % 2" if binary else "label"
     return [
         f"fr AS (SELECT vec_id AS ord, vec_id // 20 AS qid, vec_id AS doc_id, CAST({rel} AS DOUBLE) AS rel, "
         "CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
-        "sc AS (SELECT *, list_sum(list_transform(x, lambda v, i: coalesce(v, 0.0) * (1.0::DOUBLE / i))) AS score FROM fr)",
+        "sc AS (SELECT *, list_sum(list_transform(x, lambda v, i: coalesce(v, 0.0) * (1.0::DOUBLE / ((i - 1 + " + str(turn) + ") % 64 + 1)))) AS score FROM fr)",
         "rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS INTEGER) AS rank FROM sc)",
         "ex AS (SELECT *, coalesce(product(0.5::DOUBLE * (1.0::DOUBLE - 0.7::DOUBLE * rel)) OVER "
         "(PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE) AS exposure FROM rk)",
@@ -308,9 +321,10 @@ def rank_sql() -> dict[str, str]:
         "exposure_fairness": with_(b, f"SELECT {rnd('sqrt(sum(pow(exposure_share - relevance_share, 2)))')} AS fairness FROM gs"),
         "exposure_curve": with_(b, f"SELECT DISTINCT rank, {rnd('pow(0.5, rank - 1) * pow(0.2, rank - 1)')} AS relevant, "
                                 f"{rnd('pow(0.5, rank - 1)')} AS irrelevant FROM rk"),
-        "tolerance_sweep": with_(b, " UNION ALL ".join(
-            f"SELECT {tol}::DOUBLE AS tol, (SELECT {rnd('sqrt(sum(pow(exposure_share - relevance_share, 2)))')} FROM gs) AS fairness, "
-            f"(SELECT {rnd('sum(exposure * rel * 0.7::DOUBLE) / count(DISTINCT qid)')} FROM ex) AS utility" for tol in ("1e-2", "1e-4", "1e-6", "1e-8"))),
+        "tolerance_sweep": " UNION ALL ".join(
+            f"SELECT {tol}::DOUBLE AS tol, (" + with_(rank_ctes(True, 16 * k), f"SELECT {rnd('sqrt(sum(pow(exposure_share - relevance_share, 2)))')} FROM gs") + ") AS fairness, ("
+            + with_(rank_ctes(True, 16 * k), f"SELECT {rnd('sum(exposure * rel * 0.7::DOUBLE) / count(DISTINCT qid)')} FROM ex") + ") AS utility"
+            for tol, k in (("1e-2", 1), ("1e-4", 2), ("1e-6", 3), ("1e-8", 4))),
         "group_share_stack": with_(b + [
             "lg AS (SELECT gid, 'relevance' AS measure, relevance_share AS share FROM gs UNION ALL "
             "SELECT gid, 'exposure', exposure_share FROM gs)",
@@ -334,8 +348,8 @@ def pair_ctes() -> list[str]:
     ]
 
 
-def wsum(col: str, dim: int = 64) -> str:
-    return " + ".join(f"coalesce({col}[{m + 1}], 0.0) * (1.0::DOUBLE / {m + 1})" for m in range(dim))
+def wsum(col: str, dim: int = 64, turn: int = 0) -> str:
+    return " + ".join(f"coalesce({col}[{m + 1}], 0.0) * (1.0::DOUBLE / {(m + turn) % dim + 1})" for m in range(dim))
 
 
 def pair_sql() -> dict[str, str]:
@@ -354,20 +368,27 @@ def pair_sql() -> dict[str, str]:
         f"hits AS (SELECT split, CASE WHEN (CASE WHEN ({wsum('sx')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END AS hit "
         "FROM sd JOIN sp USING (qid, i, j))",
     ]
+    zero_gradient = "SELECT CAST(i AS INTEGER) AS idx, 0.0::DOUBLE AS gradient FROM range((SELECT max(len(embedding)) + 1 FROM embeddings)) t(i)"
+    report = with_(p + stats + split + scored, f"SELECT {rnd('avg(hit)')} AS all_accuracy, "
+            f"{rnd(chr(97) + 'vg(hit) FILTER (split = ' + chr(39) + 'test' + chr(39) + ')')} AS test_accuracy, "
+            f"{rnd(chr(97) + 'vg(hit) FILTER (split = ' + chr(39) + 'train' + chr(39) + ')')} AS train_accuracy, "
+            "count(*) AS n_pairs, count(*) FILTER (split = 'test') AS n_test FROM hits")
     dcols = lambda f: ", ".join(f"{rnd(f(m))} AS d{m:02d}" for m in range(64))
     return {
         "pairwise_diffs": with_(p, "SELECT qid, i, j, sign, " + dcols(lambda m: f"coalesce(xa[{m + 1}], 0.0) - coalesce(xb[{m + 1}], 0.0)") + " FROM pr"),
         "balance_pairs": with_(p, "SELECT qid, i, j, k_parity, label, " + dcols(lambda m: f"diff[{m + 1}]") + " FROM bd"),
         "scale_features": with_(p + stats, "SELECT qid, i, j, " + dcols(lambda m: f"sx[{m + 1}]") + " FROM sd"),
         "split_pairs": with_(p + split, "SELECT qid, i, j, split FROM sp"),
-        "fit_rank_svm": "SELECT CAST(i AS INTEGER) AS idx, 0.0::DOUBLE AS gradient FROM range((SELECT max(len(embedding)) + 1 FROM embeddings)) t(i)",
-        "performance_report": with_(p + stats + split + scored, f"SELECT {rnd('avg(hit)')} AS all_accuracy, "
-            f"{rnd(chr(97) + 'vg(hit) FILTER (split = ' + chr(39) + 'test' + chr(39) + ')')} AS test_accuracy, "
-            f"{rnd(chr(97) + 'vg(hit) FILTER (split = ' + chr(39) + 'train' + chr(39) + ')')} AS train_accuracy, "
-            "count(*) AS n_pairs, count(*) FILTER (split = 'test') AS n_test FROM hits"),
+        "fit_rank_svm": zero_gradient,
+        "saved_model_report": report,
+        "performance_report": report,
         "learning_curve": with_(p + stats + split, " UNION ALL ".join(
-            f"SELECT CAST({10**e} AS BIGINT) AS max_iter, {rnd(f'avg(CASE WHEN (CASE WHEN ({wsum(chr(115) + chr(120))}) * {float(k % 3 + 1)}::DOUBLE + {0.1 * k}::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END)')} AS accuracy "
-            "FROM sd JOIN sp USING (qid, i, j) WHERE split = 'test'" for e, k in ((0, 1), (1, 3), (2, 3), (3, 3), (4, 3), (5, 3)))),
+            f"SELECT CAST({n} AS BIGINT) AS max_iter, round(avg(CASE WHEN (CASE WHEN ({wsum('sx', turn=16 * k)}) + {0.1 * k}::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), {R}) AS accuracy "
+            "FROM sd JOIN sp USING (qid, i, j) WHERE split = 'test'" for n, k in ((1, 1), (2, 2), (3, 3), (10, 4), (100000, 4)))),
+        "fit_rank_svm_rows": zero_gradient,
+        "pair_moments": with_(p + stats, "SELECT CAST(idx - 1 AS INTEGER) AS idx, (SELECT count(*) FROM bd) AS n_pairs, "
+            f"{rnd('mu')} AS mean, {rnd('sd')} AS std, (SELECT round(avg(CASE WHEN (CASE WHEN ({wsum('diff')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), {R}) FROM bd) AS accuracy "
+            "FROM (SELECT idx, avg(v) AS mu, stddev_pop(v) AS sd FROM el GROUP BY idx)"),
         "classify_pairs": with_(p, f"SELECT qid, i, j, CASE WHEN ({wsum('diff')}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END AS pred FROM bd"),
         "pair_accuracy": with_(p, f"SELECT {rnd(f'avg(CASE WHEN (CASE WHEN ({wsum(chr(100) + chr(105) + chr(102) + chr(102))}) + 0.1::DOUBLE > 0 THEN 1 ELSE -1 END) = label THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM bd"),
         "predict_order": with_(p, "SELECT qid, ord, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, ord) - 1 AS INTEGER) AS position FROM sc"),
@@ -457,7 +478,29 @@ def io_sql() -> dict[str, str]:
     }
 
 
+def boundary_sql() -> dict[str, str]:
+    records = (
+        "rec AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, coalesce(split_part(text, chr(10), 1), '') AS title, coalesce(text, '') AS body, "
+        "coalesce(source, '') AS venue, CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, '') ELSE '' END AS journal, CAST(n_chars AS INTEGER) AS year FROM documents)"
+    )
+    grp = rank_ctes(True)[6]
+    return {
+        "read_corpus": with_([records], "SELECT id, title, CAST(length(body) AS INTEGER) AS n, venue, journal AS journalName, year, '' AS doi, CAST(NULL AS INTEGER) AS n_authors FROM rec"),
+        "read_table_csv": with_([records], "SELECT id, md5(body) AS digest, venue FROM rec"),
+        "write_trec_tables": with_(BIB + [
+            "kn AS (SELECT corpus_author_id, max(h_index) AS h_index, CAST(sum(num_papers) AS BIGINT) AS num_papers FROM auth GROUP BY corpus_author_id)",
+        ], "SELECT a.id AS paper_sha, a.aid AS corpus_author_id, CAST(a.pos AS INTEGER) AS position, b.title AS paper_title, b.n_out AS n_citations, kn.h_index, kn.num_papers "
+           "FROM au a JOIN bib b ON b.id = a.id JOIN kn ON kn.corpus_author_id = a.aid"),
+        "read_judgements": with_([QUERIES, JUDGED], "SELECT qid, query, row_number() OVER (PARTITION BY qid, query ORDER BY doc_id, relevance) - 1 AS pos, "
+                                 "CAST(doc_id AS VARCHAR) AS doc_id, relevance FROM judged"),
+        "read_groups": with_([grp], "SELECT author_id, gid FROM grp"),
+        "load_inputs": with_([grp], "SELECT 'corpus' AS name, count(*) AS n_rows, least(10, count(*)) AS shown FROM documents UNION ALL "
+                             "SELECT 'groups', count(*), least(10, count(*)) FROM grp UNION ALL SELECT 'orders', count(*), least(10, count(*)) FROM orders"),
+        "append_corpus": with_([records], "SELECT id, CAST(1 AS BIGINT) AS n, CAST(length(body) AS INTEGER) AS n_chars FROM rec"),
+    }
+
+
 def all_sql() -> dict[str, str]:
     """DuckDB SQL of every registered query that has an oracle."""
-    parts = (text_sql, bib_sql, rank_sql, pair_sql, rerank_sql, io_sql)
+    parts = (text_sql, bib_sql, rank_sql, pair_sql, rerank_sql, io_sql, boundary_sql)
     return {name: sql for part in parts for name, sql in part().items()}

@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
+import uuid
+
 from ..operators import features as FT
+from ..operators import index as IX
 from ..operators import termstats as TS
+from ..session import shared_dir, written_table
 
 R = 6
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +43,37 @@ def _known(spark, sf):
 
 
 # ---------------------------------------------------------------- E: term statistics
+FIELDS = ["paperAbstract", "title", "venue"]
+_KEPT: dict[tuple, str] = {}
+
+
+def kept_index(spark, sf) -> IX.TextIndex:
+    """The index of the corpus, built once per application and state of the table's files
+    (their paths, sizes and times); further queries load it and tokenise no document."""
+    at = F.col("_metadata")
+    files = A.table(spark, sf, "documents").select(at["file_path"], at["file_size"], at["file_modification_time"]).distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
+    if key not in _KEPT:
+        path = shared_dir(spark, f"rankaudit-index-{uuid.uuid4().hex}")
+        IX.build_index(A.corpus(spark, sf), FIELDS, path, ord_col="id")
+        _KEPT[key] = path
+    return IX.load_index(spark, _KEPT[key])
+
+
 def _abstract_index(spark, sf):
-    return TS.field_index(A.corpus(spark, sf), "paperAbstract")
+    return kept_index(spark, sf).field("paperAbstract")
+
+
+@register("index_segments")
+def q_index_segments(spark, sf):
+    """E2-E7 from segments: the corpus arrives in three batches, the second twice."""
+    corpus = A.corpus(spark, sf)
+    batches = [corpus.where(F.pmod(F.xxhash64("id"), F.lit(3)) == r) for r in range(3)]
+    index = IX.build_index(batches[0], ["paperAbstract"], shared_dir(spark, f"rankaudit-index-{uuid.uuid4().hex}"))
+    for batch in (batches[1], batches[1], batches[2]):
+        index = index.append(batch)
+    return index.compact().field("paperAbstract").terms.select("term", "df", "cf", rnd("idf").alias("idf"), rnd("p").alias("p"))
 
 
 @register("tokenize")
@@ -94,8 +127,8 @@ def q_query_terms(spark, sf):
 # ---------------------------------------------------------------- F: features
 def _text_feature(name: str) -> Query:
     def q(spark, sf):
-        corpus, known = _known(spark, sf)
-        ix = TS.field_index(corpus, "paperAbstract")
+        _, known = _known(spark, sf)
+        ix = _abstract_index(spark, sf)
         queries = known.select("qid", "query").distinct()
         tf = FT.text_features(known.select("qid", "doc_id"), queries, ix)
         return tf.select("qid", "doc_id", rnd(name).alias(name))
@@ -137,7 +170,7 @@ def q_feature_num(spark, sf):
 @register("judged_features")
 def q_judged_features(spark, sf):
     corpus, known = _known(spark, sf)
-    jf = FT.judged_features(known, corpus)
+    jf = FT.judged_features(known, corpus, index=kept_index(spark, sf))
     return jf.select(
         "qid", "doc_id", "relevance", *[rnd(F.col("features")[i]).alias(f"f{i:02d}") for i in range(25)]
     )
@@ -151,7 +184,7 @@ def q_score_corpus(spark, sf):
 
 def _top_k(k: int) -> Query:
     def q(spark, sf):
-        t = FT.search_top_k(A.queries(spark, sf), _abstract_index(spark, sf), k=k)
+        t = kept_index(spark, sf).searchable("paperAbstract").top_k(A.queries(spark, sf), k)
         return t.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", rnd("score").alias("score"))
 
     return q
@@ -161,6 +194,13 @@ register("search_top_k")(_top_k(1))
 register("search_top_3")(_top_k(3))
 
 
+@register("search_top_k_full")
+def q_search_top_k_full(spark, sf):
+    """The same search by scoring every match."""
+    t = FT.search_top_k(A.queries(spark, sf), _abstract_index(spark, sf), k=1)
+    return t.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", rnd("score").alias("score"))
+
+
 # ---------------------------------------------------------------- C: bibliometrics
 from ..operators import bibliometrics as BIB  # noqa: E402
 from ..operators import records as REC  # noqa: E402
@@ -201,7 +241,7 @@ def q_derive_groups(spark, sf):
 def q_judged_features_papers(spark, sf):
     """F11 with numbers from the papers table: judged documents without a paper are skipped."""
     corpus, known = _known(spark, sf)
-    jf = FT.judged_features(known, corpus, FT.default_specs("n_citations"), papers=BIB.papers(A.bib_corpus(spark, sf)))
+    jf = FT.judged_features(known, corpus, FT.default_specs("n_citations"), papers=BIB.papers(A.bib_corpus(spark, sf)), index=kept_index(spark, sf))
     return jf.select("qid", "doc_id", "relevance", *[rnd(F.col("features")[i]).alias(f"f{i:02d}") for i in range(25)])
 
 
@@ -400,11 +440,9 @@ def q_group_share_stack(spark, sf):
 
 
 # ---------------------------------------------------------------- G: pairs and the ranking model
-import uuid  # noqa: E402
-
 from ..operators import pairs as PR  # noqa: E402
 from ..operators import ranksvm as SVM  # noqa: E402
-from ..session import shared_dir  # noqa: E402
+from ..operators import rowsvm as RSV  # noqa: E402
 
 FIXED_INTERCEPT = 0.1
 
@@ -481,10 +519,7 @@ def q_preference_margin(spark, sf):
 def _training_data(spark, sf):
     """Scaled pairs with their split; the pair table feeds the scaling statistics, the
     split selection and the solver, so it is written once."""
-    pairs = _pairs(spark, sf)
-    path = shared_dir(spark, f"rankaudit-pairs-{uuid.uuid4().hex}")
-    pairs.write.parquet(path)
-    scaled, means, stds = PR.scale_features(spark.read.schema(pairs.schema).parquet(path), N_EMB)
+    scaled, means, stds = PR.scale_features(written_table(_pairs(spark, sf), "pairs"), N_EMB)
     return PR.split_pairs(scaled), means, stds
 
 
@@ -513,10 +548,35 @@ def q_performance_report(spark, sf):
     return r.select(*[rnd(c).alias(c) for c in ("all_accuracy", "test_accuracy", "train_accuracy")], "n_pairs", "n_test")
 
 
-#: Fixed iterates that stand for a recorded solver path: step k has weights (k + 1 mod 3) / (i + 1).
-def _fixed_path(steps=4):
+@register("fit_rank_svm_rows")
+def q_fit_rank_svm_rows(spark, sf):
+    """The fit over every pair without a pair table, judged like ``fit_rank_svm``: by the
+    gradient that plain aggregates over the pair table give at its weights."""
+    rows = A.feature_rows(spark, sf, binary=False)
+    m = RSV.fit_rank_svm_rows(rows, N_EMB, tol=FIT_TOL)
+    if not m.converged:
+        raise ValueError(f"not converged after {m.iterations} steps")
+    pairs, _, _ = PR.scale_features(written_table(_pairs(spark, sf), "pairs"), N_EMB)
+    at_zero = SVM.objective_gradient(pairs, SVM.RankModel([0.0] * N_EMB, 0.0))
+    scale = at_zero.agg(F.sqrt(F.sum(F.pow("gradient", 2)))).first()[0]
+    return SVM.objective_gradient(pairs, m).select("idx", F.abs(F.round(F.col("gradient") / F.lit(scale), 6)).alias("gradient"))
+
+
+@register("pair_moments")
+def q_pair_moments(spark, sf):
+    """G3's statistics and G7's share for a fixed model, without a pair table."""
+    units = RSV.row_units(A.feature_rows(spark, sf, binary=False), N_EMB)
+    n, mean, std = RSV.pair_moments(units, N_EMB)
+    _, right = RSV.row_pair_accuracy(units, _fixed_model(), N_EMB)
+    rows = [(i, n, float(round(mean[i], R)), float(round(std[i], R)), float(round(right, R))) for i in range(N_EMB)]
+    return spark.createDataFrame(rows, "idx int, n_pairs long, mean double, std double, accuracy double")
+
+
+#: Iterates that stand for a recorded solver path, each with an order of its own: step k
+#: weighs feature i with 1 / (1 + (i + 16 k) mod 64).
+def _fixed_path(steps=5):
     history = [
-        {"iter": k, "w": [w * ((k % 3) + 1) * (-1.0 if k == 0 else 1.0) for w in WEIGHTS] + [FIXED_INTERCEPT * k], "grad_norm": 10.0 ** (-3 * k)}
+        {"iter": k, "w": [1.0 / ((i + 16 * k) % N_EMB + 1) for i in range(N_EMB)] + [FIXED_INTERCEPT * k], "grad_norm": 1.0 if k == 0 else 0.5 * 10.0 ** (-2 * k)}
         for k in range(steps)
     ]
     return SVM.RankModel(WEIGHTS, FIXED_INTERCEPT, steps - 1, converged=True, history=history)
@@ -525,20 +585,34 @@ def _fixed_path(steps=4):
 @register("learning_curve")
 def q_learning_curve(spark, sf):
     split, _, _ = _training_data(spark, sf)
-    return SVM.learning_curve(split, _fixed_path()).select("max_iter", rnd("accuracy").alias("accuracy"))
+    return SVM.learning_curve(split, _fixed_path(), points=(1, 2, 3, 10, 100000)).select("max_iter", rnd("accuracy").alias("accuracy"))
 
 
 @register("tolerance_sweep")
 def q_tolerance_sweep(spark, sf):
-    path = _fixed_path()
     rows = A.feature_rows(spark, sf, binary=True)
-    da, grp = _doc_author_set(spark, sf), A.groups(spark, sf)
-    out = None
-    for tol in (1e-2, 1e-4, 1e-6, 1e-8):
-        ranked = RK.rank_documents(rows, list(SVM.tolerance_iterate(path, tol)[:-1]))
-        r = M.fairness_and_utility(ranked, da, grp, zero_total="zero").select(F.lit(tol).alias("tol"), rnd("fairness").alias("fairness"), rnd("utility").alias("utility"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    swept = SVM.tolerance_sweep(rows, _fixed_path(), _doc_author_set(spark, sf), A.groups(spark, sf))
+    return swept.select("tol", rnd("fairness").alias("fairness"), rnd("utility").alias("utility"))
+
+
+def _real_fit(spark, sf):
+    split, _, _ = _training_data(spark, sf)
+    return split, SVM.fit_rank_svm(split.where(F.col("split") == "train"), N_EMB, tol=FIT_TOL, record=True)
+
+
+@register("learning_curve_fit")
+def q_learning_curve_fit(spark, sf):
+    """G12 on a fit that is run: test accuracy by solver steps."""
+    split, m = _real_fit(spark, sf)
+    return SVM.learning_curve(split, m).select("max_iter", rnd("accuracy").alias("accuracy"))
+
+
+@register("tolerance_sweep_fit")
+def q_tolerance_sweep_fit(spark, sf):
+    """G13 on a fit that is run."""
+    _, m = _real_fit(spark, sf)
+    swept = SVM.tolerance_sweep(A.feature_rows(spark, sf, binary=True), m, _doc_author_set(spark, sf), A.groups(spark, sf))
+    return swept.select("tol", rnd("fairness").alias("fairness"), rnd("utility").alias("utility"))
 
 
 # ---------------------------------------------------------------- I: re-ranking
@@ -590,7 +664,7 @@ def q_ranking_text_roundtrip(spark, sf):
     """A6 + A7 + A8: judged features -> ordinals -> ranking text + linker ->
     read back -> joined to the linker by ordinal."""
     corpus, known = _known(spark, sf)
-    jf = IO.assign_ordinals(FT.judged_features(known, corpus)).persist()
+    jf = IO.assign_ordinals(FT.judged_features(known, corpus, index=kept_index(spark, sf))).persist()
     base = shared_dir(spark, f"rankaudit-text-{uuid.uuid4().hex}")
     IO.write_ranking_text(jf, base + "/ranking")
     IO.write_linker(jf, base + "/linker")
@@ -602,3 +676,98 @@ def q_ranking_text_roundtrip(spark, sf):
         "ord", "qid", F.col("document_id").alias("doc_id"), F.col("rel").alias("relevance"),
         *[rnd(F.col("features")[i]).alias(f"f{i:02d}") for i in range(25)],
     )
+
+
+def _folder(spark, name: str) -> str:
+    return shared_dir(spark, f"rankaudit-{name}-{uuid.uuid4().hex}")
+
+
+def _records(spark, sf):
+    """Corpus records with string ids and nulls."""
+    d = A.table(spark, sf, "documents")
+    return d.select(
+        F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("paperAbstract"),
+        F.col("source").alias("venue"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("journalName"), F.col("n_chars").cast("int").alias("year"),
+    )
+
+
+@register("read_corpus")
+def q_read_corpus(spark, sf):
+    """A1: jsonl and back; null strings become empty, columns the file lacks are there."""
+    path = _folder(spark, "jsonl")
+    _records(spark, sf).write.json(path)
+    c = IO.read_corpus(spark, path)
+    return c.select("id", "title", F.length("paperAbstract").alias("n"), "venue", "journalName", "year", "doi", F.size("authors").alias("n_authors"))
+
+
+@register("read_table_csv")
+def q_read_table_csv(spark, sf):
+    """A2: a csv of quoted texts with line ends, quotes and commas."""
+    path = _folder(spark, "csv")
+    rows = _records(spark, sf).select("id", F.coalesce("paperAbstract", F.lit("")).alias("text"), "venue")
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    back = IO.read_table_csv(spark, path, rows.schema, multi_line=True)
+    return back.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("venue", F.lit("")).alias("venue"))
+
+
+@register("write_trec_tables")
+def q_write_trec_tables(spark, sf):
+    """A5: papers, authors and links to csv and back."""
+    bib, path = A.bib_corpus(spark, sf), _folder(spark, "trec")
+    tables = BIB.papers(bib), BIB.authors_table(bib), BIB.paper_authors(bib)
+    IO.write_trec_tables(*tables, path)
+    papers, authors, links = (IO.read_table_csv(spark, f"{path}/{n}", t.schema, strict=True) for n, t in zip(("papers", "authors", "paper_authors"), tables))
+    known = authors.groupBy("corpus_author_id").agg(F.max("h_index").alias("h_index"), F.sum("num_papers").alias("num_papers"))
+    return links.join(papers, "paper_sha").join(known, "corpus_author_id").select("paper_sha", "corpus_author_id", "position", "paper_title", "n_citations", "h_index", "num_papers")
+
+
+@register("read_judgements")
+def q_read_judgements(spark, sf):
+    """A4: nested judgements to jsonl and back."""
+    path = _folder(spark, "judgements")
+    A.judgements(spark, sf).write.json(path)
+    return IO.explode_judgements(IO.read_judgements(spark, path)).select("qid", "query", F.col("pos").cast("bigint").alias("pos"), "doc_id", "relevance")
+
+
+@register("read_groups")
+def q_read_groups(spark, sf):
+    """A9."""
+    path = _folder(spark, "groups")
+    A.groups(spark, sf).write.option("header", True).csv(path)
+    return IO.read_groups(spark, path).select("author_id", "gid")
+
+
+@register("load_inputs")
+def q_load_inputs(spark, sf):
+    """Tables by suffix; their rows, and those of a preview of 10."""
+    base = _folder(spark, "inputs")
+    _records(spark, sf).write.json(f"{base}/corpus.jsonl")
+    A.groups(spark, sf).write.option("header", True).csv(f"{base}/groups.csv")
+    tables = IO.load_inputs(spark, {"corpus": f"{base}/corpus.jsonl", "groups": f"{base}/groups.csv", "orders": f"{sf}/orders.parquet"})
+    first, out = IO.preview(tables, 10), None
+    for name, t in tables.items():
+        shown = first[name].agg(F.count(F.lit(1)).alias("shown"))
+        one = t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(None).cast("long").alias("shown"))
+        one = one.unionByName(shown.select(F.lit(name).alias("name"), F.lit(None).cast("long").alias("n_rows"), "shown")).groupBy("name").agg(F.max("n_rows").alias("n_rows"), F.max("shown").alias("shown"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("append_corpus")
+def q_append_corpus(spark, sf):
+    """A10: three batches of which two overlap and one is replayed; every id once."""
+    path, rows = _folder(spark, "appended"), _records(spark, sf)
+    for name, part in (("a", "id % 2 = 0"), ("b", "id % 3 = 0"), ("a", "id % 2 = 0"), ("c", "true")):
+        IO.append_corpus(rows.where(part), path, batch=name)
+    return IO.read_corpus(spark, path).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("paperAbstract")).alias("n_chars"))
+
+
+@register("saved_model_report")
+def q_saved_model_report(spark, sf):
+    """Pairs and model saved, loaded and reported on."""
+    path = _folder(spark, "saved")
+    split, means, stds = _training_data(spark, sf)
+    IO.save_pairs(split, f"{path}/pairs")
+    IO.save_model(spark, SVM.RankModel(WEIGHTS, FIXED_INTERCEPT, means=means, stds=stds), f"{path}/model")
+    r = SVM.performance_report(IO.load_pairs(spark, f"{path}/pairs"), IO.load_model(spark, f"{path}/model"))
+    return r.select(*[rnd(c).alias(c) for c in ("all_accuracy", "test_accuracy", "train_accuracy")], "n_pairs", "n_test")

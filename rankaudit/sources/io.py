@@ -13,19 +13,21 @@ block.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written_table
+from .idstore import IdStore
 from .schemas import CORPUS, CORPUS_STRING_FIELDS, GROUPS, JUDGEMENTS, LINKER, SCHEMAS
 
 
 # A1
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS) -> DataFrame:
     """jsonl corpus; string nulls become ''."""
-    df = spark.read.schema(schema).json(path)
+    df = spark.read.schema(schema).json(path).select(*schema.fieldNames())  # without the folders of batches
     strings = [c for c in CORPUS_STRING_FIELDS if c in df.columns]
     return df.na.fill("", subset=strings)
 
@@ -195,8 +197,16 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A10
-def append_corpus(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+def append_corpus(records: DataFrame, path: str, key: str = "id", batch: str | None = None) -> None:
+    """Add the records whose ``key`` the corpus at ``path`` does not have, one for each key.  A
+    batch has a folder of its own: one that is appended again under its name (after a
+    failure, say) is written anew and changes nothing.  The ids lie beside the corpus."""
+    spark, batch = records.sparkSession, batch or uuid.uuid4().hex
+    store = IdStore(spark, f"{path.rstrip('/')}.ids")
+    new = store.missing(records.where(F.col(key).isNotNull()).dropDuplicates([key]), key, batch)
+    folder = f"{path.rstrip('/')}/batch={batch}"
+    new.write.mode("overwrite").json(folder)
+    store.add(spark.read.schema(new.schema).json(folder), key, batch)
 
 
 # A11

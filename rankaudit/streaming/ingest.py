@@ -3,11 +3,11 @@
 The reference appends newly fetched judged documents to its jsonl corpus and
 skips ids already present.  Here landed API responses arrive as files
 (``doc_id, status_code, body`` json lines, written by any fetcher); each
-micro-batch is routed (B6), reshaped (B5) and appended (A10) after an
-anti-join against the ids already in the corpus (B3); retry and error responses
-go to their own sinks for the fetcher to pick up, each batch to a folder of its
-own that a replay overwrites.  So a batch replayed after a failure adds nothing
-to any of the three.  Progress is tracked in a checkpoint
+micro-batch is routed (B6), reshaped (B5) and appended (A10) after a lookup of its
+ids in the id store (B3), which reads only the buckets that they fall into; retry
+and error responses go to their own sinks for the fetcher to pick up.  Each batch
+has a folder of its own in all three, which a replay overwrites, so a batch
+replayed after a failure adds nothing.  Progress is tracked in a checkpoint
 under the cluster's shared checkpoint directory.
 """
 
@@ -17,31 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources.idstore import IdStore
 from ..sources.ingest import reshape_api_records, route_responses
 from ..sources.schemas import CORPUS, LANDED
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _existing_ids(spark: SparkSession, corpus_dir: str) -> DataFrame:
-    if _exists(spark, corpus_dir):
-        return spark.read.schema(CORPUS).parquet(corpus_dir).select("id")
-    return spark.createDataFrame([], "id string")  # empty corpus: nothing there yet
-
-
 def ingest_batch(batch: DataFrame, batch_id: int, *, corpus_dir: str, retry_dir: str, error_dir: str, citations_to: str = "in") -> None:
-    spark = batch.sparkSession
+    spark, name = batch.sparkSession, f"stream-{batch_id}"
+    store = IdStore(spark, f"{corpus_dir.rstrip('/')}.ids")
     routed = route_responses(batch).persist()
     try:
         new = reshape_api_records(routed.where(F.col("route") == "corpus"), citations_to=citations_to)
-        new = new.dropDuplicates(["id"]).join(_existing_ids(spark, corpus_dir), "id", "left_anti")
-        new.write.mode("append").parquet(corpus_dir)
-        for route, folder in (("retry", retry_dir), ("error", error_dir)):
-            routed.where(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch_id={batch_id}")
+        new = store.missing(new.dropDuplicates(["id"]), "id", name)
+        folder = f"{corpus_dir.rstrip('/')}/batch_id={batch_id}"
+        new.write.mode("overwrite").parquet(folder)
+        store.add(spark.read.schema(CORPUS).parquet(folder), "id", name)
+        for route, to in (("retry", retry_dir), ("error", error_dir)):
+            routed.where(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{to.rstrip('/')}/batch_id={batch_id}")
     finally:
         routed.unpersist()
 
