@@ -22,8 +22,9 @@ A query first scores documents from the postings of its rarest terms, which boun
 its k-th score from below.  The most frequent terms that together cannot reach that bound
 are not searched for documents (one that has nothing else cannot win), and neither are
 blocks whose largest impact with all other terms cannot.  What remains gives
-candidates, which are dropped by the same bound on what they lack; the rest are scored
-exactly, from their own words (``words``, one row per document).
+candidates, which are dropped by the same bound on what they lack, the best of them
+scored first to raise the bound; the rest are scored exactly, from their own words (``words``,
+one row per document) or, where that is less, from the other terms' postings.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens, tokens
+from ..session import written_table
 from .termstats import term_weights
 
 #: Postings that a block holds about (blocks of a term split by impact, four levels an octave).
 BLOCK = 4096
-#: Rarest terms whose postings bound a query's scores, and documents scored for it per result.
-RAREST, FIRST = 8, 4
+#: Rarest terms whose postings bound a query's scores, and documents scored for the first and the
+#: second bound, per result.
+RAREST, FIRST, SECOND = 8, 8, 16
 #: Scores nearer than this are not told apart by a bound (ties are judged on rounded scores).
 SLACK = 1e-8
 
@@ -235,6 +238,22 @@ class Search:
         each = candidates.join(self.words, "doc_id").select("qid", "doc_id", F.explode("words").alias("x")).select("qid", "doc_id", "x.term", "x.impact")
         return each.join(terms.select("qid", "term"), ["qid", "term"]).groupBy("qid", "doc_id").agg(F.sum("impact").alias("score"))
 
+    def completed(self, candidates: DataFrame, plan: DataFrame) -> DataFrame:
+        """``qid, doc_id, score`` of candidates ``qid, doc_id, part`` (their sum over the searched terms):
+        a query's few candidates are looked up in their own words; where these are more
+        than the postings of the other terms, those are read instead and added."""
+        held = self.view.index.totals[self.view.f] / max(1, self.view.index.n_docs)  # words of a document, at most
+        costs = candidates.groupBy("qid").agg((F.count(F.lit(1)) * held).alias("look")).join(
+            plan.groupBy("qid").agg(F.sum(F.when(~F.col("needed"), F.col("df")).otherwise(0)).alias("read")), "qid"
+        )
+        way = costs.select("qid", (F.col("look") > F.col("read")).alias("read"))
+        chosen = written_table(candidates.join(way, "qid"), "search-chosen")
+        few, many = chosen.where("NOT read").select("qid", "doc_id"), chosen.where("read")
+        rest = plan.where("NOT needed").select("qid", "term").join(many.select("qid").distinct(), "qid", "left_semi").join(self.blocks, "term")
+        rest = rest.select("qid", F.explode("docs").alias("d")).select("qid", "d.doc_id", F.col("d.impact").alias("part")).join(many.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+        summed = many.select("qid", "doc_id", "part").unionByName(rest).groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
+        return self.exact(few, plan).unionByName(summed)
+
     def _first_blocks(self, terms: DataFrame) -> DataFrame:
         """``qid, term, n, docs``: all blocks of a query's rarest terms, the best ones only where a
         term has many."""
@@ -245,41 +264,54 @@ class Search:
     def bounds(self, terms: DataFrame, k: int) -> DataFrame:
         """``qid, least``: a score that at least k documents of the query reach."""
         seen = self._first_blocks(terms).select("qid", F.explode("docs").alias("d")).groupBy("qid", "d.doc_id").agg(F.sum("d.impact").alias("part"))
-        first = Window.partitionBy("qid").orderBy(F.col("part").desc(), "doc_id")
-        some = seen.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k * FIRST).select("qid", "doc_id")
-        score = Window.partitionBy("qid").orderBy(F.col("score").desc())
-        kth = self.exact(some, terms).withColumn("_r", F.row_number().over(score)).where(F.col("_r") == k)
-        return kth.select("qid", F.col("score").alias("least"))
+        return self._kth(seen, terms, k, FIRST).select("qid", F.col("kth").alias("least"))
 
-    def kept_blocks(self, terms: DataFrame, bounds: DataFrame) -> DataFrame:
-        """The blocks that documents are searched by: ``qid, term, n, docs, others, tops, least``
-        (others, tops: number and largest impacts of the terms that are not searched)."""
+    def plan(self, terms: DataFrame, bounds: DataFrame) -> DataFrame:
+        """``qid, term, df, needed, rest, others, tops, least``: whether documents are searched by the
+        term, what all other terms can add to it, and number and largest impacts of the
+        terms that are not searched."""
         up, all_of = Window.partitionBy("qid").orderBy(F.col("df").desc(), "term"), Window.partitionBy("qid")
         t = terms.join(bounds, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
         t = t.withColumn("reach", F.least(F.sum("top").over(up), F.sqrt(F.row_number().over(up)))).withColumn("needed", F.col("reach") >= F.col("least"))
-        t = t.select(
-            "*", F.sum("top").over(all_of).alias("total"), F.count(F.lit(1)).over(all_of).alias("m"),
-            F.count_if(~F.col("needed")).over(all_of).alias("others"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))).over(all_of), F.lit(0.0)).alias("tops"),
+        rest = F.least(F.sum("top").over(all_of) - F.col("top"), F.sqrt(F.count(F.lit(1)).over(all_of) - 1))
+        return t.select(
+            "qid", "term", "df", "needed", rest.alias("rest"), F.count_if(~F.col("needed")).over(all_of).alias("others"),
+            F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))).over(all_of), F.lit(0.0)).alias("tops"), "least",
         )
-        essential = t.where("needed").select("qid", "term", F.least(F.col("total") - F.col("top"), F.sqrt(F.col("m") - 1)).alias("rest"), "others", "tops", "least")
-        return essential.join(self.blocks, "term").where(F.col("top") + F.col("rest") >= F.col("least")).select("qid", "term", "n", "docs", "others", "tops", "least")
+
+    def kept_blocks(self, plan: DataFrame) -> DataFrame:
+        """The blocks that documents are searched by: ``qid, n, docs, others, tops, least``."""
+        searched = plan.where("needed").drop("df", "needed")
+        return searched.join(self.blocks, "term").where(F.col("top") + F.col("rest") >= F.col("least")).select("qid", "n", "docs", "others", "tops", "least")
 
     def top_k(self, queries: DataFrame, k: int = 1, tie_decimals: int = 9) -> DataFrame:
         """``qid, rank, doc_id, score``; the same rows as ``features.search_top_k``."""
-        terms = self._terms(queries)
-        kept = self.kept_blocks(terms, self.bounds(terms, k))
-        part = kept.select("qid", "others", "tops", "least", F.explode("docs").alias("d")).groupBy("qid", "d.doc_id").agg(
+        terms = written_table(self._terms(queries), "search-terms")
+        plan = written_table(self.plan(terms, self.bounds(terms, k)), "search-plan")
+        part = self.kept_blocks(plan).select("qid", "others", "tops", "least", F.explode("docs").alias("d")).groupBy("qid", "d.doc_id").agg(
             F.sum("d.impact").alias("part"), F.sum(F.pow("d.impact", 2)).alias("squares"), *[F.max(c).alias(c) for c in ("others", "tops", "least")]
         )
         lacks = F.least(F.col("tops"), F.sqrt(F.col("others") * F.greatest(F.lit(1.0) - F.col("squares"), F.lit(0.0))))
-        scores = self.exact(part.where(F.col("part") + lacks >= F.col("least")).select("qid", "doc_id"), terms)
-        return top_ranks(scores, queries, self.view.corpus, k, tie_decimals)
+        reach = part.select("qid", "doc_id", "part", (F.col("part") + lacks).alias("most"), "least").where(F.col("most") >= F.col("least"))
+        reach = written_table(reach, "search-candidates")
+        # the best of these, scored, give a better bound for the rest
+        least = self._kth(reach.select("qid", "doc_id", "part"), terms, k, SECOND)
+        better = reach.join(least, "qid", "left").where(F.col("most") >= F.coalesce(F.col("kth") - SLACK, F.lit(0.0)))
+        return top_ranks(self.completed(better.select("qid", "doc_id", "part"), plan), queries, self.view.corpus, k, tie_decimals)
+
+    def _kth(self, parts: DataFrame, terms: DataFrame, k: int, some: int) -> DataFrame:
+        """``qid, kth``: the k-th score among the ``k * some`` documents with the largest parts."""
+        first = Window.partitionBy("qid").orderBy(F.col("part").desc(), "doc_id")
+        best = parts.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k * some).select("qid", "doc_id")
+        score = Window.partitionBy("qid").orderBy(F.col("score").desc())
+        kth = self.exact(best, terms).withColumn("_r", F.row_number().over(score)).where(F.col("_r") == k)
+        return kth.select("qid", F.col("score").alias("kth"))
 
     def scanned(self, queries: DataFrame, k: int = 1) -> DataFrame:
         """``qid, postings, scanned``: postings of the query's terms, and those read, for the
         bound as well as for candidates."""
         terms = self._terms(queries)
-        read = self.kept_blocks(terms, self.bounds(terms, k)).select("qid", "n").unionByName(self._first_blocks(terms).select("qid", "n"))
+        read = self.kept_blocks(self.plan(terms, self.bounds(terms, k))).select("qid", "n").unionByName(self._first_blocks(terms).select("qid", "n"))
         every = terms.groupBy("qid").agg(F.sum("df").alias("postings"))
         return every.join(read.groupBy("qid").agg(F.sum("n").alias("scanned")), "qid", "left")
 

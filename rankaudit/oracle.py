@@ -198,7 +198,7 @@ def text_sql() -> dict[str, str]:
         "judged_features": q_judged_features(),
         "search_top_k": q_search_top_k(1),
         "search_top_3": q_search_top_k(3),
-        "search_top_k_full": q_search_top_k(1),
+        "search_top_k_pruned": q_search_top_k(1),
         "score_corpus": q_score_corpus(),
         "feature_len": q_feature_len(),
         "feature_num": q_feature_num(),

@@ -184,7 +184,7 @@ def q_score_corpus(spark, sf):
 
 def _top_k(k: int) -> Query:
     def q(spark, sf):
-        t = kept_index(spark, sf).searchable("paperAbstract").top_k(A.queries(spark, sf), k)
+        t = FT.search_top_k(A.queries(spark, sf), _abstract_index(spark, sf), k=k)
         return t.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", rnd("score").alias("score"))
 
     return q
@@ -194,10 +194,10 @@ register("search_top_k")(_top_k(1))
 register("search_top_3")(_top_k(3))
 
 
-@register("search_top_k_full")
-def q_search_top_k_full(spark, sf):
-    """The same search by scoring every match."""
-    t = FT.search_top_k(A.queries(spark, sf), _abstract_index(spark, sf), k=1)
+@register("search_top_k_pruned")
+def q_search_top_k_pruned(spark, sf):
+    """The same search through blocks of postings, of which those that cannot win are skipped."""
+    t = kept_index(spark, sf).searchable("paperAbstract").top_k(A.queries(spark, sf), 1)
     return t.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", rnd("score").alias("score"))
 
 
