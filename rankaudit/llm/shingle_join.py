@@ -65,8 +65,8 @@ WIDE = 16
 SKETCH = 1024
 STAR_ROUNDS = 2
 #: Entries a task gathers before it packs them, and that a bucket should hold on average.
-GATHER = 1_000_000
-BUCKET = 1_500_000
+GATHER = 500_000
+BUCKET = 400_000
 #: Narrow tables up to so many rows are broadcast; above it the join is shuffled.
 SMALL = 500_000
 SINGLE = 0  # the scheme of single shingles
