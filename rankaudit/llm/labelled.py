@@ -13,20 +13,24 @@ def in_fold(id_col, parts: int, part: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label_col: str, held_out: Column, max_rows: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, label_col: str, held_out: Column, max_rows: int, max_chars: int, own: bool = False
 ) -> tuple[list[str], list]:
     """Texts and labels of at most ``max_rows`` rows outside the held-out fold,
     chosen by the hash of doc_id.  ``docs``: doc_id, text; ``labels``: doc_id and
     ``label_col``.  Null labels and texts, and texts beyond ``max_chars``
-    characters, are never sampled; only the sample reaches the driver."""
+    characters, are never sampled; only the sample reaches the driver.  ``own``: the texts
+    carry their labels themselves (column ``label_col`` of ``docs``), so where rows repeat an
+    id each text keeps its own."""
     chosen = (
         labels.select("doc_id", F.col(label_col).alias("label"))
         .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     )
-    usable = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
+    on = ["doc_id", "label"] if own else ["doc_id"]
+    chosen = chosen.distinct() if own else chosen
+    usable = docs.select("doc_id", "text", *([F.col(label_col).alias("label")] if own else [])).where(F.length("text") <= max_chars)
     rows = (
-        usable.join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+        usable.join(F.broadcast(chosen), on)  # at most max_rows rows
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(max_rows).collect()
     )
     return [r["text"] for r in rows], [r["label"] for r in rows]

@@ -89,7 +89,7 @@ def identify_language(docs: DataFrame, trained, text_col: str = "text") -> DataF
 
 def language_model(docs: DataFrame):
     """Learned from text and non-null lang of documents outside the held-out fold."""
-    return train(*labelled_sample(docs.select("doc_id", "text"), docs, "lang", in_fold("doc_id", 5, 0), MAX_ROWS, MAX_CHARS))
+    return train(*labelled_sample(docs, docs, "lang", in_fold("doc_id", 5, 0), MAX_ROWS, MAX_CHARS, own=True))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ With x the tf-weighted hashed words, statistics and metadata of a text, the
 machine reads w0 + w.x + sum over pairs <v_i, v_j> x_i x_j; the pair sum is
 computed in linear time as half of (sum v x)^2 - sum (v x)^2 per factor.  It is
 trained by AdaGrad on at most ``MAX_ROWS`` labelled rows of at most
-``MAX_CHARS`` characters.  Metadata is the column ``n_chars`` (absent or null:
-the text's own length).
+``MAX_CHARS`` characters.  Metadata is the column ``n_chars`` (absent, null or
+negative: the text's own length).
 
 Defined cases: a text that is null or has no character but white space scores
 0; rows with a null label are not learned from; without rows of both labels
@@ -68,7 +68,7 @@ def statistics(text: str, buckets: np.ndarray, n_chars: int | None) -> list[floa
         n[1] / max(1, n[1] + n[2]), n[3] / total, n[4] / total, (n[5] + n[6]) / total, n[0] / total,
         len(sizes) / tokens, sizes.max() / tokens,
         1 - len(set(lines)) / len(lines), min(1.0, total / tokens / 20),
-        np.log1p(total / len(lines)) / 10, np.log1p(n_chars if n_chars is not None else len(text)) / 15,
+        np.log1p(total / len(lines)) / 10, np.log1p(n_chars if n_chars is not None and n_chars >= 0 else len(text)) / 15,
     ]
 
 

@@ -96,3 +96,27 @@ def test_pipeline_stage_keeps_rows_and_columns(spark, docs):
     out = toxicity.drop_toxic(docs, labels(spark).where("doc_id < 0"))
     assert out.columns == docs.columns and out.count() == docs.count()
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_a_negative_length_counts_as_none(spark, labelled):
+    m = labelled[1].iloc[:600]
+    model = quality.train(list(m.text), list(m.quality))
+    rows = spark.createDataFrame([(1, "some words here", -5), (2, "some words here", None), (3, "some words here", 15)], "doc_id long, text string, n_chars long")
+    scores = {r.score for r in quality.score_quality(rows, model, meta_col="n_chars").collect()}
+    assert len(scores) == 1 and 0 <= scores.pop() <= 1
+
+
+def test_sampled_rows(spark):
+    from rankaudit.llm.labelled import in_fold, labelled_sample
+
+    rows = [(i, f"text {i}", "en" if i % 2 else "de") for i in range(100)] + [(5, "fünf", "de"), (5, "cinq", "fr"), (7, None, "en"), (8, "x" * 50, "en"), (None, "none", "en"), (9, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    never = in_fold("doc_id", 1, 1)
+    texts, labels = labelled_sample(docs, docs, "lang", never, 1000, 40, own=True)
+    want = sorted((t, lang) for i, t, lang in rows if i is not None and t and len(t) <= 40 and lang)
+    assert sorted(zip(texts, labels)) == want  # rows that repeat an id keep their own languages
+    texts, labels = labelled_sample(docs, docs, "lang", in_fold("doc_id", 5, 0), 20, 40, own=True)
+    assert len(texts) == 20 and all(fold(t.split()[1], 5) != 0 for t in texts if t.startswith("text"))
+    apart = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 1)], "doc_id long, quality int")
+    texts, labels = labelled_sample(docs, apart, "quality", never, 1000, 40)
+    assert sorted(zip(texts, labels)) == [("text 1", 0), ("text 1", 1), ("text 3", 1)]
