@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.vectors import diff, dot, standardize
 from .scan import number_rows
@@ -84,5 +85,5 @@ def pairwise_order(rows: DataFrame, weights: Sequence[float], intercept: float,
         out["rank"] = np.arange(1, len(out) + 1)
         return out
 
-    schema = rows.schema.add("rank", "int")
+    schema = StructType([*rows.schema.fields, StructField("rank", IntegerType())])
     return rows.groupBy(qid).applyInPandas(per_query, schema=schema)

@@ -281,8 +281,8 @@ def q_paper_author_set(spark, sf):
 
 @register("article_record")
 def q_article_record(spark, sf):
-    bib = A.bib_corpus(spark, sf)
-    rec = REC.article_record(BIB.papers(bib), A.found_records(spark, sf), BIB.authors_table(bib))
+    bib = written_table(A.bib_corpus(spark, sf), "records")  # each source table is scanned once
+    rec = REC.article_record(BIB.papers(bib), A.found_records(spark, sf, bib), BIB.authors_table(bib))
     return rec.select("paper_sha", "paper_title", "paper_year", "n_key_citations", "corpus_author_id", "name", "h_index")
 
 

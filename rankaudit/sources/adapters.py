@@ -127,9 +127,10 @@ def bib_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def found_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, authors``: the corpus records of papers: every fifth is absent, every ninth is there twice."""
-    bib = bib_corpus(spark, sf_dir).where("id % 5 <> 0").select("id", "authors")
+def found_records(spark: SparkSession, sf_dir: str, bib: DataFrame | None = None) -> DataFrame:
+    """``id, authors``: the corpus records of papers (of ``bib``, a written ``bib_corpus``, if
+    given): every fifth is absent, every ninth is there twice."""
+    bib = (bib_corpus(spark, sf_dir) if bib is None else bib).where("id % 5 <> 0").select("id", "authors")
     return bib.unionByName(bib.where("id % 9 = 0"))
 
 

@@ -123,3 +123,115 @@ def test_adjust_matches_the_rule(spark, kind):
     for r in out.orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.doc_id)
     assert got == expected
+
+
+def test_order_by_the_reference_comparator(spark):
+    """Q6: ``predict(b - a)`` with the intercept and never a tie, sorted by Python's comparator sort."""
+    import functools
+    import random
+
+    from rankaudit.operators.ranking import pairwise_order
+
+    rnd = random.Random(3)
+    rows = [(i, i % 3, [rnd.gauss(0, 1), None if i == 5 else rnd.gauss(0, 1)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "ord long, qid long, features array<double>").repartition(3)
+    w, b = [0.7, -0.4], 0.05
+    got = {(r["qid"], r["rank"]): r["ord"] for r in pairwise_order(df, w, b).collect()}
+    for q in range(3):
+        mine = [r for r in rows if r[1] == q]
+        margin = lambda x, y: sum(u * ((c or 0.0) - (a or 0.0)) for u, a, c in zip(w, x[2], y[2])) + b
+        want = sorted(mine, key=functools.cmp_to_key(lambda x, y: 1 if margin(x, y) > 0 else -1))
+        assert [got[(q, i + 1)] for i in range(len(want))] == [r[0] for r in want]
+
+
+def test_strict_lookup_fails_where_a_record_is_missing_or_twice(spark):
+    import pytest
+
+    from rankaudit.operators.records import paper_with_corpus
+
+    papers = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "paper_sha string, n int")
+    corpus = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z")], "id string, title string")
+    rows = {r["paper_sha"]: r["title"] for r in paper_with_corpus(papers, corpus).collect()}
+    assert rows == {"a": "x", "b": None, "c": None}
+    with pytest.raises(Exception):
+        paper_with_corpus(papers, corpus, strict=True).collect()
+
+
+def test_a_wrong_iterate_changes_the_sweep(spark):
+    from rankaudit.operators import ranksvm as SVM
+    from rankaudit.plans import queries as Q
+    from rankaudit.sources import adapters as A
+
+    sf = "/root/testdata/sf0.001"
+    rows, da, groups = A.feature_rows(spark, sf, binary=True), Q._doc_author_set(spark, sf), A.groups(spark, sf)
+    right = [(r["fairness"], r["utility"]) for r in SVM.tolerance_sweep(rows, Q._fixed_path(), da, groups).orderBy("tol").collect()]
+    assert len(set(right)) == 4  # every tolerance has a result of its own
+    path = Q._fixed_path()
+    path.history[2]["w"] = path.history[3]["w"]
+    wrong = [(r["fairness"], r["utility"]) for r in SVM.tolerance_sweep(rows, path, da, groups).orderBy("tol").collect()]
+    assert sum(a != b for a, b in zip(right, wrong)) == 1
+
+
+def test_curve_and_sweep_of_a_real_fit(spark):
+    import numpy as np
+
+    from rankaudit.operators import pairs as PR
+    from rankaudit.operators import ranksvm as SVM
+
+    import random
+    rnd = random.Random(4)
+    rows = spark.createDataFrame([(i, i // 12, float(rnd.randrange(3)), [rnd.gauss(0, 1) for _ in range(3)]) for i in range(120)], "ord long, qid long, rel double, features array<double>")
+    split = PR.split_pairs(PR.training_pairs(rows))
+    model = SVM.fit_rank_svm(split.where("split = 'train'"), 3, tol=1e-10, record=True)
+    test = split.where("split = 'test'").collect()
+    for r in SVM.learning_curve(split, model, points=(0, 1, 2, 1000)).collect():
+        w = SVM.iterate_at(model, r["max_iter"])
+        hits = [(1 if float(np.dot(p["diff"], w[:-1]) + w[-1]) > 0 else -1) == p["label"] for p in test]
+        assert abs(r["accuracy"] - sum(hits) / len(hits)) < 1e-12
+    norms = [h["grad_norm"] for h in model.history]
+    for tol in (1e-2, 1e-10):  # the first step that meets the rule, and no earlier one
+        k = next(i for i, g in enumerate(norms) if g <= tol * norms[0])
+        assert SVM.tolerance_iterate(model, tol) is model.history[k]["w"]
+
+
+def test_walks_side_by_side_equal_one_by_one(spark):
+    """Queries of very different lengths, cut over Arrow batches, against ``walk``."""
+    import random
+
+    import numpy as np
+
+    from rankaudit.operators import rerank as RR
+
+    rnd = random.Random(9)
+    lists, rows, weights = {}, [], []
+    for q in range(30):
+        n = rnd.choice([1, 2, 3, 8, 20, 20, 150])
+        score = sorted((rnd.random() for _ in range(n)), reverse=True)
+        lists[q] = []
+        for r in range(n):
+            doc = len(rows)
+            own = {g: rnd.randint(1, 3) for g in rnd.sample("abcde", rnd.randint(0, 3))} if q != 4 else {}
+            weights += [(doc, g, c) for g, c in own.items()]
+            rel = float(rnd.random() < 0.4) if q != 5 else 0.0
+            rhat = (score[r] - score[-1]) / (score[0] - score[-1]) if n > 1 else float("nan")
+            rows.append((q, r + 1, doc, rel, rhat, score[r]))
+            lists[q].append((doc, rel, rhat, own))
+    df = spark.createDataFrame(rows, "qid long, rank int, doc_id long, rel double, rhat double, score double").repartition(3)
+    w = spark.createDataFrame(weights, "doc_id long, gid string, n long")
+    want = {}
+    for q, docs in lists.items():
+        groups = sorted({g for d in docs for g in d[3]})
+        table = np.array([[d[3].get(g, 0) for g in groups] for d in docs], float).reshape(len(docs), len(groups))
+        order = RR.walk([d[1] for d in docs], [d[2] for d in docs], table, 0.5, 0.7, "gain")
+        want[q] = [docs[i][0] for i in order]
+    assert any(v != [d[0] for d in lists[q]] for q, v in want.items())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "7", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {}
+            for r in sorted(RR.adjust_for_exposure(df, w).collect(), key=lambda r: (r["qid"], r["rank"])):
+                got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
+            assert got == {q: list(enumerate(v, 1)) for q, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
