@@ -1,17 +1,17 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The pieces of many texts are numbered once, and all unseen pieces are merged
-together: an inverted index leads from the rank of a token pair to the positions
-where it stands, merges are applied in rank order, and each merge updates only
-its position and the two neighbours it touches.
-
-Pieces up to ``SHORT`` bytes (nearly all) are replayed in lockstep in numpy: the
-index holds each position's pair rank, and a step applies to every unfinished
-piece its lowest-ranked, leftmost pair.  Longer pieces go through the same index
-as a heap of ranks, whose cost does not grow with the square of the length; a
-merge that opens a lower rank inside its piece sends that piece's remaining
-positions back to the index, so every piece is merged exactly as if alone.  A
-piece that is itself a token is not merged.
+The pieces of an Arrow slice of many texts are numbered once, and all that were not
+seen before are merged together.
+
+Pieces up to ``SHORT`` bytes (nearly all) do not use an index: they are replayed in
+lockstep in numpy, where an array holds each position's pair rank and a step applies
+to every unfinished piece its lowest-ranked, leftmost pair.  Longer pieces go through an
+inverted index from the rank of a token pair to the positions where it stands: merges
+are applied in rank order, each updates only its position and the two neighbours it
+touches, and one that opens a lower rank inside its piece sends that piece's
+remaining positions back to the index, so every piece is merged exactly as if alone;
+the cost does not grow with the square of the length.  A piece that is itself a token
+is not merged.
 
 Ids are ranks.  The rank file is read once by the driver and travels with the
 tasks (its size is the vocabulary's); a task remembers at most ``REMEMBER``
