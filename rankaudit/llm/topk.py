@@ -11,8 +11,12 @@ found.  The last round leaves nothing out, so the answer is exact.
 
 Pivots are fitted on at most ``SAMPLE`` rows; every row is indexed.  The table of
 annuli has at most ``MAX_PIVOTS`` * ``RINGS`` rows and is all that the driver
-gathers.  An annulus is scanned in chunks of about ``CHUNK`` vectors (hashed by
-row, so that thousands of equal vectors spread) against blocks of queries.
+gathers.  Neighbouring annuli of a pivot share a shard while they hold about ``CHUNK``
+vectors together; a larger annulus is a shard of its own, cut into parts of that size
+(hashed by row, so that thousands of equal vectors spread).  A query's vector travels
+once to a shard, with one bit for every annulus that it visits there, and a part of
+the index travels only to the blocks of queries that visit it.  Vectors are packed as
+the narrowest integers that hold the largest norm.
 
 Defined cases: a null vector, one with a null or non-finite component and a row
 without id take no part; a shorter vector counts as padded with zeros; of rows
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +41,32 @@ SAMPLE = 4_096
 MAX_PIVOTS = 512
 RINGS = 16
 CHUNK = 1_000
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 16_384  # queries that share a copy of the parts they visit
+QUERY_SLICE = 2_048  # queries scored at a time
 NEXT = 8  # annuli visited in the second round
+#: Shards and blocks up to so many narrow rows are broadcast; above it the join is shuffled.
+SMALL = 400_000
 
 
-def matrix(cells: list, dim: int) -> np.ndarray:
+def matrix(cells: pa.ListArray, dim: int) -> np.ndarray:
     """Vectors as rows, quantised and padded."""
+    sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
     out = np.zeros((len(cells), dim))
-    for i, v in enumerate(cells):
-        out[i, : len(v)] = np.floor(256.0 * np.array(v, np.float64))
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    out[np.repeat(np.arange(len(cells)), sizes), place] = np.floor(256.0 * cells.flatten().to_numpy(zero_copy_only=False))
     return out
 
 
+def packing(m2: float) -> np.dtype:
+    """The narrowest type that holds every component of vectors up to the squared norm ``m2``."""
+    return np.dtype(next((t for t in (np.int16, np.int32) if np.sqrt(m2) < np.iinfo(t).max), np.float64))
+
+
+def unpacked(cells: list[bytes], kind: np.dtype, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), kind).reshape(-1, dim).astype(np.float64)
+
+
 def augmented(x: np.ndarray, m2: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, m2 - (x * x).sum(1)))])
 
@@ -77,6 +96,19 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
+def sharded(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, bit in its shard, parts of the shard) of every annulus, given in the order of ``cell``."""
+    shard, bit = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64)
+    held = np.zeros(len(cell), np.int64)
+    at = -1
+    for i, (c, size) in enumerate(zip(cell, n, strict=True)):
+        joins = i > 0 and c // RINGS == cell[i - 1] // RINGS and held[at] + size <= CHUNK
+        at += not joins
+        shard[i], bit[i] = at, bit[i - 1] + 1 if joins else 0
+        held[at] += size
+    return shard, bit, -(-held[shard] // CHUNK)
+
+
 class Annuli:
     """Where the annuli are, and which of them a query has to visit."""
 
@@ -85,6 +117,7 @@ class Annuli:
         self.cell = np.array([r["cell"] for r in rows], np.int64)
         self.low = np.array([r["low"] for r in rows])
         self.high = np.array([r["high"] for r in rows])
+        self.shard, self.bit, self.parts = sharded(self.cell, np.array([r["n"] for r in rows], np.int64))
         self.slack = 1e-5 * np.sqrt(max(m2, 1.0))  # far above the rounding of a distance
 
     def best_scores(self, q: np.ndarray) -> np.ndarray:
@@ -112,7 +145,7 @@ def _finite(v: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, id_col: str, vec_col: str):
-    """(table of row, id, packed vector, cell, chunk; Annuli), or None without vectors."""
+    """(table of row, id, packed vector, cell, shard, bit, part; Annuli; dimensions), or None without vectors."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(_finite(F.col("v")))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + (F.abs(x) * 256 + 1) * (F.abs(x) * 256 + 1))
@@ -120,15 +153,17 @@ def build_index(vectors: DataFrame, id_col: str, vec_col: str):
     if not n:
         return None
     sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    pivots = fit_pivots(augmented(matrix([r["v"] for r in sample], dim), m2), int(np.clip(np.sqrt(n) / 4, 4, MAX_PIVOTS)))
+    drawn = matrix(pa.array([r["v"] for r in sample], pa.list_(pa.float64())), dim)
+    pivots = fit_pivots(augmented(drawn, m2), int(np.clip(np.sqrt(n) / 4, 4, MAX_PIVOTS)))
+    kind = packing(m2)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("v").to_pylist(), dim)
+            x = matrix(batch.column("v"), dim)
             d = distances(augmented(x, m2), pivots)
             near = d.argmin(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary()),
+                [batch.column("row"), batch.column("id"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()),
                  pa.array(near.astype(np.int64)), pa.array(d[np.arange(len(x)), near])],
                 names=["row", "id", "x", "pivot", "dist"],
             )
@@ -139,68 +174,82 @@ def build_index(vectors: DataFrame, id_col: str, vec_col: str):
     cuts = [i / RINGS for i in range(1, RINGS)]
     edges = keyed.groupBy("pivot").agg(F.percentile_approx("dist", cuts, 1000).alias("edges"))
     ring = F.size(F.filter("edges", lambda e: e < F.col("dist")))
-    placed = keyed.join(F.broadcast(edges), "pivot").withColumn("cell", F.col("pivot") * RINGS + ring)  # at most MAX_PIVOTS rows
-    cells = written(
-        placed.groupBy("cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.ceil(F.count("*") / CHUNK).alias("chunks")), "annuli"
+    placed = written(  # edges: at most MAX_PIVOTS rows
+        keyed.join(F.broadcast(edges), "pivot").select("row", "id", "x", "dist", (F.col("pivot") * RINGS + ring).alias("cell")), "pivot-index"
     )
-    index = written(
-        placed.join(F.broadcast(cells.select("cell", "chunks")), "cell")  # at most MAX_PIVOTS * RINGS rows
-        .select("row", "id", "x", "cell", F.pmod(F.xxhash64("row"), "chunks").alias("chunk"), "chunks"),
-        "pivot-index",
+    cells = placed.groupBy("cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
+    annuli = Annuli(pivots, m2, cells.orderBy("cell").collect())
+    shards = vectors.sparkSession.createDataFrame(
+        [tuple(map(int, r)) for r in zip(annuli.cell, annuli.shard, annuli.bit, annuli.parts, strict=True)], "cell long, shard long, bit int, parts long"
     )
-    return index, Annuli(pivots, m2, cells.orderBy("cell").collect())
+    index = placed.join(F.broadcast(shards), "cell")  # at most MAX_PIVOTS * RINGS rows
+    return index.select("row", "id", "x", "cell", "shard", "bit", F.pmod(F.xxhash64("row"), "parts").alias("part")), annuli, dim
 
 
-def _probes(queries: DataFrame, annuli: Annuli, blocks: int, stage: int) -> DataFrame:
-    """One row per annulus and batch of queries that visit it there: their rows and vectors, packed."""
+def _probes(queries: DataFrame, annuli: Annuli, dim: int, blocks: int, stage: int) -> DataFrame:
+    """One row per part of a shard and batch of queries that visit it: their rows, vectors and visited annuli, packed."""
+    kind = packing(annuli.m2)
+    first = np.flatnonzero(annuli.bit == 0)  # annuli of a shard stand together
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, QUERY_BLOCK):
-                batch = whole.slice(lo, QUERY_BLOCK)
+            for lo in range(0, whole.num_rows, QUERY_SLICE):
+                batch = whole.slice(lo, QUERY_SLICE)
                 rows = batch.column("row").to_numpy(zero_copy_only=False)
-                x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(len(rows), -1)
+                x = unpacked(batch.column("x").to_pylist(), kind, dim)
                 floor = batch.column("floor").to_numpy(zero_copy_only=False)
                 mask = annuli.visits(x, batch.column("cell").to_numpy(zero_copy_only=False), floor, stage)
-                hit = np.flatnonzero(mask.any(0))
+                bits = np.add.reduceat(mask.astype(np.int32) << annuli.bit, first, axis=1)  # RINGS bits at most
+                packed = x.astype(kind)
+                hit = np.flatnonzero(bits.any(0))
+                asked = [bits[:, c] > 0 for c in hit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(annuli.cell[hit]), pa.array(np.full(len(hit), int(rows[0]) % blocks)),
-                     pa.array([rows[mask[:, c]].tobytes() for c in hit], pa.binary()), pa.array([x[mask[:, c]].tobytes() for c in hit], pa.binary())],
-                    names=["cell", "block", "query_rows", "query_x"],
+                    [pa.array(hit), pa.array(annuli.parts[first[hit]]), pa.array(np.full(len(hit), int(rows[0]) % blocks)),
+                     pa.array([rows[a].tobytes() for a in asked], pa.binary()), pa.array([packed[a].tobytes() for a in asked], pa.binary()),
+                     pa.array([bits[a, c].astype(np.int32).tobytes() for a, c in zip(asked, hit, strict=True)], pa.binary())],
+                    names=["shard", "parts", "block", "query_rows", "query_x", "query_bits"],
                 )
 
-    return queries.select("row", "x", "cell", "floor").mapInArrow(visit, "cell long, block long, query_rows binary, query_x binary")
+    found = queries.select("row", "x", "cell", "floor").mapInArrow(
+        visit, "shard long, parts long, block long, query_rows binary, query_x binary, query_bits binary"
+    )
+    return written(found, "probes")
 
 
-def _scan(index: DataFrame, probes: DataFrame, blocks: int, k: int) -> DataFrame:
-    """(query_row, row, id, score): the k best of every chunk for every query that visits it."""
-    chunks = index.select("cell", "chunks").distinct()
-    right = probes.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+def _scan(index: DataFrame, probes: DataFrame, annuli: Annuli, dim: int, k: int) -> DataFrame:
+    """(query_row, row, id, score): the k best of every annulus in a part for every query that visits it."""
+    kind = packing(annuli.m2)
+    right = probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    visits = probes.select(F.col("shard").alias("visited"), F.col("block").alias("visitor")).distinct()
+    left = index.join(F.broadcast(visits) if visits.count() <= SMALL else visits, F.col("shard") == F.col("visited"))
 
     def best(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
-        rows = vectors.column("row").to_numpy()
-        if len(rows) and queries.num_rows:
-            ids = vectors.column("id").to_numpy()
-            order = np.lexsort((rows, ids))
-            x = np.frombuffer(b"".join(vectors.column("x").to_pylist())).reshape(len(rows), -1)[order]
-            rows, ids = rows[order], ids[order]
-            for q_rows, q_x in zip(queries.column("query_rows").to_pylist(), queries.column("query_x").to_pylist(), strict=True):
-                q_rows = np.frombuffer(q_rows, np.int64)
-                scores = inner_products(np.frombuffer(q_x).reshape(len(q_rows), x.shape[1]), x)
-                own = q_rows[:, None] == rows
-                top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]  # one more: the query's own row is left out
-                take = ~np.take_along_axis(own, top, 1)
-                take &= take.cumsum(1) <= k
-                q, c = np.nonzero(take)
-                at = top[q, c]
-                found.append((q_rows[q], rows[at], ids[at], scores[q, at]))
+        if vectors.num_rows and queries.num_rows:
+            rows, ids, bit = (vectors.column(c).to_numpy() for c in ("row", "id", "bit"))
+            order = np.lexsort((rows, ids, bit))
+            x = unpacked(vectors.column("x").to_pylist(), kind, dim)[order]
+            rows, ids, bit = rows[order], ids[order], bit[order]
+            spans = [(b, *np.searchsorted(bit, [b, b + 1])) for b in np.unique(bit)]
+            for q_rows, q_x, q_bits in zip(*(queries.column(c).to_pylist() for c in ("query_rows", "query_x", "query_bits")), strict=True):
+                every, wanted = np.frombuffer(q_rows, np.int64), np.frombuffer(q_bits, np.int32)
+                packed = unpacked([q_x], kind, dim)
+                for b, lo, hi in spans:
+                    asks = np.flatnonzero(wanted >> b & 1)
+                    scores = inner_products(packed[asks], x[lo:hi])
+                    own = every[asks][:, None] == rows[lo:hi]
+                    top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]  # one more: the query's own row is left out
+                    take = ~np.take_along_axis(own, top, 1)
+                    take &= take.cumsum(1) <= k
+                    q, c = np.nonzero(take)
+                    at = top[q, c]
+                    found.append((every[asks][q], rows[lo:hi][at], ids[lo:hi][at], scores[q, at]))
         columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4)]
         return pa.table(dict(zip(("query_row", "row", "id", "score"), columns, strict=True)))
 
-    on = ["cell", "chunk", "block"]
-    return left.groupBy(*on).cogroup(right.select(*on, "query_rows", "query_x").groupBy(*on)).applyInArrow(
+    on = ["shard", "part", "block"]
+    vectors = left.select("shard", "part", F.col("visitor").alias("block"), "row", "id", "x", "bit").groupBy(*on)
+    return vectors.cogroup(right.select(*on, "query_rows", "query_x", "query_bits").groupBy(*on)).applyInArrow(
         best, "query_row long, row long, id long, score long"
     )
 
@@ -215,19 +264,19 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     built = build_index(vectors, id_col, vec_col)
     if built is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    index, annuli = built
+    index, annuli, dim = built
     queries = index.where(is_query).select("row", F.col("id").alias("query_id"), "x", "cell")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     unknown = F.lit(float("-inf"))
-    probes = _probes(queries.withColumn("floor", unknown), annuli, blocks, 0)
-    hits = written(_best(_scan(index, probes, blocks, k), k).drop("rank"), "top-hits")
+    probes = _probes(queries.withColumn("floor", unknown), annuli, dim, blocks, 0)
+    hits = written(_best(_scan(index, probes, annuli, dim, k), k).drop("rank"), "top-hits")
     for stage in (1, 2):
         floors = hits.groupBy(F.col("query_row").alias("row")).agg(
             F.when(F.count("*") >= k, F.min("score")).otherwise(unknown).cast("double").alias("floor")
         )
         with_floor = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", unknown))
-        probes = _probes(with_floor, annuli, blocks, stage)
-        hits = written(_best(hits.unionByName(_scan(index, probes, blocks, k)), k).drop("rank"), "top-hits")
+        probes = _probes(with_floor, annuli, dim, blocks, stage)
+        hits = written(_best(hits.unionByName(_scan(index, probes, annuli, dim, k)), k).drop("rank"), "top-hits")
     return (
         _best(hits, k).join(queries.select(F.col("row").alias("query_row"), "query_id"), "query_row")
         .select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -40,7 +40,7 @@ def test_clusters_ties_nulls_and_repeats(spark):
 def test_best_scores_bound_every_score():
     """The case of a short query along the pivot of the longest vector, and vectors of any length."""
     x = np.array([[0.0, 1000.0]])
-    annuli = T.Annuli(T.augmented(x, 1e6), 1e6, [{"cell": 0, "low": 0.0, "high": 0.0}])
+    annuli = T.Annuli(T.augmented(x, 1e6), 1e6, [{"cell": 0, "low": 0.0, "high": 0.0, "n": 1}])
     assert annuli.best_scores(0.1 * x)[0, 0] >= 1e5
 
     rng = np.random.default_rng(7)
@@ -50,12 +50,41 @@ def test_best_scores_bound_every_score():
     d = T.distances(T.augmented(x, m2), pivots)
     near, dist = d.argmin(1), d.min(1)
     cell = near * T.RINGS + (np.arange(len(x)) % T.RINGS)
-    rows = [{"cell": c, "low": dist[cell == c].min(), "high": dist[cell == c].max()} for c in np.unique(cell)]
+    rows = [{"cell": c, "low": dist[cell == c].min(), "high": dist[cell == c].max(), "n": int((cell == c).sum())} for c in np.unique(cell)]
     annuli = T.Annuli(pivots, m2, rows)
     at = np.searchsorted(annuli.cell, cell)
     assert (annuli.best_scores(x[::10])[:, at] >= x[::10] @ x.T).all()
 
 
+def test_shards_keep_pivots_apart_and_cut_large_annuli():
+    shard, bit, parts = T.sharded(np.array([0, 1, 2, 16, 17, 40]), np.array([600, 400, 1, 2500, 10, 1000]))
+    assert shard.tolist() == [0, 0, 1, 2, 3, 4] and bit.tolist() == [0, 1, 0, 0, 0, 0] and parts.tolist() == [1, 1, 1, 3, 1, 1]
+
+
+@pytest.mark.parametrize(("chunk", "block", "small"), [(7, 3, 0), (40, 16, 0), (T.CHUNK, 5, T.SMALL)])
+def test_many_parts_and_blocks(spark, monkeypatch, chunk, block, small):
+    monkeypatch.setattr(T, "CHUNK", chunk)
+    monkeypatch.setattr(T, "QUERY_BLOCK", block)
+    monkeypatch.setattr(T, "QUERY_SLICE", block)
+    monkeypatch.setattr(T, "SMALL", small)
+    rnd = random.Random(3)
+    rows = [(i % 700, [rnd.gauss(0, 1) * 10 ** (i % 3) for _ in range(4)], None) for i in range(900)]
+    rows += [(700 + i, rows[50][1], None) for i in range(60)]
+    assert got(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e9])
+def test_packed_components_of_any_size(spark, scale):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.gauss(0, 1) * scale for _ in range(3)], None) for i in range(200)]
+    if scale < 1e9:
+        assert got(spark, rows) == brute(rows)
+    x = np.floor(256 * np.array([v for _, v, _ in rows]))
+    kind = T.packing(float(((np.abs(x) + 257) ** 2).sum(1).max()))
+    assert kind == {1.0: np.int16, 1e3: np.int32, 1e9: np.float64}[scale]
+    assert (T.unpacked([r.tobytes() for r in x.astype(kind)], kind, 3) == x).all()
+
+
 def test_vectors_of_varied_length(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 2))
