@@ -3,15 +3,17 @@
 The pieces of an Arrow slice of many texts are numbered once, and all that were not
 seen before are merged together.
 
-Pieces up to ``SHORT`` bytes (nearly all) do not use an index: they are replayed in
-lockstep in numpy, where an array holds each position's pair rank and a step applies
-to every unfinished piece its lowest-ranked, leftmost pair.  Longer pieces go through an
-inverted index from the rank of a token pair to the positions where it stands: merges
-are applied in rank order, each updates only its position and the two neighbours it
-touches, and one that opens a lower rank inside its piece sends that piece's
-remaining positions back to the index, so every piece is merged exactly as if alone;
-the cost does not grow with the square of the length.  A piece that is itself a token
-is not merged.
+Both kinds of pieces are merged over an inverted index from the rank of a token pair to
+the positions where it stands, lowest ranks first.  A merge updates its position and
+the two neighbours it touches and enters the pairs that these now form; what it
+outdates is passed over when its turn comes.  A pair that opens below the present rank
+takes the replay back there, so every piece is merged exactly as if alone.
+Pieces up to ``SHORT`` bytes (nearly all) are merged side by side in numpy: the index has
+one entry for 2**``RANGE_BITS`` ranks, and a turn at the lowest range that holds anything
+applies to every piece with a pair in it that piece's lowest, leftmost one.  A long piece
+would make turns of one merge each, so long pieces go rank by rank through an index of
+Python lists; the cost does not grow with the square of the length.  A piece that
+is itself a token is not merged.
 
 Ids are ranks.  The rank file is read once by the driver and travels with the
 tasks (its size is the vocabulary's); a task remembers at most ``REMEMBER``
@@ -42,6 +44,7 @@ from rankaudit.llm.scoring import scored
 
 REMEMBER = 120_000
 SHORT = 48
+RANGE_BITS = 10  # the index of short pieces has one entry for so many ranks (a power of two)
 #: Below it, letters and numbers have long been settled.
 LOWEST_EXCEPTION = "\u0500"
 
@@ -57,6 +60,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 NONE = np.iinfo(np.int64).max
+POSITION = 0xFFFFFFFF
 
 
 class MergeReplay:
@@ -84,7 +88,7 @@ class MergeReplay:
         rest = [n for n, p in enumerate(pieces) if p not in self.ranks]
         short = [n for n in rest if len(pieces[n]) <= SHORT]
         long = [n for n in rest if len(pieces[n]) > SHORT]
-        sizes, ids = self.lockstep([pieces[n] for n in short])
+        sizes, ids = self.replay([pieces[n] for n in short])
         lists = self.heap([pieces[n] for n in long])
         owner = np.concatenate([
             np.array([n for n, _ in whole], np.int64), np.repeat(np.array(short, np.int64), sizes),
@@ -93,7 +97,9 @@ class MergeReplay:
         flat = np.concatenate([np.array([r for _, r in whole], np.int64), ids, *[np.array(x, np.int64) for x in lists]])
         return np.bincount(owner, minlength=len(pieces)), flat[np.argsort(owner, kind="stable")].astype(np.int32)
 
-    def lockstep(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of every piece, all ids end to end), by an inverted index from
+        ranges of ranks to the positions where such pairs stand."""
         if not pieces:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -104,28 +110,52 @@ class MergeReplay:
         right[ends - 1] = n
         left[ends - sizes] = n
         alive = np.ones(n, bool)
+        piece_of = np.repeat(np.arange(len(pieces)), sizes)
+        lowest = np.full(len(pieces), NONE)
+        standing = np.full(n + 1, NONE)  # the pair at a position, as in the index; an entry that differs is out of date
+        index: list[list[np.ndarray]] = [[] for _ in range((int(self.key_ranks.max()) >> RANGE_BITS) + 1)]
+
+        def stand(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            standing[i] = self._index_keys(symbol[i], symbol[j], i)
+            return standing[i][standing[i] < NONE]
+
+        def enter(keys: np.ndarray, ranges: np.ndarray) -> None:
+            order = np.argsort(ranges.astype(np.int16), kind="stable")
+            keys, ranges = keys[order], ranges[order]
+            cuts = np.flatnonzero(np.diff(ranges)) + 1
+            for part in np.split(keys, cuts) if len(keys) else []:
+                index[int(part[0]) >> (32 + RANGE_BITS)].append(part)
+
         at = np.flatnonzero(right[:n] < n)
-        index = np.full(n + 1, NONE)
-        index[at] = self._index_keys(symbol[at], symbol[at + 1], at)
-        positions, starts, live = np.arange(n), ends - sizes, np.arange(len(pieces))
-        while len(live):
-            lowest = np.minimum.reduceat(index[positions], starts)
-            going = lowest < NONE
-            if not going.all():
-                live, lowest = live[going], lowest[going]
-                spans = sizes[live]
-                starts = np.cumsum(spans) - spans
-                positions = np.repeat(ends[live] - spans - starts, spans) + np.arange(int(spans.sum()))
-            i = lowest & 0xFFFFFFFF
+        keys = stand(at, at + 1)
+        enter(keys, keys >> (32 + RANGE_BITS))
+        now = 0
+        while now < len(index):
+            if not index[now]:
+                now += 1
+                continue
+            keys = np.concatenate(index[now])
+            index[now] = []
+            keys = keys[standing[keys & POSITION] == keys]
+            piece = piece_of[keys & POSITION]
+            np.minimum.at(lowest, piece, keys)
+            first = lowest[piece] == keys  # a piece's lowest rank, leftmost place
+            lowest[piece] = NONE
+            if not first.all():
+                index[now].append(keys[~first])
+            keys = keys[first]
+            i = keys & POSITION
             j = right[i]
             k, h = right[j], left[i]
-            symbol[i] = lowest >> 32
+            symbol[i] = keys >> 32
             alive[j] = False
             right[i], left[k] = k, i
-            index[j] = index[i] = NONE
+            standing[j] = standing[i] = NONE
             before, after = h < n, k < n
-            index[h[before]] = self._index_keys(symbol[h[before]], symbol[i[before]], h[before])
-            index[i[after]] = self._index_keys(symbol[i[after]], symbol[k[after]], i[after])
+            keys = np.concatenate([stand(h[before], i[before]), stand(i[after], k[after])])
+            ranges = keys >> (32 + RANGE_BITS)
+            enter(keys, ranges)
+            now = min(now, int(ranges.min(initial=now)))
         return np.add.reduceat(alive.astype(np.int64), ends - sizes), symbol[:n][alive]
 
     def heap(self, pieces: list[bytes]) -> list[list[int]]:

@@ -39,11 +39,39 @@ def test_encodes_as_tiktoken_and_round_trips(reference):
         assert [d.decode() for d in decoded] == part
 
 
-def test_lockstep_and_heap_agree():
+def one_by_one(piece, ranks):
+    """Ids of a piece by the rule itself: the lowest pair, its leftmost place, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("range_bits", [0, 3, bpe.RANGE_BITS])
+def test_any_order_of_ranks(monkeypatch, range_bits):
+    """Merges that open lower ranks, runs of one byte, one and many ranks in an entry of the index."""
+    monkeypatch.setattr(bpe, "RANGE_BITS", range_bits)
+    rnd = random.Random(6)
+    tokens = list({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(2, 6))) for _ in range(300)} | {b"aa", b"aaa", b"aaaa"})
+    rnd.shuffle(tokens)
+    ranks = {t: i for i, t in enumerate([bytes([b]) for b in range(256)] + sorted(tokens, key=lambda t: rnd.random()))}
+    replay = bpe.MergeReplay(ranks)
+    pieces = [bytes(rnd.choice(b"aabc") for _ in range(rnd.randint(1, 40))) for _ in range(800)] + [b"a" * n for n in range(1, 40)]
+    want = [one_by_one(p, ranks) for p in pieces]
+    sizes, ids = replay.replay(pieces)
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert replay.heap(pieces) == want
+    assert replay.replay([])[0].tolist() == []
+
+
+def test_replay_and_heap_agree():
     replay = bpe._replay(DATA)
     rnd = random.Random(9)
     pieces = [bytes(rnd.choice(b"abethingo \xc3\xa9") for _ in range(rnd.randint(2, 48))) for _ in range(3000)]
-    sizes, ids = replay.lockstep(pieces)
+    sizes, ids = replay.replay(pieces)
     flat = ids.tolist()
     heap = replay.heap(pieces)
     assert sizes.tolist() == [len(h) for h in heap] and flat == [i for h in heap for i in h]
