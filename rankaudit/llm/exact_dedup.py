@@ -6,7 +6,9 @@ latest).  A chunk is named by a 64-bit hash that is *verified* against the
 chunk's SHA-256: where one hash stands for several digests, an ordinal tells
 them apart.  Two documents are equal when their ordered identifier lists are.
 Only identifiers are shuffled; chunk texts never leave the task that read
-them, however long the document.
+them, however long the document.  The copies of one text meet in up to ``SALTS``
+tasks, whose at most that many results per text are then put together and joined
+back to the rows by list and salt.
 
 Defined cases: a null text counts as empty; an empty text has an empty recipe
 and all such rows form one group; of rows with equal text the one with the
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rankaudit.llm.store import written
 
+SALTS = 64  # tasks over which the copies of one text are spread
 LOWER = string.ascii_lowercase
 UPPER = string.ascii_uppercase
 
@@ -74,11 +77,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ),
         "chunk-refs",
     )
-    recipes = verified_recipes(refs).select("doc_id", "row", "text_sha256", "recipe")
-    groups = recipes.groupBy("recipe").agg(
-        F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
-    )
-    return recipes.join(groups, "recipe").select(
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
+    recipes = verified_recipes(refs).select("doc_id", "row", "text_sha256", "recipe", salt)
+    parts = recipes.groupBy("recipe", "salt").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("n"))
+    groups = parts.groupBy("recipe").agg(F.max("keep").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+    groups = groups.select("recipe", "keep", "group_size", F.explode("salts").alias("salt"))
+    return recipes.join(groups, ["recipe", "salt"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",

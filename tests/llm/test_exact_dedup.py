@@ -28,6 +28,14 @@ def test_groups_equal_brute_force(docs):
         assert sum(r.kept for r in found) == 1 and [r.doc_id for r in found if r.kept] == [keep]
 
 
+def test_one_text_in_most_rows(spark):
+    rows = [(i, "the same text" if i % 5 else f"text {i}") for i in range(600)] + [(None, "the same text"), (599, "The Same Text")]
+    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    same = [r for r in got if r.group_size > 1]
+    assert len(got) == len(rows) and {(r.keep_id, r.group_size) for r in same} == {(599, 482)} and len(same) == 482
+    assert [r.doc_id for r in same if r.kept] == [599] and sum(r.kept for r in got) == 121
+
+
 def test_empty_table(none):
     assert E.exact_dedup(none).collect() == []
 
