@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankaudit.llm.store import written
+from rankaudit.llm.store import drop_written, written
 
 BUCKET_BITS = 17
 BUSY = 16
@@ -143,13 +143,16 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Colum
     texts = d.join(_small(held), F.col("d_id").eqNullSafe(F.col("doc_id")) & F.col("d").eqNullSafe(F.col("doc")))
     asked = texts.select(_lines().alias("t"), F.explode("asked").alias("a"))
     sets = written(asked.select(F.col("a.id").alias("id"), word_set(F.get("t", F.col("a.line")), levels).alias("s")), "line-sets")
+    once = sets
     if sets.count() > sets.select("id").distinct().count():  # rows repeat a document
-        sets = sets.dropDuplicates(["id"])
-    x, y = (sets.select(F.col("id").alias(c), F.col("s").alias(f"{c}_s")) for c in "xy")
+        once = sets.dropDuplicates(["id"])
+    x, y = (once.select(F.col("id").alias(c), F.col("s").alias(f"{c}_s")) for c in "xy")
     both = x.join(_small(pairs), "x").join(y, "y")
     shared = F.size(F.array_intersect("x_s", "y_s"))
     similar = both.where(shared >= threshold * (F.size("x_s") + F.size("y_s") - shared) - 1e-9)
-    return written(similar.select(F.col("x").alias("id")).distinct(), "line-gone")
+    gone = written(similar.select(F.col("x").alias("id")).distinct(), "line-gone")
+    drop_written(pairs, held, sets)
+    return gone
 
 
 def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

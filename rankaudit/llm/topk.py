@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankaudit.llm.store import written
+from rankaudit.llm.store import drop_written, written
 
 SAMPLE = 4_096
 MAX_PIVOTS = 512
@@ -177,6 +177,7 @@ def build_index(vectors: DataFrame, id_col: str, vec_col: str):
     placed = written(  # edges: at most MAX_PIVOTS rows
         keyed.join(F.broadcast(edges), "pivot").select("row", "id", "x", "dist", (F.col("pivot") * RINGS + ring).alias("cell")), "pivot-index"
     )
+    drop_written(keyed)
     cells = placed.groupBy("cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
     annuli = Annuli(pivots, m2, cells.orderBy("cell").collect())
     shards = vectors.sparkSession.createDataFrame(
@@ -270,13 +271,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     unknown = F.lit(float("-inf"))
     probes = _probes(queries.withColumn("floor", unknown), annuli, dim, blocks, 0)
     hits = written(_best(_scan(index, probes, annuli, dim, k), k).drop("rank"), "top-hits")
+    drop_written(probes)
     for stage in (1, 2):
         floors = hits.groupBy(F.col("query_row").alias("row")).agg(
             F.when(F.count("*") >= k, F.min("score")).otherwise(unknown).cast("double").alias("floor")
         )
         with_floor = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", unknown))
         probes = _probes(with_floor, annuli, dim, blocks, stage)
-        hits = written(_best(hits.unionByName(_scan(index, probes, annuli, dim, k)), k).drop("rank"), "top-hits")
+        better = written(_best(hits.unionByName(_scan(index, probes, annuli, dim, k)), k).drop("rank"), "top-hits")
+        drop_written(probes, hits)
+        hits = better
     return (
         _best(hits, k).join(queries.select(F.col("row").alias("query_row"), "query_id"), "query_row")
         .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
