@@ -173,9 +173,11 @@ def read_ranking_text(spark: SparkSession, path: str, n_features: int | None = N
             ),
         ).alias("kv"),
     )
-    idx = parsed.select(F.explode("kv.k").alias("k")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    lo = 0 if idx["lo"] is None else int(idx["lo"])
-    hi = -1 if idx["hi"] is None else int(idx["hi"])
+    lo, hi = 0, -1
+    if zero_based is None or n_features is None:  # else the text is parsed once
+        idx = parsed.select(F.explode("kv.k").alias("k")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+        lo = 0 if idx["lo"] is None else int(idx["lo"])
+        hi = -1 if idx["hi"] is None else int(idx["hi"])
     base = (0 if lo == 0 else 1) if zero_based is None else 0 if zero_based else 1
     width = n_features if n_features is not None else hi - base + 1
     m = F.map_from_entries(F.transform("kv", lambda e: F.struct((e["k"] - base).alias("k"), e["v"].alias("v"))))
