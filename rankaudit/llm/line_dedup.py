@@ -29,6 +29,8 @@ result; other columns are kept by ``dedup_lines`` as they are.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ from rankaudit.llm.store import drop_written, written
 
 BUCKET_BITS = 17
 BUSY = 16
-LONG = 96
+LONG = 32
 #: Sides of a join up to so many narrow rows are broadcast; above it the join is shuffled.
 SMALL = 400_000
 HASH_BITS = 56  # under the 7 bits of the rarity level
@@ -49,10 +51,16 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
+def _plain() -> Column:
+    """The text, with white space other than line feeds made blanks."""
+    text = F.coalesce("text", F.lit(""))
+    held = reduce(or_, (F.contains(text, F.lit(c)) for c in "\x09\x0B\x0C\x0D"))
+    return F.when(held, F.regexp_replace(text, BLANKS, " ")).otherwise(text)
+
+
 def _lines() -> Column:
     """The lines of the text, with other white space made blanks."""
-    text = F.coalesce("text", F.lit(""))
-    return F.split(F.when(text.rlike(BLANKS), F.regexp_replace(text, BLANKS, " ")).otherwise(text), "\n")
+    return F.split(_plain(), "\n")
 
 
 def _bucket(h: Column) -> Column:
@@ -61,8 +69,7 @@ def _bucket(h: Column) -> Column:
 
 def rarity_levels(docs: DataFrame) -> Column:
     """Literal array: the level of every word bucket, 0 (rarest) to 127."""
-    lines = docs.select(F.explode(_lines()).alias("t"))
-    words = lines.select(F.explode(F.split("t", " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(_plain(), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()
     levels = ["0"] * (1 << BUCKET_BITS)
     for b, n in counts:
@@ -141,8 +148,9 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, levels: Colum
     held = written(places.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line", "id")).alias("asked")), "line-places")
     d = docs.select(F.col("doc_id").alias("d_id"), F.col("text"), _doc_hash().alias("d"))
     texts = d.join(_small(held), F.col("d_id").eqNullSafe(F.col("doc_id")) & F.col("d").eqNullSafe(F.col("doc")))
-    asked = texts.select(_lines().alias("t"), F.explode("asked").alias("a"))
-    sets = written(asked.select(F.col("a.id").alias("id"), word_set(F.get("t", F.col("a.line")), levels).alias("s")), "line-sets")
+    # the asked lines are taken out before the rows are multiplied, so that no row carries its whole text
+    asked = F.transform(F.array(_lines()), lambda t: F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get(t, a["line"]).alias("t"))))[0]
+    sets = written(texts.select(F.explode(asked).alias("a")).select(F.col("a.id").alias("id"), word_set(F.col("a.t"), levels).alias("s")), "line-sets")
     once = sets
     if sets.count() > sets.select("id").distinct().count():  # rows repeat a document
         once = sets.dropDuplicates(["id"])
@@ -162,15 +170,16 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels = rarity_levels(docs)
     lines = written(line_table(docs, levels, threshold), "lines")
-    first = lines.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "doc", "line", "n", "parity", "second", "third", "prefix")).alias("f"))
+    first = lines.where("n > 0").groupBy("sid").agg(
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "doc", "line", "n", "parity", "second", "third", "prefix")).alias("f"))
     # ids in the order of the first places: a smaller id is an earlier line
-    ordered = first.select("sid", "f.*").orderBy("doc_id", "doc", "line").withColumn("id", F.monotonically_increasing_id())
+    ordered = first.select("sid", "copies", "f.*").orderBy("doc_id", "doc", "line").withColumn("id", F.monotonically_increasing_id())
     firsts = written(ordered, "line-firsts")
     rows = firsts.select("id", "n", "parity", "second", "third", F.posexplode("prefix").alias("i", "word"))
-    words = rows.groupBy("word").agg(F.count("*").alias("sets")).where(F.col("sets") >= BUSY).select("word")
-    busy = rows.join(_small(written(words, "line-words")), "word")
-    earliest = busy.groupBy("word").agg(F.min(F.struct("id", "n", "i", "parity", "second", "third")).alias("e")).select("word", "e.*")
-    starred = _as("x", busy).join(_small(written(_as("y", earliest), "line-pivots")), "word").where("y_id < x_id").where(_may_match(threshold))
+    words = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where(F.col("sets") >= BUSY).select("word", "id")
+    earliest = firsts.join(_small(written(words, "line-words")), "id").select(
+        "word", "id", "n", (F.array_position("prefix", F.col("word")) - 1).cast("int").alias("i"), "parity", "second", "third")
+    starred = _as("x", rows).join(_small(written(_as("y", earliest), "line-pivots")), "word").where("y_id < x_id").where(_may_match(threshold))
     nearest = starred.groupBy("x_id").agg(F.min(F.struct(_apart().alias("apart"), "y_id")).alias("p"))
     gone = verified(nearest.select(F.col("x_id").alias("x"), F.col("p.y_id").alias("y")), firsts, docs, levels, threshold)
 
@@ -180,13 +189,14 @@ def line_decisions(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     met = _as("x", open_rows).join(_as("y", open_rows), "word").where((F.col("y_id") < F.col("x_id")) & still & _may_match(threshold))
     gone = gone.union(verified(met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct(), firsts, docs, levels, threshold))
 
-    fate = firsts.select("sid", "id", F.struct("doc_id", "doc", "line").alias("at")).join(gone.withColumn("gone", F.lit(True)), "id", "left").drop("id")
-    told = lines.select("doc_id", "doc", "line", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(fate, "sid", "left")
-    dropped = F.col("at").isNotNull() & (F.coalesce("gone", F.lit(False)) | ~_same_place())
-    return told.groupBy("doc_id", "doc").agg(
-        F.countDistinct("line").alias("n_lines"),
-        F.sort_array(F.collect_set(F.when(dropped, F.col("line")))).alias("removed"),
-    )
+    # sets with a line to drop: those that go, and those that have further lines
+    fate = firsts.select("sid", "id", "copies", F.struct("doc_id", "doc", "line").alias("at")).join(gone.withColumn("gone", F.lit(True)), "id", "left")
+    fate = fate.where("gone OR copies > 1").select("sid", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
+    dropped = lines.where("n > 0").select("doc_id", "doc", "line", "sid").join(fate, "sid").where(F.col("gone") | ~_same_place())
+    places = dropped.groupBy(F.col("doc_id").alias("p_id"), F.col("doc").alias("p")).agg(F.sort_array(F.collect_set("line")).alias("places"))
+    told = lines.groupBy("doc_id", "doc").agg((F.max("line") + 1).cast("long").alias("n_lines"))
+    return told.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("doc") == F.col("p")), "left").select(
+        "doc_id", "doc", "n_lines", F.coalesce("places", F.array().cast("array<int>")).alias("removed"))
 
 
 def _same_place() -> Column:

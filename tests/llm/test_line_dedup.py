@@ -55,6 +55,42 @@ def test_templates_and_common_words(spark, monkeypatch, busy):
     assert sum(map(len, want.values())) > 80
 
 
+def test_variants_too_far_apart_are_few_candidates(spark, monkeypatch):
+    """Lines that share 50 of 60 words meet in their prefixes, but hardly any pair of them is verified."""
+    base = [f"w{k}" for k in range(60)]
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in rnd.sample(range(60), 5):
+            words[k] = f"v{i}-{k}"
+        rows.append((i, " ".join(words)))
+    seen, verified = [], L.verified
+
+    def counted(pairs, *rest):
+        pairs = L.written(pairs, "test-pairs")
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(L, "verified", counted)
+    got = L.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in got} == {k[0]: v for k, v in brute(rows).items()}
+    assert len(seen) == 2 and seen[1] <= 60  # of 1,770 pairs
+
+
+def test_lines_are_counted_without_a_distinct_aggregate(docs):
+    plan = L.line_decisions(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower()
+
+
+def test_repeated_rows_and_white_space(spark):
+    """Repeated documents, null ids and texts, and each kind of white space."""
+    rows = [(None, "a b c\n\na\tb c"), (None, "a b c\n\na\tb c"), (1, "c\x0bb a\n\r\n"), (1, "c\x0bb a\n\r\n"), (2, None), (2, None), (3, ""), (4, "d\x0ce\r\nd e f")]
+    got = L.line_decisions(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute(rows)
+    assert sorted(((r.doc_id or 0, r.n_lines, r.removed) for r in got), key=str) == sorted((((k[0] or 0), (k[1] or "").count("\n") + 1, v) for k, v in want.items()), key=str)
+
+
 def test_texts_and_columns(docs):
     want = brute(fixtures.rows())
     out = L.dedup_lines(docs)
